@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, mixing
+from . import ann, chat_format, language_id, license_scan, mixing, simhash
 from .common import table
 
 
@@ -16,6 +16,18 @@ def op2_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op4_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_nearest(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.pmod(F.col("vec_id"), F.lit(50)) == 0)
+
+
 def op6_chat_format(spark, sf_dir):
     return chat_format.chat_format(table(spark, sf_dir, "conversations"))
 
