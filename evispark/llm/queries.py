@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, language_id, license_scan, mixing, simhash
+from . import ann, chat_format, decontam, html_extract, language_id, license_scan, mixing, simhash, token_output, toxicity
 from .common import table
 
 
@@ -32,8 +32,30 @@ def op6_chat_format(spark, sf_dir):
     return chat_format.chat_format(table(spark, sf_dir, "conversations"))
 
 
+def op7_decontaminate(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_token_ids(spark, sf_dir):
+    return token_output.digest(token_output.tokenized(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op9_html_text(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
