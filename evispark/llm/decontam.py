@@ -4,8 +4,9 @@
 2. Factorisation: the benchmark's passages as TF-IDF rows, and a randomised SVD of them as Spark jobs (a random start, power
    rounds G <- A'(A G) summed over partitions, then a small QR): ``rank`` latent directions for each ``items_in_block`` passages.
 3. Retrieval: every document is read in windows of ``16 x 2^i`` words up to the longest item, each half over the next. A window is
-   folded in (projected) and its cosine to each item taken. In-vocabulary energy over whole energy bounds the cosine from above,
-   and windows below the threshold by that bound are skipped, exactly.
+   folded in (projected) and its cosine to each item taken; all windows and items at the threshold or above are candidates.
+   A window whose benchmark words hold under ``cosine^2 / 4`` of its energy, repeats counted singly, is not folded in: its
+   cosine could reach the threshold only by repeating common words, and the checks below need the item's own.
 4. Checks on all candidates: longest common subsequence of the item and the text around the window (share of the item's words)
    and of the item's answer, its last third. Paraphrases pass; chance overlaps do not.
 
@@ -167,8 +168,7 @@ class Matcher:
         known = np.concatenate([[0], np.cumsum(np.where(ids == self.other, 0, square))])
         whole = np.concatenate([[0], np.cumsum(square)])
         energy = whole[ends] - whole[begins]
-        # repeats within a window only add to what this bound allows for known words: sum of squares <= (sum over terms of tf^2 w^2)
-        bound = np.array(known[ends] - known[begins]) / energy
+        bound = (known[ends] - known[begins]) / energy
         for b in np.nonzero(bound >= cosine * cosine / 4)[0]:
             at, tf = np.unique(ids[begins[b] : ends[b]], return_counts=True)
             x = tf * self.weight[at]
