@@ -51,8 +51,9 @@ def core_rates(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def slices(rows: DataFrame, fields: list[str], many: list[str] = ()) -> DataFrame:
     """Slices with overlapping membership: a row counts in each value of each field (array fields explode); never sum over slices."""
-    pairs = [F.array(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("unknown")).alias("value"))) for f in fields]
-    pairs += [F.transform(F.array_distinct(f), lambda v, f=f: F.struct(F.lit(f).alias("field"), v.alias("value"))) for f in many]
+    pairs = [F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("unknown")).alias("value")) for f in fields]
+    named = lambda f: lambda v: F.struct(F.lit(f).alias("field"), v.alias("value"))
+    pairs = [F.array(*pairs)] + [F.transform(F.array_distinct(f), named(f)) for f in many]
     x = rows.withColumn("_s", F.explode(F.concat(*pairs))).select("*", "_s.field", "_s.value")
     return core_rates(x, ["field", "value"])
 
