@@ -319,7 +319,7 @@ priced AS (SELECT *, CASE WHEN limitation IS NULL THEN CASE WHEN input_tokens >
 def usd(df, *names):
     """As rounded doubles, for results that engines are compared by."""
     for n in names:
-        df = df.withColumn(n, F.round(F.col(n).cast("double"), 6))
+        df = df.withColumn(n, F.round(F.col(n).cast("double"), 9))
     return df
 
 
@@ -556,10 +556,10 @@ Q = {
     "j9_pair_cells": (j9, CELLS + ", a AS (SELECT * FROM rows1 WHERE variant = 'V0' AND generator = 'sol' AND case_id % 71 <> 0), b AS (SELECT * FROM rows1 WHERE variant = 'V3' AND generator = 'sol' AND case_id % 73 <> 0) SELECT coalesce(a.case_id, b.case_id) AS case_id, a.case_id IS NOT NULL AS in_a, b.case_id IS NOT NULL AS in_b, a.family IS NOT DISTINCT FROM b.family AND a.gold_status IS NOT DISTINCT FROM b.gold_status AS same FROM a FULL OUTER JOIN b ON a.case_id = b.case_id"),
     "d20_paired": (d20, PAIRS + " SELECT count(*) AS n, count(*) FILTER (sa) AS a, count(*) FILTER (sb) AS b, count(*) FILTER (NOT sa AND sb) AS gained, count(*) FILTER (sa AND NOT sb) AS lost, round(100 * (count(*) FILTER (sb) - count(*) FILTER (sa)) / count(*), 6) AS points FROM pr"),
     "d21_bootstrap_ci": (d21, BOOT),
-    "d22_call_cost": (d22q, PRICED + " SELECT call, limitation, round(cost::DOUBLE, 6) AS cost FROM priced"),
-    "d23_cost_group": (d23, PRICED + " SELECT cell, count(*) AS n, count(cost) AS known, round(sum(cost)::DOUBLE, 6) AS subtotal, CASE WHEN count(*) = count(cost) THEN round(sum(cost)::DOUBLE, 6) END AS total FROM priced GROUP BY cell"),
-    "d24_attempt_cost": (d24, PRICED + " SELECT run % 300 AS attempt_id, count(DISTINCT run) AS n_runs, count(*) AS n, count(cost) AS known, CASE WHEN count(*) = count(cost) THEN round(sum(cost)::DOUBLE, 6) END AS total FROM priced GROUP BY 1"),
-    "d25_combine_costs": (d25, PRICED + " SELECT campaign, cell, count(*) AS n, count(cost) AS known, round(sum(cost)::DOUBLE, 6) AS subtotal, grouping(campaign, cell)::INT AS level, CASE WHEN count(*) = count(cost) THEN round(sum(cost)::DOUBLE, 6) END AS total FROM priced GROUP BY ROLLUP (campaign, cell)"),
+    "d22_call_cost": (d22q, PRICED + " SELECT call, limitation, round(cost::DOUBLE, 9) AS cost FROM priced"),
+    "d23_cost_group": (d23, PRICED + " SELECT cell, count(*) AS n, count(cost) AS known, round(sum(cost)::DOUBLE, 9) AS subtotal, CASE WHEN count(*) = count(cost) THEN round(sum(cost)::DOUBLE, 9) END AS total FROM priced GROUP BY cell"),
+    "d24_attempt_cost": (d24, PRICED + " SELECT run % 300 AS attempt_id, count(DISTINCT run) AS n_runs, count(*) AS n, count(cost) AS known, CASE WHEN count(*) = count(cost) THEN round(sum(cost)::DOUBLE, 9) END AS total FROM priced GROUP BY 1"),
+    "d25_combine_costs": (d25, PRICED + " SELECT campaign, cell, count(*) AS n, count(cost) AS known, round(sum(cost)::DOUBLE, 9) AS subtotal, grouping(campaign, cell)::INT AS level, CASE WHEN count(*) = count(cost) THEN round(sum(cost)::DOUBLE, 9) END AS total FROM priced GROUP BY ROLLUP (campaign, cell)"),
     "d26_primary_latest": (d26, with_frames("runs", body="SELECT conversation_id AS case_id, arg_min(kind, id) AS \"primary\", arg_max(kind, id) AS latest, count(*) > 1 AS corrected FROM runs WHERE id % 3 = 0 GROUP BY 1")),
     "d27_campaign_status": (d27, with_frames("runs", body="SELECT conversation_id, bool_and(status IN ('completed', 'failed') AND answer_status IS NOT NULL) AS complete FROM runs GROUP BY 1")),
     "w12_execution_order": (w12, with_frames("cases", body=", f AS (SELECT case_id, family, dense_rank() OVER (ORDER BY family) - 1 AS fi, row_number() OVER (PARTITION BY family ORDER BY case_id) - 1 AS ci FROM cases) SELECT family, case_id, slot, ['V0luna', 'V0sol', 'V3luna', 'V3sol'][(slot + fi + ci) % 4 + 1] AS cell FROM f, (SELECT unnest(range(0, 4)) AS slot)")),
