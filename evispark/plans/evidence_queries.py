@@ -141,7 +141,7 @@ ranked AS (SELECT page_id, t, row_number() OVER (PARTITION BY page_id ORDER BY l
 
 def h4(spark, d):
     c = docs(spark, d).select(F.col("doc_id").alias("chunk_id"), "source", "text")
-    q = c.where("chunk_id % 5 = 0").select(F.col("chunk_id").alias("query_id"), "text")
+    q = c.select(F.col("chunk_id").alias("query_id"), "text")
     hits = R.literal_hits(q, c)
     return R.interleave_sources(hits).select("query_id", "chunk_id", "place")
 
@@ -152,7 +152,7 @@ def h5(spark, d):
 
 
 def h6(spark, d):
-    return R.proximity_rank(asked(spark, d).where("query_id < 5"), R.postings(chunks(spark, d)))
+    return R.proximity_rank(asked(spark, d), R.postings(chunks(spark, d)))
 
 
 def short_lane(spark, d):
@@ -357,7 +357,7 @@ QUERIES = {
     "h2_bm25_lane": (h2, f"{CHAIN} SELECT query_id, chunk_id, score, rank FROM bm25"),
     "h3_identifiers": (h3, f"WITH {ID_SQL} SELECT p.page_id, coalesce(string_agg(t, ' ' ORDER BY t), '') AS ids, coalesce(string_agg(t, ' ' ORDER BY r) FILTER (r <= 8), '') AS query_ids FROM pages p LEFT JOIN ranked USING (page_id) GROUP BY p.page_id"),
     "h4_literal_lane": (h4, f"""WITH {ID_SQL.replace('page_id', 'chunk_id').replace('html', 'text').replace('FROM pages', 'FROM (SELECT doc_id AS chunk_id, text FROM documents)')},
-h AS (SELECT q.chunk_id AS query_id, q.r - 1 AS term_no, c.chunk_id, d.source, row_number() OVER (PARTITION BY q.chunk_id, q.r ORDER BY length(d.text), d.source, c.chunk_id) AS pos FROM ranked q JOIN cut c ON c.t = q.t JOIN documents d ON d.doc_id = c.chunk_id WHERE q.r <= 8 AND q.chunk_id % 5 = 0),
+h AS (SELECT q.chunk_id AS query_id, q.r - 1 AS term_no, c.chunk_id, d.source, row_number() OVER (PARTITION BY q.chunk_id, q.r ORDER BY length(d.text), d.source, c.chunk_id) AS pos FROM ranked q JOIN cut c ON c.t = q.t JOIN documents d ON d.doc_id = c.chunk_id WHERE q.r <= 8),
 l AS (SELECT *, min(pos) OVER (PARTITION BY query_id, term_no, source) AS lane, row_number() OVER (PARTITION BY query_id, term_no, source ORDER BY pos) AS inlane FROM h WHERE pos <= 100),
 a AS (SELECT *, row_number() OVER (PARTITION BY query_id, term_no ORDER BY inlane, lane, chunk_id) AS p FROM l),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY p, term_no) AS f FROM a WHERE p <= 100)
@@ -367,7 +367,7 @@ w AS (SELECT item_id AS query_id, unnest(list_slice({TOK.format('text')}, 3, 6))
 sz AS (SELECT query_id, count(*) AS size FROM ww GROUP BY 1), st AS (SELECT query_id, chunk_id, pos - i AS s, count(*) AS n FROM ww JOIN toks USING (term) GROUP BY ALL),
 h AS (SELECT query_id, chunk_id, count(*) AS hits FROM st JOIN sz USING (query_id) WHERE n = size GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS rank FROM h) WHERE rank <= 20"""),
-    "h6_proximity_rank": (h6, f"WITH {SPANS}, {CHUNKS}, {POSTED}, {QTERMS}, fp AS (SELECT chunk_id, term, min(pos) AS p FROM toks GROUP BY ALL) SELECT query_id, chunk_id, round(count(*) / (max(p) - min(p) + 1), 6) AS proximity FROM qt JOIN fp USING (term) WHERE query_id < 5 GROUP BY ALL"),
+    "h6_proximity_rank": (h6, f"WITH {SPANS}, {CHUNKS}, {POSTED}, {QTERMS}, fp AS (SELECT chunk_id, term, min(pos) AS p FROM toks GROUP BY ALL) SELECT query_id, chunk_id, round(count(*) / (max(p) - min(p) + 1), 6) AS proximity FROM qt JOIN fp USING (term) GROUP BY ALL"),
     "h7_rrf": (h7, f"{CHAIN}, {SHORT}, {FUSED} SELECT * FROM fused"),
     "h8_fused_pool": (h8, f"{CHAIN}, {SHORT}, {FUSED}, {POOL} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM pool"),
     "h10_hydrate": (h10, f"{CHAIN}, {SHORT}, {FUSED}, {POOL} SELECT query_id, p.chunk_id, source, left(text, len(list_filter(range(1, 41), lambda k: strlen(left(text, k)) <= 40))) AS snippet, strlen(text)::BIGINT AS n_bytes FROM pool p JOIN chunks c ON c.chunk_id = p.chunk_id"),

@@ -342,8 +342,7 @@ def d25(spark, d):
 
 
 def history(spark, d):
-    r = runs(spark, d).where("id % 3 = 0")
-    return r.groupBy(F.col("conversation_id").alias("case_id")).agg(F.sort_array(F.collect_list(F.struct("id", F.col("kind").alias("label")))).alias("attempts"))
+    return runs(spark, d).groupBy(F.col("conversation_id").alias("case_id")).agg(F.sort_array(F.collect_list(F.struct("id", F.col("kind").alias("label")))).alias("attempts"))
 
 
 def d26(spark, d):
@@ -560,7 +559,7 @@ Q = {
     "d23_cost_group": (d23, PRICED + " SELECT cell, count(*) AS n, count(cost) AS known, round(sum(cost)::DOUBLE, 9) AS subtotal, CASE WHEN count(*) = count(cost) THEN round(sum(cost)::DOUBLE, 9) END AS total FROM priced GROUP BY cell"),
     "d24_attempt_cost": (d24, PRICED + " SELECT run % 300 AS attempt_id, count(DISTINCT run) AS n_runs, count(*) AS n, count(cost) AS known, CASE WHEN count(*) = count(cost) THEN round(sum(cost)::DOUBLE, 9) END AS total FROM priced GROUP BY 1"),
     "d25_combine_costs": (d25, PRICED + " SELECT campaign, cell, count(*) AS n, count(cost) AS known, round(sum(cost)::DOUBLE, 9) AS subtotal, grouping(campaign, cell)::INT AS level, CASE WHEN count(*) = count(cost) THEN round(sum(cost)::DOUBLE, 9) END AS total FROM priced GROUP BY ROLLUP (campaign, cell)"),
-    "d26_primary_latest": (d26, with_frames("runs", body="SELECT conversation_id AS case_id, arg_min(kind, id) AS \"primary\", arg_max(kind, id) AS latest, count(*) > 1 AS corrected FROM runs WHERE id % 3 = 0 GROUP BY 1")),
+    "d26_primary_latest": (d26, with_frames("runs", body="SELECT conversation_id AS case_id, arg_min(kind, id) AS \"primary\", arg_max(kind, id) AS latest, count(*) > 1 AS corrected FROM runs GROUP BY 1")),
     "d27_campaign_status": (d27, with_frames("runs", body="SELECT conversation_id, bool_and(status IN ('completed', 'failed') AND answer_status IS NOT NULL) AS complete FROM runs GROUP BY 1")),
     "w12_execution_order": (w12, with_frames("cases", body=", f AS (SELECT case_id, family, dense_rank() OVER (ORDER BY family) - 1 AS fi, row_number() OVER (PARTITION BY family ORDER BY case_id) - 1 AS ci FROM cases) SELECT family, case_id, slot, ['V0luna', 'V0sol', 'V3luna', 'V3sol'][(slot + fi + ci) % 4 + 1] AS cell FROM f, (SELECT unnest(range(0, 4)) AS slot)")),
     "u3_set_equality": (u3, "SELECT doc_id, 'only_a' AS side FROM documents WHERE doc_id % 50 <> 7 AND doc_id % 60 = 9 UNION ALL SELECT doc_id, 'only_b' FROM documents WHERE doc_id % 60 <> 9 AND doc_id % 50 = 7"),
