@@ -3,10 +3,12 @@
 1. Statistics: document frequencies of the benchmark's words over all documents.
 2. Factorisation: the benchmark's passages as TF-IDF rows, and a randomised SVD of them as Spark jobs (a random start, power
    rounds G <- A'(A G) summed over partitions, then a small QR): ``rank`` latent directions for each ``items_in_block`` passages.
-3. Retrieval: every document is read in windows of ``16 x 2^i`` words up to the longest item, each half over the next. A window is
-   folded in (projected) and its cosine to each item taken; all windows and items at the threshold or above are candidates.
-   A window whose benchmark words hold under ``cosine^2 / 4`` of its energy, repeats counted singly, is not folded in: its
-   cosine could reach the threshold only by repeating common words, and the checks below need the item's own.
+3. Retrieval: every document is read in windows of a power of two of words, from the shortest item's length to the longest's, each
+   half over the next. A window is folded in (projected) and its cosine to each item taken; all pairs at the threshold or above
+   are candidates. What benchmark words hold of a window's energy bounds its cosines from above (their square by its share, and,
+   where the factorisation is lossless, they themselves by it over the norms), so windows below the threshold by a bound are
+   skipped without loss. Term counts are taken as 0 or 1; a word outside the
+   benchmark has the weight of a word never seen.
 4. Checks on all candidates: longest common subsequence of the item and the text around the window (share of the item's words)
    and of the item's answer, its last third. Paraphrases pass; chance overlaps do not.
 
@@ -21,14 +23,16 @@ empty tables give an empty table; extra columns are ignored.
 from __future__ import annotations
 
 import math
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-COSINE, LCS, ANSWER = 0.4, 0.6, 0.5
+COSINE, LCS, ANSWER = 0.45, 0.6, 0.5
+#: Weights are log((documents + SMOOTH) / (1 + frequency)), CAP at most: a passage that many documents share keeps its place beside rare words.
+SMOOTH, CAP = 1000, 6.0
 RANK, ITEMS_IN_BLOCK, ITEMS_IN_PASS, POWER = 256, 256, 2048, 2
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -80,9 +84,9 @@ def latent_directions(benchmark: DataFrame, idf: dict[bytes, float], rank: int =
             total = np.zeros_like(g)
             for b in batches:
                 for t in b.column(0):
-                    at, tf = np.unique([where[w] for w in words_of(t.as_py())], return_counts=True)
+                    at = np.unique([where[w] for w in words_of(t.as_py())])
                     if len(at):
-                        x = tf * weight[at]
+                        x = weight[at]
                         x = x / np.linalg.norm(x)
                         total[at] += np.outer(x, x @ g[at])
             used = np.nonzero(total.any(axis=1))[0]
@@ -108,7 +112,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, rank: int) -> list[dict]:
     if not items:
         return []
     n, df = document_frequencies(docs, sorted({w for _, ws, _ in items for w in ws}))
-    idf = lambda w: math.log((1 + n) / (1 + df.get(w, 0))) + 0.1
+    idf = lambda w: min(CAP, math.log((n + SMOOTH) / (1 + df.get(w, 0))) + 0.1)
     spark, out = docs.sparkSession, []
     for at in range(0, len(items), ITEMS_IN_PASS):
         part = items[at : at + ITEMS_IN_PASS]
@@ -120,13 +124,15 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, rank: int) -> list[dict]:
             passages = spark.createDataFrame([(t,) for *_, t in block], "text string").repartition(4)
             words, v = latent_directions(passages, own, rank)
             place = {w: i for i, w in enumerate(words)}
-            coordinates = []
+            coordinates, norms = [], []
             for _, ws, _ in block:
-                i, tf = np.unique([place[w] for w in ws], return_counts=True)
-                x = tf * np.array([own[words[j]] for j in i])
-                coordinates.append((x @ v[i]) / np.linalg.norm(x))
-            latent.append((k, words, v, np.array(coordinates, np.float32)))
-        out.append({"items": [(i, ws) for i, ws, _ in part], "weights": weights, "latent": latent, "other": float(np.median(list(weights.values())))})
+                i = np.unique([place[w] for w in ws])
+                x = np.array([own[words[j]] for j in i])
+                norms.append(float(np.linalg.norm(x)))
+                coordinates.append((x @ v[i]) / norms[-1])
+            # with as many directions as passages the factorisation is lossless, and a cosine needs shared words
+            latent.append((k, words, v, np.array(coordinates, np.float32), min(norms) if v.shape[1] >= min(len(block), len(words)) else 0.0))
+        out.append({"items": [(i, ws) for i, ws, _ in part], "weights": weights, "latent": latent, "other": idf(b"")})
     return out
 
 
@@ -139,13 +145,16 @@ class Matcher:
         self.number = {w: i for i, w in enumerate(vocabulary)}
         self.weight = np.array([*model["weights"].values(), model["other"]], np.float32)  # the last is for any other word
         self.other = len(vocabulary)
+        self.square = self.weight.astype(np.float64) ** 2
         self.latent = []
-        for first, words, v, coordinates in model["latent"]:
+        self.least = min(least for *_, least in model["latent"])
+        for first, words, v, coordinates, _ in model["latent"]:
             table = np.zeros((self.other + 1, v.shape[1]), np.float32)
             table[[self.number[w] for w in words]] = v * np.array([model["weights"][w] for w in words], np.float32)[:, None]
             self.latent.append((first, table, coordinates))
-        longest = max(len(ws) for _, ws in self.items)
-        self.widths = [16 << i for i in range(max(1, math.ceil(math.log2(max(longest, 16) / 16)) + 1))]
+        lengths = [len(ws) for _, ws in self.items]
+        first = max(8, 1 << math.ceil(math.log2(min(lengths))))
+        self.widths = [first << i for i in range(max(1, math.ceil(math.log2(max(lengths) / first))))]  # each item has one of half its length or more
 
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text its (item_id, cosine, lcs, answer), best for each item."""
@@ -154,37 +163,38 @@ class Matcher:
         found: list[dict] = [{} for _ in docs]
         n = int(lengths.sum())
         if n:
-            ids = np.fromiter((i for d in docs for i in map(self.number.get, d, repeat(self.other))), np.int32, n)
+            ids = np.fromiter(map(self.number.get, chain.from_iterable(docs), repeat(self.other)), np.int32, n)
             starts = np.concatenate([[0], np.cumsum(lengths)])
+            square = self.square[ids]
+            known = np.concatenate([[0], np.cumsum(np.where(ids == self.other, 0, square))])
+            whole = np.concatenate([[0], np.cumsum(square)])
             for width in self.widths:
-                self._search(docs, ids, starts, width, found)
+                begins = np.arange(0, n, width // 2)
+                ends = np.minimum(begins + width, n)
+                mine, energy = known[ends] - known[begins], whole[ends] - whole[begins]
+                # repeats count once in a window's vector, so its known energy is this at most; a product with an item is that at most
+                need = np.maximum(self.limits[0] ** 2 * energy, self.limits[0] * np.sqrt(energy) * self.least) * (1 - 1e-6)
+                for at in np.array_split(np.nonzero(mine >= need)[0], max(1, len(begins) // 4096)):
+                    if len(at):
+                        self._search(docs, ids, starts, begins[at], ends[at], width, found)
         return [[(self.items[k][0], *v) for k, v in sorted(f.items())] for f in found]
 
-    def _search(self, docs, ids, starts, width, found):
-        cosine = self.limits[0]
-        begins = np.arange(0, len(ids), width // 2)
-        ends = np.minimum(begins + width, len(ids))
-        square = (self.weight[ids].astype(np.float64)) ** 2
-        known = np.concatenate([[0], np.cumsum(np.where(ids == self.other, 0, square))])
-        whole = np.concatenate([[0], np.cumsum(square)])
-        energy = whole[ends] - whole[begins]
-        bound = (known[ends] - known[begins]) / energy
-        for b in np.nonzero(bound >= cosine * cosine / 4)[0]:
-            at, tf = np.unique(ids[begins[b] : ends[b]], return_counts=True)
-            x = tf * self.weight[at]
-            spare = 0.0
-            if at[-1] == self.other:
-                spare = tf[-1] * self.weight[-1] ** 2  # other words are taken as distinct
-                at, tf, x = at[:-1], tf[:-1], x[:-1]
-            mine = float((x * x).sum())
-            norm = math.sqrt(mine + spare)
-            if not len(at) or math.sqrt(mine) < cosine * norm:
-                continue
-            for first, table, coordinates in self.latent:
-                z = tf @ table[at]
-                cos = coordinates @ z / norm
-                for k in np.nonzero(cos >= cosine)[0]:
-                    self._check(docs, starts, int(begins[b]), int(ends[b]), first + int(k), float(cos[k]), found)
+    def _search(self, docs, ids, starts, begins, ends, width, found):
+        places = begins[:, None] + np.arange(width)
+        rows = np.where(places < ends[:, None], ids[np.minimum(places, len(ids) - 1)], -1)
+        spare = (rows == self.other).sum(axis=1) * self.square[-1]  # other words are taken as distinct
+        rows.sort(axis=1)
+        fresh = (rows >= 0) & (rows != self.other)
+        fresh[:, 1:] &= rows[:, 1:] != rows[:, :-1]
+        counts = fresh.sum(axis=1)
+        flat, first = rows[fresh], np.cumsum(counts) - counts
+        mine = np.add.reduceat(self.square[flat], first)
+        norm = np.sqrt(mine + spare)
+        for base, table, coordinates in self.latent:
+            z = np.add.reduceat(table[flat], first, axis=0)
+            cos = (z @ coordinates.T) / norm[:, None]
+            for i, k in zip(*np.nonzero(cos >= self.limits[0])):
+                self._check(docs, starts, int(begins[i]), int(ends[i]), base + int(k), float(cos[i, k]), found)
 
     def _check(self, docs, starts, begin, end, k, cos, found):
         item = self.items[k][1]
@@ -211,8 +221,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     def run(batches):
         matchers = _matchers(models, (cosine, share, answer))
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                ids, texts = b.column(0).slice(at, 128).to_pylist(), b.column(1).slice(at, 128).to_pylist()
+            for at in range(0, b.num_rows, 512):
+                ids, texts = b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512).to_pylist()
                 rows = [(i, *hit) for m in matchers for i, hits in zip(ids, m.find(texts)) for hit in hits]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
 
