@@ -82,8 +82,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     near = f"concat(array({_KEY.format(plain='plain', word=_HOME)}, {_KEY.format(plain='1 - plain', word=_HOME)}), {second})"
     spread = x.select(F.col("fp").alias("v"), "part", F.explode(F.expr(near)).alias("anchor"))
     apart = F.col("u").bitwiseXOR(F.col("v"))
-    met_before = F.bit_count(apart.bitwiseAND(F.lit(0xFFFFFFFF))) <= 1  # then the pair meets in part 0
-    return home.join(spread, "anchor").where((F.col("u") < F.col("v")) & (F.bit_count(apart) <= distance) & ((F.col("part") == 0) | ~met_before)).select("u", "v")
+    low = F.bit_count(apart.bitwiseAND(F.lit(0xFFFFFFFF))) <= 1  # such a pair meets in part 0, any other in part 1; each counts there only
+    return home.join(spread, "anchor").where((F.col("u") < F.col("v")) & (F.bit_count(apart) <= distance) & ((F.col("part") == 0) == low)).select("u", "v")
 
 
 def components(edges: DataFrame) -> DataFrame:
