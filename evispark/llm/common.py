@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,16 +49,15 @@ def filter_rows(docs: DataFrame, make_predicate) -> DataFrame:
     ``make_predicate()`` runs once a Python worker task and returns ``texts -> list[bool]``.
     """
 
+    where = docs.columns.index("text")
+
     def run(batches):
         predicate = make_predicate()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keep = predicate(part.column("text").to_pylist())
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keep = predicate(part.column(where).to_pylist())
                 yield part.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
-
-
-def crc_of(doc_id) -> int | None:
-    return None if doc_id is None else zlib.crc32(str(doc_id).encode())
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots or the like don't matter
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
