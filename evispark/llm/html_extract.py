@@ -43,7 +43,7 @@ _EDGES = frozenset("article main section body html footer nav aside header".spli
 def _noisy(name: str, attributes: str) -> bool:
     if name in BOILER:
         return True
-    if not attributes or name in ("html", "body", "article", "main", "p") or name in HEADINGS or name in VOID:
+    if not attributes or name in ("html", "body", "article", "main") or name in HEADINGS or name in VOID:
         return False
     return any(_NOISE.search(v.strip("\"'")) for _, v in _ATTR.findall(attributes))
 
@@ -79,6 +79,12 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             if t[1] and not skip and t[1].lower() in ("textarea", "select", "iframe", "object"):
                 buffer.append(" ")
             continue
+        if skip == "p":  # a paragraph ends where the next block begins, too
+            if name not in BLOCK:
+                continue
+            skip = ""
+            if name == "p" and end:
+                continue
         if skip and depth < 0:  # an element without an end: it ends with what it cannot hold
             if name in _EDGES and (end or name in ("article", "main")):
                 skip = ""

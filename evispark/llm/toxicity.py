@@ -33,8 +33,8 @@ INSULTS = {"idiot": 4.0, "moron": 4.0, "stupid": 3.0, "scum": 4.0, "loser": 3.0,
 #: Phrases in which an entry is harmless.
 EXCEPTIONS = ("clown fish", "clownfish", "trash can", "trash bin", "trash folder", "idiot proof", "idiot-proof", "disgusting smell", "sore loser board", "shiitake")
 #: Letters of other scripts that look like Latin ones, and signs used as letters.
-FOLD = dict(zip("аеорсухіјѕԁһӏոցԛԝɡαεικνορτυχⅰⅼ０１３４５７", "aeopcyxijsdhlngqwgaeikvoptuxilоiеаst")) | {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "​": "", "‌": "", "‍": "", "­": ""}
-_FOLD = {ord(k): FOLD.get(v, v) for k, v in FOLD.items()}
+FOLD = dict(zip("аеорсухіјѕԁһӏոցԛԝɡαεικνορτυχⅰⅼ０１３４５７", "aeopcyxijsdhlngqwgaeikvoptuxiloieast")) | {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "​": "", "‌": "", "‍": "", "­": ""}
+_FOLD = {ord(k): v for k, v in FOLD.items()}
 _SIGNS = re.compile(r"[@$!](?![^\W\d_])|[$]{2,}|!{2,}")
 _WORD = re.compile(r"[^\W\d_]+")
 

@@ -363,6 +363,7 @@ def test_token_files_are_selective(docs, tmp_path):
         (None, ""), ("", ""), ("<p>x", ""), ("<html><body><article><h1>T&amp;x</h1><p>a  b<br>c</p></article><footer>f</footer></body></html>", "T&x a b c"),
         ("<body><nav>menu <nav>deep</nav> more</nav><article><script>var t='</p>';</script><p>one <b>two</b>three</p><div class='ad'>buy</div><ul><li>i<li>j</ul><aside>s</aside><form>f</form></article><div id=comments><p>me</p></div>", "one twothree i j"),
         ("<article><p>kept<p>too</article><footer>&copy; cut o", "kept too"),
+        ("<article><p class='notice'>no<p>yes</p><p class=ad>buy</p>so<p class='x'>on</p></article>", "yes so on"),
         ("<article><p title='a>b'>x &lt;y&gt; &#233;</p><!-- <p>no</p> --></article>", "x <y> é"),
     ],
 )
