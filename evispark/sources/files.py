@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import valid_name
 
@@ -14,9 +13,9 @@ from ..functions.text import valid_name
 MEDIA = (("pdf", "application/pdf", "25504446"), ("txt", "text/plain", ""))
 MAX_BYTES = 64 << 20
 
-MANIFEST = T.StructType.fromDDL("schema_version int, corpus_id string, document_count int, documents array<struct<doc_id string, family_id string, path string, sha256 string, language string, document_class string>>")
-QUESTIONS = T.StructType.fromDDL("case_id string, family_id string, anchor_doc_id string, scope struct<patient string, doc_ids array<string>>, turns array<struct<role string, text string>>, question_class string, _corrupt string")
-GOLD = T.StructType.fromDDL("case_id string, gold_status string, required_claims array<struct<claim_id string, text string>>, _corrupt string")
+MANIFEST = "schema_version int, corpus_id string, document_count int, documents array<struct<doc_id string, family_id string, path string, sha256 string, language string, document_class string>>, _corrupt string"
+QUESTIONS = "case_id string, family_id string, anchor_doc_id string, scope struct<patient string, doc_ids array<string>>, turns array<struct<role string, text string>>, question_class string, _corrupt string"
+GOLD = "case_id string, gold_status string, required_claims array<struct<claim_id string, text string>>, _corrupt string"
 
 
 def scan_originals(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
