@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch_dir
 
-END, ROWS_IN_FILE, CACHE = 2, 4000, 800_000
+END, ROWS_IN_FILE, CACHE, FILES_TO_BROADCAST = 2, 4000, 800_000, 100_000
 #: White space before a space, or the mark that units without a space in front of them get.
 _AMBIGUOUS = re.compile("\\s |\x01")
 
@@ -154,7 +154,10 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema("part int, doc_id long, local_start long, n_tokens long, ids array<int>").parquet(path)
     per_file = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     first = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(per_file.select("part", first.alias("first")), "part").select("doc_id", (F.col("first") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    firsts = per_file.select("part", first.alias("first"))
+    if per_file.count() <= FILES_TO_BROADCAST:  # a row for each file; beyond that many the join shuffles
+        firsts = F.broadcast(firsts)
+    return rows.join(firsts, "part").select("doc_id", (F.col("first") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def digest(tokens: DataFrame) -> DataFrame:
