@@ -6,7 +6,8 @@ beam search over the codebooks; its code and the norm of its reconstruction are
 code words make a lookup table; table sums over codes, divided by stored norms, score all vectors in blocks, and the best
 ``keep`` of each query are reranked by exact cosine in double precision.
 
-Queries and codes are packed into blocks by a hash of the id; each pair of blocks is one row of work, and pairs are spread over tasks.
+Queries and codes are packed into blocks by a hash of the id; each pair of blocks is one row of work, and the pairs of a block of
+queries meet in one task, which holds each query's best so far.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows with null vec_id or a
 dimension other than the most common one; rows that repeat a vec_id count once (the smallest vector); fewer candidates than asked for are all returned; ties go to
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 BOOKS, WORDS, BEAM, SAMPLE, KEEP, ROUNDS = 16, 256, 4, 10_000, 300, 8
-CODES_IN_BLOCK, QUERIES_IN_BLOCK = 8192, 256
+CODES_IN_BLOCK, QUERIES_IN_BLOCK, CODES_IN_GROUP = 8192, 128, 1 << 22
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -98,37 +99,55 @@ def encoded(vectors: DataFrame, codebooks: np.ndarray) -> DataFrame:
     return vectors.mapInArrow(run, "vec_id long, code binary, norm float")
 
 
+def _better(ids: np.ndarray, score: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``keep`` best of a query's ids by score, ties to the smaller id."""
+    if len(ids) > keep:
+        some = score >= np.partition(score, len(score) - keep)[len(score) - keep]  # all that tie with the last are looked at
+        ids, score = ids[some], score[some]
+    order = np.lexsort((ids, -score))[:keep]
+    return ids[order], score[order]
+
+
 def candidates(codes: DataFrame, queries: DataFrame, codebooks: np.ndarray, keep: int = KEEP) -> DataFrame:
-    """query_id, vec_id: the ``keep`` best by table scores of each query over all codes."""
+    """query_id, vec_id: the ``keep`` best by table scores of each query over all codes.
+
+    A task streams code blocks past a block of queries and holds only each query's best so far. Beyond ``CODES_IN_GROUP`` codes
+    the blocks are dealt to several groups, each with tasks of its own, whose results are merged.
+    """
     books = len(codebooks)
-    blocks = lambda df, size: max(1, -(-df.count() // size))
-    nc, nq = blocks(codes, CODES_IN_BLOCK), blocks(queries, QUERIES_IN_BLOCK)
+    n_codes = codes.count()
+    blocks = lambda n, size: max(1, -(-n // size))
+    nc, nq, ng = blocks(n_codes, CODES_IN_BLOCK), blocks(queries.count(), QUERIES_IN_BLOCK), blocks(n_codes, CODES_IN_GROUP)
     packed = codes.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(nc)).alias("cb")).agg(F.collect_list(F.struct("vec_id", "code", "norm")).alias("cs"))
     asked = queries.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(nq)).alias("qb")).agg(F.collect_list(F.struct("vec_id", "x")).alias("qs"))
-    work = packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).join(asked, "qb").repartition(max(nc * nq, 1), "cb", "qb").select("cs", "qs")
+    work = packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).join(asked, "qb").withColumn("g", F.col("cb") % ng)
+    work = work.repartition(nq * ng, "qb", "g").select("qb", "cs", "qs")
 
     def run(batches):
+        state: dict = {}
         for b in batches:
             for i in range(b.num_rows):
-                cs, qs = b.column(0)[i].values, b.column(1)[i].values
+                qb, cs = b.column(0)[i].as_py(), b.column(1)[i].values
+                if qb not in state:
+                    qs = b.column(2)[i].values
+                    q = _units(_matrix(qs.field("x"))).astype(np.float32)
+                    state[qb] = (qs.field("vec_id").to_numpy(zero_copy_only=False), np.einsum("qd,mkd->mkq", q, codebooks), [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(q))
+                qids, tables, best = state[qb]
                 ids = cs.field("vec_id").to_numpy(zero_copy_only=False)
-                order = np.argsort(ids, kind="stable")  # so that equal scores keep the smaller id
-                ids = ids[order]
-                code = np.frombuffer(b"".join(cs.field("code").to_pylist()), np.uint8).reshape(-1, books)[order]
-                norm = cs.field("norm").to_numpy(zero_copy_only=False)[order]
-                qids, q = qs.field("vec_id").to_numpy(zero_copy_only=False), _units(_matrix(qs.field("x"))).astype(np.float32)
-                tables = np.einsum("qd,mkd->mkq", q, codebooks)  # (books, words, queries)
+                code = np.frombuffer(b"".join(cs.field("code").to_pylist()), np.uint8).reshape(-1, books)
                 score = np.zeros((len(ids), len(qids)), np.float32)
                 for m in range(books):
                     score += tables[m][code[:, m]]
-                score = np.round(score / norm[:, None], 6).T
-                top = np.argsort(-score, axis=1, kind="stable")[:, : keep + 1]
-                found = np.take_along_axis(score, top, 1).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, top.shape[1])), pa.array(ids[top].ravel()), pa.array(found.astype(np.float64))], names=["query_id", "vec_id", "rough"])
+                score = np.round(score / cs.field("norm").to_numpy(zero_copy_only=False)[:, None], 6).T
+                for k, (old_ids, old) in enumerate(best):
+                    best[k] = _better(np.concatenate([old_ids, ids]), np.concatenate([old, score[k]]), keep + 1)
+        for qids, _, best in state.values():
+            sizes = [len(x) for x, _ in best]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, sizes)), pa.array(np.concatenate([x for x, _ in best])), pa.array(np.concatenate([s for _, s in best]).astype(np.float64))], names=["query_id", "vec_id", "rough"])
 
     rows = work.mapInArrow(run, "query_id long, vec_id long, rough double").where("query_id != vec_id")
-    best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id"))
-    return rows.withColumn("n", best).where(F.col("n") <= keep).select("query_id", "vec_id")
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id"))
+    return rows.withColumn("n", place).where(F.col("n") <= keep).select("query_id", "vec_id")
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, books: int = BOOKS, sample: int = SAMPLE, keep: int = KEEP) -> DataFrame:
