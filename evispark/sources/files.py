@@ -21,7 +21,8 @@ GOLD = "case_id string, gold_status string, required_claims array<struct<claim_i
 def scan_originals(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """path, size, sha256, media_type, text, reason: every file below a folder; ``reason`` says why one is rejected.
 
-    Type by suffix and first bytes; text must be valid UTF-8 (a byte-order mark is dropped), without NUL and not empty.
+    Type by suffix and first bytes; text must be valid UTF-8 (a byte-order mark is dropped), without NUL and not empty
+    (Spark's binary source leaves out files of no bytes itself).
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", "([^/]*)$", 1)
