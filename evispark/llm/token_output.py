@@ -15,7 +15,7 @@ ordered by a hash of their text; an empty table gives an empty table; extra colu
 
 from __future__ import annotations
 
-import re
+import os
 import uuid
 import zlib
 
@@ -30,13 +30,14 @@ from .common import scratch_dir
 
 END, ROWS_IN_FILE, CACHE, FILES_TO_BROADCAST = 2, 4000, 800_000, 100_000
 #: White space before a space, or the mark that units without a space in front of them get.
-_AMBIGUOUS = re.compile("\\s |\x01")
+_AMBIGUOUS = "[\\s\\pZ\\x0b\\x1c-\\x1f\\x{85}] |\x01"
 
 
 class UnitEncoder:
     """Token ids of many texts, by way of their distinct units."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,60 +57,66 @@ class UnitEncoder:
 
     def _learn(self, units: list[str]) -> None:
         spaced = [u[1:] if u[:1] == "\x01" else " " + u for u in units]
+        first, counts, starts, pools, at = len(self.number), np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [self.pool], len(self.pool)
         alone = [i for i, u in enumerate(units) if not u or u[-1].isspace() or u[0] == "\x01"]
         apart = set(alone)
         joined = [i for i in range(len(units)) if i not in apart]
-        ids: list = [None] * len(units)
-        for at in range(0, len(joined), 512):
-            part = joined[at : at + 512]
-            got = self.whole(["".join(spaced[i] for i in part)])[0]
+        parts = [joined[k : k + 512] for k in range(0, len(joined), 512)]
+        for part, got in zip(parts, self.whole(["".join(spaced[i] for i in part) for part in parts]) if parts else []):
             ends = np.cumsum(self.bytes_of[got])
             want = np.cumsum([len(spaced[i].encode()) for i in part])
             cut = np.searchsorted(ends, want) + 1
-            if len(ends) and ends[-1] == want[-1] and (ends[cut - 1] == want).all():
-                for i, piece in zip(part, np.split(got, cut[:-1])):
-                    ids[i] = piece
+            if len(ends) and ends[-1] == want[-1] and (ends[cut - 1] == want).all():  # tokens end where units end
+                pools.append(got)
+                counts[part] = np.diff(cut, prepend=0)
+                starts[part] = at + cut - counts[part]
+                at += len(got)
             else:
                 alone += part
         for i, got in zip(alone, self.whole([spaced[i] for i in alone]) if alone else []):
-            ids[i] = got
-        first = len(self.number)
+            pools.append(got)
+            counts[i], starts[i] = len(got), at
+            at += len(got)
         self.number.update((u, first + i) for i, u in enumerate(units))
-        counts = np.array([len(x) for x in ids], np.int64)
-        self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.pool = np.concatenate([self.pool, *ids])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after another, number of each text's ids)."""
-        plain = np.array([not _AMBIGUOUS.search(t) for t in texts], bool)
-        out: list = [None] * len(texts)
-        odd = np.nonzero(~plain)[0]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]) if len(odd) else []):
-            out[i] = ids
-        rows = np.nonzero(plain)[0]
-        if len(rows):
-            marked = pc.replace_substring_regex(pa.array([texts[i] for i in rows], pa.large_string()), r"([\pL\pN])([.,])", "\\1 \x01\\2")
-            marked = pc.replace_substring_regex(marked, r"([\pL\pN\pP\pS])\n([\pL\pN\pP\pS])", "\\1 \x01\n \x01\\2")
-            split = pc.split_pattern(marked, " ")
-            offsets = split.offsets.to_numpy()
-            coded = pc.dictionary_encode(split.flatten())
-            units = coded.dictionary.to_pylist()
-            if len(self.number) + len(units) > CACHE:
-                self._clear()
-            number = self.number
-            if missing := [u for u in units if u not in number]:
-                self._learn(missing)
-            unit = np.fromiter(map(number.__getitem__, units), np.int64, len(units))[coded.indices.to_numpy()]
-            # a text's first unit has no space in front of it
-            heads = self.whole(pc.list_element(split, 0).to_pylist())
-            counts = self.counts[unit]
-            counts[offsets[:-1]] = 0
-            upto = np.concatenate([[0], np.cumsum(counts)])
-            flat = self.pool[np.repeat(self.starts[unit] - upto[:-1], counts) + np.arange(upto[-1])]
-            for r, i in enumerate(rows):
-                out[i] = np.concatenate([heads[r], flat[upto[offsets[r]] : upto[offsets[r + 1]]]])
-        return np.concatenate(out) if out else np.zeros(0, np.int32), np.array([len(x) for x in out], np.int64)
+        self.starts, self.counts, self.pool = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts]), np.concatenate(pools)
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of each text's ids) of a list or Arrow array of texts."""
+        array = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(array, _AMBIGUOUS).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            return self._units(array)
+        out: list = [None] * len(array)
+        for rows, ids, n in ((np.nonzero(~odd)[0], *self._units(array.filter(pa.array(~odd)))), (np.nonzero(odd)[0], *self._whole(array.filter(pa.array(odd)).to_pylist()))):
+            for i, piece in zip(rows, np.split(ids, np.cumsum(n)[:-1])):
+                out[i] = piece
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        out = self.whole(texts)
+        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+
+    def _units(self, array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(array):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        marked = pc.replace_substring_regex(array, r"([\pL\pN])([.,])", "\\1 \x01\\2")
+        marked = pc.replace_substring_regex(marked, r"([\pL\pN\pP\pS])\n([\pL\pN\pP\pS])", "\\1 \x01\n \x01\\2")
+        split = pc.split_pattern(marked, " ")
+        offsets = split.offsets.to_numpy()
+        coded = pc.dictionary_encode(split.flatten())
+        units = coded.dictionary.to_pylist()
+        heads = ["\x01" + u for u in pc.list_element(split, 0).to_pylist()]  # a text's first unit has no space in front of it
+        if len(self.number) + len(units) + len(heads) > CACHE:
+            self._clear()
+        number = self.number
+        if missing := [u for u in dict.fromkeys([*units, *heads]) if u not in number]:
+            self._learn(missing)
+        unit = np.fromiter(map(number.__getitem__, units), np.int64, len(units))[coded.indices.to_numpy()]
+        unit[offsets[:-1]] = np.fromiter(map(number.__getitem__, heads), np.int64, len(heads))
+        counts = self.counts[unit]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        flat = self.pool[np.repeat(self.starts[unit] - upto[:-1], counts) + np.arange(upto[-1])]
+        return flat, np.diff(upto[offsets])
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -130,7 +137,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end: int = END,
         part, before, tk = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         for b in batches:
             for at in range(0, b.num_rows, 512):
-                ids, n = tk.encode([t or "" for t in b.column(1).slice(at, 512).to_pylist()])
+                ids, n = tk.encode(b.column(1).slice(at, 512))
                 stops = np.cumsum(n)
                 ids = np.insert(ids, stops, end)
                 n = n + 1
