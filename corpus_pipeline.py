@@ -5,32 +5,37 @@ from __future__ import annotations
 import uuid
 
 from evispark.llm import decontam, language_id, mixing, simhash, token_output
-from evispark.llm.common import scratch_dir, table
+from evispark.llm.common import lean, scratch_dir, table
 from evispark.llm.queries import tokenizer_path
 
 
 def language(spark, docs, sf_dir):
     """Language ID: documents without letters (``und``) go."""
+    lean(spark)
     return language_id.accepted(docs)
 
 
 def near_duplicates(spark, docs, sf_dir):
     """SimHash near-dedup: of each group the document with the smallest id stays."""
+    lean(spark)
     return simhash.deduplicated(docs)
 
 
 def decontaminate(spark, docs, sf_dir):
     """Benchmark decontamination: documents that hold a benchmark item go."""
+    lean(spark)
     return decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark, docs, sf_dir):
     """Mixing sources to target weights: documents stand as often as the mix takes them."""
+    lean(spark)
     return mixing.mixed_documents(docs)
 
 
 def token_ids(spark, docs, sf_dir):
     """Token-ID output: doc_id, start, n_tokens, ids_crc32 read back from the token files."""
+    lean(spark)
     return token_output.digest(token_output.tokenized(docs, tokenizer_path()))
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,31 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Texts are long: Arrow batches of so many rows, and pieces of a batch of so many rows and bytes, keep Python workers small.
+BATCH_ROWS, PIECE_ROWS, PIECE_BYTES = 1000, 512, 2 << 20
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """The session, set to small Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
+def pieces(batch: pa.RecordBatch, column: int):
+    """A batch in slices of at most PIECE_ROWS rows and about PIECE_BYTES bytes of a text column (one row at least)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = total = 0
+    for i, n in enumerate(sizes):
+        if i > start and (i - start >= PIECE_ROWS or total + n > PIECE_BYTES):
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += n
+    if len(sizes) > start:
+        yield batch.slice(start)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,8 +79,7 @@ def filter_rows(docs: DataFrame, make_predicate) -> DataFrame:
     def run(batches):
         predicate = make_predicate()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in pieces(batch, where):
                 keep = predicate(part.column(where).to_pylist())
                 yield part.filter(pa.array(keep, pa.bool_()))
 

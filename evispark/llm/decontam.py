@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import filter_rows, pieces
+
 COSINE, LCS, ANSWER = 0.45, 0.6, 0.5
 #: Weights are log((documents + SMOOTH) / (1 + frequency)), CAP at most: a passage that many documents share keeps its place beside rare words.
 SMOOTH, CAP = 1000, 6.0
@@ -221,8 +223,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
     def run(batches):
         matchers = _matchers(models, (cosine, share, answer))
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                ids, texts = b.column(0).slice(at, 512).to_pylist(), b.column(1).slice(at, 512).to_pylist()
+            for part in pieces(b, 1):
+                ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 rows = [(i, *hit) for m in matchers for i, hits in zip(ids, m.find(texts)) for hit in hits]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
 
@@ -231,8 +233,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE,
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share: float = LCS, answer: float = ANSWER, rank: int = RANK) -> DataFrame:
     """Documents in which no benchmark item was found, columns kept."""
-    from .common import filter_rows
-
     models = _blocks(docs, benchmark, rank)
 
     def predicate():

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch_dir
+from .common import pieces, scratch_dir
 
 END, ROWS_IN_FILE, CACHE, FILES_TO_BROADCAST = 2, 4000, 800_000, 100_000
 #: White space before a space, or the mark that units without a space in front of them get.
@@ -134,16 +134,16 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end: int = END,
     def run(batches):
         from pyspark import TaskContext
 
-        part, before, tk = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
+        number, before, tk = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                ids, n = tk.encode(b.column(1).slice(at, 512))
+            for part in pieces(b, 1):
+                ids, n = tk.encode(part.column(1))
                 stops = np.cumsum(n)
                 ids = np.insert(ids, stops, end)
                 n = n + 1
                 offsets = np.concatenate([[0], np.cumsum(n)])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(n), part, np.int32)), b.column(0).slice(at, 512), pa.array(before + offsets[:-1]), pa.array(n),
+                    pa.array(np.full(len(n), number, np.int32)), part.column(0), pa.array(before + offsets[:-1]), pa.array(n),
                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())),
                 ], names=["part", "doc_id", "local_start", "n_tokens", "ids"])
                 before += int(offsets[-1])
