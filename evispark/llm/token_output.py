@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces, scratch_dir
 
-END, ROWS_IN_FILE, CACHE, FILES_TO_BROADCAST = 2, 4000, 500_000, 100_000
+END, ROWS_IN_FILE, CACHE, FILES_TO_BROADCAST = 2, 4000, 300_000, 100_000
 #: White space before a space, or the mark that units without a space in front of them get.
 _AMBIGUOUS = "[\\s\\pZ\\x0b\\x1c-\\x1f\\x{85}] |\x01"
 
