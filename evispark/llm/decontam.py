@@ -3,12 +3,13 @@
 1. Statistics: document frequencies of the benchmark's words over all documents.
 2. Factorisation: the benchmark's passages as TF-IDF rows, and a randomised SVD of them as Spark jobs (a random start, power
    rounds G <- A'(A G) summed over partitions, then a small QR): ``rank`` latent directions for each ``items_in_block`` passages.
-3. Retrieval: every document is read in windows of a power of two of words, from the shortest item's length to the longest's, each
-   half over the next. A window is folded in (projected) and its cosine to each item taken; all pairs at the threshold or above
-   are candidates. What benchmark words hold of a window's energy bounds its cosines from above (their square by its share, and,
-   where the factorisation is lossless, they themselves by it over the norms), so windows below the threshold by a bound are
-   skipped without loss. Term counts are taken as 0 or 1; a word outside the
-   benchmark has the weight of a word never seen.
+3. Retrieval: every document is read in windows of its own of a power of two of words, for each item one of at least twice its
+   length, each half over the next, so that a passage as long as the item lies whole in a window. A window is folded in
+   (projected) and its product with each item taken. Words that make up the LCS share of an item weigh so much at least (the
+   item's lightest words that suffice), so a pair whose product is below that, less what the factorisation may be off by, cannot
+   pass the checks in the window; all others, and all at the cosine threshold, are candidates. Windows are skipped before that
+   where even their words that items call for weigh too little. Term counts are taken as 0 or 1; a word outside the benchmark
+   has the weight of a word never seen, which counts in reported cosines and excludes no candidate.
 4. Checks on all candidates: longest common subsequence of the item and the text around the window (share of the item's words)
    and of the item's answer, its last third. Paraphrases pass; chance overlaps do not.
 
@@ -23,6 +24,7 @@ empty tables give an empty table; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from itertools import chain, repeat
 
 import numpy as np
@@ -36,6 +38,8 @@ COSINE, LCS, ANSWER = 0.45, 0.6, 0.5
 #: Weights are log((documents + SMOOTH) / (1 + frequency)), CAP at most: a passage that many documents share keeps its place beside rare words.
 SMOOTH, CAP = 1000, 6.0
 RANK, ITEMS_IN_BLOCK, ITEMS_IN_PASS, POWER = 256, 256, 2048, 2
+#: The share of an item's places whose rarest words tell which windows are looked at; any share above 1 - LCS skips without loss.
+RARE = 0.7
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -126,18 +130,31 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, rank: int) -> list[dict]:
             passages = spark.createDataFrame([(t,) for *_, t in block], "text string").repartition(4)
             words, v = latent_directions(passages, own, rank)
             place = {w: i for i, w in enumerate(words)}
-            coordinates, norms = [], []
+            coordinates, norms, off = [], [], []
             for _, ws, _ in block:
                 i = np.unique([place[w] for w in ws])
                 x = np.array([own[words[j]] for j in i])
                 norms.append(float(np.linalg.norm(x)))
                 coordinates.append((x @ v[i]) / norms[-1])
-            # with as many directions as passages the factorisation is lossless, and a cosine needs shared words
-            latent.append((k, words, v, np.array(coordinates, np.float32), min(norms) if v.shape[1] >= min(len(block), len(words)) else 0.0))
+                back = v @ (x @ v[i]).astype(np.float32)
+                back[i] -= x
+                off.append(float(np.linalg.norm(back)))  # what a product with this item may be off by, for a window of length 1
+            latent.append((k, words, v, np.array(coordinates, np.float32), np.array(norms), np.array(off)))
         out.append({"items": [(i, ws) for i, ws, _ in part], "weights": weights, "latent": latent, "other": idf(b"")})
     return out
 
 
+def least_weight(counts: list[int], squares: list[float], need: float) -> float:
+    """The least that distinct words standing at ``need`` places of an item weigh together (words may be taken in part: a lower bound)."""
+    total = 0.0
+    for c, q in sorted(zip(counts, squares), key=lambda x: x[1] / x[0]):
+        if need <= 0:
+            break
+        total += q * min(1.0, need / c)
+        need -= c
+    return total if need <= 0 else math.inf
+
+
 class Matcher:
     """Finds the items of a pass in documents."""
 
@@ -148,15 +165,33 @@ class Matcher:
         self.weight = np.array([*model["weights"].values(), model["other"]], np.float32)  # the last is for any other word
         self.other = len(vocabulary)
         self.square = self.weight.astype(np.float64) ** 2
+        self.width = np.array([1 << max(4, math.ceil(math.log2(2 * len(ws)))) for _, ws in self.items])
         self.latent = []
-        self.least = min(least for *_, least in model["latent"])
-        for first, words, v, coordinates, _ in model["latent"]:
+        for first, words, v, coordinates, norms, off in model["latent"]:
             table = np.zeros((self.other + 1, v.shape[1]), np.float32)
             table[[self.number[w] for w in words]] = v * np.array([model["weights"][w] for w in words], np.float32)[:, None]
-            self.latent.append((first, table, coordinates))
-        lengths = [len(ws) for _, ws in self.items]
-        first = max(8, 1 << math.ceil(math.log2(min(lengths))))
-        self.widths = [first << i for i in range(max(1, math.ceil(math.log2(max(lengths) / first))))]  # each item has one of half its length or more
+            # folding in and the products with items are both linear: for the items of each width one table does both
+            for width in np.unique(self.width[first : first + len(norms)]):
+                own = np.nonzero(self.width[first : first + len(norms)] == width)[0]
+                self.latent.append((width, first + own, table @ coordinates[own].T, norms[own], off[own]))
+        self.floor, self.called = np.zeros(len(self.items)), {}
+        rare_floor: dict = {}
+        for k, (_, ws) in enumerate(self.items):
+            need = math.ceil(share * len(ws) - 1e-9)
+            count = Counter(self.number[w] for w in ws)
+            self.floor[k] = least_weight(list(count.values()), [self.square[w] for w in count], need)
+            # rarest words at RARE of the item's places: what the LCS lacks without them, they must bring
+            rare, places = [], 0
+            for w in sorted(count, key=lambda w: (-self.square[w], w)):
+                if places >= RARE * len(ws):
+                    break
+                rare.append(w)
+                places += count[w]
+            width = int(self.width[k])
+            brought = least_weight([count[w] for w in rare], [self.square[w] for w in rare], need - (len(ws) - places))
+            self.called.setdefault(width, np.zeros(self.other + 1, bool))[rare] = True
+            rare_floor[width] = min(rare_floor.get(width, math.inf), brought)
+        self.rare_floor = rare_floor
 
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text its (item_id, cosine, lcs, answer), best for each item."""
@@ -168,20 +203,21 @@ class Matcher:
             ids = np.fromiter(map(self.number.get, chain.from_iterable(docs), repeat(self.other)), np.int32, n)
             starts = np.concatenate([[0], np.cumsum(lengths)])
             square = self.square[ids]
-            known = np.concatenate([[0], np.cumsum(np.where(ids == self.other, 0, square))])
             whole = np.concatenate([[0], np.cumsum(square)])
-            for width in self.widths:
-                begins = np.arange(0, n, width // 2)
-                ends = np.minimum(begins + width, n)
-                mine, energy = known[ends] - known[begins], whole[ends] - whole[begins]
-                # repeats count once in a window's vector, so its known energy is this at most; a product with an item is that at most
-                need = np.maximum(self.limits[0] ** 2 * energy, self.limits[0] * np.sqrt(energy) * self.least) * (1 - 1e-6)
-                for at in np.array_split(np.nonzero(mine >= need)[0], max(1, len(begins) // 4096)):
-                    if len(at):
-                        self._search(docs, ids, starts, begins[at], ends[at], width, found)
+            for width, called in self.called.items():
+                step = width // 2
+                windows = np.maximum(1, -(-(lengths - width) // step) + 1) * (lengths > 0)
+                doc = np.repeat(np.arange(len(docs)), windows)
+                begins = starts[doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows))
+                ends = np.minimum(begins + width, starts[doc + 1])
+                asked = np.concatenate([[0], np.cumsum(np.where(called[ids], square, 0))])
+                # repeats count once in a window's vector, so what it holds of the words called for is this at most
+                at = np.nonzero(asked[ends] - asked[begins] >= self.rare_floor[width] * (1 - 1e-6))[0]
+                for part in np.array_split(at, -(-len(at) * width // (1 << 17))) if len(at) else []:
+                    self._search(docs, ids, starts, doc[part], begins[part], ends[part], width, found)
         return [[(self.items[k][0], *v) for k, v in sorted(f.items())] for f in found]
 
-    def _search(self, docs, ids, starts, begins, ends, width, found):
+    def _search(self, docs, ids, starts, doc, begins, ends, width, found):
         places = begins[:, None] + np.arange(width)
         rows = np.where(places < ends[:, None], ids[np.minimum(places, len(ids) - 1)], -1)
         spare = (rows == self.other).sum(axis=1) * self.square[-1]  # other words are taken as distinct
@@ -192,23 +228,27 @@ class Matcher:
         flat, first = rows[fresh], np.cumsum(counts) - counts
         mine = np.add.reduceat(self.square[flat], first)
         norm = np.sqrt(mine + spare)
-        for base, table, coordinates in self.latent:
-            z = np.add.reduceat(table[flat], first, axis=0)
-            cos = (z @ coordinates.T) / norm[:, None]
-            for i, k in zip(*np.nonzero(cos >= self.limits[0])):
-                self._check(docs, starts, int(begins[i]), int(ends[i]), base + int(k), float(cos[i, k]), found)
-
-    def _check(self, docs, starts, begin, end, k, cos, found):
+        for wide, own, table, norms, off in self.latent:
+            if wide != width:
+                continue
+            product = np.add.reduceat(table[flat], first, axis=0)
+            cos = product / norm[:, None]
+            # the product that the LCS share takes, less what the factorisation may be off by
+            least = self.floor[own] * (1 - 1e-4) - np.sqrt(mine)[:, None] * off
+            for i, j in zip(*np.nonzero((cos >= self.limits[0]) | (product * norms >= least))):
+                self._check(docs, starts, int(doc[i]), int(begins[i]), int(ends[i]), int(own[j]), float(cos[i, j]), found)
+
+    def _check(self, docs, starts, d, begin, end, k, cos, found):
         item = self.items[k][1]
         m = len(item)
-        d0, d1 = np.searchsorted(starts, [begin, end - 1], side="right") - 1
-        for d in range(d0, d1 + 1):  # a window may reach over the ends of short documents
-            words = docs[d][max(0, begin - m - int(starts[d])) : max(0, end + m - int(starts[d]))]
-            share = lcs(item, words) / m
-            tail = item[-max(1, -(-m // 3)) :]
-            answer = lcs(tail, words) / len(tail)
-            if share >= self.limits[1] and answer >= self.limits[2]:
-                found[d][k] = max(found[d].get(k, (0.0, 0.0, 0.0)), (round(cos, 6), round(share, 6), round(answer, 6)), key=lambda v: (v[1], v[0]))
+        words = docs[d][max(0, begin - m - int(starts[d])) : end + m - int(starts[d])]
+        share = lcs(item, words) / m
+        if share < self.limits[1]:
+            return
+        tail = item[-max(1, -(-m // 3)) :]
+        answer = lcs(tail, words) / len(tail)
+        if answer >= self.limits[2]:
+            found[d][k] = max(found[d].get(k, (0.0, 0.0, 0.0)), (round(cos, 6), round(share, 6), round(answer, 6)), key=lambda v: (v[1], v[0]))
 
 
 def _matchers(models: list[dict], limits: tuple) -> list[Matcher]:

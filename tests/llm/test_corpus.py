@@ -308,6 +308,44 @@ def test_decontamination(spark, docs):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0 and decontam.contaminated(df.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("part", [0.35, 0.39])
+def test_far_paraphrases_of_the_longest_items(spark, docs, part):
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    items = sorted(((r["item_id"], [w.decode() for w in decontam.words_of(r["text"])]) for r in bench.collect()), key=lambda x: -len(x[1]))[:8]
+    filler = docs.where("lang = 'en' AND n_chars > 3000").first()["text"]
+    rows = []
+    for i, ws in items:
+        n = int(part * len(ws))
+        new = {int((j + 0.5) * len(ws) / n) for j in range(n)}  # evenly spread
+        assert len(ws) - len(new) >= 0.6 * len(ws)
+        rows.append((10**6 + i, filler[:1500] + " " + " ".join(f"anders{j}" if j in new else w for j, w in enumerate(ws)) + " " + filler[1500:], "en", "a"))
+    df = docs.select("doc_id", "text").unionByName(frame(spark, rows).select("doc_id", "text"))
+    pairs = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, bench).collect()}
+    assert {(10**6 + i, i) for i, _ in items} <= pairs
+
+
+def test_no_pair_that_passes_in_a_window_is_skipped():
+    rng = random.Random(8)
+    vocabulary = [b"w%d" % i for i in range(60)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(rng.randrange(15, 60))]) for i in range(12)]
+    weights = {w: 1 + 5 * rng.random() for _, ws in items for w in ws}
+    words = sorted(weights)
+    x = np.array([[weights[w] * (w in ws) for w in words] for _, ws in items])
+    for rank in (12, 5):  # all directions, and fewer than there are passages
+        v = np.linalg.svd(x, full_matrices=False)[2][:rank].T.astype(np.float32)
+        norms, off = np.linalg.norm(x, axis=1), np.linalg.norm(x @ v @ v.T - x, axis=1)
+        m = decontam.Matcher({"items": items, "weights": weights, "other": 6.0, "latent": [(0, words, v, (x @ v / norms[:, None]).astype(np.float32), norms, off)]}, 0.99, 0.6, 0.5)
+        for _ in range(40):
+            _, ws = items[rng.randrange(12)]
+            doc = [b"o%d" % i for i in range(rng.randrange(80))] + [w if rng.random() < 0.64 else rng.choice(vocabulary) for w in ws] + [b"p%d" % i for i in range(rng.randrange(80))]
+            got = {h[0] for h in m.find([b" ".join(doc).decode()])[0]}
+            for i, item in items:
+                tail = item[-max(1, -(-len(item) // 3)) :]
+                parts = [doc[a : a + len(item)] for a in range(len(doc))]
+                if any(decontam.lcs(item, p) >= 0.6 * len(item) and decontam.lcs(tail, p) >= 0.5 * len(tail) for p in parts):
+                    assert i in got
+
+
 # --- token IDs ---
 
 
