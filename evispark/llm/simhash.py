@@ -104,13 +104,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, th, fp, component_id for each row."""
+    """doc_id, th, fp, root (the least fingerprint of its group), component_id for each row."""
     rows = saved(fingerprints(docs), "fingerprints")
     fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("lo")), "distinct")
     roots = components(links(fps.select("fp")))
     labelled = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "lo", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("lo").alias("component_id"))
-    per_fp = labelled.join(least, "root").select("fp", "component_id")
+    per_fp = labelled.join(least, "root").select("fp", "root", "component_id")
     return rows.join(per_fp, "fp")
 
 
@@ -120,12 +120,12 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest id (of rows with that id, the smallest text hash), columns kept."""
+    """One document of each group, the one with the smallest id (null if it has no other; of rows with that id, the smallest text hash), columns kept."""
     g = grouped(docs.select("doc_id", "text"))
     first = g.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # rows of one group that share the smallest id: keep the smallest hash, and note whether it repeats
-    keep = first.groupBy("doc_id", "component_id", "fp", "th").agg(F.count("*").alias("n"))
-    keep = keep.groupBy("doc_id", "component_id").agg(F.min(F.struct("th", "n")).alias("k")).select(F.struct("doc_id", F.col("k.th").alias("th"), F.col("k.n").alias("n")).alias("__keep"))
+    keep = first.groupBy("root", "doc_id", "th").agg(F.count("*").alias("n"))
+    keep = keep.groupBy("root").agg(F.min(F.struct("th", "n", "doc_id")).alias("k")).select(F.struct("k.doc_id", "k.th", "k.n").alias("__keep"))
     keep = saved(keep, "kept")
     rows = docs.select(F.struct("*").alias("__row"))
     r, k = F.col("__row"), F.col("__keep")

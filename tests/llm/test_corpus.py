@@ -190,6 +190,14 @@ def test_deduplicated_keeps_one_of_each_group(odd, docs):
         assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(c) for c in {c for _, c in groups})
 
 
+def test_deduplicated_keeps_unrelated_groups_apart(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(10**6)) for _ in range(40)) for _ in range(6)]
+    rows = [(None, t, "en", "a") for t in texts[:4]] + [(None, texts[0], "en", "a")] + [(7, t, "en", "a") for t in texts[4:]] + [(7, texts[4], "en", "a"), (9, texts[5], "en", "a"), (8, texts[3], "en", "a")]
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.deduplicated(frame(spark, rows)).collect())
+    assert got == Counter([(None, t) for t in texts[:3]] + [(8, texts[3])] + [(7, t) for t in texts[4:]])
+
+
 # --- language ID ---
 
 
