@@ -27,6 +27,7 @@ from .common import saved
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
 BLOCK, SHARD, ROUNDS, ROWS = 64, 4096, 10, 2000
 WORD = r"[^\x20\x09-\x0D]+"
+WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -146,14 +147,23 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, weights=WEIGHTS
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix, with their columns: a document stands as often as the mix takes it (taken / size, rounded by
-    a draw of its own that keeps the mean), so that some stand twice and some not at all; those of size 0 have nothing to take and go."""
+    """The documents of the mix, with their columns: a document stands whole as often as the words taken of it fill it, and once more
+    with its first words for the rest, so that each source has the very number of words that the mix takes of it. Columns other
+    than text are the whole document's; documents of which nothing is taken go."""
     m = mix(docs.select("doc_id", "source", "text"), **options)
-    u = F.pmod(F.xxhash64(F.col("h"), F.lit(99)), F.lit(1 << 20)) / float(1 << 20)
-    m = m.where("size > 0").groupBy("source", "doc_id", "h").agg(F.max(F.floor(F.col("taken") / F.col("size") + u)).cast("int").alias("n"))
-    m = m.where("n > 0").select(F.struct("source", "doc_id", "h", "n").alias("__mix"))
+    m = m.where("size > 0").groupBy("source", "doc_id", "h").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("copies"))
+    m = m.where("taken > 0").select(F.struct("source", "doc_id", "h", "size", "taken", "copies").alias("__mix"))
     rows = docs.select(F.struct("*").alias("__row"))
     r, k = F.col("__row"), F.col("__mix")
     on = r["source"].eqNullSafe(k["source"]) & r["doc_id"].eqNullSafe(k["doc_id"]) & (F.xxhash64(r["doc_id"], r["text"]) == k["h"])
-    kept = rows.join(m, on).withColumn("__times", F.explode(F.sequence(F.lit(1), k["n"])))
-    return kept.select("__row.*")
+    kept = rows.join(m, on)
+    single = kept.where(k["copies"] == 1).select("__row", k["size"].alias("__size"), k["taken"].alias("__taken"))
+    # rows that are the same in id, source and text share what is taken of them
+    place = F.row_number().over(W.partitionBy(k["source"], k["doc_id"], k["h"]).orderBy(F.lit(0)))
+    again = kept.where(k["copies"] > 1).withColumn("__place", place)
+    again = again.select("__row", k["size"].alias("__size"), (F.floor(k["taken"] / k["copies"]) + F.when(F.col("__place") <= k["taken"] % k["copies"], 1).otherwise(0)).alias("__taken"))
+    whole, rest = F.floor(F.col("__taken") / F.col("__size")), F.col("__taken") % F.col("__size")
+    out = single.unionByName(again).where("__taken > 0").withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__taken") / F.col("__size")))))
+    first_words = F.array_join(F.slice(F.split(r["text"], WORD_END), F.lit(1), rest.cast("int")), "")
+    text = F.when(F.col("__time") <= whole, r["text"]).otherwise(first_words)
+    return out.select(r.withField("text", text).alias("__row")).select("__row.*")

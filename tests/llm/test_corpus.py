@@ -125,6 +125,23 @@ def test_mixed_slots_and_documents(docs):
     assert m.columns == docs.columns and m.count() > 0
 
 
+def test_mixed_documents_meet_each_source_s_words(spark):
+    long = lambda n, s: " \n".join(f"{s}{i}" for i in range(n)) + " "
+    rows = [(1, long(1000, "a"), "en", "a"), (2, long(5000, "b"), "en", "b")] + [(i, long(7, "b"), "en", "b") for i in range(3, 40)] + [(i, long(300, "c"), "en", None) for i in range(40, 60)] + [(60, long(500, "c"), "en", None)] * 3 + [(None, long(90, "c"), "en", "b"), (61, None, "en", "a")]
+    df = frame(spark, rows)
+    taken, out, target = Counter(), Counter(), {}
+    for r in mixing.mix(df, rows=40).collect():
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    whole = {(i, s): t for i, t, _, s in rows}
+    m = mixing.mixed_documents(df, rows=40)
+    assert m.columns == df.columns
+    for r in m.collect():
+        assert r["text"] and whole[r["doc_id"], r["source"]].startswith(r["text"])
+        out[r["source"]] += len(re.findall(mixing.WORD, r["text"]))
+    assert out == +taken and all(abs(out[s] - t) <= 0.05 * t + mixing.BLOCK for s, t in target.items())
+
+
 # --- SimHash ---
 
 
