@@ -441,6 +441,34 @@ def test_pages_without_an_article():
     assert got.startswith("Title word") and got.count("word") == 80 and "short end." in got and "Home" not in got and "Legal" not in got
 
 
+def test_short_lines_without_an_article():
+    verse = [f"a short line of verse {i}" for i in range(12)]
+    assert html_extract.main_text("<body>" + "".join(f"<p>{v}</p>" for v in verse)) == " ".join(verse)
+    long = "word " * 40 + "end."
+    page = f"<div>Home</div><div>Shop</div><p>A first line, short.</p><p>{long}</p><ul>" + "".join(f"<li>item {i}</li>" for i in range(4)) + f"</ul><p>{long}</p><p>The closing line.</p><div>Legal</div>"
+    got = html_extract.main_text(page)
+    assert got.startswith("A first line, short. word") and got.endswith("end. The closing line.") and "item 0 item 1 item 2 item 3" in got
+
+
+def test_wrappers_are_not_boilerplate():
+    long = "word " * 40 + "end."
+    assert html_extract.main_text(f"<div class='site has-sidebar'><div class=sidebar>links</div><p>{long}</p></div><div>x</div>") == long
+    assert html_extract.main_text(f"<div class='menu-open'><article><p>a b</p></article><div id=comments><p>{long}</p></div></div>") == "a b"
+
+
+def test_pages_with_article_tags_taken_off():
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables")
+    import pyarrow.parquet as pq
+
+    lost = more = total = 0
+    for page in pq.read_table(DATA.replace("0.001", "0.01") + "/pages.parquet")["html"].to_pylist():
+        want = Counter(html_extract.main_text(page).split())
+        got = Counter(html_extract.main_text(re.sub(r"</?(article|main)\b[^>]*>", "", page or "")).split())
+        lost, more, total = lost + (want - got).total(), more + (got - want).total(), total + want.total()
+    assert lost <= 0.002 * total and more <= 0.002 * total
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a</p></article>", "x"), (1, "u", "<article><p>a</p></article>", "x"), (None, None, None, "x")], "page_id long, url string, html string, text string")
     assert Counter(map(tuple, html_extract.extract(pages).collect())) == Counter([(1, "u", "a", 1)] * 2 + [(None, None, "", 0)])
