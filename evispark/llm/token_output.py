@@ -6,8 +6,10 @@ page indexes are written, so that a reader of one id range or of the metadata co
 
 Texts are encoded by the given tokenizer. It is asked once for each distinct unit, a stretch between spaces with the space in
 front of it: a byte-level BPE's pre-tokenizer always starts a new piece at a space that follows a non-space, so the ids of a
-text are those of its units. A piece also ends between a letter or digit and a full stop or comma, and around a line break
-between visible characters; units end there too, which leaves fewer distinct ones. Texts in which white space stands before a space are encoded whole.
+text are those of its units. A piece also ends between a letter or digit and any other visible sign but an apostrophe, and around a line break
+between visible characters; units end there too, which leaves fewer distinct ones. Texts in which white space stands before a
+space, or which hold a special token's string, are encoded whole, as are all texts where the tokenizer is of another kind.
+Special tokens' strings give their ids, as the tokenizers library does by itself; with ``special_as_text`` they are ordinary text.
 
 Defined cases: null text counts as empty and gives the end token alone; null doc_id comes first; rows with the same id are
 ordered by a hash of their text; an empty table gives an empty table; extra columns are ignored.
@@ -15,6 +17,7 @@ ordered by a hash of their text; an empty table gives an empty table; extra colu
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -28,28 +31,34 @@ from pyspark.sql import functions as F
 
 from .common import pieces, scratch_dir
 
-END, ROWS_IN_FILE, CACHE, FILES_TO_BROADCAST = 2, 4000, 300_000, 100_000
+END, ROWS_IN_FILE, CACHE, FILES_TO_BROADCAST = 2, 4000, 400_000, 100_000
 #: White space before a space, or the mark that units without a space in front of them get.
 _AMBIGUOUS = "[\\s\\pZ\\x0b\\x1c-\\x1f\\x{85}] |\x01"
 
 
 class UnitEncoder:
-    """Token ids of many texts, by way of their distinct units."""
+    """Token ids of many texts, by way of their distinct units.
 
-    def __init__(self, path: str):
+    Known units are an Arrow array, so that a piece's units are looked up without making Python strings of them. When there
+    are more than ``cache``, the half that was met most often of late stays.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
+        self.tokenizer.encode_special_tokens = special_as_text
+        about = json.loads(self.tokenizer.to_str())
+        before = about.get("pre_tokenizer") or {}
+        #: Units stand for texts only where a byte-level pre-tokenizer splits them first and nothing rewrites them.
+        self.by_units = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not about.get("normalizer") and about["model"]["type"] == "BPE"
+        self.added = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.bytes_of = np.zeros(max(vocabulary.values()) + 2, np.int64)
+        self.bytes_of = np.zeros(max([*vocabulary.values(), *self.tokenizer.get_added_tokens_decoder()]) + 2, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # in a byte-level vocabulary a character stands for a byte
-        self._clear()
-
-    def _clear(self):
-        self.number: dict[str, int] = {}
+        self.known, self.met = pa.array([], pa.large_string()), np.zeros(0, np.int64)
         self.starts, self.counts, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -57,7 +66,7 @@ class UnitEncoder:
 
     def _learn(self, units: list[str]) -> None:
         spaced = [u[1:] if u[:1] == "\x01" else " " + u for u in units]
-        first, counts, starts, pools, at = len(self.number), np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [self.pool], len(self.pool)
+        counts, starts, pools, at = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64), [self.pool], len(self.pool)
         alone = [i for i, u in enumerate(units) if not u or u[-1].isspace() or u[0] == "\x01"]
         apart = set(alone)
         joined = [i for i in range(len(units)) if i not in apart]
@@ -77,13 +86,27 @@ class UnitEncoder:
             pools.append(got)
             counts[i], starts[i] = len(got), at
             at += len(got)
-        self.number.update((u, first + i) for i, u in enumerate(units))
+        self.known = pa.concat_arrays([self.known, pa.array(units, pa.large_string())])
+        self.met = np.concatenate([self.met, np.zeros(len(units), np.int64)])
         self.starts, self.counts, self.pool = np.concatenate([self.starts, starts]), np.concatenate([self.counts, counts]), np.concatenate(pools)
 
+    def _sweep(self) -> None:
+        """Keeps the half of the units met most often since the last sweep (older meetings count half)."""
+        kept = np.sort(np.argsort(-self.met, kind="stable")[: self.cache // 2])
+        counts = self.counts[kept]
+        upto = np.cumsum(counts)
+        self.pool = self.pool[np.repeat(self.starts[kept] - upto + counts, counts) + np.arange(counts.sum())]
+        self.known, self.met, self.starts, self.counts = self.known.take(pa.array(kept)), self.met[kept] // 2, upto - counts, counts
+
     def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of each text's ids) of a list or Arrow array of texts."""
         array = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(array, _AMBIGUOUS).to_numpy(zero_copy_only=False)
+        if not self.by_units:
+            return self._whole(array.to_pylist())
+        odd = pc.match_substring_regex(array, _AMBIGUOUS)
+        for token in self.added:
+            odd = pc.or_(odd, pc.match_substring(array, token))
+        odd = odd.to_numpy(zero_copy_only=False)
         if not odd.any():
             return self._units(array)
         out: list = [None] * len(array)
@@ -94,47 +117,50 @@ class UnitEncoder:
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         out = self.whole(texts)
-        return np.concatenate(out), np.array([len(x) for x in out], np.int64)
+        return np.concatenate([np.zeros(0, np.int32), *out]), np.array([len(x) for x in out], np.int64)
 
     def _units(self, array) -> tuple[np.ndarray, np.ndarray]:
         if not len(array):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        marked = pc.replace_substring_regex(array, r"([\pL\pN])([.,])", "\\1 \x01\\2")
+        marked = pc.replace_substring_regex(array, r"([\pL\pN])([^\s\pL\pN'])", "\\1 \x01\\2")
         marked = pc.replace_substring_regex(marked, r"([\pL\pN\pP\pS])\n([\pL\pN\pP\pS])", "\\1 \x01\n \x01\\2")
-        split = pc.split_pattern(marked, " ")
-        offsets = split.offsets.to_numpy()
-        coded = pc.dictionary_encode(split.flatten())
-        units = coded.dictionary.to_pylist()
-        heads = ["\x01" + u for u in pc.list_element(split, 0).to_pylist()]  # a text's first unit has no space in front of it
-        if len(self.number) + len(units) + len(heads) > CACHE:
-            self._clear()
-        number = self.number
-        if missing := [u for u in dict.fromkeys([*units, *heads]) if u not in number]:
-            self._learn(missing)
-        unit = np.fromiter(map(number.__getitem__, units), np.int64, len(units))[coded.indices.to_numpy()]
-        unit[offsets[:-1]] = np.fromiter(map(number.__getitem__, heads), np.int64, len(heads))
+        # a text's first unit has no space in front of it
+        split = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\x01", pa.large_string()), marked, pa.scalar("", pa.large_string())), " ")
+        offsets, units = split.offsets.to_numpy(), split.flatten()
+        offsets = offsets - offsets[0]
+        at = pc.index_in(units, value_set=self.known)
+        unit = pc.fill_null(at, -1).to_numpy()
+        if at.null_count:
+            new, first = units.filter(pc.is_null(at)).dictionary_encode(), len(self.known)
+            self._learn(new.dictionary.to_pylist())
+            unit = unit.copy()
+            unit[unit < 0] = first + new.indices.to_numpy()
         counts = self.counts[unit]
         upto = np.concatenate([[0], np.cumsum(counts)])
         flat = self.pool[np.repeat(self.starts[unit] - upto[:-1], counts) + np.arange(upto[-1])]
+        self.met += np.bincount(unit, minlength=len(self.met))
+        if len(self.met) > self.cache:
+            self._sweep()
         return flat, np.diff(upto[offsets])
 
 
 _encoders: dict[str, UnitEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
-    if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
-    return _encoders[path]
+def encoder(path: str, special_as_text: bool = False) -> UnitEncoder:
+    key = f"{path}|{special_as_text}"
+    if key not in _encoders:
+        _encoders[key] = UnitEncoder(path, special_as_text)
+    return _encoders[key]
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end: int = END, rows_in_file: int = ROWS_IN_FILE) -> None:
+def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end: int = END, rows_in_file: int = ROWS_IN_FILE, special_as_text: bool = False) -> None:
     """Writes the token files of all documents to the folder ``out``."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        number, before, tk = TaskContext.get().partitionId(), 0, encoder(tokenizer_path)
+        number, before, tk = TaskContext.get().partitionId(), 0, encoder(tokenizer_path, special_as_text)
         for b in batches:
             for part in pieces(b, 1):
                 ids, n = tk.encode(part.column(1))
@@ -150,7 +176,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end: int = END,
 
     files = max(1, -(-docs.count() // rows_in_file))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # the row's place comes last, so that rows that repeat id and text can be dealt to several files
+    rows = rows.repartitionByRange(files, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     coded = rows.mapInArrow(run, "part int, doc_id long, local_start long, n_tokens long, ids array<int>")
     options = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#local_start": "false", "parquet.block.size": str(16 << 20), "parquet.page.row.count.limit": "1000"}
     coded.write.options(**options).parquet(out)

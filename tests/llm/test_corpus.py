@@ -374,20 +374,41 @@ def test_no_pair_that_passes_in_a_window_is_skipped():
 # --- token IDs ---
 
 
-def test_unit_encoder_is_exact(docs):
-    enc = token_output.UnitEncoder(tokenizer_path())
-    texts = [r["text"] or "" for r in docs.collect()] + ["a  b", "a \n b", " lead", "trail ", "", "x\n\n y", "it's 'll <|endoftext|> é z", "\n", " ", "日本 12 3.4", "a,b. c,, %%, x.\x01y", "\x01", "É.\né,z"]
+@pytest.mark.parametrize("special", [False, True])
+@pytest.mark.parametrize("cache", [token_output.CACHE, 50])
+def test_unit_encoder_is_exact(docs, special, cache):
+    from tokenizers import Tokenizer
+
+    enc = token_output.UnitEncoder(tokenizer_path(), special, cache)
+    texts = [r["text"] or "" for r in docs.collect()] + ["a  b", "a \n b", " lead", "trail ", "", "x\n\n y", "it's 'll <|endoftext|> é z", "<|endoftext|>", "a<|endoftext|>b", "\n", " ", "日本 12 3.4", "a,b. c,, %%, x.\x01y", "\x01", "É.\né,z", "a'b''c's'", "x\u00a0y z\u0301# q_r$$"]
+    texts += ["".join(random.Random(i).choice("aZé ß1'.,-#_\n\t \u00a0\u0301日<|") for _ in range(60)) for i in range(200)]
+    plain = Tokenizer.from_file(tokenizer_path())
+    plain.encode_special_tokens = special
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for part in (texts, texts[::-1]):  # learned units, and after sweeps of the cache
+        ids, n = enc.encode(part)
+        assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == (want if part is texts else want[::-1])
+    enc.encode(texts[:3])
+    assert len(enc.known) == len(enc.met) == len(enc.starts) and (cache > 50 or len(enc.known) <= 50)
+    assert (50256 in enc.encode(["a <|endoftext|> b"])[0]) != special
+
+
+def test_other_tokenizers_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, texts = token_output.UnitEncoder(path), ["It's a Word, or two.\nAnd  three", "", "x"]
     ids, n = enc.encode(texts)
-    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    assert not enc.by_units and [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
 def test_token_files(spark, docs, odd, tmp_path):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(tokenizer_path())
-    tk.encode_special_tokens = True
-    for k, df in enumerate((docs, odd)):
+    marks = frame(spark, [(i % 3, f"a <|endoftext|> b{i % 2}", "en", "a") for i in range(40)])
+    for k, df in enumerate((docs, odd, marks)):
         out = f"file://{tmp_path}/t{k}"
         got = token_output.digest(token_output.tokenized(df, tokenizer_path(), out)).orderBy("start").collect()
         want = Counter()

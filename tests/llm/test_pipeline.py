@@ -35,7 +35,6 @@ def test_stages(spark):
     times, m = Counter(r["doc_id"] for r in mixed.collect()), {r["doc_id"]: r for r in mixing.mix(clean).collect()}
     assert all(abs(times[i] - r["taken"] / r["size"]) < 1 for i, r in m.items() if r["size"])
     tk = Tokenizer.from_file(P.tokenizer_path())
-    tk.encode_special_tokens = True
     got = P.token_ids(spark, mixed, DATA).collect()
     want = Counter((r["doc_id"], zlib.crc32(np.array(tk.encode(r["text"], add_special_tokens=False).ids + [2], "<u4").tobytes())) for r in mixed.collect())
     assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
