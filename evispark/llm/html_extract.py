@@ -3,10 +3,13 @@
 Markup is stripped: scripts, styles, comments, boilerplate elements (by tag, and by class, id or role) and tags; each block
 element's text becomes a line. The lengths of ``window`` lines are summed at every line. Where a sum rises to the threshold is
 a surge point, where more than twice ``window`` lines lie outside such windows a dive point, and the text between is kept. The
-threshold is a tenth of the sum that the page's characters stand in on average, ``least`` at most, so that verse and lists have
-a low one. At the ends of a run, lines go that are a twentieth of the page's usual line (2 characters at least, ``least`` / 4 at
-most), unless they are headings or end a sentence. On pages that mark their article (``article``, ``main``) its lines are kept.
-A boilerplate class does not count on a wrapper that holds all marked articles or, where none is marked, most of the text.
+threshold comes from the page: a tenth of the sum that its characters stand in on average, ``least`` at most, so that verse and
+lists have a low one. At the ends of a run, lines go that are a twentieth of the page's usual line (2 characters at least,
+``least`` / 4 at most), unless they are headings or end a sentence. On pages that mark their article (``article``, ``main``)
+the lines are the article's, a fiftieth is enough, and the ends of runs stay as they are.
+A class, id or role is boilerplate by its whole words: one of the boilerplate names, alone or hyphenated with names of page
+parts only (``ad-box``, but not ``share-price``). It does not count on a wrapper that holds all marked articles or, where none
+is marked, most of the text.
 
 Character references are decoded, white space in a block becomes one space, blocks are joined by a space in page order.
 Defined cases: null or empty html gives empty text and 0; truncated pages are read as far as they go; null ids and urls are
@@ -31,10 +34,14 @@ BLOCK = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|cookies?|consent|notices?|notification\w*|alert\w*|side-?bar\w*|menu\w*|nav\w*|breadcrumbs?|comments?|disqus|respond|reply|replies|share|sharing|social\w*|related|recommend\w*|newsletter|subscri\w*|popup|modal|overlay|login|signup|search|footer|header|masthead|widget\w*|toolbar|pagination|pager)(?:$|[\s_-])",
-    re.I,
+#: Names of boilerplate, and names of page parts that stand beside them in class names.
+NOISE = frozenset(
+    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices notification notifications alert alerts sidebar aside menu menus nav navbar navigation breadcrumb breadcrumbs comment comments disqus respond reply replies share sharing social related recommended recommendations newsletter subscribe subscription popup popups modal overlay login signup search searchform searchbox footer header masthead toolbar pagination pager".split()
 )
+PARTS = frozenset(
+    "site page main top bottom left right center box bar list item items link links block wrap wrapper container section area panel post posts article articles story stories widget widgets inner outer button buttons icon icons form field input thread body content global primary secondary mobile desktop sticky fixed side slot unit text title message messages header footer area row col column group holder region complementary".split()
+)
+_SPLIT = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])")
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _TOKEN = re.compile(
     rf"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<({RAW})\b[^>]*(?<!/)>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z][^<>]*(?:>|$)""",
@@ -45,12 +52,19 @@ _ENDS = frozenset(".!?…:;\"'”’»。！？")
 _EDGES = frozenset("article main section body html footer nav aside header".split())
 
 
+def noise(token: str) -> bool:
+    """Whether one class, id or role names boilerplate."""
+    parts = [p.lower() for p in _SPLIT.split(token) if p and not p.isdigit()]
+    whole = "".join(parts)
+    return whole in NOISE or (any(p in NOISE for p in parts) and all(p in NOISE or p in PARTS for p in parts))
+
+
 def _noisy(name: str, attributes: str) -> bool:
     if name in BOILER:
         return True
     if not attributes or name in ("html", "body", "article", "main") or name in HEADINGS or name in VOID:
         return False
-    return any(_NOISE.search(v.strip("\"'")) for _, v in _ATTR.findall(attributes))
+    return any(noise(token) for _, v in _ATTR.findall(attributes) for token in v.strip("\"'").split())
 
 
 def lines(page: str) -> list[tuple[str, bool, bool]]:
@@ -61,16 +75,14 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
     tokens = list(_TOKEN.finditer(page))
     facts: list = []
 
-    def closed(k: int, name: str) -> int:
-        """The token that ends the element, 0 if none does."""
-        level = 0
-        for n in range(k, len(tokens)):
-            t = tokens[n]
-            if t[3] and t[3].lower() == name:
-                level += -1 if t[2] else 1
-                if level == 0:
-                    return n
-        return 0
+    ends: dict[int, int] = {}  # the token that ends each element, where one does
+    open_: dict[str, list[int]] = {}
+    for n, t in enumerate(tokens):
+        if t[3]:
+            if not t[2]:
+                open_.setdefault(t[3].lower(), []).append(n)
+            elif open_.get(t[3].lower()):
+                ends[open_[t[3].lower()].pop()] = n
 
     def wraps(k: int, last: int) -> bool:
         """Whether tokens k to last hold all marked articles or, where none is marked, most of the text."""
@@ -119,7 +131,7 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
             buffer.append(" ")
         if name in BLOCK:
             flush()
-        if not end and name not in VOID and _noisy(name, t[4]) and not ((last := closed(k, name)) and name != "p" and wraps(k, last)):
+        if not end and name not in VOID and _noisy(name, t[4]) and not ((last := ends.get(k, 0)) and name != "p" and wraps(k, last)):
             flush()
             skip, depth = name, 1 if last else -1
         elif name in ("article", "main"):
@@ -136,13 +148,14 @@ def lines(page: str) -> list[tuple[str, bool, bool]]:
 
 def kept(blocks: list[tuple[str, bool, bool]], window: int = WINDOW, least: int = LEAST) -> list[str]:
     """The text between surge and dive points."""
-    marked = [b for b in blocks if b[1]]
-    if marked or not blocks:
-        return [b[0] for b in marked]
+    marked = any(b[1] for b in blocks)
+    blocks = [b for b in blocks if b[1]] if marked else blocks
+    if not blocks:
+        return []
     sizes = [len(b[0]) for b in blocks]
     usual = lambda xs: sum(x * x for x in xs) / sum(xs)
     sums = [sum(sizes[i : i + window]) for i in range(max(1, len(sizes) - window + 1))]
-    threshold, short = min(least, usual(sums) / 10), max(2, min(least / 4, usual(sizes) / 20))
+    threshold, short = min(least, usual(sums) / (50 if marked else 10)), max(2, min(least / 4, usual(sizes) / 20))
     runs: list[list[int]] = []
     for i, total in enumerate(sums):
         if total >= threshold:
@@ -153,6 +166,9 @@ def kept(blocks: list[tuple[str, bool, bool]], window: int = WINDOW, least: int
     edge = lambda i: sizes[i] < short and not blocks[i][2] and blocks[i][0][-1] not in _ENDS
     out = []
     for first, last in runs:
+        if marked:
+            out += [b[0] for b in blocks[first:last]]
+            continue
         while first < last and edge(first):
             first += 1
         while first < last and (edge(last - 1) or blocks[last - 1][2]):  # a heading belongs to what follows
