@@ -6,7 +6,7 @@ a surge point, where more than twice ``window`` lines lie outside such windows a
 threshold comes from the page: a tenth of the sum that its characters stand in on average, ``least`` at most, so that verse and
 lists have a low one. At the ends of a run, lines go that are a twentieth of the page's usual line (2 characters at least,
 ``least`` / 4 at most), unless they are headings or end a sentence. On pages that mark their article (``article``, ``main``)
-the lines are the article's, a fiftieth is enough, and the ends of runs stay as they are.
+the lines are the article's, a fiftieth is enough or two characters a line, and the ends of runs stay as they are.
 A class, id or role is boilerplate by its whole words: one of the boilerplate names, alone or hyphenated with names of page
 parts only (``ad-box``, but not ``share-price``). It does not count on a wrapper that holds all marked articles or, where none
 is marked, most of the text.
@@ -155,7 +155,7 @@ def kept(blocks: list[tuple[str, bool, bool]], window: int = WINDOW, least: int
     sizes = [len(b[0]) for b in blocks]
     usual = lambda xs: sum(x * x for x in xs) / sum(xs)
     sums = [sum(sizes[i : i + window]) for i in range(max(1, len(sizes) - window + 1))]
-    threshold, short = min(least, usual(sums) / (50 if marked else 10)), max(2, min(least / 4, usual(sizes) / 20))
+    threshold, short = min(2 * window, usual(sums) / 50) if marked else min(least, usual(sums) / 10), max(2, min(least / 4, usual(sizes) / 20))
     runs: list[list[int]] = []
     for i, total in enumerate(sums):
         if total >= threshold:
