@@ -1,36 +1,48 @@
 """Language ID by cross-parsing entropy.
 
 For each language a suffix automaton is built of labelled text. A text is cross-parsed against each: from the start of a
-phrase follow the automaton for the longest match, then start the next phrase. The language that needs the fewest phrases,
-normalised as phrases x log2(training length) / text length (bits a character), wins.
+phrase follow the automaton for the longest match, then start the next phrase. Phrases end where a word ends at the latest (a
+word is parsed with the space before it), so each different word is parsed once and a text's phrases are summed over its words.
+The language that needs the fewest phrases, normalised as phrases x log2(training length) / text length (bits a character), wins.
 
-Training text: a bounded sample, ``buckets`` documents a language (in each hash bucket of ids the one with the smallest hash)
-of ``chars`` characters each, so a language has at most buckets x chars = 40,000 characters. Everything else, and every text
-that is classified, is taken whole. Text is reduced to lower-case letters with single spaces.
+Training rows: a bounded sample of ``rows`` documents a language, one for each hash bucket of ids: the one with the smallest
+hash among those of ``longest`` characters or fewer, else the shortest. Their texts are taken whole, as is every text that is
+classified. Texts are reduced to lower-case letters (Unicode category L) with single spaces.
 
 Defined cases: null text and text without letters give ``und`` with score 0; without training rows all are ``und``; rows with
-null lang or null doc_id aren't learned from (a null id is no held-out row either); ties go to the smaller lang; repeated rows
-each give a row; an empty table gives an empty table; extra columns are ignored. score = 1 - best / second best (1 with one language).
+null lang or null doc_id aren't learned from (a null id is no held-out row either); a doc_id that repeats is learned from once;
+ties go to the smaller lang; repeated rows each give a row; an empty table gives an empty table; extra columns are ignored.
+score = 1 - best / second best (1 with one language).
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_crc
+from .common import doc_crc, pieces
 
-BUCKETS, CHARS = 32, 1250
+ROWS, LONGEST, WORDS_KEPT = 32, 2000, 300_000
+#: Table entries of an automaton at most, and the letters of a word, for which many words are parsed at once.
+TABLE, LONG_WORD = 1 << 24, 200
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def words_of(texts) -> pa.Array:
+    """Each text's lower-case words of letters (one empty word, if it has none), of an Arrow array or list of texts."""
+    array = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+    spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(array, "")), r"[^\pL]+", " ")
+    return pc.split_pattern(pc.utf8_trim(spaced, " "), " ")
 
 
 def letters(text: str | None) -> str:
-    return " ".join(LETTERS.findall(text.lower())) if text else ""
+    return " ".join(words_of([text])[0].as_py())
 
 
 def automaton(text: str) -> dict:
@@ -78,41 +90,130 @@ def phrases(start: dict, text: str) -> int:
                 n += 1
                 t = start
         s = t
-    return n
+    return n - (s is start)
+
+
+class Table:
+    """An automaton as an array of next states by letter, which parses many words at once."""
+
+    def __init__(self, start: dict):
+        number, order = {id(start): 0}, [start]
+        for state in order:
+            for to in state.values():
+                if id(to) not in number:
+                    number[id(to)] = len(order)
+                    order.append(to)
+        self.alphabet = sorted({ch for state in order for ch in state})
+        self.start, self.next = start, None
+        if len(order) * (len(self.alphabet) + 1) <= TABLE:
+            column = {ch: i for i, ch in enumerate(self.alphabet)}
+            self.next = np.full((len(order), len(self.alphabet) + 1), -1, np.int32)  # the last column is for other letters
+            for i, state in enumerate(order):
+                for ch, to in state.items():
+                    self.next[i, column[ch]] = number[id(to)]
+            self.column = np.full(0x110000, len(self.alphabet), np.int32)
+            self.column[[ord(ch) for ch in self.alphabet]] = range(len(self.alphabet))
+
+    def phrases(self, words: list[str]) -> np.ndarray:
+        """As :func:`phrases` of each word with a space before it."""
+        if self.next is None:
+            return np.array([phrases(self.start, " " + w) for w in words], np.int32)
+        out = np.zeros(len(words), np.int32)
+        sizes = np.array([len(w) for w in words]) + 1
+        short = np.nonzero(sizes <= LONG_WORD)[0]
+        short = short[np.argsort(-sizes[short], kind="stable")]  # words that end drop off the end
+        for i in np.nonzero(sizes > LONG_WORD)[0]:
+            out[i] = phrases(self.start, " " + words[i])
+        if not len(short):
+            return out
+        letters_ = self.column[np.frombuffer("".join(" " + words[i] for i in short).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        begins = np.cumsum(sizes[short]) - sizes[short]
+        state, n = np.zeros(len(short), np.int32), np.ones(len(short), np.int32)
+        live = np.searchsorted(-sizes[short], -np.arange(sizes[short[0]]), side="left")  # words longer than k
+        for k in range(sizes[short[0]]):
+            m = live[k]
+            ch, now = letters_[begins[:m] + k], state[:m]
+            to = self.next[now, ch]
+            miss = np.nonzero(to < 0)[0]
+            if len(miss):
+                again = self.next[0, ch[miss]]
+                n[miss] += (now[miss] != 0).astype(np.int32) + (again < 0)
+                to[miss] = np.maximum(again, 0)
+            state[:m] = to
+        out[short] = n - (state == 0)
+        return out
+
+
+class Classifier:
+    """The automata, and how many phrases each needs of the words met so far (when there are too many, the half met most often stays)."""
+
+    def __init__(self, samples: list[tuple[str, str]]):
+        self.langs = [lang for lang, _ in samples]
+        self.tables = [Table(automaton(text)) for _, text in samples]
+        self.bits = np.array([math.log2(len(text) + 1) for _, text in samples])
+        self.known, self.met, self.sizes = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.counts = np.zeros((0, len(samples)), np.int32)
+
+    def classify(self, texts) -> tuple[list[str], np.ndarray]:
+        """(languages, scores) of an Arrow array or list of texts."""
+        split = words_of(texts)
+        if not len(split) or not self.langs:
+            return [UNKNOWN] * len(split), np.zeros(len(split))
+        offsets, words = split.offsets.to_numpy(), split.flatten()
+        offsets = offsets - offsets[0]
+        at = pc.index_in(words, value_set=self.known)
+        unit = pc.fill_null(at, -1).to_numpy()
+        if at.null_count:
+            new, first = words.filter(pc.is_null(at)).dictionary_encode(), len(self.known)
+            fresh = new.dictionary.to_pylist()
+            unit = unit.copy()
+            unit[unit < 0] = first + new.indices.to_numpy()
+            self.known = pa.concat_arrays([self.known, new.dictionary])
+            self.met = np.concatenate([self.met, np.zeros(len(fresh), np.int64)])
+            self.sizes = np.concatenate([self.sizes, [len(w) + 1 for w in fresh]])
+            self.counts = np.concatenate([self.counts, np.stack([t.phrases(fresh) for t in self.tables], axis=1)])
+        self.met += np.bincount(unit, minlength=len(self.met))
+        total = np.add.reduceat(self.counts[unit], offsets[:-1], axis=0, dtype=np.int64)
+        size = np.add.reduceat(self.sizes[unit], offsets[:-1])
+        if len(self.met) > WORDS_KEPT:
+            kept = np.sort(np.argsort(-self.met, kind="stable")[: WORDS_KEPT // 2])
+            self.known, self.met, self.sizes, self.counts = self.known.take(pa.array(kept)), self.met[kept] // 2, self.sizes[kept], self.counts[kept]
+        costs = total * self.bits / size[:, None]
+        order = np.argsort(costs, axis=1, kind="stable")
+        rows = np.arange(len(costs))
+        best = costs[rows, order[:, 0]]
+        score = 1 - best / costs[rows, order[:, 1]] if len(self.langs) > 1 else np.ones(len(costs))
+        none = size <= 1
+        return [UNKNOWN if x else self.langs[i] for i, x in zip(order[:, 0], none)], np.where(none, 0.0, score)
 
 
 _built: dict = {}
 
 
-def models(samples: list[tuple[str, str]]) -> list[tuple[str, dict, float]]:
-    """(lang, automaton, log2 of the training length), built once in a worker process."""
+def classifier(samples: list[tuple[str, str]]) -> Classifier:
+    """Built once in a worker process."""
     mark = zlib.crc32(repr(samples).encode("utf-8", "surrogatepass"))
     if mark not in _built:
         _built.clear()
-        _built[mark] = [(lang, automaton(text), math.log2(len(text) + 1)) for lang, text in samples]
+        _built[mark] = Classifier(samples)
     return _built[mark]
 
 
-def classify(text: str | None, ready: list[tuple[str, dict, float]]) -> tuple[str, float]:
-    t = letters(text)
-    if not t or not ready:
-        return UNKNOWN, 0.0
-    costs = sorted((phrases(start, t) * bits / len(t), lang) for lang, start, bits in ready)
-    return costs[0][1], 1.0 if len(costs) == 1 else 1.0 - costs[0][0] / costs[1][0]
-
-
-def train(docs: DataFrame, learn, buckets: int = BUCKETS, chars: int = CHARS) -> list[tuple[str, str]]:
+def train(docs: DataFrame, learn, rows: int = ROWS, longest: int = LONGEST) -> list[tuple[str, str]]:
     """(lang, training text) of the rows for which ``learn`` (a column) holds."""
     h = F.xxhash64(F.col("doc_id").cast("string"))
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(F.col("text").rlike(r"\p{L}"))
-    chosen = rows.groupBy("lang", F.pmod(F.shiftright(h, 7), F.lit(buckets)).alias("b")).agg(F.min(h).alias("h")).collect()
+    known = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).where(F.col("text").rlike(r"\p{L}"))
+    key = F.struct(F.greatest(F.length("text"), F.lit(longest)).alias("size"), h.alias("h"))
+    chosen = known.groupBy("lang", F.pmod(F.shiftright(h, 7), F.lit(rows)).alias("b")).agg(F.min(key).alias("k")).collect()
     if not chosen:
         return []
-    picked = rows.where(h.isin([r["h"] for r in chosen])).select("lang", h.alias("h"), F.substring("text", 1, 4 * chars).alias("text")).collect()
+    # one text for each chosen id, however often it stands in the table
+    wanted = known.where(h.isin(sorted({r["k"]["h"] for r in chosen}))).groupBy("lang", h.alias("h")).agg(F.min(F.struct(F.length("text"), "text")).alias("t"))
+    texts = {(r["lang"], r["h"]): r["t"]["text"] for r in wanted.select("lang", "h", "t").collect()}
     by: dict[str, list] = {}
-    for r in sorted(picked, key=lambda r: (r["lang"], r["h"], r["text"])):
-        by.setdefault(r["lang"], []).append(letters(r["text"])[:chars])
-    return [(lang, " ".join(parts[:buckets])) for lang, parts in sorted(by.items())]
+    for r in sorted(chosen, key=lambda r: (r["lang"], r["b"])):
+        by.setdefault(r["lang"], []).append(letters(texts[r["lang"], r["k"]["h"]]))
+    return [(lang, " " + " ".join(parts)) for lang, parts in sorted(by.items())]
 
 
 def learnable():
@@ -121,28 +222,33 @@ def learnable():
 
 def identify(docs: DataFrame, samples: list[tuple[str, str]] | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score for each row; learns from rows that aren't held out unless samples are given."""
-    import pyarrow as pa
-
     samples = train(docs, learnable()) if samples is None else samples
 
     def run(batches):
-        ready = models(samples)
+        ready = classifier(samples)
         for b in batches:
-            out = [classify(t.as_py(), ready) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            for part in pieces(b, 2):
+                langs, scores = ready.classify(part.column(2))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(F.pmod(doc_crc(F.col("doc_id")), F.lit(4)) == 2, F.lit(False))
     return docs.select("doc_id", held.alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """Documents in one of the learned languages, columns kept; those without letters (``und``) go."""
-    from .common import filter_rows
-
+def accepted(docs: DataFrame, languages: tuple[str, ...] | None = None, certain: float = 0.0) -> DataFrame:
+    """Documents in one of ``languages`` (None: in any learned one), columns kept. Documents without letters (``und``) go, and those
+    whose score is below ``certain``. A null ``lang`` is filled with the language found."""
     samples = train(docs, learnable())
+    text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
-    def predicate():
-        ready = models(samples)
-        return lambda texts: [classify(t, ready)[0] != UNKNOWN for t in texts]
-
-    return filter_rows(docs, predicate)
+    def run(batches):
+        ready = classifier(samples)
+        for b in batches:
+            for part in pieces(b, text):
+                found, scores = ready.classify(part.column(text))
+                keep = [x != UNKNOWN and s >= certain and (languages is None or x in languages) for x, s in zip(found, scores)]
+                filled = pc.coalesce(part.column(lang), pa.array(found, part.column(lang).type))
+                yield part.set_column(lang, part.schema.field(lang), filled).filter(pa.array(keep, pa.bool_()))
+
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names with dots or the like don't matter
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
