@@ -6,7 +6,7 @@ weights, alone and normalised by length, give the score through a logistic curve
 
 The lexicon is a fixed list of insults and what labelled text teaches: words and word beginnings (stems) whose smoothed
 log-odds between toxic and other training documents, over at least ``support`` toxic documents, reach ``odds``; the log-odds
-are the weights. Training rows are a bounded sample of ``sample`` labelled documents (smallest hashes of ids); half of it
+are the weights; all of them are taken, and how many there can be is bounded by the sample. Training rows are a bounded sample of ``sample`` labelled documents (smallest hashes of ids); half of it
 teaches the lexicon and the other half the curve.
 
 Defined cases: null or empty text scores like a text without hits; null labels and ids aren't learned from; a document labelled
@@ -128,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, support: int
         counts = teach.select("text", "toxic").mapInArrow(count, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
         lift = F.log((F.col("t") + 0.1) / (nt + 0.2)) - F.log((F.col("c") + 1.0) / (nc + 2.0))
         need = max(support, math.ceil(0.005 * nt))
-        strong = counts.where(F.col("t") >= need).withColumn("w", lift).where(F.col("w") >= odds).orderBy(F.desc("t"), F.desc("w"), "f").limit(5000)
+        strong = counts.where(F.col("t") >= need).withColumn("w", lift).where(F.col("w") >= odds)
         weights |= {r["f"]: r["w"] for r in strong.select("f", "w").collect()}
 
     def measure(batches):
