@@ -6,8 +6,11 @@ beam search over the codebooks; its code and the norm of its reconstruction are
 code words make a lookup table; table sums over codes, divided by stored norms, score all vectors in blocks, and the best
 ``keep`` of each query are reranked by exact cosine in double precision.
 
-Queries and codes are packed into blocks by a hash of the id; each pair of blocks is one row of work, and the pairs of a block of
-queries meet in one task, which holds each query's best so far.
+Codes stay where they are: a batch of ``QUERIES_AT_ONCE`` queries at most goes to all tasks, each streams its codes past it and
+holds each query's best so far, and only those are shuffled. More queries take more passes, whose finds are written out.
+
+Vectors are scaled by a power of two first, which loses nothing, so that squares of very large or small components neither
+overflow nor vanish.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows with null vec_id or a
 dimension other than the most common one; rows that repeat a vec_id count once (the smallest vector); fewer candidates than asked for are all returned; ties go to
@@ -16,22 +19,27 @@ the smaller vec_id; an empty table gives an empty table; extra columns are ignor
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, scratch_dir
 
 BOOKS, WORDS, BEAM, SAMPLE, KEEP, ROUNDS = 16, 256, 4, 10_000, 300, 8
-CODES_IN_BLOCK, QUERIES_IN_BLOCK, CODES_IN_GROUP = 8192, 128, 1 << 22
+CODES_IN_BLOCK, QUERIES_AT_ONCE = 4096, 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, x (array of double): the vectors that take part."""
+    """vec_id, x (array of double, scaled to components of 2 at most): the vectors that take part."""
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).where("vec_id is not null and x is not null")
     x = x.where(F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < float("inf")))).where(F.exists("x", lambda v: v != 0.0))
+    largest = F.array_max(F.transform("x", lambda v: F.abs(v)))
+    x = x.withColumn("scale", F.pow(F.lit(2.0), F.floor(F.log2(largest)).cast("double")))
+    x = x.select("vec_id", F.transform("x", lambda v: v / F.col("scale")).alias("x"))
     x = x.groupBy("vec_id").agg(F.min("x").alias("x"))
     common = x.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return x.where(F.size("x") == (common["d"] if common else 0))
@@ -109,45 +117,58 @@ def _better(ids: np.ndarray, score: np.ndarray, keep: int) -> tuple[np.ndarray,
 
 
 def candidates(codes: DataFrame, queries: DataFrame, codebooks: np.ndarray, keep: int = KEEP) -> DataFrame:
-    """query_id, vec_id: the ``keep`` best by table scores of each query over all codes.
-
-    A task streams code blocks past a block of queries and holds only each query's best so far. Beyond ``CODES_IN_GROUP`` codes
-    the blocks are dealt to several groups, each with tasks of its own, whose results are merged.
-    """
+    """query_id, vec_id: the ``keep`` best by table scores of each query over all codes."""
+    passes = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    path = f"{scratch_dir(codes.sparkSession)}/candidates-{uuid.uuid4().hex}"
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id"))
+    for at in range(passes):
+        batch = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(passes)) == at).select("vec_id", "x").collect() if passes > 1 else queries.select("vec_id", "x").collect()
+        for part in range(0, len(batch), 2 * QUERIES_AT_ONCE):  # a hash deals evenly; were it not to, this bounds what goes out
+            some = sorted(batch[part : part + 2 * QUERIES_AT_ONCE])
+            rows = codes.mapInArrow(_scan([r["vec_id"] for r in some], np.array([r["x"] for r in some]), codebooks, keep), "query_id long, vec_id long, rough double").where("query_id != vec_id")
+            best = rows.withColumn("n", place).where(F.col("n") <= keep).select("query_id", "vec_id")
+            if passes == 1 and len(batch) <= 2 * QUERIES_AT_ONCE:
+                return best
+            best.write.mode("append").parquet(path)
+    return codes.sparkSession.read.schema("query_id long, vec_id long").parquet(path) if passes > 1 else codes.sparkSession.createDataFrame([], "query_id long, vec_id long")
+
+
+def _scan(query_ids: list[int], vectors: np.ndarray, codebooks: np.ndarray, keep: int):
     books = len(codebooks)
-    n_codes = codes.count()
-    blocks = lambda n, size: max(1, -(-n // size))
-    nc, nq, ng = blocks(n_codes, CODES_IN_BLOCK), blocks(queries.count(), QUERIES_IN_BLOCK), blocks(n_codes, CODES_IN_GROUP)
-    packed = codes.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(nc)).alias("cb")).agg(F.collect_list(F.struct("vec_id", "code", "norm")).alias("cs"))
-    asked = queries.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(nq)).alias("qb")).agg(F.collect_list(F.struct("vec_id", "x")).alias("qs"))
-    work = packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).join(asked, "qb").withColumn("g", F.col("cb") % ng)
-    work = work.repartition(nq * ng, "qb", "g").select("qb", "cs", "qs")
 
     def run(batches):
-        state: dict = {}
+        q = _units(vectors).astype(np.float32)
+        tables = np.einsum("qd,mkd->mkq", q, codebooks)
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(q)
+        floor = np.full(len(q), -np.inf, np.float32)
+        held: list = []
+
+        def take() -> None:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            ids = table.column("vec_id").to_numpy()
+            code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, books)
+            score = np.zeros((len(ids), len(q)), np.float32)
+            for m in range(books):
+                score += tables[m][code[:, m]]
+            score = np.round(score / table.column("norm").to_numpy()[:, None], 6).T
+            for k in np.nonzero((score >= floor[:, None]).any(axis=1))[0]:
+                some = np.nonzero(score[k] >= floor[k])[0]
+                best[k] = _better(np.concatenate([best[k][0], ids[some]]), np.concatenate([best[k][1], score[k][some]]), keep + 1)
+                if len(best[k][0]) > keep:
+                    floor[k] = best[k][1][-1]
+
         for b in batches:
-            for i in range(b.num_rows):
-                qb, cs = b.column(0)[i].as_py(), b.column(1)[i].values
-                if qb not in state:
-                    qs = b.column(2)[i].values
-                    q = _units(_matrix(qs.field("x"))).astype(np.float32)
-                    state[qb] = (qs.field("vec_id").to_numpy(zero_copy_only=False), np.einsum("qd,mkd->mkq", q, codebooks), [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(q))
-                qids, tables, best = state[qb]
-                ids = cs.field("vec_id").to_numpy(zero_copy_only=False)
-                code = np.frombuffer(b"".join(cs.field("code").to_pylist()), np.uint8).reshape(-1, books)
-                score = np.zeros((len(ids), len(qids)), np.float32)
-                for m in range(books):
-                    score += tables[m][code[:, m]]
-                score = np.round(score / cs.field("norm").to_numpy(zero_copy_only=False)[:, None], 6).T
-                for k, (old_ids, old) in enumerate(best):
-                    best[k] = _better(np.concatenate([old_ids, ids]), np.concatenate([old, score[k]]), keep + 1)
-        for qids, _, best in state.values():
-            sizes = [len(x) for x, _ in best]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, sizes)), pa.array(np.concatenate([x for x, _ in best])), pa.array(np.concatenate([s for _, s in best]).astype(np.float64))], names=["query_id", "vec_id", "rough"])
-
-    rows = work.mapInArrow(run, "query_id long, vec_id long, rough double").where("query_id != vec_id")
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id"))
-    return rows.withColumn("n", place).where(F.col("n") <= keep).select("query_id", "vec_id")
+            held.append(b)
+            if sum(x.num_rows for x in held) >= CODES_IN_BLOCK:
+                take()
+        if sum(x.num_rows for x in held):
+            take()
+        sizes = [len(x) for x, _ in best]
+        if sum(sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(query_ids, np.int64), sizes)), pa.array(np.concatenate([x for x, _ in best])), pa.array(np.concatenate([s for _, s in best]).astype(np.float64))], names=["query_id", "vec_id", "rough"])
+
+    return run
 
 
 def search(vectors: DataFrame, is_query, k: int = 5, books: int = BOOKS, sample: int = SAMPLE, keep: int = KEEP) -> DataFrame:
