@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one where that is unset (tests)."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``. Where that is unset a local master (as in tests) gets a
+    temporary folder; on a cluster, whose executors would not see it, it is an error."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not getattr(scratch_dir, "local", None):
         scratch_dir.local = tempfile.mkdtemp(prefix="evispark-")
     return "file://" + scratch_dir.local
@@ -63,11 +66,6 @@ def doc_crc(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
-def row_key() -> Column:
-    """A key that rows share only if id and text are the same (null id and null text are values of their own)."""
-    return F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.coalesce(F.sha2("text", 256), F.lit("~"))), 256)
-
-
 def filter_rows(docs: DataFrame, make_predicate) -> DataFrame:
     """Rows for which the predicate on (text) holds, with every column as it was, whatever the columns are called.
 
