@@ -1,4 +1,8 @@
-"""License scans: exact set-similarity join of text blocks (lines) with licence notices. Native DataFrame code only.
+"""License scans: exact set-similarity join of text blocks with licence notices. Native DataFrame code only.
+
+A block is a line, or a run of lines as hard-wrapped notices have them: from each line on, the following lines belong to its
+block as long as the lines before them have 1 to ``SHORT_LINE`` words and the block ``BLOCK_WORDS`` words at most, which is
+more than the longest template has. Lines end at any of the usual breaks; an empty line ends a block.
 
 A block matches a template if it holds at least ``threshold`` of the template's distinct words (containment). Words are
 ordered by their global frequency over all blocks, rarest first. A pair is a candidate only if a word of the block's prefix
@@ -6,6 +10,7 @@ equals a word of the template's prefix (prefix filter), the block has enough wor
 left after the shared one on both sides (positional filter). Candidates are verified exactly. Words outside the template
 vocabulary cannot count towards any overlap and are left out of a block's set before it is ordered; the vocabulary is a
 fixed list, which is why its frequency table (a row for each word) may go to the driver and templates may be broadcast.
+Texts are read once; what is saved of each is its base columns and its blocks that have words enough for some template.
 
 Defined cases: null text counts as empty; empty text gives no words, no labels, score 0; null doc_id is kept; repeated rows
 each give the same result; an empty table gives an empty table; extra columns are ignored.
@@ -20,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import row_key
+from .common import saved
 
-THRESHOLD = 0.8
+THRESHOLD, SHORT_LINE, BLOCK_WORDS, LINES_IN_BLOCK = 0.8, 20, 48, 16
 #: Phrases whose every place is counted, and their labels.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Common licence notices, one block each.
@@ -42,7 +47,7 @@ TEMPLATES = (
     ("reserved", "Copyright notice. All rights reserved. No part of this publication may be reproduced, distributed or transmitted"),
 )
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-IN_LINE = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+IN_LINE = r"[\x00-\x09\x0B\x0C\x0E-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,32 +66,42 @@ def _folded(text):
     return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("�")))
 
 
-def license_matches(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """A row for each (document key, template) that a block of the document contains: key, label, best containment."""
-    spark = docs.sparkSession
-    sets = template_sets(templates, threshold)
-    vocabulary = sorted({w for _, _, ws, _ in sets for w in ws})
-    least = min(a for *_, a in sets)
-    blocks = lambda order: docs.select(
-        row_key().alias("key"),
-        F.explode(
-            F.filter(
-                F.transform(F.split(F.regexp_replace(_folded(F.col("text")), IN_LINE, " "), "\n"), lambda line: F.array_intersect(order, F.split(line, " "))),
-                lambda ws: F.size(ws) >= least,
+def _blocks(text, vocabulary: list[str], least: int):
+    """The vocabulary words (distinct, in the vocabulary's order) of each block that has ``least`` of them or more."""
+    order = F.lit(vocabulary)
+    line = F.split(F.regexp_replace(_folded(text), IN_LINE, " "), "\r\n?|\n")
+    words = F.transform(line, lambda x: F.filter(F.split(x, " "), lambda w: w != ""))
+    lines = F.transform(words, lambda w: F.struct(F.size(w).alias("n"), F.array_intersect(order, w).alias("ws")))
+
+    def block(x, i):
+        start = F.struct(x["n"].alias("n"), F.array(x["ws"]).alias("ws"), ((x["n"] > 0) & (x["n"] <= SHORT_LINE)).alias("open"))
+
+        def step(b, y):
+            more = b["open"] & (y["n"] > 0) & (b["n"] + y["n"] <= BLOCK_WORDS)
+            return F.when(more, F.struct((b["n"] + y["n"]).alias("n"), F.concat(b["ws"], F.array(y["ws"])).alias("ws"), (y["n"] <= SHORT_LINE).alias("open"))).otherwise(
+                F.struct(b["n"].alias("n"), b["ws"].alias("ws"), F.lit(False).alias("open"))
             )
-        ).alias("ws"),
-    )
-    seen = {r["w"]: r["n"] for r in blocks(F.lit(vocabulary)).select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+
+        # lines without a word of the vocabulary begin no block: what they could hold, the next line's block holds
+        run = F.aggregate(F.slice(F.col("__lines"), i + 2, F.lit(LINES_IN_BLOCK - 1)), start, step)
+        return F.when((F.size(x["ws"]) > 0) & (x["n"] <= SHORT_LINE), F.array_intersect(order, F.flatten(run["ws"]))).otherwise(x["ws"])
+
+    return lines, F.filter(F.transform("__lines", block), lambda ws: F.size(ws) >= least)
+
+
+def _matches(blocks: DataFrame, sets: list, vocabulary: list[str]) -> DataFrame:
+    """A row for each (key, label) that a block (key, ws) contains a template of, with the best containment."""
+    seen = {r["w"]: r["n"] for r in blocks.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     ordered = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
     rank = {w: i for i, w in enumerate(ordered)}
-    prefixes = []
+    prefixes, least = [], min(a for *_, a in sets)
     for number, label, ws, need in sets:
         ws = sorted(ws, key=rank.get)
         prefixes += [(number, label, ws, need, i, ws[i]) for i in range(len(ws) - need + 1)]
     schema = T.StructType([T.StructField("tid", T.IntegerType()), T.StructField("label", T.StringType()), T.StructField("tws", T.ArrayType(T.StringType())), T.StructField("need", T.IntegerType()), T.StructField("i", T.IntegerType()), T.StructField("w", T.StringType())])
-    index = spark.createDataFrame(prefixes, schema)
+    index = blocks.sparkSession.createDataFrame(prefixes, schema)
     size = F.size("ws")
-    probes = blocks(F.lit(ordered)).select("key", "ws", F.posexplode(F.slice("ws", F.lit(1), size - least + 1)).alias("j", "w"))
+    probes = blocks.select("key", F.array_intersect(F.lit(ordered), "ws").alias("ws")).select("key", "ws", F.posexplode(F.slice("ws", F.lit(1), size - least + 1)).alias("j", "w"))
     candidates = probes.join(F.broadcast(index), "w").where(
         (size >= F.col("need")) & (F.col("j") <= size - F.col("need")) & (1 + F.least(F.size("tws") - 1 - F.col("i"), size - 1 - F.col("j")) >= F.col("need"))
     )
@@ -100,8 +115,11 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     Columns: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score. score is the best containment of a
     matched template, 1.0 where a base phrase stands, 0.0 where nothing was found.
     """
+    sets = template_sets(templates, threshold)
+    vocabulary = sorted({w for _, _, ws, _ in sets for w in ws})
     spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(_folded(F.col("text")), SEPARATORS, " ")), F.lit(" "))
-    rows = docs.select("doc_id", row_key().alias("key"), spaced.alias("s"))
+    lines, blocks = _blocks(F.col("text"), vocabulary, min(a for *_, a in sets))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("key"), spaced.alias("s"), lines.alias("__lines"))
     spaces = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
     hit = lambda p: F.contains(F.col("s"), F.lit(f" {p} "))
     count = lambda p: F.when(hit(p), F.regexp_count("s", F.lit(f"(?= {re.escape(p)} )"))).otherwise(0)
@@ -116,9 +134,11 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
         F.least(*[first(p) for p, _ in phrases], nothing).cast("long").alias("first_word"),
         F.greatest(*[last(p) for p, _ in phrases], nothing).cast("long").alias("last_word"),
         F.array_distinct(F.array_compact(F.array(*[F.when(hit(p), F.lit(label)) for p, label in phrases]))).alias("base"),
+        blocks.alias("blocks"),
     )
-    found = license_matches(docs, templates, threshold).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
-    joined = base.join(found, "key", "left")
+    base = saved(base, "blocks")
+    found = _matches(base.select("key", F.explode("blocks").alias("ws")), sets, vocabulary).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("containment"))
+    joined = base.drop("blocks").join(found, "key", "left")
     return joined.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort("base"), ",").alias("base_labels"),
@@ -128,7 +148,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
 
 
 def oracle(templates=TEMPLATES, threshold: float = THRESHOLD, phrases=PHRASES) -> str:
-    """DuckDB SQL for :func:`license_scan` by comparing every line with every template."""
+    """DuckDB SQL for :func:`license_scan` by comparing every block with every template."""
     low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     values = ", ".join(f"({i}, '{label}', [{', '.join(repr(w) for w in ws)}], {need})" for i, label, ws, need in template_sets(templates, threshold))
@@ -140,7 +160,10 @@ WITH docs AS (SELECT doc_id, regexp_extract_all({low}, '{word}') AS ws FROM docu
 places AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM docs WHERE len(ws) > 0),
 hits AS ({places}),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS f, max(place) AS l, list(DISTINCT label) AS labels FROM hits GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{word}')) AS b FROM (SELECT doc_id, unnest(string_split({low}, chr(10))) AS line FROM documents)),
+lines AS (SELECT doc_id, li, regexp_extract_all(line, '{word}') AS ws FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS li FROM (SELECT doc_id, string_split_regex({low}, '\r\n?|\n') AS ls FROM documents))),
+runs AS (SELECT a.doc_id, a.li, b.li AS lj, b.ws, sum(len(b.ws)) OVER w AS n, bool_and(len(b.ws) BETWEEN 1 AND {SHORT_LINE}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open
+ FROM lines a JOIN lines b ON b.doc_id = a.doc_id AND b.li BETWEEN a.li AND a.li + {LINES_IN_BLOCK - 1} WINDOW w AS (PARTITION BY a.doc_id, a.li ORDER BY b.li)),
+blocks AS (SELECT doc_id, list_distinct(flatten(list(ws))) AS b FROM runs WHERE lj = li OR (open AND len(ws) > 0 AND n <= {BLOCK_WORDS}) GROUP BY doc_id, li),
 t(tid, label, tws, need) AS (VALUES {values}),
 found AS (SELECT doc_id, list(DISTINCT label) AS labels, max(len(list_intersect(tws, b)) / len(tws)) AS c FROM blocks, t WHERE len(b) >= need AND len(list_intersect(tws, b)) >= need GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, f::BIGINT AS first_word, l::BIGINT AS last_word,
