@@ -2,18 +2,23 @@
 
 1. Targets: sources in code-point order (null last) weigh by ``weights`` in turn and share ``share`` times all sizes; a target
    stops at ``most`` times its source's size and what is over goes to the others by weight, until none is above.
-2. Packing: each source's documents form streams (one for each hash bucket of ids, so that a hot source spreads over many
-   tasks), and each stream is cut into blocks of ``block`` words.
-3. Draw: the output is a run of block slots in shards of ``shard`` slots. A keyed pseudorandom permutation deals all slots of
-   all sources over the shards, which draws each shard's source counts from the multinomial law, conditioned on every
-   source's total being its target exactly. (Free draws would miss small targets by their variance.)
-4. A source's slots are numbered, and slot j takes block p(j mod blocks), p a pseudorandom index permutation of the source
+2. Packing: each source's documents form streams (one for each hash bucket, so that a hot source spreads over many tasks), and
+   each stream is cut into blocks of ``block`` words. Sources of few words have shorter blocks, so that each has ``FINE`` of
+   them, or blocks of a word: whole blocks then come near any target.
+3. Draw: the output is shards of ``shard`` slots. Every slot draws its source by the targets (in blocks), so a shard's source
+   counts are multinomial. A source's counts are summed up over the shards; where the sum strays from the target by more than
+   ``stray`` of it, as with few draws it will, the running sums are stretched to that distance.
+4. Running sums number a source's slots: slot j takes block p(j mod blocks), p a pseudorandom index permutation of the source
    and round; no block is taken more often than ``most`` times. Slots and blocks are joined by that index.
 
 Permutations are swap-or-not networks: exact bijections on any range, computed by built-in functions.
 
+Rows that are the same in id, source and text are one row with a count until the end, so a row that repeats without bound
+makes no hot key. Tables with a row for each source are broadcast up to ``SOURCES_TO_BROADCAST`` sources and shuffled beyond.
+
 Defined cases: a null or empty text has size 0 and is never taken; null source is a source of its own, last in order; null
-doc_id is kept; repeated rows are documents of their own; an empty table gives an empty table; extra columns are ignored.
+doc_id is kept; repeated rows are documents of their own and share what is taken of them as evenly as can be; an empty table
+gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +30,25 @@ from pyspark.sql import functions as F
 from .common import saved
 
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2
-BLOCK, SHARD, ROUNDS, ROWS = 64, 4096, 10, 2000
+BLOCK, FINE, SHARD, STRAY, ROUNDS, ROWS = 64, 256, 8192, 0.005, 10, 2000
+SLOTS_IN_TASK, SOURCES_TO_BROADCAST, BINS, STEP = 50_000, 100_000, 1024, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, and h, which orders documents within a stream."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("doc_id", "text").alias("h"))
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= SOURCES_TO_BROADCAST + BINS else df
+
+
+def _skey() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
+
+
+def sizes(docs: DataFrame, marks: list[Column] | None = None) -> DataFrame:
+    """skey, source, doc_id, h (a hash of id and text, or of ``marks``), size, copies: a row for each different document."""
+    h = F.xxhash64(*(marks or ["doc_id", "text"]))
+    rows = docs.select(_skey().alias("skey"), "source", "doc_id", h.alias("h"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    return rows.groupBy("skey", "source", "doc_id", "h").agg(F.max("size").alias("size"), F.count("*").alias("copies"))
 
 
 def targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -52,6 +68,62 @@ def targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, most:
     return x.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(left * F.col("w") / free).alias("target"))
 
 
+def packed(documents: DataFrame, block: int = BLOCK, weights=WEIGHTS, share: float = SHARE, most: float = MOST, rows: int = ROWS) -> tuple[DataFrame, DataFrame, int]:
+    """(documents with their place, sources, number of sources).
+
+    Documents get block (their source's block length), bucket, off (words before them in their stream) and first_block (their
+    stream's first block within the source). Sources have sizes, target, block, blocks and slots (the target in blocks).
+    """
+    size = F.sum(F.col("size") * F.col("copies")).alias("source_size")
+    per = documents.groupBy("skey", "source").agg(size, F.count("*").alias("n"))
+    shape = per.select("skey", F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.col("source_size") / FINE))).cast("long").alias("block"), F.ceil(F.col("n") / F.greatest(F.lit(rows), F.sqrt("n"))).alias("buckets"))
+    n = per.count()
+    d = documents.join(_small(shape, n), "skey").withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(7)), F.col("buckets")))
+    stream = W.partitionBy("skey", "bucket").orderBy("doc_id", "h").rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumn("off", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(stream), F.lit(0))).drop("buckets")
+    streams = d.groupBy("skey", "source", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("words"), F.max("block").alias("block")).withColumn("n", F.ceil(F.col("words") / F.col("block")))
+    upto = W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    streams = streams.withColumn("first_block", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    firsts = streams.select("skey", "bucket", "first_block")
+    d = d.join(firsts, ["skey", "bucket"])
+    s = streams.groupBy("skey", "source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("blocks"), F.max("block").alias("block"))
+    t = targets(s.select("source", "source_size"), weights, share, most).select(_skey().alias("skey"), "target")
+    s = s.join(_small(t, n), "skey")
+    slots = F.when(F.col("source_size") > 0, F.least(most * F.col("blocks"), F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))).otherwise(0)
+    return d, s.withColumn("slots", slots.cast("long")), n
+
+
+def shard_counts(sources: DataFrame, n_sources: int, shard: int = SHARD, seed: int = 17) -> DataFrame:
+    """skey, shard, n: the multinomial draw of each output shard's source counts. Each slot draws a number below the sum of all
+    targets and finds its source in a bin of numbers, so that no slot looks at all sources."""
+    spark = sources.sparkSession
+    total = sources.agg(F.sum("slots")).first()[0] or 0
+    tasks = max(1, -(-total // SLOTS_IN_TASK))
+    width = max(1, -(-total // BINS))
+    upto = F.sum("slots").over(W.orderBy("skey"))  # a row for each source
+    bounds = sources.where("slots > 0").select("skey", (upto - F.col("slots")).alias("lo"), upto.alias("hi"))
+    bounds = bounds.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))))
+    draws = spark.range(0, total, 1, tasks).select(F.floor(F.col("id") / shard).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(1, total))).alias("u"))
+    draws = draws.withColumn("bin", F.floor(F.col("u") / width))
+    drawn = draws.join(_small(bounds, n_sources + BINS), "bin").where("u >= lo AND u < hi")
+    return drawn.groupBy("skey", "shard").agg(F.count("*").alias("n"))
+
+
+def numbered(counts: DataFrame, sources: DataFrame, n_sources: int, most: float = MOST, stray: float = STRAY, seed: int = 17) -> DataFrame:
+    """skey, shard, first, end, blocks: which slots of its source (end excluded) each shard has."""
+    aim = sources.where("slots > 0").select("skey", "slots", "blocks")
+    seat = aim.select("skey", F.lit(0).cast("long").alias("shard"), F.lit(0).cast("long").alias("n"))  # a source that no slot drew has a shard, too
+    cells = counts.unionByName(seat).groupBy("skey", "shard").agg(F.sum("n").alias("n"))
+    by = W.partitionBy("skey")
+    order = by.orderBy("shard")
+    x = cells.withColumn("sum", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("drawn", F.sum("n").over(by)).join(_small(aim, n_sources), "skey")
+    low, high = F.floor(F.col("slots") * (1 - stray) + 0.5), F.least(F.floor(F.col("slots") * (1 + stray) + 0.5), (most * F.col("blocks")).cast("long"))
+    x = x.withColumn("final", F.greatest(F.lit(0), F.least(high, F.greatest(low, F.col("drawn")))))
+    end = F.when(F.col("final") == F.col("drawn"), F.col("sum")).when(F.col("drawn") == 0, F.col("final")).otherwise(F.floor(F.col("sum") / F.col("drawn") * F.col("final") + 1e-9))
+    x = x.withColumn("end", end.cast("long"))
+    return x.withColumn("first", F.coalesce(F.lag("end").over(order), F.lit(0))).where("end > first").select("skey", "shard", "first", "end", "blocks")
+
+
 def permuted(i: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
     """Where the keyed permutation of 0..n-1 puts i."""
 
@@ -62,108 +134,87 @@ def permuted(i: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Column:
     return F.aggregate(F.array(*[F.lit(r) for r in range(rounds)]), i, turn)
 
 
-def packed(docs: DataFrame, block: int = BLOCK, rows: int = ROWS) -> DataFrame:
-    """Documents with their place: source, bucket, off (words before it in its stream), and the rest of :func:`sizes`."""
-    d = sizes(docs)
-    buckets = max(1, -(-docs.count() // rows))  # about so many rows in a source's bucket at most
-    stream = W.partitionBy("source", "bucket").orderBy("doc_id", "h", "size").rowsBetween(W.unboundedPreceding, -1)
-    return d.withColumn("bucket", F.pmod(F.xxhash64(F.col("h"), F.lit(7)), F.lit(buckets))).withColumn("off", F.coalesce(F.sum("size").over(stream), F.lit(0)))
+def slots_of(cells: DataFrame, tasks: int, seed: int = 17) -> DataFrame:
+    """A row for each output slot: skey, shard, j (the source's slot), block_no (within the source). Cells are dealt to as many
+    tasks as their slots call for before they are unfolded."""
+    x = cells.withColumn("c", F.explode(F.sequence(F.floor(F.col("first") / STEP), F.floor((F.col("end") - 1) / STEP)))).repartition(tasks, "skey", "shard", "c")
+    x = x.withColumn("j", F.explode(F.sequence(F.greatest("first", F.col("c") * STEP), F.least("end", (F.col("c") + 1) * STEP) - 1)))
+    key = F.xxhash64(F.lit(seed), "skey", F.floor(F.col("j") / F.col("blocks")))
+    return x.select("skey", "shard", "first", "j", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), key).alias("block_no"))
 
 
-def plan(placed: DataFrame, block: int = BLOCK, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> tuple[DataFrame, DataFrame]:
-    """(streams, sources): each stream's first block number within its source; each source's sizes, target, blocks and slots."""
-    streams = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words")).withColumn("n", F.ceil(F.col("words") / block))
-    upto = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    streams = streams.withColumn("first_block", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    per_source = streams.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("blocks"))
-    t = targets(per_source.select("source", "source_size"), weights, share, most)
-    sources = t.join(per_source.select(F.col("source").alias("s2"), "blocks"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    slots = F.when(F.col("source_size") > 0, F.least(most * F.col("blocks"), F.round(F.col("target") * F.col("blocks") / F.col("source_size")).cast("long"))).otherwise(0)
-    sources = sources.withColumn("slots", slots.cast("long"))
-    before = F.coalesce(F.sum("slots").over(W.orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return streams, sources.withColumn("first_slot", before).withColumn("all_slots", F.sum("slots").over(W.partitionBy()))
-
-
-def drawn(sources: DataFrame, shard: int = SHARD, seed: int = 17) -> DataFrame:
-    """A row for each output slot: shard, at (place in the shard), source, j (the source's slot), block_no (within the source)."""
-    step = 4096
-    chunks = sources.where("slots > 0").withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / step))))
-    chunks = chunks.repartition("source", "c")
-    x = chunks.withColumn("j", F.explode(F.sequence(F.col("c") * step, F.least(F.col("slots"), (F.col("c") + 1) * step) - 1)))
-    slot = permuted(F.col("first_slot") + F.col("j"), F.col("all_slots"), F.lit(seed).cast("long"))
-    key = F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("\x00")), F.floor(F.col("j") / F.col("blocks")))
-    return x.withColumn("slot", slot).select(
-        F.floor(F.col("slot") / shard).alias("shard"), (F.col("slot") % shard).alias("at"), "source", "j", permuted(F.col("j") % F.col("blocks"), F.col("blocks"), key).alias("block_no")
-    )
+def _pieces(placed: DataFrame) -> DataFrame:
+    """A row for each (document, block that it reaches into). piece_start counts on through a document's copies."""
+    d = placed.where("size > 0").withColumn("words", F.col("size") * F.col("copies"))
+    d = d.withColumn("low", F.floor(F.col("off") / F.col("block"))).withColumn("high", F.floor((F.col("off") + F.col("words") - 1) / F.col("block")))
+    d = d.withColumn("c", F.explode(F.sequence(F.floor(F.col("low") / STEP), F.floor(F.col("high") / STEP))))  # in steps: no array grows with the copies
+    d = d.withColumn("k", F.explode(F.sequence(F.greatest("low", F.col("c") * STEP), F.least("high", (F.col("c") + 1) * STEP - 1))))
+    start = F.greatest(F.lit(0), F.col("k") * F.col("block") - F.col("off"))
+    end = F.least(F.col("words"), (F.col("k") + 1) * F.col("block") - F.col("off"))
+    return d.select("skey", "source", "doc_id", "h", (F.col("first_block") + F.col("k")).alias("block_no"), start.alias("piece_start"), (end - start).alias("piece_words"))
 
 
-def shard_counts(slots: DataFrame) -> DataFrame:
-    """The drawn source counts of each output shard."""
-    return slots.groupBy("shard", "source").agg(F.count("*").alias("n"))
+def _drawn(sources: DataFrame, n: int, shard: int, most: float, stray: float, seed: int) -> tuple[DataFrame, int]:
+    """(cells with their slot numbers, tasks to unfold them in)."""
+    total = sources.agg(F.sum("slots")).first()[0] or 0
+    return numbered(shard_counts(sources, n, shard, seed), sources, n, most, stray, seed), max(1, -(-total // SLOTS_IN_TASK))
 
 
-def mixed(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(slots, pieces): the output's slots, and for each slot the pieces of documents that its block holds.
+def mixed(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, weights=WEIGHTS, share: float = SHARE, most: float = MOST, stray: float = STRAY, seed: int = 17, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(slots, pieces): the output's slots (shard, at, skey, j, block_no), and for each slot the pieces of documents that its block holds.
 
     pieces: shard, at, source, doc_id, h, piece_start (word of the document), piece_words.
     """
-    placed = packed(docs, block, rows)
-    streams, sources = plan(placed, block, weights, share, most)
-    slots = drawn(sources, shard, seed)
-    keyed = slots.withColumn("skey", _skey()).drop("source")
-    return slots, keyed.join(_pieces(placed, streams, block), ["skey", "block_no"]).drop("skey", "j")
-
-
-def _skey() -> Column:
-    return F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-
-
-def _pieces(placed: DataFrame, streams: DataFrame, block: int) -> DataFrame:
-    """A row for each (document, block that it reaches into)."""
-    firsts = streams.select(_skey().alias("skey"), "bucket", "first_block")
-    d = placed.where("size > 0").withColumn("skey", _skey()).join(firsts, ["skey", "bucket"])
-    k = F.explode(F.sequence(F.floor(F.col("off") / block), F.floor((F.col("off") + F.col("size") - 1) / block)))
-    d = d.withColumn("k", k)
-    start = F.greatest(F.lit(0), F.col("k") * block - F.col("off"))
-    end = F.least(F.col("size"), (F.col("k") + 1) * block - F.col("off"))
-    return d.select("skey", "source", "doc_id", "h", (F.col("first_block") + F.col("k")).alias("block_no"), start.alias("piece_start"), (end - start).alias("piece_words"))
+    placed, sources, n = packed(saved(sizes(docs), "mix"), block, weights, share, most, rows)
+    sources = saved(sources, "sources")
+    cells, tasks = _drawn(sources, n, shard, most, stray, seed)
+    whole = W.partitionBy("shard")
+    cells = saved(cells.withColumn("base", F.sum(F.col("end") - F.col("first")).over(whole.orderBy("skey")) - (F.col("end") - F.col("first"))).withColumn("all", F.sum(F.col("end") - F.col("first")).over(whole)), "cells")
+    at = permuted(F.col("base") + F.col("j") - F.col("first"), F.col("all"), F.xxhash64(F.lit(seed), "shard"))
+    slots = slots_of(cells, tasks, seed).join(cells.select("skey", "shard", "base", "all"), ["skey", "shard"]).select("shard", at.alias("at"), "skey", "j", "block_no")
+    return slots, slots.join(_pieces(placed), ["skey", "block_no"]).drop("skey", "j")
+
+
+def _taken(docs: DataFrame, marks, block, shard, weights, share, most, stray, seed, rows) -> DataFrame:
+    """skey, source, doc_id, h, size, copies, source_size, target, taken (by all copies): a row for each different document."""
+    placed, sources, n = packed(saved(sizes(docs, marks), "mix"), block, weights, share, most, rows)  # texts are read once; what follows needs sizes only
+    placed, sources = saved(placed, "placed"), saved(sources, "sources")
+    cells, tasks = _drawn(sources, n, shard, most, stray, seed)
+    uses = slots_of(cells, tasks, seed).groupBy("skey", "block_no").agg(F.count("*").alias("uses"))
+    key = ["skey", "doc_id", "h"]
+    taken = _pieces(placed).join(uses, ["skey", "block_no"]).groupBy(*key).agg(F.sum(F.col("piece_words") * F.col("uses")).alias("t"))
+    taken = taken.select(*[F.col(k).alias(f"_{k}") for k in key], "t")
+    on = (F.col("skey") == F.col("_skey")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("h") == F.col("_h"))
+    d = placed.join(taken, on, "left").join(_small(sources.select("skey", "source_size", "target"), n), "skey")
+    return d.select("skey", "source", "doc_id", "h", "size", "copies", "source_size", "target", F.coalesce("t", F.lit(0)).alias("taken"))
+
+
+def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, weights=WEIGHTS, share: float = SHARE, most: float = MOST, stray: float = STRAY, seed: int = 17, rows: int = ROWS) -> DataFrame:
+    """What the mix takes of each document: doc_id, size, source, source_size, target, taken, h."""
+    m = _taken(docs, None, block, shard, weights, share, most, stray, seed, rows)
+    m = m.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / STEP))))
+    m = m.withColumn("copy", F.explode(F.sequence(F.col("c") * STEP, F.least("copies", (F.col("c") + 1) * STEP) - 1)))
+    each = F.floor(F.col("taken") / F.col("copies")) + F.when(F.col("copy") < F.col("taken") % F.col("copies"), 1).otherwise(0)
+    return m.select("doc_id", "size", "source", "source_size", "target", each.cast("long").alias("taken"), "h")
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 17, rows: int = ROWS) -> DataFrame:
-    """What the mix takes of each document: doc_id, size, source, source_size, target, taken, h."""
-    placed = saved(packed(docs, block, rows), "mix")  # texts are read once; what follows needs sizes only
-    streams, sources = plan(placed, block, weights, share, most)
-    uses = drawn(sources, shard, seed).withColumn("skey", _skey()).groupBy("skey", "block_no").agg(F.count("*").alias("uses"))
-    taken = _pieces(placed, streams, block).join(uses, ["skey", "block_no"]).groupBy("skey", "doc_id", "h").agg(F.sum(F.col("piece_words") * F.col("uses")).alias("all_taken"))
-    # rows that are the same in id, source and text share what their copies take, as evenly as can be
-    same = W.partitionBy("skey", "doc_id", "h")
-    per = sources.select(_skey().alias("skey"), "source_size", "target")
-    d = placed.withColumn("skey", _skey()).withColumn("copies", F.count("*").over(same)).withColumn("copy", F.row_number().over(same.orderBy("off")) - 1)
-    t = taken.select(F.col("skey").alias("k2"), F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "all_taken")
-    d = d.join(t, (F.col("skey") == F.col("k2")) & F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left").join(per, "skey")
-    total = F.coalesce("all_taken", F.lit(0))
-    share_of = F.floor(total / F.col("copies")) + F.when(F.col("copy") < total % F.col("copies"), 1).otherwise(0)
-    return d.select("doc_id", "size", "source", "source_size", "target", share_of.cast("long").alias("taken"), "h")
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, weights=WEIGHTS, share: float = SHARE, most: float = MOST, stray: float = STRAY, seed: int = 17, rows: int = ROWS) -> DataFrame:
     """The documents of the mix, with their columns: a document stands whole as often as the words taken of it fill it, and once more
     with its first words for the rest, so that each source has the very number of words that the mix takes of it. Columns other
-    than text are the whole document's; documents of which nothing is taken go."""
-    m = mix(docs.select("doc_id", "source", "text"), **options)
-    m = m.where("size > 0").groupBy("source", "doc_id", "h").agg(F.max("size").alias("size"), F.sum("taken").alias("taken"), F.count("*").alias("copies"))
-    m = m.where("taken > 0").select(F.struct("source", "doc_id", "h", "size", "taken", "copies").alias("__mix"))
-    rows = docs.select(F.struct("*").alias("__row"))
+    than text are the whole document's; documents of which nothing is taken go. Rows that are the same in every column (those of
+    map types aside) share what is taken of them."""
+    marks = [F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    m = _taken(docs, marks, block, shard, weights, share, most, stray, seed, rows).where("taken > 0")
+    m = m.select(F.struct("source", "doc_id", "h", "size", "copies", "taken").alias("__mix"))
+    rows_ = docs.select(F.struct("*").alias("__row"), F.xxhash64(*marks).alias("__h"))
     r, k = F.col("__row"), F.col("__mix")
-    on = r["source"].eqNullSafe(k["source"]) & r["doc_id"].eqNullSafe(k["doc_id"]) & (F.xxhash64(r["doc_id"], r["text"]) == k["h"])
-    kept = rows.join(m, on)
-    single = kept.where(k["copies"] == 1).select("__row", k["size"].alias("__size"), k["taken"].alias("__taken"))
-    # rows that are the same in id, source and text share what is taken of them
-    place = F.row_number().over(W.partitionBy(k["source"], k["doc_id"], k["h"]).orderBy(F.lit(0)))
-    again = kept.where(k["copies"] > 1).withColumn("__place", place)
-    again = again.select("__row", k["size"].alias("__size"), (F.floor(k["taken"] / k["copies"]) + F.when(F.col("__place") <= k["taken"] % k["copies"], 1).otherwise(0)).alias("__taken"))
+    kept = rows_.join(m, r["source"].eqNullSafe(k["source"]) & r["doc_id"].eqNullSafe(k["doc_id"]) & (F.col("__h") == k["h"]))
+    again = kept.where(k["copies"] > 1).groupBy("__mix").agg(F.first("__row").alias("__row"))
+    flat = lambda x: x.select("__row", k["size"].alias("__size"), k["taken"].alias("__taken"), F.ceil(k["taken"] / k["size"]).alias("__times"))
+    out = flat(kept.where(k["copies"] == 1)).unionByName(flat(again))
     whole, rest = F.floor(F.col("__taken") / F.col("__size")), F.col("__taken") % F.col("__size")
-    out = single.unionByName(again).where("__taken > 0").withColumn("__time", F.explode(F.sequence(F.lit(1).cast("long"), F.ceil(F.col("__taken") / F.col("__size")))))
+    out = out.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__times") - 1) / STEP))))
+    out = out.withColumn("__time", F.explode(F.sequence(F.col("__c") * STEP + 1, F.least("__times", (F.col("__c") + 1) * STEP))))
     first_words = F.array_join(F.slice(F.split(r["text"], WORD_END), F.lit(1), rest.cast("int")), "")
     text = F.when(F.col("__time") <= whole, r["text"]).otherwise(first_words)
     return out.select(r.withField("text", text).alias("__row")).select("__row.*")
