@@ -1,20 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Statistics: document frequencies of the benchmark's words over all documents.
-2. Factorisation: the benchmark's passages as TF-IDF rows, and a randomised SVD of them as Spark jobs (a random start, power
-   rounds G <- A'(A G) summed over partitions, then a small QR): ``rank`` latent directions for each ``items_in_block`` passages.
+2. Factorisation: the benchmark's passages as TF-IDF rows, dealt into blocks of about ``ITEMS_IN_BLOCK`` by a hash, and a
+   randomised SVD of each block as Spark jobs (a random start, power rounds G <- A'(A G) summed over partitions in fixed-point
+   numbers, so that every run sums alike, a small QR after each, and the eigenvectors of what is left). Three quarters as many latent directions are kept as there are
+   passages, ``RANK`` at most.
 3. Retrieval: every document is read in windows of its own of a power of two of words, for each item one of at least twice its
    length, each half over the next, so that a passage as long as the item lies whole in a window. A window is folded in
-   (projected) and its product with each item taken. Words that make up the LCS share of an item weigh so much at least (the
-   item's lightest words that suffice), so a pair whose product is below that, less what the factorisation may be off by, cannot
-   pass the checks in the window; all others, and all at the cosine threshold, are candidates. Windows are skipped before that
-   where even their words that items call for weigh too little. Term counts are taken as 0 or 1; a word outside the benchmark
-   has the weight of a word never seen, which counts in reported cosines and excludes no candidate.
+   (projected) and its latent cosine with each item taken; all at the cosine threshold are candidates. So that the lost
+   directions cost no paraphrase, others are, too, where the words shared weigh enough: words that make up the LCS share of
+   an item weigh so much at least (the item's lightest words that suffice), and a pair below that cannot pass the checks in
+   the window. Windows are skipped before that where even their words that items call for weigh too little (items of like
+   needs are looked at together). Term counts are taken as 0 or 1; a word outside the benchmark has the weight of a word never
+   seen, which counts in cosines.
 4. Checks on all candidates: longest common subsequence of the item and the text around the window (share of the item's words)
    and of the item's answer, its last third. Paraphrases pass; chance overlaps do not.
 
-The corpus never goes to the driver; the benchmark does (its vocabulary is what is broadcast): ``items_in_pass`` items at a
-time at most, and a larger benchmark takes more passes.
+The corpus never goes to the driver. Of the benchmark a pass of ``BLOCKS_IN_PASS`` blocks does (at most about 2,048 items and 8 MB
+of text, unless one item is longer); a larger benchmark takes more passes, one after another, each written to the shared folder.
 
 Words are runs of ASCII letters and digits (lower-cased) or non-ASCII characters. Defined cases: null or empty texts have no
 passages; benchmark rows with null or no words match nothing; null ids are carried along; repeated rows each give their rows;
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 from itertools import chain, repeat
 
 import numpy as np
@@ -32,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, pieces
+from .common import filter_rows, pieces, saved
 
 COSINE, LCS, ANSWER = 0.45, 0.6, 0.5
 #: Weights are log((documents + SMOOTH) / (1 + frequency)), CAP at most: a passage that many documents share keeps its place beside rare words.
 SMOOTH, CAP = 1000, 6.0
-RANK, ITEMS_IN_BLOCK, ITEMS_IN_PASS, POWER = 256, 256, 2048, 2
+RANK, ITEMS_IN_BLOCK, BYTES_IN_BLOCK, BLOCKS_IN_PASS, POWER = 192, 256, 1 << 20, 8, 2
+WORDS_AT_ONCE, LEVELS = 1 << 15, 1
 #: The share of an item's places whose rarest words tell which windows are looked at; any share above 1 - LCS skips without loss.
 RARE = 0.7
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -47,19 +52,24 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split() if text else []
 
 
-def lcs(a: list, b: list) -> int:
-    """Length of the longest common subsequence (bit-parallel)."""
+def masks(a: list) -> dict:
+    """The places of each word of ``a``, as bits."""
     at: dict = {}
     for i, w in enumerate(a):
         at[w] = at.get(w, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    for w in b:
-        hit = at.get(w)
-        if hit:
-            both = row & hit
-            row = ((row + both) | (row - both)) & full
-    return len(a) - row.bit_count()
+    return at
+
+
+def lcs(at: dict, n: int, b: list, need: int = 0) -> int:
+    """Length of the longest common subsequence of ``b`` and ``n`` words with the given masks (bit-parallel); 0 if too few words are shared for ``need``."""
+    hits = [hit for hit in map(at.get, b) if hit]
+    if len(hits) < need:
+        return 0
+    row = full = (1 << n) - 1
+    for hit in hits:
+        both = row & hit
+        row = ((row + both) | (row - both)) & full
+    return n - row.bit_count()
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[bytes]) -> tuple[int, dict[bytes, int]]:
@@ -79,11 +89,12 @@ def document_frequencies(docs: DataFrame, vocabulary: list[bytes]) -> tuple[int,
     return df.pop(b"", 0), df
 
 
-def latent_directions(benchmark: DataFrame, idf: dict[bytes, float], rank: int = RANK, power: int = POWER) -> tuple[list[bytes], np.ndarray]:
-    """(words, directions (words, rank)): distributed randomised SVD of the benchmark's TF-IDF passages."""
+def latent_directions(passages: DataFrame, idf: dict[bytes, float], rank: int, power: int = POWER) -> tuple[list[bytes], np.ndarray]:
+    """(words, directions (words, rank)): distributed randomised SVD of TF-IDF passages (item_id, text), each of length 1."""
     words = sorted(idf)
     where = {w: i for i, w in enumerate(words)}
-    weight = np.array([idf[w] for w in words], np.float32)
+    weight = np.array([idf[w] for w in words])
+    rows = passages.repartition(4, "item_id", "text").sortWithinPartitions("item_id", "text").select("text")
 
     def times(g: np.ndarray) -> np.ndarray:
         def run(batches):
@@ -96,52 +107,60 @@ def latent_directions(benchmark: DataFrame, idf: dict[bytes, float], rank: int =
                         x = x / np.linalg.norm(x)
                         total[at] += np.outer(x, x @ g[at])
             used = np.nonzero(total.any(axis=1))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(total[used].astype(np.float64)), pa.list_(pa.float64()))], names=["w", "row"])
+            fixed = np.round(total[used] * (1 << 40)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(fixed), pa.list_(pa.int64()))], names=["w", "row"])
 
-        parts = benchmark.select("text").mapInArrow(run, "w long, row array<double>")
+        parts = rows.mapInArrow(run, "w long, row array<long>")
         summed = parts.select("w", F.posexplode("row")).groupBy("w", "pos").agg(F.sum("col").alias("v")).groupBy("w").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("r"))
         out = np.zeros_like(g)
         for r in summed.select("w", F.col("r.v").alias("v")).collect():
-            out[r["w"]] = r["v"]
+            out[r["w"]] = np.array(r["v"], np.float64) / (1 << 40)
         return out
 
-    g = np.random.default_rng(11).standard_normal((len(words), min(rank, len(words)))).astype(np.float32)
+    sketch = min(rank + rank // 4 + 16, len(words))
+    g = np.linalg.qr(np.random.default_rng(11).standard_normal((len(words), sketch)))[0]
     for _ in range(power):
-        g = np.linalg.qr(times(g))[0].astype(np.float32)
-    return words, g
-
-
-def _blocks(docs: DataFrame, benchmark: DataFrame, rank: int) -> list[dict]:
-    """For each pass: the items, their words' weights, and the latent models of its blocks."""
-    rows = [(r["item_id"], r["text"]) for r in benchmark.select("item_id", "text").collect()]
-    items = sorted(((i, words_of(t), t) for i, t in rows if words_of(t)), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-    if not items:
-        return []
-    n, df = document_frequencies(docs, sorted({w for _, ws, _ in items for w in ws}))
+        g = np.linalg.qr(times(g))[0]
+    # the best directions within the sketch
+    values, turn = np.linalg.eigh(g.T @ times(g))
+    return words, g @ turn[:, np.argsort(-values)[:rank]]
+
+
+def _passes(benchmark: DataFrame) -> list[DataFrame]:
+    """The benchmark's passes: item_id, text, block."""
+    b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length("text") > 0)
+    size = b.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(-(-size["n"] // ITEMS_IN_BLOCK), -(-size["bytes"] // BYTES_IN_BLOCK))
+    b = b.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, blocks))))
+    return [b.where(F.col("block").between(at, at + BLOCKS_IN_PASS - 1)) for at in range(0, blocks, BLOCKS_IN_PASS)]
+
+
+def _model(docs: DataFrame, part: DataFrame, rank: int | None = None) -> dict | None:
+    """One pass: the items, their words' weights, and the latent models of its blocks."""
+    rows = [(r["block"], r["item_id"], words_of(r["text"])) for r in part.collect()]
+    rows = sorted((r for r in rows if r[2]), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
+    if not rows:
+        return None
+    n, df = document_frequencies(docs, sorted({w for *_, ws in rows for w in ws}))
     idf = lambda w: min(CAP, math.log((n + SMOOTH) / (1 + df.get(w, 0))) + 0.1)
-    spark, out = docs.sparkSession, []
-    for at in range(0, len(items), ITEMS_IN_PASS):
-        part = items[at : at + ITEMS_IN_PASS]
-        weights = {w: idf(w) for _, ws, _ in part for w in ws}
-        latent = []
-        for k in range(0, len(part), ITEMS_IN_BLOCK):
-            block = part[k : k + ITEMS_IN_BLOCK]
-            own = {w: weights[w] for _, ws, _ in block for w in ws}
-            passages = spark.createDataFrame([(t,) for *_, t in block], "text string").repartition(4)
-            words, v = latent_directions(passages, own, rank)
-            place = {w: i for i, w in enumerate(words)}
-            coordinates, norms, off = [], [], []
-            for _, ws, _ in block:
-                i = np.unique([place[w] for w in ws])
-                x = np.array([own[words[j]] for j in i])
-                norms.append(float(np.linalg.norm(x)))
-                coordinates.append((x @ v[i]) / norms[-1])
-                back = v @ (x @ v[i]).astype(np.float32)
-                back[i] -= x
-                off.append(float(np.linalg.norm(back)))  # what a product with this item may be off by, for a window of length 1
-            latent.append((k, words, v, np.array(coordinates, np.float32), np.array(norms), np.array(off)))
-        out.append({"items": [(i, ws) for i, ws, _ in part], "weights": weights, "latent": latent, "other": idf(b"")})
-    return out
+    weights, latent = {w: idf(w) for *_, ws in rows for w in ws}, []
+    for number in sorted({r[0] for r in rows}):
+        own = [k for k, r in enumerate(rows) if r[0] == number]
+        mine = {w: weights[w] for k in own for w in rows[k][2]}
+        words, v = latent_directions(part.where(F.col("block") == number), mine, rank or min(RANK, max(1, 3 * len(own) // 4)))
+        latent.append((np.array(own), words, *fitted([rows[k][2] for k in own], words, mine, v)))
+    return {"items": [(i, ws) for _, i, ws in rows], "weights": weights, "latent": latent, "other": idf(b"")}
+
+
+def fitted(items: list[list[bytes]], words: list[bytes], weights: dict[bytes, float], v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(directions, latent coordinates of the items, which count as of length 1)."""
+    place = {w: i for i, w in enumerate(words)}
+    coordinates = []
+    for ws in items:
+        i = np.unique([place[w] for w in ws])
+        x = np.array([weights[words[j]] for j in i])
+        coordinates.append((x @ v[i]) / np.linalg.norm(x))
+    return v.astype(np.float32), np.array(coordinates, np.float32)
 
 
 def least_weight(counts: list[int], squares: list[float], need: float) -> float:
@@ -166,16 +185,7 @@ class Matcher:
         self.other = len(vocabulary)
         self.square = self.weight.astype(np.float64) ** 2
         self.width = np.array([1 << max(4, math.ceil(math.log2(2 * len(ws)))) for _, ws in self.items])
-        self.latent = []
-        for first, words, v, coordinates, norms, off in model["latent"]:
-            table = np.zeros((self.other + 1, v.shape[1]), np.float32)
-            table[[self.number[w] for w in words]] = v * np.array([model["weights"][w] for w in words], np.float32)[:, None]
-            # folding in and the products with items are both linear: for the items of each width one table does both
-            for width in np.unique(self.width[first : first + len(norms)]):
-                own = np.nonzero(self.width[first : first + len(norms)] == width)[0]
-                self.latent.append((width, first + own, table @ coordinates[own].T, norms[own], off[own]))
-        self.floor, self.called = np.zeros(len(self.items)), {}
-        rare_floor: dict = {}
+        self.floor, rare_floor, rarest = np.zeros(len(self.items)), np.zeros(len(self.items)), []
         for k, (_, ws) in enumerate(self.items):
             need = math.ceil(share * len(ws) - 1e-9)
             count = Counter(self.number[w] for w in ws)
@@ -183,15 +193,36 @@ class Matcher:
             # rarest words at RARE of the item's places: what the LCS lacks without them, they must bring
             rare, places = [], 0
             for w in sorted(count, key=lambda w: (-self.square[w], w)):
-                if places >= RARE * len(ws):
+                if places >= max(RARE, 1.1 - share) * len(ws):
                     break
                 rare.append(w)
                 places += count[w]
-            width = int(self.width[k])
-            brought = least_weight([count[w] for w in rare], [self.square[w] for w in rare], need - (len(ws) - places))
-            self.called.setdefault(width, np.zeros(self.other + 1, bool))[rare] = True
-            rare_floor[width] = min(rare_floor.get(width, math.inf), brought)
-        self.rare_floor = rare_floor
+            rare_floor[k] = least_weight([count[w] for w in rare], [self.square[w] for w in rare], need - (len(ws) - places))
+            rarest.append(rare)
+        # items of one width that need about as much are looked at together: (width, floor, words called for, latent tables)
+        level = np.floor(np.log2(np.maximum(rare_floor, 1e-3)) * LEVELS).astype(int)
+        self.groups = []
+        for width, lv in sorted(set(zip(self.width.tolist(), level.tolist()))):
+            members = np.nonzero((self.width == width) & (level == lv))[0]
+            called = np.zeros(self.other + 1, bool)
+            for k in members:
+                called[rarest[k]] = True
+            self.groups.append((width, rare_floor[members].min(), called, []))
+        self.ever = np.logical_or.reduce([g[2] for g in self.groups])
+        self.masks = [(masks([self.number[w] for w in ws]), masks([self.number[w] for w in ws[-max(1, -(-len(ws) // 3)) :]])) for _, ws in self.items]
+        for own, words, v, coordinates in model["latent"]:
+            table = np.zeros((self.other + 1, v.shape[1]), np.float32)
+            table[[self.number[w] for w in words]] = v * np.array([model["weights"][w] for w in words], np.float32)[:, None]
+            # folding in and the products with items are both linear: for the items of a group one table does both
+            at = {k: j for j, k in enumerate(own)}
+            for group, (width, lv) in zip(self.groups, sorted(set(zip(self.width.tolist(), level.tolist())))):
+                mine = np.array([k for k in own if self.width[k] == width and level[k] == lv], int)
+                if len(mine):
+                    exact = np.zeros((self.other + 1, len(mine)), np.float32)
+                    for j, k in enumerate(mine):
+                        words_of_item = list(self.masks[k][0])
+                        exact[words_of_item, j] = self.square[words_of_item]
+                    group[3].append((mine, np.hstack([table @ coordinates[[at[k] for k in mine]].T, exact])))
 
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text its (item_id, cosine, lcs, answer), best for each item."""
@@ -201,23 +232,30 @@ class Matcher:
         n = int(lengths.sum())
         if n:
             ids = np.fromiter(map(self.number.get, chain.from_iterable(docs), repeat(self.other)), np.int32, n)
+            del docs
             starts = np.concatenate([[0], np.cumsum(lengths)])
-            square = self.square[ids]
-            whole = np.concatenate([[0], np.cumsum(square)])
-            for width, called in self.called.items():
+            places = np.nonzero(self.ever[ids])[0]  # words that any item calls for
+            word, owner = ids[places], np.searchsorted(starts, places, side="right") - 1
+            weight, inside = self.square[word], places - starts[owner]
+            for width, rare_floor, called, latent in self.groups:
                 step = width // 2
                 windows = np.maximum(1, -(-(lengths - width) // step) + 1) * (lengths > 0)
-                doc = np.repeat(np.arange(len(docs)), windows)
-                begins = starts[doc] + step * (np.arange(len(doc)) - np.repeat(np.cumsum(windows) - windows, windows))
+                first = np.concatenate([[0], np.cumsum(windows)])
+                mine = called[word]
+                d, half, w = owner[mine], inside[mine] // step, weight[mine]
+                # a half belongs to the window that it begins and to the one before; repeats count once in a window's vector, so this is at least what it holds
+                left, right = half < windows[d], half > 0
+                held = np.bincount((first[d] + half)[left], w[left], first[-1]) + np.bincount((first[d] + half - 1)[right], w[right], first[-1])
+                at = np.nonzero(held >= rare_floor * (1 - 1e-6))[0]
+                doc = np.searchsorted(first, at, side="right") - 1
+                begins = starts[doc] + step * (at - first[doc])
                 ends = np.minimum(begins + width, starts[doc + 1])
-                asked = np.concatenate([[0], np.cumsum(np.where(called[ids], square, 0))])
-                # repeats count once in a window's vector, so what it holds of the words called for is this at most
-                at = np.nonzero(asked[ends] - asked[begins] >= self.rare_floor[width] * (1 - 1e-6))[0]
-                for part in np.array_split(at, -(-len(at) * width // (1 << 17))) if len(at) else []:
-                    self._search(docs, ids, starts, doc[part], begins[part], ends[part], width, found)
+                parts = -(-len(at) * width // WORDS_AT_ONCE)
+                for part in np.array_split(np.arange(len(at)), parts) if parts else []:
+                    self._search(ids, starts, doc[part], begins[part], ends[part], width, latent, found)
         return [[(self.items[k][0], *v) for k, v in sorted(f.items())] for f in found]
 
-    def _search(self, docs, ids, starts, doc, begins, ends, width, found):
+    def _search(self, ids, starts, doc, begins, ends, width, latent, found):
         places = begins[:, None] + np.arange(width)
         rows = np.where(places < ends[:, None], ids[np.minimum(places, len(ids) - 1)], -1)
         spare = (rows == self.other).sum(axis=1) * self.square[-1]  # other words are taken as distinct
@@ -226,62 +264,62 @@ class Matcher:
         fresh[:, 1:] &= rows[:, 1:] != rows[:, :-1]
         counts = fresh.sum(axis=1)
         flat, first = rows[fresh], np.cumsum(counts) - counts
-        mine = np.add.reduceat(self.square[flat], first)
-        norm = np.sqrt(mine + spare)
-        for wide, own, table, norms, off in self.latent:
-            if wide != width:
-                continue
+        norm = np.sqrt(np.add.reduceat(self.square[flat], first) + spare)
+        for own, table in latent:
             product = np.add.reduceat(table[flat], first, axis=0)
-            cos = product / norm[:, None]
-            # the product that the LCS share takes, less what the factorisation may be off by
-            least = self.floor[own] * (1 - 1e-4) - np.sqrt(mine)[:, None] * off
-            for i, j in zip(*np.nonzero((cos >= self.limits[0]) | (product * norms >= least))):
-                self._check(docs, starts, int(doc[i]), int(begins[i]), int(ends[i]), int(own[j]), float(cos[i, j]), found)
-
-    def _check(self, docs, starts, d, begin, end, k, cos, found):
-        item = self.items[k][1]
-        m = len(item)
-        words = docs[d][max(0, begin - m - int(starts[d])) : end + m - int(starts[d])]
-        share = lcs(item, words) / m
+            cos, exact = product[:, : len(own)] / norm[:, None], product[:, len(own) :]
+            for i, j in zip(*np.nonzero((cos >= self.limits[0]) | (exact >= self.floor[own] * (1 - 1e-4)))):
+                self._check(ids, starts, int(doc[i]), int(begins[i]), int(ends[i]), int(own[j]), float(cos[i, j]), found)
+
+    def _check(self, ids, starts, d, begin, end, k, cos, found):
+        (item, tail), m = self.masks[k], len(self.items[k][1])
+        words = ids[max(begin - m, starts[d]) : min(end + m, starts[d + 1])].tolist()
+        share = lcs(item, m, words, math.ceil(self.limits[1] * m - 1e-9)) / m
         if share < self.limits[1]:
             return
-        tail = item[-max(1, -(-m // 3)) :]
-        answer = lcs(tail, words) / len(tail)
+        n = max(1, -(-m // 3))
+        answer = lcs(tail, n, words) / n
         if answer >= self.limits[2]:
             found[d][k] = max(found[d].get(k, (0.0, 0.0, 0.0)), (round(cos, 6), round(share, 6), round(answer, 6)), key=lambda v: (v[1], v[0]))
 
 
-def _matchers(models: list[dict], limits: tuple) -> list[Matcher]:
-    """Built once for each task (models come with the task's closure)."""
-    return [Matcher(m, *limits) for m in models]
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share: float = LCS, answer: float = ANSWER, rank: int = RANK) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share: float = LCS, answer: float = ANSWER, rank: int | None = None) -> DataFrame:
     """doc_id, item_id, cosine, lcs, answer: a row for each document and benchmark item found in it."""
-    models = _blocks(docs, benchmark, rank)
+    schema = "doc_id long, item_id long, cosine double, lcs double, answer double"
+    rows, out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), []
+    parts = _passes(benchmark)
+    for part in parts:
+        if model := _model(docs, part, rank):
+            found = rows.mapInArrow(_finder(model, (cosine, share, answer)), schema)
+            out.append(found if len(parts) == 1 else saved(found, "found"))
+    return reduce(DataFrame.unionAll, out) if out else docs.sparkSession.createDataFrame([], schema)
+
 
+def _finder(model: dict, limits: tuple):
     def run(batches):
-        matchers = _matchers(models, (cosine, share, answer))
+        matcher = Matcher(model, *limits)
         for b in batches:
             for part in pieces(b, 1):
                 ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                rows = [(i, *hit) for m in matchers for i, hits in zip(ids, m.find(texts)) for hit in hits]
+                rows = [(i, *hit) for i, hits in zip(ids, matcher.find(texts)) for hit in hits]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "cosine", "lcs", "answer"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, cosine double, lcs double, answer double")
+    return run
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share: float = LCS, answer: float = ANSWER, rank: int = RANK) -> DataFrame:
-    """Documents in which no benchmark item was found, columns kept."""
-    models = _blocks(docs, benchmark, rank)
+def decontaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, share: float = LCS, answer: float = ANSWER, rank: int | None = None) -> DataFrame:
+    """Documents in which no benchmark item was found, columns kept. Each pass works on what the one before it left."""
+    parts, left = _passes(benchmark), docs
+    for part in parts:
+        if model := _model(docs, part, rank):
+            left = filter_rows(left, _clean(model, (cosine, share, answer)))
+            left = left if len(parts) == 1 else saved(left, "clean")
+    return left
 
-    def predicate():
-        matchers = _matchers(models, (cosine, share, answer))
-
-        def keep(texts):
-            hits = [m.find(texts) for m in matchers]
-            return [not any(h[i] for h in hits) for i in range(len(texts))]
 
-        return keep
+def _clean(model: dict, limits: tuple):
+    def predicate():
+        matcher = Matcher(model, *limits)
+        return lambda texts: [not hits for hits in matcher.find(texts)]
 
-    return filter_rows(docs, predicate)
+    return predicate
