@@ -17,8 +17,8 @@ def price_table(spark) -> DataFrame:
 
 
 def call_cost(calls: DataFrame, prices: DataFrame | None = None, limit: int = LONG_CONTEXT) -> DataFrame:
-    """Adds cost (null if unknown) and limitation (why). The order of the checks decides the label. The price list is a fixed few rows."""
-    j = calls.join(F.broadcast(prices if prices is not None else price_table(calls.sparkSession)), "model", "left")
+    """Adds cost (null if unknown) and limitation (why). The order of the checks decides the label. The fixed price list has a few rows; a caller's own is joined as its size calls for."""
+    j = calls.join(F.broadcast(price_table(calls.sparkSession)) if prices is None else prices, "model", "left")
     parts = ("input_tokens", "cached_tokens", "write_tokens", "output_tokens")
     bad = F.lit(False)
     for c in parts:

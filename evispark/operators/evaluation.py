@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -140,27 +142,48 @@ def execution_order(cases: DataFrame, cells: list[str]) -> DataFrame:
 
 
 def resolve_locators(locators: DataFrame, spans: DataFrame) -> DataFrame:
-    """loc, n, line_no: optional constraints restrict only where given; a locator must match exactly one span."""
-    s = spans.select(F.col("doc_id").alias("d"), F.col("line_no").alias("ln"), F.col("section").alias("sec"), F.col("text").alias("st"))
-    same = lambda a, b: F.col(a).isNull() | (F.col(a) == F.col(b))
-    j = locators.join(s, (F.col("doc_id") == F.col("d")) & same("line_no", "ln") & same("prefix_section", "sec"), "left")
-    g = j.groupBy("loc").agg(F.count("d").alias("n"), F.min("ln").alias("ln"))
-    return g.select("loc", "n", F.when(F.col("n") == 1, F.col("ln")).alias("line_no"))
+    """loc, n, line_no: optional constraints restrict only where given; a locator must match exactly one span.
+
+    Spans are counted for each set of constraints, so that a locator without any meets a count and not all lines.
+    """
+    case = lambda line, section: line.isNotNull().cast("int") + 2 * section.isNotNull().cast("int")
+    each = spans.select("doc_id", "line_no", "section", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("case"))
+    keys = [F.col("doc_id").alias("d"), F.col("case").alias("c"), F.when(F.col("case").isin(1, 3), F.col("line_no")).alias("ln"), F.when(F.col("case").isin(2, 3), F.col("section")).alias("sec")]
+    counted = each.groupBy(*keys).agg(F.count("*").alias("k"), F.min("line_no").alias("least"))
+    j = locators.withColumn("c2", case(F.col("line_no"), F.col("prefix_section")))
+    j = j.join(counted, (F.col("doc_id") == F.col("d")) & (F.col("c2") == F.col("c")) & F.col("line_no").eqNullSafe(F.col("ln")) & F.col("prefix_section").eqNullSafe(F.col("sec")), "left")
+    return j.select("loc", F.coalesce("k", F.lit(0)).alias("n"), F.when(F.col("k") == 1, F.col("least")).alias("line_no"))
+
+
+#: Quotes of so few words that they have no whole word inside are looked for in every text, so many at a time.
+SHORT_QUOTES_AT_ONCE, QUOTES_TO_BROADCAST = 1000, 100_000
 
 
 def quote_support(quotes: DataFrame, texts: DataFrame) -> DataFrame:
-    """item_id, doc_id: texts that hold a quote, white space normalised. Candidates share the quote's rarest word 5-gram, then ``contains`` decides."""
+    """item_id, doc_id: texts that hold a quote, white space normalised.
+
+    A quote's ends may be parts of words, so its key is the 5-gram (with 3 to 6 words: the word) after its first word. Texts'
+    keys that no quote has are dropped before anything is shuffled; ``contains`` decides on the texts of the candidates.
+    """
     norm = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    grams = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 5, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(c, i + 1, F.lit(5)), " ")))
     q = quotes.select("item_id", norm(F.col("text")).alias("quote")).withColumn("qs", F.split("quote", " "))
-    long, short = q.where(F.size("qs") >= 7), q.where(F.size("qs") < 7)
-    # the quote's ends may be parts of words, so the key is a gram inside it
-    keyed = long.select("item_id", "quote", F.get(grams(F.col("qs")), F.lit(1)).alias("g"))
+    n = F.size("qs")
+    keyed = q.where(n >= 3).select("item_id", "quote", F.xxhash64(F.when(n >= 7, F.array_join(F.slice("qs", 2, 5), " ")).otherwise(F.get("qs", F.lit(1)))).alias("g"))
     d = texts.select("doc_id", norm(F.col("text")).alias("t"))
-    probes = d.select("doc_id", F.explode(F.array_distinct(grams(F.split("t", " ")))).alias("g"))
-    cand = probes.join(keyed, "g").select("item_id", "quote", "doc_id").join(d, "doc_id").where(F.contains("t", "quote"))
-    few = d.join(F.broadcast(short), F.contains("t", "quote")) if short.head(1) else d.limit(0).withColumn("item_id", F.lit(0).cast("long"))
-    return cand.select("item_id", "doc_id").unionByName(few.select("item_id", "doc_id")).distinct()
+    # the words are an argument of the outer function, so that they are split once and not for every gram
+    grams = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - 4, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, F.lit(5)), " ")))
+    single = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
+    both = F.flatten(F.transform(F.array(F.split("t", " ")), lambda ws: F.array_distinct(F.concat(grams(ws), single(ws)))))
+    keys, few = keyed.select("g").distinct(), keyed.count()
+    probes = d.select("doc_id", F.explode(both).alias("g")).join(F.broadcast(keys) if few <= QUOTES_TO_BROADCAST else keys, "g", "left_semi")
+    pairs = probes.join(keyed, "g").select("item_id", "quote", "doc_id")
+    found = [pairs.join(d, "doc_id").where(F.contains("t", "quote")).select("item_id", "doc_id")]
+    short = q.where(n < 3).select("item_id", "quote")
+    blocks = -(-short.count() // SHORT_QUOTES_AT_ONCE)
+    for b in range(blocks):
+        some = short.where(F.pmod(F.xxhash64("item_id", "quote"), F.lit(blocks)) == b)
+        found.append(d.join(F.broadcast(some), F.contains("t", "quote")).select("item_id", "doc_id"))
+    return reduce(DataFrame.unionAll, found).distinct()
 
 
 def primary_latest(history: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 
 def collection_counters(sources: DataFrame) -> DataFrame:
@@ -60,18 +62,24 @@ def bounded_history(messages: DataFrame, k: int = 4, budget: int = 2000) -> Data
     return x.select("conv_id", "turn", "role", F.col("n").alias("n_bytes"), (F.col("n") < F.octet_length("text")).alias("truncated"), (F.col("total") > k).alias("omitted"))
 
 
-def retry_root(runs: DataFrame, parent: str = "retry_of", most: int = 8) -> DataFrame:
-    """id, root, hops, valid: pointer doubling up to 2^most hops; a missing ancestor or a cycle is invalid."""
-    cur = runs.select("id", F.coalesce(parent, "id").alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("hops"))
-    known = runs.select(F.col("id").alias("up"), F.lit(True).alias("known"))
-    for _ in range(most):
-        nxt = cur.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("h2"))
-        cur = cur.join(nxt, "up", "left").select("id", F.coalesce("up2", "up").alias("up"), (F.col("hops") + F.coalesce("h2", F.lit(0))).alias("hops"))
-        if not cur.where("hops > 0").head(1):
-            break
-    tops = runs.select(F.col("id").alias("up"), F.col(parent).isNull().alias("is_root"))
-    out = cur.join(tops, "up", "left").select("id", F.col("up").alias("root"), "hops", F.coalesce("is_root", F.lit(False)).alias("valid"))
-    return out.withColumn("root", F.when(F.col("valid"), F.col("root"))).withColumn("hops", F.when(F.col("valid"), F.col("hops")))
+def retry_root(runs: DataFrame, parent: str = "retry_of", conversation: str | None = None) -> DataFrame:
+    """id, root, hops, valid: pointer doubling until every run has its first ancestor, whatever the depth.
+
+    A missing ancestor, one of another conversation, or a cycle is invalid (hops double each round, so a run that still moves
+    when they exceed the number of runs is in a cycle). Each round is one join of a written table with itself.
+    """
+    p = runs.select(F.col("id").alias("_id"), (F.col(conversation) if conversation else F.lit(0)).alias("_conv"))
+    same = F.col("_conv").eqNullSafe(F.col(conversation)) if conversation else F.lit(True)
+    start, known = F.col(parent).isNull(), F.col("_id").isNotNull() & same
+    cur = runs.join(p, F.col(parent) == F.col("_id"), "left")
+    cur = cur.select("id", F.when(start, F.col("id")).when(known, F.col(parent)).alias("up"), F.when(start, F.lit(0)).otherwise(F.lit(1)).cast("long").alias("hops"), (start | ~known).alias("over"))
+    cur, n, reach = written(cur), runs.count(), 1
+    while reach <= 2 * n and cur.where("NOT over").head(1):
+        far = cur.select(F.col("id").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("h2"), F.col("over").alias("o2"))
+        moved = cur.where("NOT over").join(far, "up").select("id", F.col("up2").alias("up"), (F.col("hops") + F.col("h2")).alias("hops"), F.col("o2").alias("over"))
+        cur, reach = written(cur.where("over").unionByName(moved)), reach * 2
+    valid = F.col("over") & F.col("up").isNotNull()
+    return cur.select("id", F.when(valid, F.col("up")).alias("root"), F.when(valid, F.col("hops")).alias("hops"), valid.alias("valid"))
 
 
 def pair_operations(audit: DataFrame) -> DataFrame:

@@ -11,18 +11,22 @@ from . import retrieval as R
 POOL, PROTECTED = {"V0": 12, "V1": 20, "V2": 20, "V3": 64}, {"V1": 4, "V2": 4, "V3": 20}
 
 
-def search(variant: str, dense: DataFrame, bm25: DataFrame | None = None, verified: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_id, score, branches, place. V0 is dense only; V1 and V2 fuse all lanes; V3 has a pool of 64 for reranking.
+def protected(literal: DataFrame, phrase: DataFrame, n: int) -> DataFrame:
+    """query_id, chunk_id: the first ``n`` verified rows of each query, literal and phrase hits in turn."""
+    lane = lambda df, i: df.select("query_id", "chunk_id", F.lit(i).alias("lane"), F.col("rank").alias("pos"))
+    return R.interleave(lane(literal, 0).unionByName(lane(phrase, 1)), n, ["query_id"]).select("query_id", "chunk_id")
 
-    ``verified`` are literal or phrase rows (query_id, chunk_id, rank); they hold protected places and their share of the score.
+
+def search(variant: str, lanes: DataFrame) -> DataFrame:
+    """query_id, chunk_id, score, branches, place, of lane rows (query_id, chunk_id, rank, branch).
+
+    V0 is dense only; V1 and V2 fuse the dense, bm25, literal and phrase lanes; V3 has a pool of 64 for reranking. Verified rows
+    hold protected places and have their share of the score.
     """
-    n = POOL[variant]
-    if variant == "V0":
-        none = dense.select("query_id", "chunk_id").limit(0)
-        return R.fused_pool(R.rrf([("dense", dense)]), none, n)
-    lanes = [("dense", dense)] + [(name, df) for name, df in (("bm25", bm25), ("verified", verified)) if df is not None]
-    protected = (verified if verified is not None else dense.limit(0)).where(F.col("rank") <= PROTECTED[variant])
-    return R.fused_pool(R.rrf(lanes), protected.select("query_id", "chunk_id"), n)
+    of = lambda branch: lanes.where(F.col("branch") == branch)
+    names = ("dense",) if variant == "V0" else ("dense", "bm25", "literal", "phrase")
+    kept = protected(of("literal"), of("phrase"), PROTECTED[variant]) if variant != "V0" else lanes.limit(0)
+    return R.fused_pool(R.rrf([(n, of(n)) for n in names]), kept, POOL[variant])
 
 
 def receipt(requested: Column, delivered: Column, ready: Column, unavailable: Column, spans: Column, cap: int = E.IDS) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..functions import text as T
 from ..operators import evidence as E
 from ..operators import ingest as I
 from ..operators import retrieval as R
+from ..operators import search as X
+from ..sources.shared import written
 from .frames import frame, table, with_frames
 
 BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
@@ -51,7 +55,8 @@ def asked(spark, d):
 
 
 def bm25(spark, d):
-    return R.bm25_lane(asked(spark, d), R.postings(chunks(spark, d)))
+    q, c = asked(spark, d), chunks(spark, d)
+    return R.bm25_lane(q, R.postings(c, R.query_terms(q).select("term").distinct()), lens=R.chunk_lengths(c))
 
 
 def s1(spark, d):
@@ -94,17 +99,22 @@ def p7(spark, d):
     return docs(spark, d).select("doc_id", T.coverage_policy(F.col("text")).alias("policy"), T.global_absence(F.col("text"), F.lit("")).alias("absence"))
 
 
+def requests(spark, d):
+    """Requests of a hundred ids each, as many as the table calls for: ids over the whole table, with repeats and some unknown ones."""
+    i = F.col("doc_id")
+    wanted = F.when(i % 500 == 7, i + 1_000_000_000).otherwise(i - i % 3)
+    return docs(spark, d).groupBy(F.floor(i / 100).alias("req")).agg(F.sort_array(F.collect_list(wanted)).alias("ids"))
+
+
 def j3(spark, d):
-    ids = docs(spark, d).groupBy((F.col("doc_id") % 97).alias("req")).agg(F.sort_array(F.collect_list(F.col("doc_id") * 3 % 1200)).alias("ids"))
-    return E.lookup_lenient(ids, docs(spark, d).select(F.col("doc_id").alias("id"), "lang")).select("req", F.col("pos").cast("long").alias("pos"), "id", "lang")
+    return E.lookup_lenient(requests(spark, d), docs(spark, d).select(F.col("doc_id").alias("id"), "lang")).select("req", F.col("pos").cast("long").alias("pos"), "id", "lang")
 
 
 def j4(spark, d):
-    ids = docs(spark, d).groupBy((F.col("doc_id") % 97).alias("req")).agg(F.sort_array(F.collect_list(F.col("doc_id") * 3 % 1200)).alias("ids"))
-    return E.lookup_strict(ids, docs(spark, d).select(F.col("doc_id").alias("id"), "lang")).select("req", F.col("pos").cast("long").alias("pos"), "id", "accepted")
+    return E.lookup_strict(requests(spark, d), docs(spark, d).select(F.col("doc_id").alias("id"), "lang")).select("req", F.col("pos").cast("long").alias("pos"), "id", "accepted")
 
 
-REQ = "ids AS (SELECT doc_id % 97 AS req, list_sort(list(doc_id * 3 % 1200)) AS ids FROM documents GROUP BY 1), e AS (SELECT req, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS pos FROM ids)"
+REQ = "ids AS (SELECT doc_id // 100 AS req, list_sort(list(CASE WHEN doc_id % 500 = 7 THEN doc_id + 1000000000 ELSE doc_id - doc_id % 3 END)) AS ids FROM documents GROUP BY 1), e AS (SELECT req, unnest(ids) AS id, generate_subscripts(ids, 1) - 1 AS pos FROM ids)"
 
 
 def j6(spark, d):
@@ -146,64 +156,107 @@ def h4(spark, d):
     return R.interleave_sources(hits).select("query_id", "chunk_id", "place")
 
 
+def phrases(spark, d):
+    """A phrase of each benchmark query: its third to sixth word."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("phrase_no"), F.array_join(F.slice(T.tokens(F.col("text")), 3, 4), " ").alias("phrase"))
+
+
 def h5(spark, d):
-    ph = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("phrase_no"), F.array_join(F.slice(T.tokens(F.col("text")), 3, 4), " ").alias("phrase"))
-    return R.phrase_lane(ph, R.postings(chunks(spark, d))).select("query_id", "chunk_id", "hits", "rank")
+    q = R.query_terms(asked(spark, d)).select("term").distinct()
+    return R.phrase_lane(phrases(spark, d), R.postings(chunks(spark, d), q)).select("query_id", "chunk_id", "hits", "rank")
 
 
 def h6(spark, d):
     return R.proximity_rank(asked(spark, d), R.postings(chunks(spark, d)))
 
 
-def short_lane(spark, d):
-    c = chunks(spark, d).select("chunk_id", F.length("text").alias("n"))
-    x = bm25(spark, d).join(c, "chunk_id")
-    return x.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("n", "chunk_id"))).where("rank <= 30").select("query_id", "chunk_id", "rank")
+def lanes(spark, d):
+    """(chunks, lane rows): dense, BM25, literal and phrase lanes of all benchmark queries over all chunks, each made once."""
+    q, c = asked(spark, d), written(chunks(spark, d))
+    some = R.postings(c, R.query_terms(q).select("term").distinct())
+    vectors = R.embed(c, "text").select(F.lit("all").alias("collection"), "chunk_id", "v")
+    dense = R.dense_lane(R.embed(q, "text", role="query").select(F.lit("all").alias("collection"), "query_id", F.col("v").alias("qv")), vectors)
+    literal = R.interleave_sources(R.literal_hits(q, c)).withColumn("rank", F.col("place"))
+    each = [("dense", dense), ("bm25", R.bm25_lane(q, some, lens=R.chunk_lengths(c))), ("literal", literal), ("phrase", R.phrase_lane(phrases(spark, d), some))]
+    rows = [x.select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.lit(name).alias("branch")) for name, x in each]
+    return c, written(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]))
+
+
+LANES = rf"""slots AS (SELECT chunk_id, ('0x' || left(md5(w), 4))::INT % 64 AS slot, count(*) AS n FROM (SELECT chunk_id, unnest(list_prepend('passage', {TOK.format('text')})) AS w FROM chunks) GROUP BY ALL),
+qslots AS (SELECT query_id, ('0x' || left(md5(w), 4))::INT % 64 AS slot, count(*) AS n FROM (SELECT item_id AS query_id, unnest(list_prepend('query', {TOK.format('text')})) AS w FROM benchmark) GROUP BY ALL),
+norms AS (SELECT chunk_id, sqrt(sum(n * n)) AS len FROM slots GROUP BY 1), qnorms AS (SELECT query_id, sqrt(sum(n * n)) AS len FROM qslots GROUP BY 1), dots AS (SELECT query_id, chunk_id, sum(q.n * s.n) AS dot FROM qslots q JOIN slots s USING (slot) GROUP BY ALL),
+dense AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(dot, 0) / (q.len * s.len), 6) DESC, chunk_id) AS rank FROM qnorms q CROSS JOIN norms s LEFT JOIN dots USING (query_id, chunk_id)),
+{re.sub(r'\b(found|low|cut|ranked)\b', r'q\1', ID_SQL.replace('page_id', 'query_id').replace('html', 'text').replace('FROM pages', 'FROM (SELECT item_id AS query_id, text FROM benchmark)'))},
+{ID_SQL.replace('page_id', 'chunk_id').replace('html', 'text').replace('FROM pages', 'FROM chunks')},
+lh AS (SELECT q.query_id, q.r - 1 AS term_no, c.chunk_id, d.source, row_number() OVER (PARTITION BY q.query_id, q.r ORDER BY length(d.text), d.source, c.chunk_id) AS pos FROM qranked q JOIN cut c ON c.t = q.t JOIN chunks d ON d.chunk_id = c.chunk_id WHERE q.r <= 8),
+ll AS (SELECT *, min(pos) OVER (PARTITION BY query_id, term_no, source) AS lane, row_number() OVER (PARTITION BY query_id, term_no, source ORDER BY pos) AS inlane FROM lh WHERE pos <= 100),
+la AS (SELECT *, row_number() OVER (PARTITION BY query_id, term_no ORDER BY inlane, lane, chunk_id) AS p FROM ll), lb AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY p, term_no) AS f FROM la WHERE p <= 100),
+literal AS (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, term_no, chunk_id) AS rank FROM lb WHERE f = 1) WHERE rank <= 20),
+w AS (SELECT item_id AS query_id, unnest(list_slice({TOK.format('text')}, 3, 6)) AS term, generate_subscripts(list_slice({TOK.format('text')}, 3, 6), 1) - 1 AS i FROM benchmark), ww AS (SELECT * FROM w WHERE term NOT IN {STOP}),
+sz AS (SELECT query_id, count(*) AS size FROM ww GROUP BY 1), st AS (SELECT query_id, chunk_id, pos - i AS s, count(*) AS n FROM ww JOIN toks USING (term) GROUP BY ALL), ph AS (SELECT query_id, chunk_id, count(*) AS hits FROM st JOIN sz USING (query_id) WHERE n = size GROUP BY ALL),
+phrase AS (SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS rank FROM ph) WHERE rank <= 20),
+lane_rows AS (SELECT query_id, chunk_id, rank, 'dense' AS branch FROM dense WHERE rank <= 100 UNION ALL SELECT query_id, chunk_id, rank, 'bm25' FROM bm25 UNION ALL SELECT query_id, chunk_id, rank, 'literal' FROM literal UNION ALL SELECT query_id, chunk_id, rank, 'phrase' FROM phrase)"""
+FUSED = "fused AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(DISTINCT branch, ',' ORDER BY branch) AS branches FROM lane_rows GROUP BY query_id, chunk_id)"
+PROTECTED = """verified AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY rank, lane) AS k FROM (SELECT query_id, chunk_id, rank, 0 AS lane FROM literal UNION ALL SELECT query_id, chunk_id, rank, 1 FROM phrase)),
+prot AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, lane, chunk_id) AS place FROM verified WHERE k = 1)"""
 
 
-SHORT = "short AS (SELECT query_id, chunk_id, rank FROM (SELECT query_id, b.chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY length(c.text), b.chunk_id) AS rank FROM bm25 b JOIN chunks c ON c.chunk_id = b.chunk_id) WHERE rank <= 30)"
-FUSED = "fused AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(DISTINCT branch, ',' ORDER BY branch) AS branches FROM (SELECT query_id, chunk_id, rank, 'bm25' AS branch FROM bm25 UNION ALL SELECT query_id, chunk_id, rank, 'short' FROM short) GROUP BY ALL)"
-POOL = """prot AS (SELECT query_id, chunk_id FROM short WHERE rank <= 4),
-pool AS (SELECT query_id, chunk_id, score, branches FROM (SELECT f.*, row_number() OVER (PARTITION BY f.query_id ORDER BY CASE WHEN p.chunk_id IS NULL THEN 1 ELSE 0 END, f.score DESC, f.chunk_id) AS r FROM fused f LEFT JOIN prot p ON p.query_id = f.query_id AND p.chunk_id = f.chunk_id) WHERE r <= 20)"""
+def pool_sql(n: int, kept: int) -> str:
+    return f"SELECT query_id, chunk_id, score, branches FROM (SELECT f.*, row_number() OVER (PARTITION BY f.query_id ORDER BY CASE WHEN p.chunk_id IS NULL THEN 1 ELSE 0 END, f.score DESC, f.chunk_id) AS r FROM fused f LEFT JOIN prot p ON p.query_id = f.query_id AND p.chunk_id = f.chunk_id AND p.place <= {kept}) WHERE r <= {n}"
 
 
-def lanes(spark, d):
-    return [("bm25", bm25(spark, d)), ("short", short_lane(spark, d))]
+POOL = f"{PROTECTED}, pool AS ({pool_sql(20, 4)})"
 
 
 def h7(spark, d):
-    return R.rrf(lanes(spark, d))
+    rows = lanes(spark, d)[1]
+    return R.rrf([(n, rows.where(F.col("branch") == n)) for n in ("dense", "bm25", "literal", "phrase")])
+
+
+def pooled(spark, d):
+    """(chunks, pool of the hybrid variant)."""
+    c, rows = lanes(spark, d)
+    return c, X.search("V1", rows)
 
 
 def pool(spark, d):
-    two = lanes(spark, d)
-    return R.fused_pool(R.rrf(two), two[1][1].where("rank <= 4"), 20)
+    return pooled(spark, d)[1]
 
 
 def h8(spark, d):
     return pool(spark, d).select("query_id", "chunk_id", "score", "branches", "place")
 
 
+def h9(spark, d):
+    """All variants over the same lanes."""
+    rows = lanes(spark, d)[1]
+    each = [X.search(v, rows).select(F.lit(v).alias("variant"), "query_id", "chunk_id", "place") for v in ("V0", "V1", "V2", "V3")]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
 def h10(spark, d):
-    return R.hydrate(pool(spark, d), chunks(spark, d), 40).select("query_id", "chunk_id", "source", "snippet", F.col("n_bytes").cast("long").alias("n_bytes"))
+    c, p = pooled(spark, d)
+    return R.hydrate(p, c, 40).select("query_id", "chunk_id", "source", "snippet", F.col("n_bytes").cast("long").alias("n_bytes"))
 
 
 def h11(spark, d):
-    return R.rerank(pool(spark, d), chunks(spark, d), asked(spark, d)).select("query_id", "chunk_id", "rerank", "place")
+    c, p = pooled(spark, d)
+    return R.rerank(p, c, asked(spark, d)).select("query_id", "chunk_id", "rerank", "place")
 
 
 def h12(spark, d):
-    return pool(spark, d).groupBy("query_id").agg(F.count("*").alias("pool"), F.count_if(F.col("branches") == "bm25,short").alias("both"))
+    counts = [F.count_if(F.contains(F.col("branches"), F.lit(n))).alias(n) for n in ("dense", "bm25", "literal", "phrase")]
+    return pool(spark, d).groupBy("query_id").agg(F.count("*").alias("pool"), *counts)
 
 
 def w8(spark, d):
-    x = bm25(spark, d).where("rank <= 30").select("query_id", "chunk_id", F.lit(0).alias("lane"), F.col("rank").alias("pos")).unionByName(short_lane(spark, d).select("query_id", "chunk_id", F.lit(1).alias("lane"), F.col("rank").alias("pos")))
+    rows = lanes(spark, d)[1].where("branch IN ('bm25', 'dense') AND rank <= 30")
+    x = rows.select("query_id", "chunk_id", F.when(F.col("branch") == "bm25", 0).otherwise(1).alias("lane"), F.col("rank").alias("pos"))
     return R.interleave(x, 20, ["query_id"]).select("query_id", "chunk_id", "place")
 
 
 def h13(spark, d):
-    ids = docs(spark, d).groupBy((F.col("doc_id") % 97).alias("req")).agg(F.sort_array(F.collect_list(F.col("doc_id") * 3 % 1200)).alias("ids"))
-    return E.read_evidence(ids, docs(spark, d).select(F.col("doc_id").alias("id"), "text"), budget=9000)
+    return E.read_evidence(requests(spark, d), docs(spark, d).select(F.col("doc_id").alias("id"), "text"), budget=9000)
 
 
 def w6(spark, d):
@@ -220,7 +273,7 @@ def k6(spark, d):
 
 
 def h15(spark, d):
-    x = docs(spark, d).groupBy((F.col("doc_id") % 50).alias("req"), (F.col("doc_id") % 4).alias("group_no")).agg(F.sort_array(F.collect_list(F.floor(F.col("doc_id") / 7).cast("long"))).alias("ids"))
+    x = docs(spark, d).groupBy(F.floor(F.col("doc_id") / 60).alias("req"), (F.col("doc_id") % 4).alias("group_no")).agg(F.sort_array(F.collect_list(F.floor(F.col("doc_id") / 7).cast("long"))).alias("ids"))
     return E.merge_evidence(x, 8)
 
 
@@ -291,9 +344,9 @@ def c9(spark, d):
 
 
 def c10(spark, d):
-    p = table(spark, d, "pages")
     label = F.concat_ws(" ", F.left("url", F.lit(512)), F.concat(F.lit("page-"), F.col("page_id").cast("string")))
-    return p.select("page_id", F.md5(F.concat_ws("\n", label, F.left("html", F.lit(2000)))).alias("search_hash"), T.identifier_lexemes(F.col("url")).alias("lexemes"))
+    p = table(spark, d, "pages").select("page_id", F.concat_ws("\n", label, F.col("html")).alias("search_text"))
+    return p.select("page_id", F.md5("search_text").alias("search_hash"), T.identifier_lexemes(F.col("search_text")).alias("lexemes"))
 
 
 def d28(spark, d):
@@ -301,7 +354,11 @@ def d28(spark, d):
 
 
 def d29(spark, d):
-    return docs(spark, d).groupBy("source").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", F.col("doc_id").cast("string"), F.sha2("text", 256)))), ";"), 256).alias("digest"))
+    """A source's digest: of the digests of its documents by hundreds of ids, so that no group holds a source."""
+    x = docs(spark, d).select("source", F.struct("doc_id", F.sha2("text", 256).alias("h")).alias("x"))
+    parts = x.groupBy("source", F.floor(F.col("x.doc_id") / 100).alias("part")).agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    parts = parts.select("source", F.struct("part", F.sha2(F.array_join(F.transform("xs", lambda x: F.concat_ws("|", x["doc_id"].cast("string"), x["h"])), ";"), 256).alias("h")).alias("p"))
+    return parts.groupBy("source").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["h"]), ";"), 256).alias("digest"))
 
 
 def d30(spark, d):
@@ -337,6 +394,12 @@ READ = """k AS (SELECT e.req, e.id, min(pos) AS pos, max(strlen(s.text)) AS n FR
 f AS (SELECT req, i, CASE WHEN n <= {b} THEN n ELSE 0 END AS used, CASE WHEN n <= {b} THEN [id] ELSE [] END AS ids FROM t WHERE i = 1 UNION ALL SELECT t.req, t.i, CASE WHEN f.used + t.n <= {b} THEN f.used + t.n ELSE f.used END, CASE WHEN f.used + t.n <= {b} THEN list_append(f.ids, t.id) ELSE f.ids END FROM f JOIN t ON t.req = f.req AND t.i = f.i + 1),
 z AS (SELECT *, max(i) OVER (PARTITION BY req) AS m FROM f) SELECT req, m AS requested, len(ids) AS delivered, used::BIGINT AS used_bytes, len(ids) < m AS truncated, array_to_string(ids, ',') AS ids FROM z WHERE i = m"""
 UNCOVERED = C5_SQL.split(", h AS (SELECT")[0] if ", h AS (SELECT" in C5_SQL else C5_SQL.split("\nh AS (SELECT")[0].rstrip(",")
+def pages_sql(size: int) -> str:
+    return f"""WITH RECURSIVE {SPANS}, p AS (SELECT source, doc_id, line_no, unnest(range(0, ceil(strlen(text) / {size})::BIGINT)) AS piece, strlen(text) AS size FROM spans),
+r AS (SELECT *, least({size}, size - piece * {size}) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id, line_no, piece) AS i FROM p), t AS (SELECT * FROM r WHERE i <= 256),
+f AS (SELECT source, i, doc_id, n, 1 AS page, n AS used, 1 AS cnt FROM t WHERE i = 1 UNION ALL SELECT t.source, t.i, t.doc_id, t.n, CASE WHEN f.used + t.n > {size} OR f.cnt >= 64 THEN f.page + 1 ELSE f.page END, CASE WHEN f.used + t.n > {size} OR f.cnt >= 64 THEN t.n ELSE f.used + t.n END, CASE WHEN f.used + t.n > {size} OR f.cnt >= 64 THEN 1 ELSE f.cnt + 1 END FROM f JOIN t ON t.source = f.source AND t.i = f.i + 1)"""
+
+
 PLACE_RE = "archive|collection|library|documents|records|sources"
 
 QUERIES = {
@@ -368,24 +431,22 @@ sz AS (SELECT query_id, count(*) AS size FROM ww GROUP BY 1), st AS (SELECT quer
 h AS (SELECT query_id, chunk_id, count(*) AS hits FROM st JOIN sz USING (query_id) WHERE n = size GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, chunk_id) AS rank FROM h) WHERE rank <= 20"""),
     "h6_proximity_rank": (h6, f"WITH {SPANS}, {CHUNKS}, {POSTED}, {QTERMS}, fp AS (SELECT chunk_id, term, min(pos) AS p FROM toks GROUP BY ALL) SELECT query_id, chunk_id, round(count(*) / (max(p) - min(p) + 1), 6) AS proximity FROM qt JOIN fp USING (term) GROUP BY ALL"),
-    "h7_rrf": (h7, f"{CHAIN}, {SHORT}, {FUSED} SELECT * FROM fused"),
-    "h8_fused_pool": (h8, f"{CHAIN}, {SHORT}, {FUSED}, {POOL} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM pool"),
-    "h10_hydrate": (h10, f"{CHAIN}, {SHORT}, {FUSED}, {POOL} SELECT query_id, p.chunk_id, source, left(text, len(list_filter(range(1, 41), lambda k: strlen(left(text, k)) <= 40))) AS snippet, strlen(text)::BIGINT AS n_bytes FROM pool p JOIN chunks c ON c.chunk_id = p.chunk_id"),
-    "h11_rerank": (h11, f"""{CHAIN}, {SHORT}, {FUSED}, {POOL}, hits AS (SELECT query_id, chunk_id, count(*) AS k FROM qt JOIN posted USING (term) GROUP BY ALL), qs AS (SELECT query_id, count(*) AS m FROM qt GROUP BY ALL),
+    "h7_rrf": (h7, f"{CHAIN}, {LANES}, {FUSED} SELECT * FROM fused"),
+    "h8_fused_pool": (h8, f"{CHAIN}, {LANES}, {FUSED}, {POOL} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place FROM pool"),
+    "h9_search_variants": (h9, f"{CHAIN}, {LANES}, {FUSED}, {PROTECTED}, un AS (SELECT 'V0' AS variant, query_id, chunk_id, round(1.0 / (60 + rank), 9) AS score FROM dense WHERE rank <= 12 UNION ALL SELECT 'V1', query_id, chunk_id, score FROM ({pool_sql(20, 4)}) UNION ALL SELECT 'V2', query_id, chunk_id, score FROM ({pool_sql(20, 4)}) UNION ALL SELECT 'V3', query_id, chunk_id, score FROM ({pool_sql(64, 20)})) SELECT variant, query_id, chunk_id, row_number() OVER (PARTITION BY variant, query_id ORDER BY score DESC, chunk_id) AS place FROM un"),
+    "h10_hydrate": (h10, f"{CHAIN}, {LANES}, {FUSED}, {POOL} SELECT query_id, p.chunk_id, source, left(text, len(list_filter(range(1, 41), lambda k: strlen(left(text, k)) <= 40))) AS snippet, strlen(text)::BIGINT AS n_bytes FROM pool p JOIN chunks c ON c.chunk_id = p.chunk_id"),
+    "h11_rerank": (h11, f"""{CHAIN}, {LANES}, {FUSED}, {POOL}, hits AS (SELECT query_id, chunk_id, count(*) AS k FROM qt JOIN posted USING (term) GROUP BY ALL), qs AS (SELECT query_id, count(*) AS m FROM qt GROUP BY ALL),
 s AS (SELECT p.query_id, p.chunk_id, p.score, round(coalesce(k, 0) / m, 6) AS rerank FROM pool p JOIN qs ON qs.query_id = p.query_id LEFT JOIN hits h ON h.query_id = p.query_id AND h.chunk_id = p.chunk_id)
 SELECT query_id, chunk_id, rerank, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, score DESC, chunk_id) AS place FROM s) WHERE place <= 12"""),
-    "h12_search_counts": (h12, f"{CHAIN}, {SHORT}, {FUSED}, {POOL} SELECT query_id, count(*) AS pool, count(*) FILTER (branches = 'bm25,short') AS both FROM pool GROUP BY query_id"),
-    "w8_interleave": (w8, f"""{CHAIN}, {SHORT}, l AS (SELECT query_id, chunk_id, 0 AS lane, rank AS pos FROM bm25 WHERE rank <= 30 UNION ALL SELECT query_id, chunk_id, 1, rank FROM short),
+    "h12_search_counts": (h12, f"{CHAIN}, {LANES}, {FUSED}, {POOL} SELECT query_id, count(*) AS pool, count(*) FILTER (contains(branches, 'dense')) AS dense, count(*) FILTER (contains(branches, 'bm25')) AS bm25, count(*) FILTER (contains(branches, 'literal')) AS literal, count(*) FILTER (contains(branches, 'phrase')) AS phrase FROM pool GROUP BY query_id"),
+    "w8_interleave": (w8, f"""{CHAIN}, {LANES}, l AS (SELECT query_id, chunk_id, 0 AS lane, rank AS pos FROM bm25 WHERE rank <= 30 UNION ALL SELECT query_id, chunk_id, 1, rank FROM dense WHERE rank <= 30),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY pos, lane) AS k FROM l) SELECT query_id, chunk_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, lane, chunk_id) AS place FROM f WHERE k = 1) WHERE place <= 20"""),
     "h13_read_evidence": (h13, f"WITH RECURSIVE {REQ}, " + READ.format(s="documents", key="doc_id", b=9000)),
-    "h17_search_read": (h17, CHAIN.replace("WITH ", "WITH RECURSIVE ", 1) + f", {SHORT}, {FUSED}, {POOL}, e AS (SELECT query_id AS req, chunk_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM pool), " + READ.format(s="chunks", key="chunk_id", b=16384)),
+    "h17_search_read": (h17, CHAIN.replace("WITH ", "WITH RECURSIVE ", 1) + f", {LANES}, {FUSED}, {POOL}, e AS (SELECT query_id AS req, chunk_id AS id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS pos FROM pool), " + READ.format(s="chunks", key="chunk_id", b=16384)),
     "w6_fit_prefix": (w6, "SELECT source, doc_id, upto::BIGINT AS upto FROM (SELECT source, doc_id, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id) AS upto FROM documents) WHERE upto <= 16384"),
     "d31_inventory": (d31, f"WITH {SPANS} SELECT source, count(DISTINCT doc_id) AS n_sources, count(*) AS n_spans, sum(strlen(text))::BIGINT AS n_bytes, count(*) <= 64 AS complete FROM spans GROUP BY source"),
-    "k6_collection_pages": (k6, f"""WITH RECURSIVE {SPANS}, p AS (SELECT source, doc_id, line_no, unnest(range(0, ceil(strlen(text) / 4096)::BIGINT)) AS piece, strlen(text) AS size FROM spans),
-r AS (SELECT *, least(4096, size - piece * 4096) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id, line_no, piece) AS i FROM p), t AS (SELECT * FROM r WHERE i <= 256),
-f AS (SELECT source, i, doc_id, n, 1 AS page, n AS used, 1 AS cnt FROM t WHERE i = 1 UNION ALL SELECT t.source, t.i, t.doc_id, t.n, CASE WHEN f.used + t.n > 4096 OR f.cnt >= 64 THEN f.page + 1 ELSE f.page END, CASE WHEN f.used + t.n > 4096 OR f.cnt >= 64 THEN t.n ELSE f.used + t.n END, CASE WHEN f.used + t.n > 4096 OR f.cnt >= 64 THEN 1 ELSE f.cnt + 1 END FROM f JOIN t ON t.source = f.source AND t.i = f.i + 1)
-SELECT source, page, count(*) AS n, sum(n)::BIGINT AS n_bytes, min(doc_id) AS first_doc FROM f WHERE page <= 4 GROUP BY source, page"""),
-    "h15_merge_evidence": (h15, """WITH b AS (SELECT doc_id % 50 AS req, doc_id % 4 AS group_no, list_sort(list(doc_id // 7)) AS ids FROM documents GROUP BY 1, 2), x AS (SELECT req, group_no, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM b),
+    "k6_collection_pages": (k6, pages_sql(4096) + " SELECT source, page, count(*) AS n, sum(n)::BIGINT AS n_bytes, min(doc_id) AS first_doc FROM f WHERE page <= 4 GROUP BY source, page"),
+    "h15_merge_evidence": (h15, """WITH b AS (SELECT doc_id // 60 AS req, doc_id % 4 AS group_no, list_sort(list(doc_id // 7)) AS ids FROM documents GROUP BY 1, 2), x AS (SELECT req, group_no, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM b),
 s AS (SELECT req, id, min({'g': group_no, 'p': pos}) AS at1 FROM x GROUP BY req, id), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY req ORDER BY at1) AS place FROM s) WHERE place <= 8),
 v AS (SELECT DISTINCT x.req, x.group_no FROM x JOIN k ON k.req = x.req AND k.id = x.id), m AS (SELECT b.req, string_agg(b.group_no::VARCHAR, ',' ORDER BY b.group_no) AS missing FROM b WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.req = b.req AND v.group_no = b.group_no) GROUP BY b.req)
 SELECT k.req, string_agg(k.id::VARCHAR, ',' ORDER BY place) AS ids, coalesce(any_value(m.missing), '') AS missing FROM k LEFT JOIN m ON m.req = k.req GROUP BY k.req"""),
@@ -394,14 +455,17 @@ SELECT k.req, string_agg(k.id::VARCHAR, ',' ORDER BY place) AS ids, coalesce(any
     "c2_pack_structural": (c2_structural, pack_sql(1800, True)),
     "c3_token_windows": (c3, r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\pL\pN]+') AS toks FROM documents), w AS (SELECT doc_id, toks, unnest(range(0, 1 + greatest(0, ceil((len(toks) - 384) / 352))::BIGINT)) AS win FROM t WHERE len(toks) > 0)
 SELECT doc_id, win, win * 352 AS first_token, len(list_slice(toks, win * 352 + 1, win * 352 + 384)) AS n_tokens, md5(array_to_string(list_slice(toks, win * 352 + 1, win * 352 + 384), ' ')) AS h FROM w"""),
-    "c4_chunk_variants": (c4_chunks, None),
+    "c4_chunk_variants": (c4_chunks, rf"""WITH {SPANS}, b AS (SELECT 'fixed' AS variant, * FROM ({pack_sql(1200, False)}) UNION ALL SELECT 'structural', * FROM ({pack_sql(1800, True)})),
+t AS (SELECT variant, regexp_extract_all(string_agg(text, chr(10) ORDER BY line_no), '[\pL\pN]+') AS toks FROM b JOIN spans s ON s.doc_id = b.doc_id AND s.line_no BETWEEN first_line AND last_line GROUP BY variant, b.doc_id, region, block),
+w AS (SELECT variant, toks, unnest(range(0, 1 + greatest(0, ceil((len(toks) - 384) / 352))::BIGINT)) AS win FROM t WHERE len(toks) > 0)
+SELECT variant, count(*) AS n_windows, sum(len(list_slice(toks, win * 352 + 1, win * 352 + 384)))::BIGINT AS n_tokens FROM w GROUP BY variant"""),
     "c5_structural_context": (c5, C5_SQL),
     "c7_fill_uncovered": (c7, UNCOVERED + " SELECT source, count(*) AS n, sum(strlen(text))::BIGINT AS n_bytes FROM k WHERE kind IN ('identity', 'heading') GROUP BY source"),
     "c8_check_publication": (c8, f"WITH {SPANS} SELECT TRUE AS ok, 2 AS variants, count(DISTINCT doc_id) AS n FROM spans"),
     "c9_embed": (c9, "SELECT item_id, 1.0 AS norm, 32 AS dims FROM benchmark"),
-    "c10_search_text": (c10, None),
+    "c10_search_text": (c10, "WITH texts AS (SELECT page_id, left(url, 512) || ' page-' || page_id || chr(10) || html AS html FROM pages), " + ID_SQL.replace("FROM pages", "FROM texts") + " SELECT p.page_id, any_value(md5(p.html)) AS search_hash, coalesce(string_agg('id' || sha256(t), ' ' ORDER BY t), '') AS lexemes FROM texts p LEFT JOIN cut USING (page_id) GROUP BY p.page_id"),
     "d28_identifier_lexemes": (d28, f"WITH {ID_SQL} SELECT p.page_id, coalesce(string_agg('id' || sha256(t), ' ' ORDER BY t), '') AS lexemes FROM pages p LEFT JOIN cut USING (page_id) GROUP BY p.page_id"),
-    "d29_digest": (d29, "SELECT source, sha256(string_agg(x, ';' ORDER BY x)) AS digest FROM (SELECT source, doc_id::VARCHAR || '|' || sha256(text) AS x FROM documents) GROUP BY source"),
+    "d29_digest": (d29, "SELECT source, sha256(string_agg(h, ';' ORDER BY part)) AS digest FROM (SELECT source, doc_id // 100 AS part, sha256(string_agg(doc_id::VARCHAR || '|' || sha256(text), ';' ORDER BY doc_id, sha256(text))) AS h FROM documents GROUP BY 1, 2) GROUP BY source"),
     "d30_term_stats": (d30, f"WITH {SPANS}, {CHUNKS}, {POSTED}, t AS (SELECT collection, count(*) AS terms, sum(df)::BIGINT AS postings, max(df) AS max_df FROM dfs GROUP BY 1) SELECT t.*, n, round(avg_len, 6) AS avg_len FROM t JOIN stats USING (collection)"),
     "w1_span_ordinal": (w1, f"WITH {SPANS} SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS ordinal FROM spans"),
     "w4_regions": (w4, f"WITH {SPANS}, c AS (SELECT *, CASE WHEN lag(section) OVER w IS NOT DISTINCT FROM section THEN 0 ELSE 1 END AS ch FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)), g AS (SELECT *, sum(ch) OVER (PARTITION BY doc_id ORDER BY line_no) AS region FROM c) SELECT doc_id, region::BIGINT AS region, count(*) AS n, min(line_no) AS first_line FROM g GROUP BY doc_id, region"),

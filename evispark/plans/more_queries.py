@@ -10,7 +10,7 @@ from ..operators import evidence as E
 from ..operators import ingest as I
 from ..operators import retrieval as R
 from ..operators import search as X
-from .evidence_queries import CHAIN, SPANS, asked, bm25, chunks, spans
+from .evidence_queries import CHAIN, SPANS, UNCOVERED, asked, bm25, chunks, pages_sql, spans
 from .frames import frame, table, with_frames
 from .run_queries import CELLS, cells
 
@@ -75,24 +75,6 @@ def d32(spark, d):
     return bm25(spark, d).where("rank <= 12").join(chunks(spark, d).select("chunk_id", "source"), "chunk_id").groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
-def h9(spark, d):
-    """Dense-only, hybrid and pooled search over embeddings, BM25 standing for the second lane by equal ids."""
-    v = table(spark, d, "embeddings").select(F.col("label").alias("collection"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
-    q = v.where("chunk_id % 25 = 0").select("collection", F.col("chunk_id").alias("query_id"), F.col("v").alias("qv"))
-    dense = R.dense_lane(q, v, 100).select("query_id", "chunk_id", "rank")
-    other = dense.withColumn("rank", (F.col("chunk_id") * 7 % 101 + 1).cast("int")).where("rank <= 60")
-    from functools import reduce
-
-    return reduce(lambda a, b: a.unionByName(b), [X.search(n, dense, other, other.where("rank <= 3")).select(F.lit(n).alias("variant"), "query_id", "chunk_id", "place") for n in ("V0", "V1", "V3")])
-
-
-DENSE = """v AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 25 = 0),
-de AS (SELECT * FROM v WHERE rank <= 100), ot AS (SELECT query_id, chunk_id, chunk_id * 7 % 101 + 1 AS rank FROM de WHERE chunk_id * 7 % 101 + 1 <= 60), ve AS (SELECT * FROM ot WHERE rank <= 3),
-al AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT * FROM de UNION ALL SELECT * FROM ot UNION ALL SELECT * FROM ve) GROUP BY ALL),
-pr AS (SELECT a.*, row_number() OVER (PARTITION BY a.query_id ORDER BY CASE WHEN e.chunk_id IS NULL THEN 1 ELSE 0 END, score DESC, a.chunk_id) AS r FROM al a LEFT JOIN ve e ON e.query_id = a.query_id AND e.chunk_id = a.chunk_id),
-un AS (SELECT 'V1' AS variant, query_id, chunk_id, score FROM pr WHERE r <= 20 UNION ALL SELECT 'V3', query_id, chunk_id, score FROM pr WHERE r <= 64 UNION ALL SELECT 'V0', query_id, chunk_id, 1.0 / (60 + rank) FROM de WHERE rank <= 12)"""
-
-
 def h14(spark, d):
     i = E.inventory(spans(spark, d))
     s = frame(spark, d, "sources").groupBy(F.col("collection_id").alias("source")).agg(F.count_if(F.col("status") == "ready").alias("ready"), F.count_if(F.col("status") != "ready").alias("unavailable"))
@@ -198,10 +180,9 @@ QUERIES = {
     "d13_availability_by_stage": (d13, CELLS + ", s AS (SELECT unnest([{'s': 'candidates', 'k': 0}, {'s': 'initial', 'k': 1}, {'s': 'final', 'k': 2}]) AS t, case_id FROM rows1), o AS (SELECT t.s AS stage, CASE WHEN case_id % (t.k + 4) <> 0 THEN case_id % (t.k + 2) <> 0 END AS ok FROM s) SELECT stage, count(*) FILTER (ok) AS available, count(ok) AS known, count(*) - count(ok) AS unknown, round(count(*) FILTER (ok) / nullif(count(ok), 0), 6) AS rate FROM o GROUP BY stage"),
     "d19_cells": (d19, CELLS + " SELECT variant, generator, count(*) AS planned, count(*) FILTER (success) AS successes FROM rows1 GROUP BY 1, 2"),
     "d32_delivered_sources": (d32, f"{CHAIN} SELECT query_id, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM bm25 b JOIN chunks c ON c.chunk_id = b.chunk_id WHERE rank <= 12 GROUP BY query_id"),
-    "h9_search_variants": (h9, f"WITH {DENSE} SELECT variant, query_id, chunk_id, row_number() OVER (PARTITION BY variant, query_id ORDER BY score DESC, chunk_id) AS place FROM un"),
     "h14_receipt": (h14, with_frames("sources", body="") + f", {SPANS}, i AS (SELECT source, count(*) AS n FROM spans GROUP BY 1), s AS (SELECT collection_id AS source, count(*) FILTER (status = 'ready') AS ready, count(*) FILTER (status <> 'ready') AS un FROM sources GROUP BY 1) SELECT i.source, CASE WHEN least(n, 64) < least(n, n % 128) THEN 'truncated' WHEN un = 0 AND ready <= 64 AND n <= 64 THEN 'complete' ELSE 'subset' END AS receipt FROM i JOIN s ON s.source = i.source"),
-    "h16_collect_scope": (h16, None),
-    "w5_standalone_headers": (w5, None),
+    "h16_collect_scope": (h16, pages_sql(16384) + ", g AS (SELECT source, max(page) AS pages, sum(n)::BIGINT AS n_bytes FROM f WHERE page <= 4 GROUP BY source), z AS (SELECT source, sum(strlen(text)) AS total FROM spans GROUP BY source) SELECT source, pages, n_bytes, n_bytes = total AS whole FROM g JOIN z USING (source)"),
+    "w5_standalone_headers": (w5, UNCOVERED + " SELECT doc_id, line_no FROM k WHERE kind = 'identity'"),
     "w7_rank_lane": (w7, f"{CHAIN} SELECT query_id, chunk_id, rank FROM bm25 WHERE rank <= 5"),
     "k4_top_rerank": (k4, f"{CHAIN}, b AS (SELECT * FROM bm25 WHERE rank <= 64), h AS (SELECT query_id, chunk_id, count(*) AS k FROM qt JOIN posted USING (term) GROUP BY ALL), m AS (SELECT query_id, count(*) AS m FROM qt GROUP BY ALL) SELECT query_id, chunk_id, place FROM (SELECT b.query_id, b.chunk_id, row_number() OVER (PARTITION BY b.query_id ORDER BY round(k / m, 6) DESC, score DESC, b.chunk_id) AS place FROM b JOIN h ON h.query_id = b.query_id AND h.chunk_id = b.chunk_id JOIN m ON m.query_id = b.query_id) WHERE place <= 12"),
     "u4_undelivered": (u4, "SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([doc_id % 5, doc_id % 11], lambda x: x <> doc_id % 3 AND x <> 4))), ',') AS undelivered FROM documents"),

@@ -91,7 +91,7 @@ def j17(spark, d):
 
 
 def j18(spark, d):
-    return R.retry_root(runs(spark, d))
+    return R.retry_root(runs(spark, d).withColumn("conv", F.floor(F.col("id") / 10)), conversation="conv").withColumn("hops", F.col("hops").cast("int"))
 
 
 def w11(spark, d):
@@ -385,7 +385,7 @@ def j12(spark, d):
     from .evidence_queries import spans
 
     b = spans(spark, d)
-    loc = b.where("line_no <= 3").select((F.col("doc_id") * 10 + F.col("line_no")).alias("loc"), "doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("line_no")).alias("line_no"), F.when(F.col("doc_id") % 3 == 0, F.col("section")).alias("prefix_section"))
+    loc = b.select((F.col("doc_id") * 1000000 + F.col("line_no")).alias("loc"), "doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("line_no")).alias("line_no"), F.when(F.col("doc_id") % 3 == 0, F.col("section")).alias("prefix_section"))
     return V.resolve_locators(loc, b).select("loc", "n", F.col("line_no").cast("long").alias("line_no"))
 
 
@@ -435,10 +435,12 @@ def v16(spark, d):
 
 
 def v15(spark, d):
-    """Review packets: ordered excerpts of a family's cases."""
-    x = frame(spark, d, "cases").join(table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.left("text", F.lit(20)).alias("excerpt")), "case_id")
-    g = x.groupBy("family").agg(F.sort_array(F.collect_list(F.struct("case_id", "excerpt"))).alias("xs"))
-    return g.select("family", F.md5(F.array_join(F.transform("xs", lambda s: F.concat_ws(":", s["case_id"].cast("string"), s["excerpt"])), "|")).alias("packet"), F.size("xs").cast("long").alias("n"))
+    """Review packets: digests of a family's excerpts in order, by hundreds of cases and then of those, so that no group holds a family."""
+    x = frame(spark, d, "cases").join(table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), F.md5("text").alias("excerpt")), "case_id")
+    line = lambda s: F.concat_ws(":", s["case_id"].cast("string"), s["excerpt"])
+    parts = x.groupBy("family", F.floor(F.col("case_id") / 100).alias("part")).agg(F.sort_array(F.collect_list(F.struct("case_id", "excerpt"))).alias("xs"), F.count("*").alias("n"))
+    parts = parts.select("family", F.struct("part", F.md5(F.array_join(F.transform("xs", line), "|")).alias("h")).alias("p"), "n")
+    return parts.groupBy("family").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["h"]), "|")).alias("packet"), F.sum("n").alias("n"))
 
 
 def v11(spark, d):
@@ -517,7 +519,7 @@ Q = {
     "j10_pair_operations": (j10, with_frames("audit", body="SELECT run_id, op, count(*) FILTER (phase = 'start') AS n_start, count(*) FILTER (phase = 'end') AS n_end, CASE WHEN count(*) FILTER (phase = 'start') = 0 THEN 'orphan_end' WHEN count(*) FILTER (phase = 'start') > 1 THEN 'duplicate_start' WHEN count(*) FILTER (phase = 'end') > 1 THEN 'duplicate_end' WHEN count(*) FILTER (phase = 'end') = 0 THEN 'open' ELSE 'completed' END AS outcome FROM audit GROUP BY run_id, op")),
     "j11_readback_issues": (j11, with_frames("audit", body="SELECT s.op, concat_ws(',', CASE WHEN e.op IS NULL THEN 'missing' END, CASE WHEN e.run <> s.run_id THEN 'wrong_parent' END, CASE WHEN e.t < s.event_id THEN 'early' END) AS issues FROM audit s LEFT JOIN (SELECT op, CASE WHEN op % 23 = 0 THEN -1 ELSE run_id END AS run, CASE WHEN op % 29 = 0 THEN 0 ELSE event_id END AS t FROM audit WHERE phase = 'end') e ON e.op = s.op WHERE s.phase = 'start'")),
     "j17_prior_messages": (j17, "WITH x AS (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS a FROM conversations), y AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b, count(*) OVER (PARTITION BY conv_id) AS n FROM x WHERE turn < a) SELECT conv_id, turn, role, least(3, n) - b + 1 AS place, n > 3 AS older_exists FROM y WHERE b <= 3"),
-    "j18_retry_root": (j18, with_frames("runs", body="").replace("WITH", "WITH RECURSIVE", 1) + ", c AS (SELECT id, id AS root, 0 AS hops FROM runs WHERE retry_of IS NULL UNION ALL SELECT r.id, c.root, c.hops + 1 FROM runs r JOIN c ON r.retry_of = c.id) SELECT r.id, c.root, c.hops, c.root IS NOT NULL AS valid FROM runs r LEFT JOIN c ON c.id = r.id"),
+    "j18_retry_root": (j18, with_frames("runs", body="").replace("WITH", "WITH RECURSIVE", 1) + ", c AS (SELECT id, id AS root, 0 AS hops FROM runs WHERE retry_of IS NULL UNION ALL SELECT r.id, c.root, c.hops + 1 FROM runs r JOIN c ON r.retry_of = c.id AND r.id // 10 = c.id // 10) SELECT r.id, c.root, c.hops, c.root IS NOT NULL AS valid FROM runs r LEFT JOIN c ON c.id = r.id"),
     "w11_history": (w11, "WITH y AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id, turn, least(4, n) - b + 1 AS place, n > 4 AS older_exists FROM y WHERE b <= 4"),
     "g5_bounded_history": (g5, "WITH y AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b, count(*) OVER (PARTITION BY conv_id) AS t FROM conversations), z AS (SELECT *, strlen(left(text, len(list_filter(range(1, 301), lambda k: strlen(left(text, k)) <= 300 AND k <= length(text))))) AS n FROM y WHERE b <= 4), s AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY b) AS used FROM z) SELECT conv_id, turn, role, n AS n_bytes, n < strlen(text) AS truncated, t > 4 AS omitted FROM s WHERE used <= 1200"),
     "w13_turn_latency": (w13, with_frames("runs", body="SELECT id, round(lag(t) OVER (PARTITION BY conversation_id ORDER BY id) + t, 6) AS two_turn FROM (SELECT id, conversation_id, CASE WHEN status = 'completed' THEN latency END AS t FROM runs)")),
@@ -574,7 +576,7 @@ Q = {
     "v8_balanced_selection": (v8, with_frames("cases", body="SELECT case_id, question_class FROM (SELECT *, row_number() OVER (PARTITION BY question_class ORDER BY case_id) AS r FROM cases) WHERE r <= 4 ORDER BY case_id LIMIT 20")),
     "v11_fingerprint": (v11, "SELECT sha256(string_agg(x, ';' ORDER BY x)) AS fingerprint FROM (SELECT 'documents|' || count(*) || '|' || sum(doc_id) AS x FROM documents UNION ALL SELECT 'benchmark|' || count(*) || '|' || sum(item_id) FROM benchmark UNION ALL SELECT 'labels|' || count(*) || '|' || sum(doc_id) FROM labels)"),
     "v12_row_invariants": (v12, with_frames("cells", body="SELECT case_id, variant, generator, CASE WHEN state = 'completed' OR verdict IS NULL THEN '' ELSE 'lifecycle' END AS violations FROM cells")),
-    "v15_review_packets": (v15, with_frames("cases", body="SELECT family, md5(string_agg(case_id || ':' || left(text, 20), '|' ORDER BY case_id)) AS packet, count(*) AS n FROM cases JOIN documents ON doc_id = case_id GROUP BY family")),
+    "v15_review_packets": (v15, with_frames("cases", body="SELECT family, md5(string_agg(h, '|' ORDER BY part)) AS packet, sum(n)::BIGINT AS n FROM (SELECT family, case_id // 100 AS part, md5(string_agg(case_id || ':' || md5(text), '|' ORDER BY case_id)) AS h, count(*) AS n FROM cases JOIN documents ON doc_id = case_id GROUP BY 1, 2) GROUP BY family")),
     "v16_attempt_history": (v16, with_frames("audit", body="SELECT run_id, CASE WHEN a = 'error' THEN 'context_failure' WHEN z = 'error' THEN 'target_failure' ELSE 'completed' END AS outcome, a <> z AS needs_review FROM (SELECT run_id, arg_min(kind, event_id) AS a, arg_max(kind, event_id) AS z FROM audit GROUP BY 1)")),
     "g1_citation_guard": (g1, A + ", f AS (SELECT *, flatten(evs) AS c FROM a) SELECT id, CASE WHEN len(list_filter(c, lambda i: i > top)) > 0 THEN 'citation_outside_delivered' WHEN len(list_filter(evs, lambda e: len(e) = 0)) > 0 THEN 'claim_without_citation' WHEN len(list_filter(texts, lambda t: trim(t) = '')) > 0 THEN 'claim_without_text' END AS violation FROM f"),
     "g2_guard_action": (g2, with_frames("runs", body="SELECT id, CASE WHEN id % 7 = 0 AND id % 4 <> 0 THEN 'tool_budget_exhausted' WHEN id % 7 = 0 THEN 'requested_evidence_missing' WHEN (id % 2 = 0 OR id % 5 = 0) AND id % 3 <> 0 THEN 'coverage_unverified' ELSE 'none' END AS action FROM runs")),
@@ -587,7 +589,7 @@ Q = {
 def _locator_sql() -> str:
     from .evidence_queries import SPANS
 
-    return f"WITH {SPANS}, loc AS (SELECT doc_id * 10 + line_no AS loc, doc_id, CASE WHEN doc_id % 2 = 0 THEN line_no END AS ln, CASE WHEN doc_id % 3 = 0 THEN section END AS sec FROM spans WHERE line_no <= 3) SELECT loc, count(s.doc_id) AS n, CASE WHEN count(s.doc_id) = 1 THEN min(s.line_no) END AS line_no FROM loc LEFT JOIN spans s ON s.doc_id = loc.doc_id AND (ln IS NULL OR ln = s.line_no) AND (sec IS NULL OR sec = s.section) GROUP BY loc"
+    return f"WITH {SPANS}, loc AS (SELECT doc_id * 1000000 + line_no AS loc, doc_id, CASE WHEN doc_id % 2 = 0 THEN line_no END AS ln, CASE WHEN doc_id % 3 = 0 THEN section END AS sec FROM spans) SELECT loc, count(s.doc_id) AS n, CASE WHEN count(s.doc_id) = 1 THEN min(s.line_no) END AS line_no FROM loc LEFT JOIN spans s ON s.doc_id = loc.doc_id AND (ln IS NULL OR ln = s.line_no) AND (sec IS NULL OR sec = s.section) GROUP BY loc"
 
 
 QUERIES = Q | {"j12_resolve_locators": (j12, _locator_sql())}

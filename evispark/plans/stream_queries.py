@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as V
 from ..operators import ingest as I
 from ..sources import files as S
+from ..sources.shared import shared_folder as shared
 from ..streaming import streams as X
 from .frames import table
 from .run_queries import CELLS, RATES, cells
 
 
-def shared(spark) -> str:
-    """A new folder in the one that executors share (``spark.checkpoint.dir``), or a local one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="evispark-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def log(spark, d):
     """The event table as a stream of audit rows."""
     t = table(spark, d, "events")
@@ -38,7 +30,7 @@ def r1(spark, d):
     s = spark.readStream.schema(t.schema).parquet(f"{d}/documents.parquet*")
     f = shared(spark)
     X.ingest(s, f"{f}/lake", f"{f}/checkpoint", lambda b: {"spans": I.line_spans(b).select("doc_id", "source", "line_no", "text", "section")})
-    return S.published(spark, f"{f}/lake", "spans").groupBy("source").agg(F.count("*").alias("n_spans"), F.countDistinct("doc_id").alias("n_docs"))
+    return S.published(spark, f"{f}/lake", "spans", every=True).groupBy("source").agg(F.count("*").alias("n_spans"), F.countDistinct("doc_id").alias("n_docs"))
 
 
 def r2(spark, d):

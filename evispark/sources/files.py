@@ -62,10 +62,11 @@ def publish(tables: dict[str, DataFrame], out: str, version: str | None = None)
     return version
 
 
-def published(spark: SparkSession, out: str, name: str) -> DataFrame:
-    """The latest published version of a table."""
-    m = spark.read.parquet(f"{out}/manifest").where(F.col("name") == name).orderBy(F.desc("at"), F.desc("version")).first()
-    return spark.read.parquet(f"{out}/data/{m['version']}/{name}")
+def published(spark: SparkSession, out: str, name: str, every: bool = False) -> DataFrame:
+    """The latest published version of a table, or the rows of every version, each once (continuous ingestion: a version a batch)."""
+    m = spark.read.parquet(f"{out}/manifest").where(F.col("name") == name).groupBy("version").agg(F.max("at").alias("at")).orderBy(F.desc("at"), F.desc("version"))
+    rows = m.collect() if every else m.limit(1).collect()
+    return spark.read.parquet(*[f"{out}/data/{r['version']}/{name}" for r in rows])
 
 
 def write_report(cells: DataFrame, out: str) -> None:
