@@ -50,12 +50,12 @@ def read_release(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 
 
 def publish(tables: dict[str, DataFrame], out: str, version: str | None = None) -> str:
-    """All tables or none: they are written below a version folder, and a manifest row is written last. Readers follow manifests only."""
+    """All tables or none: each is written to a version folder of its own, and a manifest row is written last. Readers follow manifests only."""
     version = version or uuid.uuid4().hex
     for name, df in tables.items():
         by = [c for c in ("collection", "source", "variant") if c in df.columns and c != "source" or c == "source" and "collection" not in df.columns and c in df.columns]
         w = df.write.mode("overwrite")
-        (w.partitionBy(*by) if by else w).parquet(f"{out}/data/{version}/{name}")
+        (w.partitionBy(*by) if by else w).parquet(f"{out}/data/{name}/_version={version}")
     spark = next(iter(tables.values())).sparkSession
     rows = spark.createDataFrame([(version, name) for name in tables], "version string, name string").withColumn("at", F.current_timestamp())
     rows.coalesce(1).write.mode("append").parquet(f"{out}/manifest")
@@ -66,7 +66,7 @@ def published(spark: SparkSession, out: str, name: str, every: bool = False) ->
     """The latest published version of a table, or the rows of every version, each once (continuous ingestion: a version a batch)."""
     m = spark.read.parquet(f"{out}/manifest").where(F.col("name") == name).groupBy("version").agg(F.max("at").alias("at")).orderBy(F.desc("at"), F.desc("version"))
     rows = m.collect() if every else m.limit(1).collect()
-    return spark.read.parquet(*[f"{out}/data/{r['version']}/{name}" for r in rows])
+    return spark.read.option("basePath", f"{out}/data/{name}").parquet(*[f"{out}/data/{name}/_version={r['version']}" for r in rows]).drop("_version")
 
 
 def write_report(cells: DataFrame, out: str) -> None:

@@ -191,3 +191,19 @@ def test_quote_support(spark, quote, hit):
     q = spark.createDataFrame([(1, quote)], "item_id long, text string")
     d = spark.createDataFrame([(5, "zero one two three\nfour five six seven eight nine")], "doc_id long, text string")
     assert (V.quote_support(q, d).count() == 1) == hit
+
+
+def test_retry_root_of_any_depth_within_a_conversation(spark):
+    rows = [(i, i - 1 if i else None, 1) for i in range(301)] + [(1000, 1002, 1), (1001, 1000, 1), (1002, 1001, 1), (1003, 1000, 1), (2000, 5, 2), (2001, 2000, 2), (3000, 9999, 1)]
+    got = {r["id"]: (r["root"], r["hops"], r["valid"]) for r in N.retry_root(spark.createDataFrame(rows, "id long, retry_of long, conv long"), conversation="conv").collect()}
+    assert all(got[i] == (0, i, True) for i in range(301))
+    assert all(got[i] == (None, None, False) for i in (1000, 1001, 1002, 1003, 2000, 2001, 3000))
+
+
+@pytest.mark.parametrize("words", [1, 2, 3, 5, 6, 7, 12])
+def test_quotes_of_any_length(spark, words):
+    text = [f"word{i}" for i in range(4000)]
+    quote = " ".join(text[1000 : 1000 + words])[2:-1] if words > 1 else text[1000]
+    d = spark.createDataFrame([(1, "  ".join(text)), (2, "other " * 50), (3, None)], "doc_id long, text string")
+    got = V.quote_support(spark.createDataFrame([(7, quote), (8, "not in any text of them all here")], "item_id long, text string"), d).collect()
+    assert [(r["item_id"], r["doc_id"]) for r in got] == [(7, 1)]
