@@ -104,7 +104,7 @@ class Table:
                     number[id(to)] = len(order)
                     order.append(to)
         self.alphabet = sorted({ch for state in order for ch in state})
-        self.start, self.next = start, None
+        self.start, self.next = start, None  # where the table would be too large, the automaton itself stays
         if len(order) * (len(self.alphabet) + 1) <= TABLE:
             column = {ch: i for i, ch in enumerate(self.alphabet)}
             self.next = np.full((len(order), len(self.alphabet) + 1), -1, np.int32)  # the last column is for other letters
@@ -113,6 +113,21 @@ class Table:
                     self.next[i, column[ch]] = number[id(to)]
             self.column = np.full(0x110000, len(self.alphabet), np.int32)
             self.column[[ord(ch) for ch in self.alphabet]] = range(len(self.alphabet))
+            self.start = None
+
+    def _long(self, word: str) -> int:
+        """As :func:`phrases`, by the table."""
+        flat, width, state, n = memoryview(self.next.ravel()), self.next.shape[1], 0, 1
+        for ch in self.column[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)].tolist():
+            to = flat[state * width + ch]
+            if to < 0:
+                n += state != 0
+                to = flat[ch]
+                if to < 0:
+                    n += 1
+                    to = 0
+            state = to
+        return n - (state == 0)
 
     def phrases(self, words: list[str]) -> np.ndarray:
         """As :func:`phrases` of each word with a space before it."""
@@ -123,7 +138,7 @@ class Table:
         short = np.nonzero(sizes <= LONG_WORD)[0]
         short = short[np.argsort(-sizes[short], kind="stable")]  # words that end drop off the end
         for i in np.nonzero(sizes > LONG_WORD)[0]:
-            out[i] = phrases(self.start, " " + words[i])
+            out[i] = self._long(" " + words[i])
         if not len(short):
             return out
         letters_ = self.column[np.frombuffer("".join(" " + words[i] for i in short).encode("utf-32-le", "surrogatepass"), np.uint32)]
