@@ -348,7 +348,7 @@ def test_tables_parse_as_automata_do():
     words = ["".join(rng.choice("abcdéxz日") for _ in range(rng.randrange(0, 30))) for _ in range(500)] + ["ab" * 400, "x" * 300]
     want = [language_id.phrases(start, " " + w) for w in words]
     assert table.phrases(words).tolist() == want
-    table.next = None
+    table.next, table.start = None, start
     assert table.phrases(words).tolist() == want
 
 
