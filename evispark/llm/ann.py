@@ -4,7 +4,8 @@ A vector is coded as a sum of ``books`` code words, one of each full-dimensional
 k-means on the residuals of a bounded sample (``sample`` vectors, the smallest hashes of ids). Every vector is encoded by a
 beam search over the codebooks; its code and the norm of its reconstruction are stored. A query's inner products with all
 code words make a lookup table; table sums over codes, divided by stored norms, score all vectors in blocks, and the best
-``keep`` of each query are reranked by exact cosine in double precision.
+``keep`` of each query are reranked by exact cosine in double precision. Table scores count to ``PLACES`` decimals: among
+vectors that the codes can't tell apart so (many near copies, say), the exact cosine decides who is kept, whatever their number.
 
 Codes stay where they are: a batch of ``QUERIES_AT_ONCE`` queries at most goes to all tasks, each streams its codes past it and
 holds each query's best so far, and only those are shuffled. More queries take more passes, whose finds are written out.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, scratch_dir
 
-BOOKS, WORDS, BEAM, SAMPLE, KEEP, ROUNDS = 16, 256, 4, 10_000, 300, 8
+BOOKS, WORDS, BEAM, SAMPLE, KEEP, ROUNDS, PLACES = 16, 256, 4, 10_000, 300, 8, 2
 CODES_IN_BLOCK, QUERIES_AT_ONCE = 4096, 1024
 
 
@@ -95,37 +96,40 @@ def _matrix(column) -> np.ndarray:
 
 
 def encoded(vectors: DataFrame, codebooks: np.ndarray) -> DataFrame:
-    """vec_id, code (binary), norm."""
+    """vec_id, code (binary), norm, x (the vector itself, to tell ties apart)."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
                 codes, norms = encode(_units(_matrix(part.column(1))), codebooks)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.maximum(norms, 1e-9))], names=["vec_id", "code", "norm"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.maximum(norms, 1e-9)), part.column(1)], names=["vec_id", "code", "norm", "x"])
 
-    return vectors.mapInArrow(run, "vec_id long, code binary, norm float")
+    return vectors.select("vec_id", "x").mapInArrow(run, "vec_id long, code binary, norm float, x array<double>")
 
 
-def _better(ids: np.ndarray, score: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``keep`` best of a query's ids by score, ties to the smaller id."""
-    if len(ids) > keep:
-        some = score >= np.partition(score, len(score) - keep)[len(score) - keep]  # all that tie with the last are looked at
-        ids, score = ids[some], score[some]
-    order = np.lexsort((ids, -score))[:keep]
-    return ids[order], score[order]
+def _top(rough: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the ``keep`` best and of all that tie with the last of them."""
+    return np.nonzero(rough >= np.partition(rough, len(rough) - keep)[len(rough) - keep])[0] if len(rough) > keep else np.arange(len(rough))
+
+
+def _better(held: tuple, more: tuple, keep: int) -> tuple:
+    """(ids, rough, exact) of the ``keep`` best of both, by rough score, then exact score, then smaller id."""
+    ids, rough, exact = (np.concatenate(c) for c in zip(held, more))
+    order = np.lexsort((ids, -exact, -rough))[:keep]
+    return ids[order], rough[order], exact[order]
 
 
 def candidates(codes: DataFrame, queries: DataFrame, codebooks: np.ndarray, keep: int = KEEP) -> DataFrame:
     """query_id, vec_id: the ``keep`` best by table scores of each query over all codes."""
     passes = max(1, -(-queries.count() // QUERIES_AT_ONCE))
     path = f"{scratch_dir(codes.sparkSession)}/candidates-{uuid.uuid4().hex}"
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rough"), "vec_id"))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rough"), F.desc("exact"), "vec_id"))
     for at in range(passes):
         batch = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(passes)) == at).select("vec_id", "x").collect() if passes > 1 else queries.select("vec_id", "x").collect()
         for part in range(0, len(batch), 2 * QUERIES_AT_ONCE):  # a hash deals evenly; were it not to, this bounds what goes out
             some = sorted(batch[part : part + 2 * QUERIES_AT_ONCE])
-            rows = codes.mapInArrow(_scan([r["vec_id"] for r in some], np.array([r["x"] for r in some]), codebooks, keep), "query_id long, vec_id long, rough double").where("query_id != vec_id")
+            rows = codes.mapInArrow(_scan([r["vec_id"] for r in some], np.array([r["x"] for r in some]), codebooks, keep), "query_id long, vec_id long, rough float, exact double").where("query_id != vec_id")
             best = rows.withColumn("n", place).where(F.col("n") <= keep).select("query_id", "vec_id")
             if passes == 1 and len(batch) <= 2 * QUERIES_AT_ONCE:
                 return best
@@ -137,24 +141,28 @@ def _scan(query_ids: list[int], vectors: np.ndarray, codebooks: np.ndarray, keep
     books = len(codebooks)
 
     def run(batches):
-        q = _units(vectors).astype(np.float32)
-        tables = np.einsum("qd,mkd->mkq", q, codebooks)
-        best = [(np.zeros(0, np.int64), np.zeros(0, np.float32))] * len(q)
-        floor = np.full(len(q), -np.inf, np.float32)
+        unit = _units(vectors)
+        tables = np.einsum("qd,mkd->mkq", unit.astype(np.float32), codebooks)
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0))] * len(unit)
+        floor = np.full(len(unit), -np.inf, np.float32)
         held: list = []
 
         def take() -> None:
             table = pa.Table.from_batches(held).combine_chunks()
             held.clear()
             ids = table.column("vec_id").to_numpy()
+            x = _units(_matrix(table.column("x").combine_chunks()))
             code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, books)
-            score = np.zeros((len(ids), len(q)), np.float32)
+            score = np.zeros((len(ids), len(unit)), np.float32)
             for m in range(books):
                 score += tables[m][code[:, m]]
-            score = np.round(score / table.column("norm").to_numpy()[:, None], 6).T
+            score = np.round(score / table.column("norm").to_numpy()[:, None], PLACES).T
             for k in np.nonzero((score >= floor[:, None]).any(axis=1))[0]:
                 some = np.nonzero(score[k] >= floor[k])[0]
-                best[k] = _better(np.concatenate([best[k][0], ids[some]]), np.concatenate([best[k][1], score[k][some]]), keep + 1)
+                some = some[_top(score[k][some], keep + 1)]
+                # summed row by row, so that equal vectors get equal values and tie
+                exact = np.round((x[some] * unit[k]).sum(axis=1), 14)
+                best[k] = _better(best[k], (ids[some], score[k][some], exact), keep + 1)
                 if len(best[k][0]) > keep:
                     floor[k] = best[k][1][-1]
 
@@ -164,9 +172,10 @@ def _scan(query_ids: list[int], vectors: np.ndarray, codebooks: np.ndarray, keep
                 take()
         if sum(x.num_rows for x in held):
             take()
-        sizes = [len(x) for x, _ in best]
+        sizes = [len(b[0]) for b in best]
         if sum(sizes):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(query_ids, np.int64), sizes)), pa.array(np.concatenate([x for x, _ in best])), pa.array(np.concatenate([s for _, s in best]).astype(np.float64))], names=["query_id", "vec_id", "rough"])
+            columns = [np.repeat(np.array(query_ids, np.int64), sizes), *(np.concatenate(c) for c in zip(*best))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "rough", "exact"])
 
     return run
 

@@ -456,6 +456,23 @@ def test_recall_with_registered_parameters(spark, monkeypatch):
     assert recall(spark, m[:3000]) >= 0.9
 
 
+def test_nearest_within_a_crowd_of_near_copies(spark):
+    rng = np.random.default_rng(11)
+    m = rng.standard_normal((4000, 64)).astype(np.float32)
+    m[:1500] = m[0] + 1e-3 * rng.standard_normal((1500, 64))  # far more than are reranked, and too near for the codes
+    m[2000:2600] = m[2000]  # equal ones: the smaller ids
+    assert recall(spark, m, books=8) >= 0.9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    got = ann.search(df, F.col("vec_id") == 2550, books=4).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [2000, 2001, 2002, 2003, 2004]
+    crowd = ann.search(df, F.col("vec_id") == 50).collect()
+    u = m.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    cos = u @ u[50]
+    cos[50] = -2
+    assert {r["vec_id"] for r in crowd} == set(np.argsort(-cos)[:5].tolist())
+
+
 def test_vectors_of_any_magnitude(spark):
     rows = [(0, [1.0, 0.5]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [5e-324, 5e-324]), (4, [1.7e308, -1.7e308]), (5, [0.0, 3.0]), (6, [-0.0, 0.0])]
     got = {r["vec_id"]: r["score"] for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, books=2).collect()}
