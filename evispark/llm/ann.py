@@ -4,7 +4,7 @@ A vector is coded as a sum of ``books`` code words, one of each full-dimensional
 k-means on the residuals of a bounded sample (``sample`` vectors, the smallest hashes of ids). Every vector is encoded by a
 beam search over the codebooks; its code and the norm of its reconstruction are stored. A query's inner products with all
 code words make a lookup table; table sums over codes, divided by stored norms, score all vectors in blocks, and the best
-``keep`` of each query are reranked by exact cosine in double precision. Table scores count to ``PLACES`` decimals: among
+``keep`` of each query are reranked by exact cosine in double precision, which the tasks add while code and vector are at hand. Table scores count to ``PLACES`` decimals: among
 vectors that the codes can't tell apart so (many near copies, say), the exact cosine decides who is kept, whatever their number.
 
 Codes stay where they are: a batch of ``QUERIES_AT_ONCE`` queries at most goes to all tasks, each streams its codes past it and
@@ -14,7 +14,7 @@ Vectors are scaled by a power of two first, which loses nothing, so that squares
 overflow nor vanish.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows with null vec_id or a
-dimension other than the most common one; rows that repeat a vec_id count once (the smallest vector); fewer candidates than asked for are all returned; ties go to
+dimension other than the most common one; rows that repeat a vec_id count once (the smallest vector of that dimension); fewer candidates than asked for are all returned; ties go to
 the smaller vec_id; an empty table gives an empty table; extra columns are ignored.
 """
 
@@ -41,9 +41,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     largest = F.array_max(F.transform("x", lambda v: F.abs(v)))
     x = x.withColumn("scale", F.pow(F.lit(2.0), F.floor(F.log2(largest)).cast("double")))
     x = x.select("vec_id", F.transform("x", lambda v: v / F.col("scale")).alias("x"))
-    x = x.groupBy("vec_id").agg(F.min("x").alias("x"))
     common = x.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return x.where(F.size("x") == (common["d"] if common else 0))
+    return x.where(F.size("x") == (common["d"] if common else 0)).groupBy("vec_id").agg(F.min("x").alias("x"))
 
 
 def _units(m: np.ndarray) -> np.ndarray:
@@ -121,7 +120,7 @@ def _better(held: tuple, more: tuple, keep: int) -> tuple:
 
 
 def candidates(codes: DataFrame, queries: DataFrame, codebooks: np.ndarray, keep: int = KEEP) -> DataFrame:
-    """query_id, vec_id: the ``keep`` best by table scores of each query over all codes."""
+    """query_id, vec_id, score: the ``keep`` best by table scores of each query over all codes, with exact scores."""
     passes = max(1, -(-queries.count() // QUERIES_AT_ONCE))
     path = f"{scratch_dir(codes.sparkSession)}/candidates-{uuid.uuid4().hex}"
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rough"), F.desc("exact"), "vec_id"))
@@ -130,11 +129,12 @@ def candidates(codes: DataFrame, queries: DataFrame, codebooks: np.ndarray, keep
         for part in range(0, len(batch), 2 * QUERIES_AT_ONCE):  # a hash deals evenly; were it not to, this bounds what goes out
             some = sorted(batch[part : part + 2 * QUERIES_AT_ONCE])
             rows = codes.mapInArrow(_scan([r["vec_id"] for r in some], np.array([r["x"] for r in some]), codebooks, keep), "query_id long, vec_id long, rough float, exact double").where("query_id != vec_id")
-            best = rows.withColumn("n", place).where(F.col("n") <= keep).select("query_id", "vec_id")
+            best = rows.withColumn("n", place).where(F.col("n") <= keep).select("query_id", "vec_id", F.col("exact").alias("score"))
             if passes == 1 and len(batch) <= 2 * QUERIES_AT_ONCE:
                 return best
             best.write.mode("append").parquet(path)
-    return codes.sparkSession.read.schema("query_id long, vec_id long").parquet(path) if passes > 1 else codes.sparkSession.createDataFrame([], "query_id long, vec_id long")
+    schema = "query_id long, vec_id long, score double"
+    return codes.sparkSession.read.schema(schema).parquet(path) if passes > 1 else codes.sparkSession.createDataFrame([], schema)
 
 
 def _scan(query_ids: list[int], vectors: np.ndarray, codebooks: np.ndarray, keep: int):
@@ -161,7 +161,7 @@ def _scan(query_ids: list[int], vectors: np.ndarray, codebooks: np.ndarray, keep
                 some = np.nonzero(score[k] >= floor[k])[0]
                 some = some[_top(score[k][some], keep + 1)]
                 # summed row by row, so that equal vectors get equal values and tie
-                exact = np.round((x[some] * unit[k]).sum(axis=1), 14)
+                exact = (x[some] * unit[k]).sum(axis=1)
                 best[k] = _better(best[k], (ids[some], score[k][some], exact), keep + 1)
                 if len(best[k][0]) > keep:
                     floor[k] = best[k][1][-1]
@@ -189,11 +189,6 @@ def search(vectors: DataFrame, is_query, k: int = 5, books: int = BOOKS, sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     codebooks = train(_units(fit), books)
     codes = saved(encoded(x, codebooks), "codes")
-    queries = x.where(is_query)
-    found = candidates(codes, queries, codebooks, keep)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
-    unit = x.select("vec_id", "x", F.sqrt(dot(F.col("x"), F.col("x"))).alias("norm"))
-    q = unit.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("x").alias("qx"), F.col("norm").alias("qnorm"))
-    scored = found.join(unit, "vec_id").join(q, "query_id").select("query_id", "vec_id", (dot(F.col("qx"), F.col("x")) / (F.col("qnorm") * F.col("norm"))).alias("score"))
+    scored = candidates(codes, x.where(is_query), codebooks, keep)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
