@@ -39,8 +39,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).where("vec_id is not null and x is not null")
     x = x.where(F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < float("inf")))).where(F.exists("x", lambda v: v != 0.0))
     largest = F.array_max(F.transform("x", lambda v: F.abs(v)))
-    x = x.withColumn("scale", F.pow(F.lit(2.0), F.floor(F.log2(largest)).cast("double")))
-    x = x.select("vec_id", F.transform("x", lambda v: v / F.col("scale")).alias("x"))
+    scale = F.array(F.pow(F.lit(2.0), F.floor(F.log2(largest)).cast("double")))  # as a lambda's variable, it is worked out once a vector
+    x = x.select("vec_id", F.get(F.transform(scale, lambda s: F.transform("x", lambda v: v / s)), 0).alias("x"))
     common = x.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
     return x.where(F.size("x") == (common["d"] if common else 0)).groupBy("vec_id").agg(F.min("x").alias("x"))
 
