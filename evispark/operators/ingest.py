@@ -10,7 +10,7 @@ from ..functions.text import BREAKS, TOKEN, stripped
 
 MAX_LINES, MAX_LINE_BYTES, FRAGMENT_BYTES = 200_000, 65_536, 4_096
 FIXED_BYTES, STRUCTURAL_BYTES = 1_200, 1_800
-WIDTH, OVERLAP = 384, 32
+WIDTH, OVERLAP, LEAST_BODY = 384, 32, 64
 
 
 def line_spans(docs: DataFrame) -> DataFrame:
@@ -104,6 +104,24 @@ def token_windows(blocks: DataFrame, keys: list[str], width: int = WIDTH, overla
     return x.select(*keys, "win", (F.col("win") * stride).alias("first_token"), F.size(part).cast("long").alias("n_tokens"), F.array_join(part, " ").alias("text"))
 
 
+def headed_windows(blocks: DataFrame, keys: list[str], header: str, width: int = WIDTH, overlap: int = OVERLAP, least: int = LEAST_BODY) -> DataFrame:
+    """keys, win, first_token, n_tokens, text, reason: windows that repeat the block's header, whose tokens are taken off the width.
+
+    A header that leaves fewer than ``least`` tokens to the body gives one row without a window, whose reason says so; a null
+    header has no tokens; a block without body tokens gives no row.
+    """
+    toks = lambda c: F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(f"({TOKEN})"), 1)
+    t = blocks.select(*keys, toks(header).alias("_head"), toks("text").alias("_toks")).where(F.size("_toks") > 0)
+    t = t.withColumn("_body", F.lit(width) - F.size("_head"))
+    fits, stride = F.col("_body") >= least, F.col("_body") - overlap
+    last = F.ceil(F.greatest(F.size("_toks") - F.col("_body"), F.lit(0)) / stride)
+    x = t.withColumn("win", F.explode(F.when(fits, F.sequence(F.lit(0).cast("long"), last)).otherwise(F.array(F.lit(None).cast("long")))))
+    first = F.col("win") * stride
+    part = F.slice("_toks", (first + 1).cast("int"), F.col("_body"))
+    text = F.array_join(F.concat("_head", part), " ")
+    return x.select(*keys, "win", first.alias("first_token"), F.when(fits, F.size(part)).cast("long").alias("n_tokens"), F.when(fits, text).alias("text"), F.when(~fits, "chunk_prefix_too_long").alias("reason"))
+
+
 def line_classes(spans: DataFrame) -> DataFrame:
     """Adds kind: identity (stand-alone header), heading, row (table) or prose, by the rules of structural chunking."""
     w = W.partitionBy("doc_id").orderBy("line_no")

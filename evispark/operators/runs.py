@@ -136,6 +136,16 @@ def first_terminal(events: DataFrame, terminal: list[str]) -> DataFrame:
     return g.select("run_id", F.coalesce("state", F.lit("running")).alias("state"), F.greatest(F.col("n") - 1, F.lit(0)).alias("ignored"))
 
 
+def run_lifecycle(runs: DataFrame, events: DataFrame, terminal: list[str], success: list[str]) -> DataFrame:
+    """id, state, ignored: queued without events, running until the first terminal one, which is absorbing.
+
+    A success of a run that isn't ``fresh`` (its scope has changed; null counts as changed) is scope_expired.
+    """
+    j = runs.select("id", "fresh").join(first_terminal(events, terminal).withColumnRenamed("run_id", "id"), "id", "left")
+    expired = F.col("state").isin(*success) & ~F.coalesce("fresh", F.lit(False))
+    return j.select("id", F.when(expired, "scope_expired").otherwise(F.coalesce("state", F.lit("queued"))).alias("state"), F.coalesce("ignored", F.lit(0)).alias("ignored"))
+
+
 def stale_work(items: DataFrame, as_of: Column) -> DataFrame:
     """The newest attempt of each item, if its lease has passed."""
     newest = items.groupBy("item").agg(F.max(F.struct("attempt", "lease_until")).alias("m")).select("item", "m.attempt", "m.lease_until")

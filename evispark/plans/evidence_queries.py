@@ -305,6 +305,12 @@ def c3(spark, d):
     return I.token_windows(docs(spark, d).select("doc_id", "text"), ["doc_id"]).select("doc_id", "win", "first_token", "n_tokens", F.md5("text").alias("h"))
 
 
+def c3_headed(spark, d):
+    head = F.substring_index("text", ".", 1)
+    x = docs(spark, d).select("doc_id", head.alias("header"), F.expr("substr(text, length(substring_index(text, '.', 1)) + 2)").alias("text"))
+    return I.headed_windows(x, ["doc_id"], "header").withColumn("h", F.md5("text")).drop("text")
+
+
 def c4_chunks(spark, d):
     both = I.pack_blocks(spans(spark, d), I.FIXED_BYTES, False).withColumn("variant", F.lit("fixed")).unionByName(I.pack_blocks(spans(spark, d), I.STRUCTURAL_BYTES, True).withColumn("variant", F.lit("structural")))
     s = spans(spark, d).select("doc_id", "line_no", "text")
@@ -455,6 +461,11 @@ SELECT k.req, string_agg(k.id::VARCHAR, ',' ORDER BY place) AS ids, coalesce(any
     "c2_pack_structural": (c2_structural, pack_sql(1800, True)),
     "c3_token_windows": (c3, r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\pL\pN]+') AS toks FROM documents), w AS (SELECT doc_id, toks, unnest(range(0, 1 + greatest(0, ceil((len(toks) - 384) / 352))::BIGINT)) AS win FROM t WHERE len(toks) > 0)
 SELECT doc_id, win, win * 352 AS first_token, len(list_slice(toks, win * 352 + 1, win * 352 + 384)) AS n_tokens, md5(array_to_string(list_slice(toks, win * 352 + 1, win * 352 + 384), ' ')) AS h FROM w"""),
+    "c3_headed_windows": (c3_headed, r"""WITH t AS (SELECT doc_id, regexp_extract_all(split_part(text, '.', 1), '[\pL\pN]+') AS head, regexp_extract_all(substr(text, length(split_part(text, '.', 1)) + 2), '[\pL\pN]+') AS toks FROM documents),
+b AS (SELECT *, 384 - len(head) AS body FROM t WHERE len(toks) > 0),
+w AS (SELECT *, unnest(CASE WHEN body >= 64 THEN range(0, 1 + greatest(0, ceil((len(toks) - body) / (body - 32)))::BIGINT) ELSE [NULL] END) AS win FROM b)
+SELECT doc_id, win, win * (body - 32) AS first_token, CASE WHEN body >= 64 THEN len(list_slice(toks, win * (body - 32) + 1, win * (body - 32) + body)) END AS n_tokens,
+CASE WHEN body >= 64 THEN md5(array_to_string(list_concat(head, list_slice(toks, win * (body - 32) + 1, win * (body - 32) + body)), ' ')) END AS h, CASE WHEN body < 64 THEN 'chunk_prefix_too_long' END AS reason FROM w"""),
     "c4_chunk_variants": (c4_chunks, rf"""WITH {SPANS}, b AS (SELECT 'fixed' AS variant, * FROM ({pack_sql(1200, False)}) UNION ALL SELECT 'structural', * FROM ({pack_sql(1800, True)})),
 t AS (SELECT variant, regexp_extract_all(string_agg(text, chr(10) ORDER BY line_no), '[\pL\pN]+') AS toks FROM b JOIN spans s ON s.doc_id = b.doc_id AND s.line_no BETWEEN first_line AND last_line GROUP BY variant, b.doc_id, region, block),
 w AS (SELECT variant, toks, unnest(range(0, 1 + greatest(0, ceil((len(toks) - 384) / 352))::BIGINT)) AS win FROM t WHERE len(toks) > 0)

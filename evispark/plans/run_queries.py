@@ -126,6 +126,11 @@ def r5(spark, d):
     return R.first_terminal(audit(spark, d), ["error", "purchase"])
 
 
+def r5_lifecycle(spark, d):
+    runs = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_type") != "click").alias("fresh")).where("id % 16 = 0")
+    return R.run_lifecycle(runs, audit(spark, d), ["error", "purchase"], ["purchase"])
+
+
 def r6(spark, d):
     x = table(spark, d, "events").select((F.col("event_id") % 500).alias("item"), F.col("event_id").alias("attempt"), (F.col("ts") + F.expr("INTERVAL 15 MINUTES")).alias("lease_until"))
     return R.stale_work(x, F.lit("2024-01-29 12:00:00").cast("timestamp")).select("item", "attempt")
@@ -527,6 +532,8 @@ Q = {
     "w15_ordinal_ok": (w15, with_frames("audit", body="SELECT run_id, kind, bool_and(declared = n) AS ok FROM (SELECT *, row_number() OVER (PARTITION BY run_id, kind ORDER BY event_id) AS n FROM audit) GROUP BY 1, 2")),
     "k7_due_runs": (k7, with_frames("runs", body=f"SELECT id, branch FROM (SELECT id, next_due AS due, 'scheduled' AS branch FROM runs WHERE NOT delivered AND next_due <= TIMESTAMP '{AS_OF}' UNION ALL SELECT id, finished_at + INTERVAL 5 SECONDS, 'first' FROM runs WHERE NOT delivered AND next_due IS NULL AND finished_at + INTERVAL 5 SECONDS <= TIMESTAMP '{AS_OF}') ORDER BY due, id LIMIT 200")),
     "r5_run_state": (r5, with_frames("audit", body="SELECT run_id, coalesce(arg_min(kind, event_id) FILTER (kind IN ('error', 'purchase')), 'running') AS state, greatest(count(*) FILTER (kind IN ('error', 'purchase')) - 1, 0) AS ignored FROM audit GROUP BY run_id")),
+    "r5_run_lifecycle": (r5_lifecycle, with_frames("audit", body="""SELECT r.event_id AS id, CASE WHEN state = 'purchase' AND r.event_type = 'click' THEN 'scope_expired' ELSE coalesce(state, 'queued') END AS state, coalesce(ignored, 0) AS ignored
+FROM events r LEFT JOIN (SELECT run_id, coalesce(arg_min(kind, event_id) FILTER (kind IN ('error', 'purchase')), 'running') AS state, greatest(count(*) FILTER (kind IN ('error', 'purchase')) - 1, 0) AS ignored FROM audit GROUP BY run_id) a ON a.run_id = r.event_id WHERE r.event_id % 16 = 0""")),
     "r6_stale_work": (r6, "SELECT item, attempt FROM (SELECT event_id % 500 AS item, max(event_id) AS attempt, arg_max(ts, event_id) AS t FROM events GROUP BY 1) WHERE t + INTERVAL 15 MINUTES <= TIMESTAMP '2024-01-29 12:00:00'"),
     "r7_delivery_status": (r7, with_frames("runs", body=f"SELECT id, CASE WHEN m = 0 THEN CASE WHEN id % 7 = 0 THEN 'recovered_from_audit' ELSE 'original_materialized' END WHEN age < 45 THEN 'pending' WHEN s > 0 THEN 'incomplete' WHEN age < 60 THEN 'pending' ELSE 'unrecoverable' END AS delivery FROM (SELECT id, CASE WHEN id % 5 <> 0 THEN id % 3 END AS m, CASE WHEN id % 5 <> 0 THEN id % 4 END AS s, floor(epoch(TIMESTAMP '{AS_OF}')) - floor(epoch(finished_at)) AS age FROM runs)")),
     "r8_next_due": (r8, with_frames("runs", body="SELECT id, least(3600.0::DOUBLE, 5.0 * pow(2, least(tries, 9))) AS wait_s, least(300.0::DOUBLE, 10.0 * pow(2, tries - 1)) AS ingest_s FROM runs")),

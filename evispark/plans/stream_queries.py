@@ -47,6 +47,16 @@ def r4(spark, d):
     return drain(spark, X.paired_operations(log(spark, d).select("run_id", "event_id", "op", "phase")))
 
 
+def r3_conflicts(spark, d):
+    s = X.tail(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
+    return drain(spark, X.request_outcomes(s, ["user_id", "event_type"], ["props"]))
+
+
+def r4_inventory(spark, d):
+    s = log(spark, d).withColumn("phase", F.when(F.col("phase") == "start", "start").when(F.col("kind") == "error", "failed").otherwise("end"))
+    return X.operation_inventory(drain(spark, X.operation_changes(s.select("run_id", "event_id", "op", "phase"))))
+
+
 def s8(spark, d):
     f = shared(spark)
     spans = I.line_spans(table(spark, d, "documents"))
@@ -76,7 +86,14 @@ QUERIES = {
     "r1_continuous_ingest": (r1, f"WITH {SPANS} SELECT source, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM spans GROUP BY source"),
     "r2_event_tail": (r2, "SELECT event_id, event_type FROM events WHERE event_id > 5000"),
     "r3_first_write_wins": (r3, "SELECT DISTINCT user_id, event_type FROM events"),
+    "r3_request_conflicts": (r3_conflicts, """SELECT user_id, event_type, event_id, CASE WHEN row_number() OVER w = 1 THEN 'created' WHEN props IS NOT DISTINCT FROM first_value(props) OVER w THEN 'repeated' ELSE 'conflict' END AS outcome
+FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)"""),
     "r4_pair_stream": (r4, None),
+    "r4_operation_inventory": (r4_inventory, """WITH l AS (SELECT event_id // 20 AS run_id, event_id // 2 AS op, event_id, event_id % 2 = 0 AS starts, event_type = 'error' AS fails FROM events WHERE event_id % 19 <> 3),
+x AS (SELECT *, lag(starts) OVER w AS p, lag(op) OVER w AS o FROM l WINDOW w AS (PARTITION BY run_id ORDER BY event_id)),
+b AS (SELECT *, bool_or(CASE WHEN starts THEN coalesce(p, false) ELSE NOT coalesce(p AND o = op, false) END) OVER (PARTITION BY run_id ORDER BY event_id) AS poisoned FROM x)
+SELECT run_id, op, CASE WHEN poisoned THEN 'poisoned' WHEN starts THEN 'unknown' WHEN fails THEN 'failed' ELSE 'completed' END AS outcome
+FROM b QUALIFY row_number() OVER (PARTITION BY run_id, op ORDER BY event_id DESC) = 1"""),
     "s3_scan_originals": (s3, "SELECT count(*) AS n, sum(strlen(text) + 1)::BIGINT AS n_bytes FROM documents"),
     "s8_publish": (s8, f"WITH {SPANS} SELECT source, count(*) AS n FROM spans GROUP BY source"),
     "s9_report": (s9, CELLS + f" SELECT variant, generator, {RATES} FROM rows1 GROUP BY 1, 2"),

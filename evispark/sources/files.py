@@ -16,6 +16,8 @@ MAX_BYTES = 64 << 20
 MANIFEST = "schema_version int, corpus_id string, document_count int, documents array<struct<doc_id string, family_id string, path string, sha256 string, language string, document_class string>>, _corrupt string"
 QUESTIONS = "case_id string, family_id string, anchor_doc_id string, scope struct<patient string, doc_ids array<string>>, turns array<struct<role string, text string>>, question_class string, _corrupt string"
 GOLD = "case_id string, gold_status string, required_claims array<struct<claim_id string, text string>>, _corrupt string"
+REFERENCE = "struct<doc_id string, page int, line_start int, line_end int, quote string>"
+EXTRACTION = f"schema_version string, corpus_id string, entries array<struct<reference {REFERENCE}, source_sha256 string, outcome string, reviewed_by string, extracted_locators array<struct<page int, line_start int, text_sha256 string>>>>, _corrupt string"
 
 
 def scan_originals(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -43,10 +45,14 @@ def scan_originals(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -
     return x.select("path", "size", "sha256", "media_type", "text", reason.alias("reason"))
 
 
-def read_release(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """Release files with fixed schemas; broken records go to the ``_corrupt`` column, nothing is inferred."""
-    read = lambda schema, name: spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(f"{folder}/{name}.json")
-    return {"manifest": read(MANIFEST, "manifest"), "questions": read(QUESTIONS, "questions"), "gold": read(GOLD, "gold")}
+def read_release(spark: SparkSession, folder: str, extraction_map: str | None = None) -> dict[str, DataFrame]:
+    """Release files with fixed schemas; broken records go to the ``_corrupt`` column, nothing is inferred.
+
+    The extraction map lies outside the release and is read where its path is given.
+    """
+    read = lambda schema, path: spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    out = {name: read(schema, f"{folder}/{name}.json") for name, schema in (("manifest", MANIFEST), ("questions", QUESTIONS), ("gold", GOLD))}
+    return out | ({"extraction": read(EXTRACTION, extraction_map)} if extraction_map else {})
 
 
 def publish(tables: dict[str, DataFrame], out: str, version: str | None = None) -> str:

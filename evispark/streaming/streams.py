@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +10,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from ..functions.text import digest
+
 TERMINAL = ("completed", "failed", "error", "purchase")
+SUCCESS = ("completed", "purchase")
 
 
 def tail(spark: SparkSession, path: str, schema: StructType, after: int | None = None, seq: str = "event_id", per_trigger: int = 1) -> DataFrame:
@@ -28,6 +32,27 @@ def first_write_wins(stream: DataFrame, key: list[str], at: str, late: str = "1
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
+def request_outcomes(stream: DataFrame, key: list[str], content: list[str], seq: str = "event_id") -> DataFrame:
+    """key, seq, outcome: ``created`` for the first request of a key, ``repeated`` for one of the same content, else ``conflict``.
+
+    State is the first request's digest of each key. Requests of one batch count in the order of ``seq``.
+    """
+    x = stream.select(*key, seq, digest(*[F.col(c) for c in content]).alias("content"))
+    shown = [*key, seq]
+
+    def step(_, frames, state):
+        rows = pd.concat(list(frames)).sort_values(seq)
+        first = state.get[0] if state.exists else rows.content.iloc[0]
+        outcome = np.where(rows.content == first, "repeated", "conflict").astype(object)
+        if not state.exists:
+            outcome[0] = "created"
+        state.update((first,))
+        yield rows[shown].assign(outcome=outcome)
+
+    fields = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for c in shown)
+    return x.groupBy(*key).applyInPandasWithState(step, f"{fields}, outcome string", "content string", "append", GroupStateTimeout.NoTimeout)
+
+
 def ingest(stream: DataFrame, out: str, checkpoint: str, build) -> None:
     """Continuous ingestion: each batch is built (documents -> tables) and published as a version named by its batch, so that a replay rewrites it."""
     from ..sources.files import publish
@@ -73,21 +98,67 @@ def paired_operations(stream: DataFrame) -> DataFrame:
     return stream.groupBy("run_id").applyInPandasWithState(step, "run_id long, op long, outcome string", "open_op long, poisoned boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def inventory_step(state: tuple | None, rows: list[tuple]) -> tuple[tuple, list[str]]:
+    """(open op, poisoned, ops seen) and the outcome that each further (op, phase) row of a run gives its operation."""
+    open_op, poisoned, seen = state or (None, False, [])
+    seen, out = set(seen), []
+    for op, phase in rows:
+        poisoned = poisoned or ((open_op is not None or op in seen) if phase == "start" else open_op is None or open_op != op)
+        if poisoned:
+            out.append("poisoned")
+        elif phase == "start":
+            open_op = op
+            seen.add(op)
+            out.append("unknown")
+        else:
+            open_op = None
+            out.append("failed" if phase == "failed" else "completed")
+    return (open_op, poisoned, sorted(seen)), out
+
+
+def operation_changes(stream: DataFrame) -> DataFrame:
+    """run_id, op, event_id, outcome: what each start, end or failed event makes of its operation, the open operation being state.
+
+    A start makes it ``unknown``, its end ``completed`` or ``failed``. A start while another is open, one of an op seen before, or an
+    end that isn't the open operation's poisons the run from there on.
+    """
+
+    def step(key, frames, state):
+        rows = pd.concat(list(frames)).sort_values("event_id")
+        new, out = inventory_step(state.get if state.exists else None, list(zip(rows.op.astype(int), rows.phase)))
+        state.update(new)
+        yield pd.DataFrame({"run_id": key[0], "op": rows.op, "event_id": rows.event_id, "outcome": out})
+
+    return stream.groupBy("run_id").applyInPandasWithState(step, "run_id long, op long, event_id long, outcome string", "open_op long, poisoned boolean, seen array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def operation_inventory(changes: DataFrame) -> DataFrame:
+    """run_id, op, outcome: the last change of each operation (``unknown``: still open), of the changes read so far."""
+    return changes.groupBy("run_id", "op").agg(F.max_by("outcome", "event_id").alias("outcome"))
+
+
 class RunState(StatefulProcessor):
-    """Run state machine: the first terminal event is absorbing, later ones are counted as ignored (for ``transformWithStateInPandas``)."""
+    """Run state machine (for ``transformWithStateInPandas``): queued until an event of another kind, then running.
+
+    The first terminal event is absorbing and later ones are counted as ignored. Where events have a column ``fresh``, a success
+    that isn't (the scope has changed) becomes scope_expired.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "kind string, ignored long")
 
     def handleInputRows(self, key, rows, timerValues):
-        kind, ignored = self.state.get() if self.state.exists() else ("running", 0)
+        kind, ignored = self.state.get() if self.state.exists() else ("queued", 0)
         for p in rows:
-            for k in p.sort_values("event_id").kind:
+            p = p.sort_values("event_id")
+            for k, fresh in zip(p.kind, p.fresh if "fresh" in p else [True] * len(p)):
                 if k in TERMINAL:
-                    if kind == "running":
-                        kind = k
+                    if kind in ("queued", "running"):
+                        kind = "scope_expired" if k in SUCCESS and not fresh else k
                     else:
                         ignored += 1
+                elif kind == "queued" and k != "queued":
+                    kind = "running"
         self.state.update((kind, ignored))
         yield pd.DataFrame([(key[0], kind, ignored)], columns=["run_id", "state", "ignored"])
 

@@ -10,7 +10,7 @@ from evispark.operators import guards as G
 from evispark.operators import ingest as I
 from evispark.operators import retrieval as R
 from evispark.operators import runs as N
-from evispark.streaming.streams import pair_step
+from evispark.streaming.streams import inventory_step, pair_step
 
 
 def docs(spark, *texts):
@@ -46,6 +46,14 @@ def test_token_windows(spark):
     assert [(r["first_token"], r["n_tokens"]) for r in w] == [(0, 10), (8, 10), (16, 9)]
 
 
+def test_headed_windows_take_the_header_off_the_width(spark):
+    body = " ".join(f"w{i}" for i in range(25))
+    rows = [(1, "a b", body), (2, " ".join("abcdefg"), body), (3, None, "x"), (4, "h", "..."), (5, "h", None)]
+    got = I.headed_windows(spark.createDataFrame(rows, "doc_id int, header string, text string"), ["doc_id"], "header", 10, 2, 4).orderBy("doc_id", "win").collect()
+    assert [(r["doc_id"], r["first_token"], r["n_tokens"], r["reason"]) for r in got] == [(1, 0, 8, None), (1, 6, 8, None), (1, 12, 8, None), (1, 18, 7, None), (2, None, None, "chunk_prefix_too_long"), (3, 0, 1, None)]
+    assert got[0]["text"] == "a b w0 w1 w2 w3 w4 w5 w6 w7" and got[3]["text"].startswith("a b w18")
+
+
 def test_structural_context(spark):
     x = I.structural_context(I.line_spans(docs(spark, "patient: 7 | ward\nplain text\nHEAD\na | b\n1 | 2\nmore:"))).orderBy("line_no").collect()
     assert [r["kind"] for r in x] == ["identity", "prose", "heading", "row", "row", "heading"]
@@ -143,6 +151,21 @@ def test_stream_pairing_poisons_a_run():
     assert [o for _, o in out] == ["poisoned", "poisoned"] and state[1]
 
 
+def test_operation_inventory_keeps_failed_and_open_ones():
+    state, out = inventory_step(None, [(1, "start"), (1, "failed"), (2, "start")])
+    assert out == ["unknown", "failed", "unknown"]
+    state, out = inventory_step(state, [(2, "end"), (1, "start"), (3, "start")])
+    assert out == ["completed", "poisoned", "poisoned"]  # an op can't start twice
+    assert inventory_step(None, [(1, "end")])[1] == ["poisoned"]
+
+
+def test_run_lifecycle(spark):
+    runs = spark.createDataFrame([(1, True), (2, False), (3, None), (4, True), (5, False)], "id long, fresh boolean")
+    events = spark.createDataFrame([(1, 1, "done"), (1, 2, "bad"), (2, 3, "done"), (3, 4, "done"), (5, 5, "bad"), (4, 6, "x")], "run_id long, event_id long, kind string").withColumn("at", F.col("event_id"))
+    got = {r["id"]: (r["state"], r["ignored"]) for r in N.run_lifecycle(runs.union(spark.createDataFrame([(6, True)], runs.schema)), events, ["done", "bad"], ["done"]).collect()}
+    assert got == {1: ("done", 1), 2: ("scope_expired", 0), 3: ("scope_expired", 0), 4: ("running", 0), 5: ("bad", 0), 6: ("queued", 0)}
+
+
 def test_call_cost_labels_and_long_context(spark):
     calls = [("a", "gpt-6-sol", 1000, 0, 0, 100), ("b", "x", 1, 0, 0, 1), ("c", "gpt-6-sol", None, 0, 0, 1), ("d", "gpt-6-sol", 5, 9, 0, 1), ("e", "gpt-6-sol", 50, 1, 1, 1), ("f", "gpt-6-luna", 272001, 1, 0, 10), ("g", "gpt-6-luna", 0, 0, 0, 0)]
     df = spark.createDataFrame(calls, "call string, model string, input_tokens long, cached_tokens long, write_tokens long, output_tokens long")

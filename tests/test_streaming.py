@@ -26,6 +26,19 @@ def test_run_states_absorb_the_first_terminal_event(spark, tmp_path):
     assert got == {1: ("completed", 1), 2: ("running", 0)}
 
 
+def test_requests_and_operations_over_batches(spark, tmp_path):
+    schema = "k long, event_id long, body string, run_id long, op long, phase string"
+    batches = [[(1, 1, "a", 1, 1, "start"), (1, 2, "a", 1, 1, "failed"), (2, 3, None, 1, 2, "start")], [(1, 4, "b", 2, 7, "end"), (2, 5, None, 1, 2, "end"), (2, 6, "c", 1, 3, "start")]]
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
+    s = X.tail(spark, f"{tmp_path}/log", spark.read.parquet(f"{tmp_path}/log").schema)
+    got = X.drained(X.request_outcomes(s, ["k"], ["body"]), "append", f"{tmp_path}/c1", f"{tmp_path}/o1").collect()
+    by_event = {r["event_id"]: r["outcome"] for r in got}
+    assert by_event[1] == "created" and by_event[2] == "repeated" and by_event[4] == "conflict" and by_event[5] == "repeated" and by_event[6] == "conflict"
+    ops = X.operation_inventory(X.drained(X.operation_changes(s), "append", f"{tmp_path}/c2", f"{tmp_path}/o2")).collect()
+    assert {(r["run_id"], r["op"]): r["outcome"] for r in ops} == {(1, 1): "failed", (1, 2): "completed", (1, 3): "unknown", (2, 7): "poisoned"}
+
+
 def test_ingest_is_idempotent_by_batch(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a\nb", "s"), (2, "c", "s")], "doc_id long, text string, source string")
     docs.write.parquet(f"{tmp_path}/docs")
@@ -71,7 +84,10 @@ def test_read_release_keeps_broken_files(spark, tmp_path):
     (tmp_path / "manifest.json").write_text(json.dumps({"schema_version": 1, "corpus_id": "c", "document_count": 1, "documents": [{"doc_id": "d", "family_id": "f"}]}))
     (tmp_path / "questions.json").write_text(json.dumps([{"case_id": "q1", "turns": [{"role": "user", "text": "t"}]}]))
     (tmp_path / "gold.json").write_text("{broken")
+    (tmp_path / "map.json").write_text(json.dumps({"schema_version": "1", "corpus_id": "c", "entries": [{"reference": {"doc_id": "d", "line_start": 1, "quote": "q"}, "source_sha256": "s", "outcome": "intact", "reviewed_by": "r", "extracted_locators": [{"line_start": 1, "text_sha256": "h"}]}]}))
+    assert S.read_release(spark, str(tmp_path), str(tmp_path / "map.json"))["extraction"].select("entries.reference.doc_id", "entries.outcome").first() == (["d"], ["intact"])
     r = S.read_release(spark, str(tmp_path))
+    assert "extraction" not in r
     assert r["manifest"].select(F.explode("documents.doc_id")).first()[0] == "d"
     assert r["questions"].first()["turns"][0]["text"] == "t"
     assert r["gold"].cache().where("_corrupt IS NOT NULL").count() == 1
