@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, chat_format, decontam, html_extract, language_id, license_scan, mixing, simhash, token_output, toxicity
+from . import ann, chat_format, decontam, html_extract, language_id, license_scan, mixing, periodic, quality_rules, simhash, spelling, token_output, toxicity
 from .common import table
 
 
@@ -54,9 +54,21 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic.run_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle(), "op6_chat_format": chat_format.ORACLE}
+    return {"op1_license_scan": license_scan.oracle(), "op6_chat_format": chat_format.ORACLE, "op12_quality_rules": quality_rules.oracle()}
