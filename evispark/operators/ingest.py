@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import BREAKS, TOKEN, stripped
+from ..functions.text import BREAKS, TOKEN, byte_prefix, stripped
 
 MAX_LINES, MAX_LINE_BYTES, FRAGMENT_BYTES = 200_000, 65_536, 4_096
 FIXED_BYTES, STRUCTURAL_BYTES = 1_200, 1_800
@@ -37,33 +37,28 @@ def with_ordinal(spans: DataFrame) -> DataFrame:
     return spans.withColumn("ordinal", F.row_number().over(W.partitionBy("doc_id").orderBy(*keys)))
 
 
-def fragment_spans(spans: DataFrame, limit: int = FRAGMENT_BYTES) -> DataFrame:
-    """Adds piece and cuts spans over ``limit`` UTF-8 bytes at character bounds, at the last blank of the second half if there is one."""
-
-    def pieces(text: str):
-        data = text.encode()
-        while len(data) > limit:
-            end = limit
-            while data[end] & 0xC0 == 0x80:
-                end -= 1
-            blank = max(data.rfind(b" ", limit // 2, end), data.rfind(b"\t", limit // 2, end))
-            end = blank + 1 if blank >= 0 else end
-            yield data[:end].decode()
-            data = data[end:]
-        yield data.decode()
-
-    schema = "doc_id long, line_no int, section string, piece int, text string"
-
-    def cut(batches):
-        import pandas as pd
+def text_pieces(text: Column, limit: int) -> Column:
+    """A text as an array of pieces of at most ``limit`` (4 or more) UTF-8 bytes: as many whole characters as fit, shortened to end
+    after a blank or tab if one of them begins in the second half."""
+    start = F.struct(F.coalesce(text, F.lit("")).alias("rest"), F.array().cast("array<string>").alias("pieces"))
+    most = F.ceil(F.octet_length(text) / (limit // 2)) + 1  # every piece but the last is longer than half the limit
+
+    def step(state, _):
+        head = byte_prefix(state["rest"], limit)
+        upto = F.regexp_extract(head, r"(?s)^(.*[ \t])", 1)
+        piece = F.when(F.octet_length(state["rest"]) <= limit, state["rest"]).when(F.octet_length(upto) > limit // 2, upto).otherwise(head)
+        more = F.struct(F.substring(state["rest"], F.length(piece) + 1, F.length(state["rest"])).alias("rest"), F.concat(state["pieces"], F.array(piece)).alias("pieces"))
+        return F.when(state["rest"] == "", state).otherwise(more)
 
-        for p in batches:
-            rows = [(d, n, s, i, t) for d, n, s, text in zip(p.doc_id, p.line_no, p.section, p.text) for i, t in enumerate(pieces(text))]
-            yield pd.DataFrame(rows, columns=["doc_id", "line_no", "section", "piece", "text"])
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), most), start, step, lambda state: state["pieces"])
 
+
+def fragment_spans(spans: DataFrame, limit: int = FRAGMENT_BYTES) -> DataFrame:
+    """Adds piece and cuts spans over ``limit`` UTF-8 bytes into the pieces that :func:`text_pieces` makes."""
     narrow = spans.select("doc_id", F.col("line_no").cast("int").alias("line_no"), "section", "text")
     long = F.octet_length("text") > limit
-    return with_ordinal(narrow.where(~long).select("doc_id", "line_no", "section", F.lit(0).alias("piece"), "text").unionByName(narrow.where(long).mapInPandas(cut, schema)))
+    cut = narrow.where(long).select("doc_id", "line_no", "section", F.posexplode(text_pieces(F.col("text"), limit)).alias("piece", "text"))
+    return with_ordinal(narrow.where(~long).select("doc_id", "line_no", "section", F.lit(0).alias("piece"), "text").unionByName(cut))
 
 
 def regions(spans: DataFrame) -> DataFrame:

@@ -406,8 +406,6 @@ r AS (SELECT *, least({size}, size - piece * {size}) AS n, row_number() OVER (PA
 f AS (SELECT source, i, doc_id, n, 1 AS page, n AS used, 1 AS cnt FROM t WHERE i = 1 UNION ALL SELECT t.source, t.i, t.doc_id, t.n, CASE WHEN f.used + t.n > {size} OR f.cnt >= 64 THEN f.page + 1 ELSE f.page END, CASE WHEN f.used + t.n > {size} OR f.cnt >= 64 THEN t.n ELSE f.used + t.n END, CASE WHEN f.used + t.n > {size} OR f.cnt >= 64 THEN 1 ELSE f.cnt + 1 END FROM f JOIN t ON t.source = f.source AND t.i = f.i + 1)"""
 
 
-PLACE_RE = "archive|collection|library|documents|records|sources"
-
 QUERIES = {
     "s1_line_spans": (s1, f"WITH {SPANS} SELECT doc_id, line_no, text, section FROM spans"),
     "s2_reject_oversize": (s2, rf"WITH {LINES}, g AS (SELECT doc_id, count(*) AS n_lines, max(strlen(raw)) AS longest, count(*) FILTER (regexp_replace(raw, '{EDGES}', '', 'g') <> '') AS k FROM raw_lines GROUP BY doc_id) SELECT doc_id, n_lines, longest, CASE WHEN n_lines > 40 THEN 'too_many_lines' WHEN longest > 8000 THEN 'line_too_long' WHEN k = 0 THEN 'no_text' END AS reason FROM g"),
@@ -417,7 +415,7 @@ QUERIES = {
     "s12_prune_deleted": (s12, with_frames("sources", body="") + f", {SPANS} SELECT source, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM spans WHERE doc_id IN (SELECT id FROM sources WHERE NOT deleted) GROUP BY source"),
     "p1_eligible": (p1, with_frames("sources", body="") + f", {SPANS} SELECT p.doc_id, line_no FROM spans p JOIN sources s ON s.id = p.doc_id AND s.collection_id = p.source WHERE status = 'ready' AND NOT deleted"),
     "p4_byte_prefix": (p4, "SELECT doc_id, p AS prefix, strlen(p)::BIGINT AS n FROM (SELECT doc_id, left(text, len(list_filter(range(1, 18), lambda k: strlen(left(text, k)) <= 17))) AS p FROM documents)"),
-    "p7_coverage_policy": (p7, rf"""SELECT doc_id, CASE WHEN regexp_matches(q, '{"|".join(T.EXHAUSTIVE)}') OR regexp_matches(q, '{T.SCOPED_ANY}') OR (regexp_matches(q, '{T.YES_NO}') AND regexp_matches(q, '{T.RECORDED}')) THEN 'complete_scope' ELSE 'claims' END AS policy, regexp_matches(q || ' ', '{T.ABSENCE}') AS absence FROM (SELECT doc_id, lower(text) AS q FROM documents)"""),
+    "p7_coverage_policy": (p7, rf"""SELECT doc_id, CASE WHEN regexp_matches(q, '{T.EXHAUSTIVE}') OR regexp_matches(q, '{T.SCOPED_ANY}') OR (regexp_matches(q, '{T.YES_NO}') AND regexp_matches(q, '{T.RECORDED}')) THEN 'complete_scope' ELSE 'claims' END AS policy, regexp_matches(q || ' ', '{T.ABSENCE}') AS absence FROM (SELECT doc_id, lower(text) AS q FROM documents)"""),
     "j3_lookup_lenient": (j3, f"WITH {REQ} SELECT req, pos, id, lang FROM e JOIN documents d ON d.doc_id = e.id"),
     "j4_lookup_strict": (j4, f"WITH {REQ} SELECT req, pos, id, count(*) FILTER (d.doc_id IS NULL) OVER (PARTITION BY req) = 0 AS accepted FROM e LEFT JOIN documents d ON d.doc_id = e.id"),
     "j6_missing": (j6, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"),

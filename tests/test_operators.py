@@ -36,6 +36,24 @@ def test_fragments_rebuild_their_span(spark):
     assert [r["ordinal"] for r in f.where("doc_id = 0").orderBy("ordinal").collect()] == list(range(1, f.where("doc_id = 0").count() + 1))
 
 
+def test_pieces_end_at_blanks_of_the_second_half(spark):
+    import random
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("aé日😀 \t\n") for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["a" * 50, " " * 50, "", "😀" * 9]
+    for limit in (8, 13):
+        rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", I.text_pieces(F.col("text"), limit).alias("p")).collect()
+        for r in rows:
+            assert "".join(r["p"]) == r["text"]
+            rest = r["text"]
+            for piece in r["p"]:
+                # brute force: the longest of the prefixes that end after a blank of the second half, or else of all prefixes
+                fits = [rest[:k] for k in range(1, len(rest) + 1) if len(rest[:k].encode()) <= limit]
+                blanks = [x for x in fits if x[-1] in " \t" and len(x.encode()) > limit // 2]
+                assert piece == (rest if fits and fits[-1] == rest else (blanks or fits)[-1])
+                rest = rest[len(piece):]
+
+
 def test_pack_blocks_breaks_on_size_and_section(spark):
     b = I.pack_blocks(I.line_spans(docs(spark, "aaaa\nbbbb\ncccc\n# h\ndddd")), 10, True).orderBy("first_line").collect()
     assert [(r["first_line"], r["last_line"]) for r in b] == [(1, 2), (3, 3), (4, 5)]
