@@ -14,7 +14,7 @@ Vectors are scaled by a power of two first, which loses nothing, so that squares
 overflow nor vanish.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part, nor do rows with null vec_id or a
-dimension other than the most common one; rows that repeat a vec_id count once (the smallest vector of that dimension); fewer candidates than asked for are all returned; ties go to
+dimension other than the most common one (their cosine with the others has no meaning); rows that repeat a vec_id each count, as queries and as candidates (of each other, too); fewer candidates than asked for are all returned; ties go to
 the smaller vec_id; an empty table gives an empty table; extra columns are ignored.
 """
 
@@ -35,14 +35,15 @@ CODES_IN_BLOCK, QUERIES_AT_ONCE = 4096, 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id, x (array of double, scaled to components of 2 at most): the vectors that take part."""
+    """row, vec_id, x (array of double, scaled to components of 2 at most): the vectors that take part, every row under a number of its
+    own (which holds once the rows are written), so that rows that share a vec_id all count."""
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x")).where("vec_id is not null and x is not null")
     x = x.where(F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < float("inf")))).where(F.exists("x", lambda v: v != 0.0))
     largest = F.array_max(F.transform("x", lambda v: F.abs(v)))
     scale = F.array(F.pow(F.lit(2.0), F.floor(F.log2(largest)).cast("double")))  # as a lambda's variable, it is worked out once a vector
     x = x.select("vec_id", F.get(F.transform(scale, lambda s: F.transform("x", lambda v: v / s)), 0).alias("x"))
     common = x.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return x.where(F.size("x") == (common["d"] if common else 0)).groupBy("vec_id").agg(F.min("x").alias("x"))
+    return x.where(F.size("x") == (common["d"] if common else 0)).select(F.monotonically_increasing_id().alias("row"), "vec_id", "x")
 
 
 def _units(m: np.ndarray) -> np.ndarray:
@@ -70,6 +71,15 @@ def train(sample: np.ndarray, books: int = BOOKS, words: int = WORDS, rounds: in
     return np.stack(out)
 
 
+def _least(flat: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k smallest values (``flat`` is overwritten): k scans are cheaper than sorting for a small k."""
+    rows, out = np.arange(len(flat)), np.empty((len(flat), k), np.int64)
+    for i in range(k):
+        out[:, i] = flat.argmin(axis=1)
+        flat[rows, out[:, i]] = np.inf
+    return out
+
+
 def encode(x: np.ndarray, codebooks: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """(codes (n, books) uint8, norms of the reconstructions), by beam search."""
     n, d = x.shape
@@ -78,7 +88,7 @@ def encode(x: np.ndarray, codebooks: np.ndarray, beam: int = BEAM) -> tuple[np.n
         b = rest.shape[1]
         cost = (rest * rest).sum(2)[:, :, None] - 2 * (rest.reshape(-1, d) @ c.T).reshape(n, b, -1) + (c * c).sum(1)
         flat = cost.reshape(n, -1)
-        best = np.argpartition(flat, min(beam, flat.shape[1]) - 1, axis=1)[:, :beam]
+        best = _least(flat.copy(), min(beam, flat.shape[1]))
         from_, word = best // len(c), best % len(c)
         rest = np.take_along_axis(rest, from_[:, :, None], 1) - c[word]
         codes = np.concatenate([np.take_along_axis(codes, from_[:, :, None], 1), word[:, :, None].astype(np.uint8)], axis=2)
@@ -95,16 +105,16 @@ def _matrix(column) -> np.ndarray:
 
 
 def encoded(vectors: DataFrame, codebooks: np.ndarray) -> DataFrame:
-    """vec_id, code (binary), norm, x (the vector itself, to tell ties apart)."""
+    """row, vec_id, code (binary), norm, x (the vector itself, to tell ties apart)."""
 
     def run(batches):
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                codes, norms = encode(_units(_matrix(part.column(1))), codebooks)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.maximum(norms, 1e-9)), part.column(1)], names=["vec_id", "code", "norm", "x"])
+                codes, norms = encode(_units(_matrix(part.column(2))), codebooks)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.maximum(norms, 1e-9)), part.column(2)], names=["row", "vec_id", "code", "norm", "x"])
 
-    return vectors.select("vec_id", "x").mapInArrow(run, "vec_id long, code binary, norm float, x array<double>")
+    return vectors.select("row", "vec_id", "x").mapInArrow(run, "row long, vec_id long, code binary, norm float, x array<double>")
 
 
 def _top(rough: np.ndarray, keep: int) -> np.ndarray:
@@ -113,44 +123,44 @@ def _top(rough: np.ndarray, keep: int) -> np.ndarray:
 
 
 def _better(held: tuple, more: tuple, keep: int) -> tuple:
-    """(ids, rough, exact) of the ``keep`` best of both, by rough score, then exact score, then smaller id."""
-    ids, rough, exact = (np.concatenate(c) for c in zip(held, more))
-    order = np.lexsort((ids, -exact, -rough))[:keep]
-    return ids[order], rough[order], exact[order]
+    """(rows, ids, rough, exact) of the ``keep`` best of both, by rough score, then exact score, then smaller id."""
+    rows, ids, rough, exact = (np.concatenate(c) for c in zip(held, more))
+    order = np.lexsort((rows, ids, -exact, -rough))[:keep]
+    return rows[order], ids[order], rough[order], exact[order]
 
 
 def candidates(codes: DataFrame, queries: DataFrame, codebooks: np.ndarray, keep: int = KEEP) -> DataFrame:
-    """query_id, vec_id, score: the ``keep`` best by table scores of each query over all codes, with exact scores."""
+    """query, query_id, vec_id, score (query: the row of it): the ``keep`` best by table scores of each query over all codes, with exact scores."""
     passes = max(1, -(-queries.count() // QUERIES_AT_ONCE))
     path = f"{scratch_dir(codes.sparkSession)}/candidates-{uuid.uuid4().hex}"
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rough"), F.desc("exact"), "vec_id"))
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("rough"), F.desc("exact"), "vec_id", "row"))
     for at in range(passes):
-        batch = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(passes)) == at).select("vec_id", "x").collect() if passes > 1 else queries.select("vec_id", "x").collect()
+        batch = queries.where(F.pmod(F.xxhash64("row", F.lit(1)), F.lit(passes)) == at).select("row", "vec_id", "x").collect() if passes > 1 else queries.select("row", "vec_id", "x").collect()
         for part in range(0, len(batch), 2 * QUERIES_AT_ONCE):  # a hash deals evenly; were it not to, this bounds what goes out
             some = sorted(batch[part : part + 2 * QUERIES_AT_ONCE])
-            rows = codes.mapInArrow(_scan([r["vec_id"] for r in some], np.array([r["x"] for r in some]), codebooks, keep), "query_id long, vec_id long, rough float, exact double").where("query_id != vec_id")
-            best = rows.withColumn("n", place).where(F.col("n") <= keep).select("query_id", "vec_id", F.col("exact").alias("score"))
+            rows = codes.mapInArrow(_scan([(r["row"], r["vec_id"]) for r in some], np.array([r["x"] for r in some]), codebooks, keep), "query long, query_id long, row long, vec_id long, rough float, exact double").where("query != row")
+            best = rows.withColumn("n", place).where(F.col("n") <= keep).select("query", "query_id", "vec_id", F.col("exact").alias("score"))
             if passes == 1 and len(batch) <= 2 * QUERIES_AT_ONCE:
                 return best
             best.write.mode("append").parquet(path)
-    schema = "query_id long, vec_id long, score double"
+    schema = "query long, query_id long, vec_id long, score double"
     return codes.sparkSession.read.schema(schema).parquet(path) if passes > 1 else codes.sparkSession.createDataFrame([], schema)
 
 
-def _scan(query_ids: list[int], vectors: np.ndarray, codebooks: np.ndarray, keep: int):
+def _scan(queries: list[tuple[int, int]], vectors: np.ndarray, codebooks: np.ndarray, keep: int):
     books = len(codebooks)
 
     def run(batches):
         unit = _units(vectors)
         tables = np.einsum("qd,mkd->mkq", unit.astype(np.float32), codebooks)
-        best = [(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0))] * len(unit)
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0))] * len(unit)
         floor = np.full(len(unit), -np.inf, np.float32)
         held: list = []
 
         def take() -> None:
             table = pa.Table.from_batches(held).combine_chunks()
             held.clear()
-            ids = table.column("vec_id").to_numpy()
+            rows, ids = table.column("row").to_numpy(), table.column("vec_id").to_numpy()
             x = _units(_matrix(table.column("x").combine_chunks()))
             code = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(-1, books)
             score = np.zeros((len(ids), len(unit)), np.float32)
@@ -162,9 +172,9 @@ def _scan(query_ids: list[int], vectors: np.ndarray, codebooks: np.ndarray, keep
                 some = some[_top(score[k][some], keep + 1)]
                 # summed row by row, so that equal vectors get equal values and tie
                 exact = (x[some] * unit[k]).sum(axis=1)
-                best[k] = _better(best[k], (ids[some], score[k][some], exact), keep + 1)
+                best[k] = _better(best[k], (rows[some], ids[some], score[k][some], exact), keep + 1)
                 if len(best[k][0]) > keep:
-                    floor[k] = best[k][1][-1]
+                    floor[k] = best[k][2][-1]
 
         for b in batches:
             held.append(b)
@@ -174,8 +184,8 @@ def _scan(query_ids: list[int], vectors: np.ndarray, codebooks: np.ndarray, keep
             take()
         sizes = [len(b[0]) for b in best]
         if sum(sizes):
-            columns = [np.repeat(np.array(query_ids, np.int64), sizes), *(np.concatenate(c) for c in zip(*best))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "rough", "exact"])
+            columns = [*(np.repeat(np.array(c, np.int64), sizes) for c in zip(*queries)), *(np.concatenate(c) for c in zip(*best))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query", "query_id", "row", "vec_id", "rough", "exact"])
 
     return run
 
@@ -184,11 +194,11 @@ def search(vectors: DataFrame, is_query, k: int = 5, books: int = BOOKS, sample:
     """query_id, rank, vec_id, score: the k nearest found of each usable vector for which ``is_query`` (a column of vec_id) holds."""
     spark = vectors.sparkSession
     x = saved(usable(vectors), "vectors")
-    fit = np.array([r["x"] for r in x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("x").collect()], dtype=np.float64)
+    fit = np.array([r["x"] for r in x.orderBy(F.xxhash64("vec_id", "x"), "row").limit(sample).select("x").collect()], dtype=np.float64)
     if not len(fit):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     codebooks = train(_units(fit), books)
     codes = saved(encoded(x, codebooks), "codes")
     scored = candidates(codes, x.where(is_query), codebooks, keep)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

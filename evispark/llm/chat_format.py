@@ -1,49 +1,83 @@
 """Chat formatting: cumulative-snapshot collapse, then rendering. Native DataFrame code only.
 
 Chat logs often hold a snapshot of the conversation after every turn. Each conversation gets a rolling hash after each of
-its turns: h(k) = SHA-256(h(k-1), role, text). A conversation whose last hash is a hash inside a longer one is a prefix of
-it. Equal conversations are first reduced to the smallest id; anti-joins on the hashes then leave the maximal ones, which
-are rendered.
+its turns: the sums, over the turns so far, of two 60-bit hashes of the turn's number and content (SHA-256). So a prefix's hash
+follows from the one before by addition, and hashes of stretches of turns add up: conversations are laid out in ranges of
+(conversation, turn), each range is summed for itself, and the sums of the ranges before are added, a row a range. A
+conversation of any length, or the one of all null ids, is spread over many tasks, and no conversation is gathered to be hashed.
+
+A conversation whose last hash is a hash inside a longer one is a prefix of it. Equal conversations are first reduced to the
+smallest id; anti-joins on the hashes then leave the maximal ones, which are rendered: only these are gathered, as each is one
+text.
 
 Defined cases: turns are ordered by (turn, role, text), nulls first, and repeated rows are turns of their own; a null role
 is rendered as ``unknown`` and null text as empty, but neither equals the empty string in a hash; rows with null conv_id
-form one conversation with null id; an empty table gives an empty table; extra columns are ignored.
+form one conversation with null id; very long conversations are hashed in linear time; an empty table gives an empty table; extra
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import saved
+
+#: Hex digits of a hash half: 60 bits, so that sums of up to 10^19 turns fit a decimal.
+HALF = 15
 
-def _turn_key(t):
+
+def snapshots(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, hashes): each turn with its part and place in the layout; conv_id, k (a turn's number, from 1), n (turns of the
+    conversation), p1, p2 (the hash up to it)."""
     part = lambda c: F.coalesce(F.concat(F.lit("v"), F.sha2(c, 256)), F.lit("n"))
-    return F.concat(part(t["role"]), part(t["text"]))
+    order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
+    m = messages.select("conv_id", "turn", "role", "text", F.concat(part("role"), part("text")).alias("key"))
+    spread = max(messages.sparkSession.sparkContext.defaultParallelism, int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    laid = m.repartitionByRange(spread, F.col("conv_id").asc_nulls_first(), *order).withColumn("part", F.spark_partition_id())
+    laid = saved(laid.withColumn("place", F.row_number().over(W.partitionBy("part", "conv_id").orderBy(*order))), "turns")
+
+    def before(df, columns):
+        """Sums of the parts before, a row a part of a conversation."""
+        w = W.partitionBy("conv_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+        sums = df.groupBy("conv_id", "part").agg(*[F.sum(c).alias(c) for c in columns])
+        zero = [F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_before") for c in columns]
+        return sums.select(F.col("conv_id").alias("c_"), F.col("part").alias("part_"), *zero, *[F.sum(c).over(W.partitionBy("conv_id")).alias(f"{c}_all") for c in columns])
 
+    def offset(df, sums):
+        return df.join(sums, F.col("conv_id").eqNullSafe(F.col("c_")) & (F.col("part") == F.col("part_"))).drop("c_", "part_")
 
-def snapshots(messages: DataFrame) -> DataFrame:
-    """A row for each conversation: conv_id, turns (ordered), hashes (rolling, one for each turn)."""
-    m = messages.select("conv_id", F.struct("turn", "role", "text").alias("t"))
-    c = m.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    roll = F.aggregate("turns", F.array().cast("array<string>"), lambda acc, t: F.concat(acc, F.array(F.sha2(F.concat(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")), _turn_key(t)), 256))))
-    return c.select("conv_id", "turns", roll.alias("hashes"))
+    numbered = offset(laid, before(laid.withColumn("one", F.lit(1).cast("long")), ["one"]))
+    numbered = numbered.withColumn("k", F.col("place") + F.col("one_before")).withColumn("n", F.col("one_all")).drop("one_before", "one_all")
+    digest = F.sha2(F.concat_ws("|", F.col("k").cast("string"), "key"), 256)
+    number = lambda at: F.conv(F.substring(digest, at, HALF), 16, 10).cast("decimal(38,0)")
+    hashed = numbered.withColumn("h1", number(1)).withColumn("h2", number(1 + HALF))
+    hashed = saved(hashed.select("conv_id", "part", "k", "n", "h1", "h2"), "hashes")
+    upto = W.partitionBy("part", "conv_id").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    local = hashed.select("conv_id", "part", "k", "n", *[F.sum(h).over(upto).alias(h) for h in ("h1", "h2")])
+    rolled = offset(local, before(hashed, ["h1", "h2"]))
+    total = lambda h: (F.col(h) + F.col(f"{h}_before")).cast("decimal(38,0)")
+    return laid, rolled.select("conv_id", "k", "n", total("h1").alias("p1"), total("h2").alias("p2"))
 
 
-def collapse(messages: DataFrame) -> DataFrame:
-    """Maximal conversations: conv_id (smallest of equal ones), turns, n_turns, n_copies (equal conversations, itself included)."""
-    s = snapshots(messages).withColumn("last", F.element_at("hashes", -1)).withColumn("n_turns", F.size("turns"))
+def collapse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, maximal conversations): conv_id (smallest of equal ones), n_turns, n_copies (equal conversations, itself included)."""
+    turns, hashes = snapshots(messages)
+    hashes = saved(hashes, "prefixes")
     # the smallest id of each group of equal conversations; null counts as the largest
-    firsts = s.groupBy("last").agg(F.min("conv_id").alias("keep"), F.count("*").alias("n_copies"))
-    inner = s.select(F.explode(F.slice("hashes", F.lit(1), F.col("n_turns") - 1)).alias("last")).distinct()
-    kept = firsts.join(inner, "last", "left_anti")
-    k = kept.select(F.col("last").alias("klast"), "keep", "n_copies")
-    return s.join(k, (F.col("last") == F.col("klast")) & F.col("conv_id").eqNullSafe(F.col("keep"))).select("conv_id", "turns", "n_turns", "n_copies")
+    firsts = hashes.where("k = n").groupBy("k", "p1", "p2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
+    inner = hashes.where("k < n").select("k", "p1", "p2")
+    return turns, firsts.join(inner, ["k", "p1", "p2"], "left_anti").select("conv_id", F.col("k").alias("n_turns"), "n_copies")
 
 
 def chat_format(messages: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies, chat: maximal conversations, each turn rendered as ``<|role|>`` line, text line, end mark."""
-    line = lambda t: F.concat(F.lit("<|"), F.coalesce(t["role"], F.lit("unknown")), F.lit("|>\n"), F.coalesce(t["text"], F.lit("")), F.lit("\n<|end|>\n"))
-    return collapse(messages).select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_copies", F.array_join(F.transform("turns", line), "").alias("chat"))
+    turns, kept = collapse(messages)
+    kept = kept.select(F.col("conv_id").alias("keep"), "n_turns", "n_copies")
+    line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n"))
+    lines = turns.join(kept, F.col("conv_id").eqNullSafe(F.col("keep"))).groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("part", "place", line.alias("line")))).alias("lines"))
+    return lines.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_copies", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("chat"))
 
 
 ORACLE = """

@@ -1,9 +1,16 @@
 """Language ID by cross-parsing entropy.
 
-For each language a suffix automaton is built of labelled text. A text is cross-parsed against each: from the start of a
-phrase follow the automaton for the longest match, then start the next phrase. Phrases end where a word ends at the latest (a
-word is parsed with the space before it), so each different word is parsed once and a text's phrases are summed over its words.
-The language that needs the fewest phrases, normalised as phrases x log2(training length) / text length (bits a character), wins.
+For each language a suffix automaton is built of labelled text. A text is cross-parsed whole against each: from the start of a
+phrase follow the automaton for the longest match, across words, then start the next phrase. The language that needs the
+fewest phrases, normalised as phrases x log2(training length) / text length (bits a character), wins.
+
+Many texts are parsed at once, in stretches of ``STRETCH`` letters side by side: first as if a phrase began with each stretch,
+then, for stretches that the text before enters within a phrase, from that state on, until both parsings are in the same state
+at the same letter; from there they are one. Where they don't meet within a stretch, the next one is parsed again. So the result
+is that of one parsing from the first letter to the last.
+
+A worker holds one automaton a language as a table of at most ``TABLE`` entries of 4 bytes, and the driver ``rows`` texts a language:
+both grow with the number of different languages (not with documents), which is taken to be a few hundred at most.
 
 Training rows: a bounded sample of ``rows`` documents a language, one for each hash bucket of ids: the one with the smallest
 hash among those of ``longest`` characters or fewer, else the shortest. Their texts are taken whole, as is every text that is
@@ -28,21 +35,20 @@ from pyspark.sql import functions as F
 
 from .common import doc_crc, pieces
 
-ROWS, LONGEST, WORDS_KEPT = 32, 2000, 300_000
-#: Table entries of an automaton at most, and the letters of a word, for which many words are parsed at once.
-TABLE, LONG_WORD = 1 << 24, 200
+ROWS, LONGEST = 32, 2000
+#: Table entries of an automaton at most, and the letters of a stretch.
+TABLE, STRETCH = 1 << 24, 256
 UNKNOWN = "und"
 
 
-def words_of(texts) -> pa.Array:
-    """Each text's lower-case words of letters (one empty word, if it has none), of an Arrow array or list of texts."""
+def normalised(texts) -> pa.Array:
+    """Each text's lower-case words of letters with single spaces between, of an Arrow array or list of texts."""
     array = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
-    spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(array, "")), r"[^\pL]+", " ")
-    return pc.split_pattern(pc.utf8_trim(spaced, " "), " ")
+    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(array, "")), r"[^\pL]+", " "), " ")
 
 
 def letters(text: str | None) -> str:
-    return " ".join(words_of([text])[0].as_py())
+    return normalised([text])[0].as_py()
 
 
 def automaton(text: str) -> dict:
@@ -94,7 +100,7 @@ def phrases(start: dict, text: str) -> int:
 
 
 class Table:
-    """An automaton as an array of next states by letter, which parses many words at once."""
+    """An automaton as an array of next states by letter, which parses many texts at once."""
 
     def __init__(self, start: dict):
         number, order = {id(start): 0}, [start]
@@ -115,90 +121,96 @@ class Table:
             self.column[[ord(ch) for ch in self.alphabet]] = range(len(self.alphabet))
             self.start = None
 
-    def _long(self, word: str) -> int:
-        """As :func:`phrases`, by the table."""
-        flat, width, state, n = memoryview(self.next.ravel()), self.next.shape[1], 0, 1
-        for ch in self.column[np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)].tolist():
-            to = flat[state * width + ch]
-            if to < 0:
-                n += state != 0
-                to = flat[ch]
-                if to < 0:
-                    n += 1
-                    to = 0
-            state = to
-        return n - (state == 0)
-
-    def phrases(self, words: list[str]) -> np.ndarray:
-        """As :func:`phrases` of each word with a space before it."""
+    def _step(self, state: np.ndarray, ch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(next states, phrases begun) of many parsings by a letter each."""
+        to = self.next[state, ch]
+        begun = np.zeros(len(state), np.int32)
+        miss = np.nonzero(to < 0)[0]
+        if len(miss):
+            again = self.next[0, ch[miss]]
+            begun[miss] = (state[miss] != 0).astype(np.int32) + (again < 0)
+            to[miss] = np.maximum(again, 0)
+        return to, begun
+
+    def phrases(self, texts: list[str]) -> np.ndarray:
+        """As :func:`phrases` of each text."""
         if self.next is None:
-            return np.array([phrases(self.start, " " + w) for w in words], np.int32)
-        out = np.zeros(len(words), np.int32)
-        sizes = np.array([len(w) for w in words]) + 1
-        short = np.nonzero(sizes <= LONG_WORD)[0]
-        short = short[np.argsort(-sizes[short], kind="stable")]  # words that end drop off the end
-        for i in np.nonzero(sizes > LONG_WORD)[0]:
-            out[i] = self._long(" " + words[i])
-        if not len(short):
-            return out
-        letters_ = self.column[np.frombuffer("".join(" " + words[i] for i in short).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        begins = np.cumsum(sizes[short]) - sizes[short]
-        state, n = np.zeros(len(short), np.int32), np.ones(len(short), np.int32)
-        live = np.searchsorted(-sizes[short], -np.arange(sizes[short[0]]), side="left")  # words longer than k
-        for k in range(sizes[short[0]]):
-            m = live[k]
-            ch, now = letters_[begins[:m] + k], state[:m]
-            to = self.next[now, ch]
-            miss = np.nonzero(to < 0)[0]
-            if len(miss):
-                again = self.next[0, ch[miss]]
-                n[miss] += (now[miss] != 0).astype(np.int32) + (again < 0)
-                to[miss] = np.maximum(again, 0)
-            state[:m] = to
-        out[short] = n - (state == 0)
-        return out
+            return np.array([phrases(self.start, t) for t in texts], np.int64)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        flat = self.column[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        parts = -(-sizes // STRETCH)
+        if not parts.sum():
+            return np.zeros(len(texts), np.int64)
+        text = np.repeat(np.arange(len(texts)), parts)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+        begin = np.repeat(np.cumsum(sizes) - sizes, parts) + number * STRETCH
+        size = np.minimum(sizes[text] - number * STRETCH, STRETCH)
+        order = np.argsort(-size, kind="stable")  # stretches that end drop off the end
+        live = np.searchsorted(-size[order], -np.arange(STRETCH), side="left")  # stretches longer than k
+        deep = int(size.max())
+        states, counts = np.zeros((deep, len(text)), np.int32), np.zeros((deep, len(text)), np.int32)
+        state, n = np.zeros(len(text), np.int32), np.zeros(len(text), np.int32)
+        for k in range(deep):
+            at = order[: live[k]]
+            state[at], more = self._step(state[at], flat[begin[at] + k])
+            n[at] += more
+            states[k], counts[k] = state, n
+        guess_end, guess_n = state.copy(), n.copy()
+        # stretches entered within a phrase: parsed from the true state until both parsings meet
+        entered = np.zeros(len(text), np.int32)
+        todo = np.arange(len(text))[number > 0]
+        while True:
+            true = state[todo - 1]
+            todo = todo[true != entered[todo]]
+            if not len(todo):
+                break
+            entered[todo] = state[todo - 1]
+            at, now, count = todo, entered[todo], np.zeros(len(todo), np.int32)
+            for k in range(deep):
+                ended = size[at] <= k
+                if ended.any():
+                    state[at[ended]], n[at[ended]] = now[ended], count[ended]
+                    at, now, count = at[~ended], now[~ended], count[~ended]
+                if not len(at):
+                    break
+                now, more = self._step(now, flat[begin[at] + k])
+                count = count + more
+                met = now == states[k, at]
+                if met.any():
+                    there = at[met]
+                    state[there], n[there] = guess_end[there], count[met] + guess_n[there] - counts[k, there]
+                    at, now, count = at[~met], now[~met], count[~met]
+            state[at], n[at] = now, count
+            todo = todo + 1  # the stretches after those whose end may have changed
+            todo = todo[todo < len(text)]
+            todo = todo[number[todo] > 0]
+        total = np.bincount(text, weights=n, minlength=len(texts)).astype(np.int64)
+        last = np.cumsum(parts) - 1
+        some = parts > 0
+        total[some] += 1 - (state[last[some]] == 0)
+        return total
 
 
 class Classifier:
-    """The automata, and how many phrases each needs of the words met so far (when there are too many, the half met most often stays)."""
+    """The automata of all languages."""
 
     def __init__(self, samples: list[tuple[str, str]]):
         self.langs = [lang for lang, _ in samples]
         self.tables = [Table(automaton(text)) for _, text in samples]
         self.bits = np.array([math.log2(len(text) + 1) for _, text in samples])
-        self.known, self.met, self.sizes = pa.array([], pa.large_string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.counts = np.zeros((0, len(samples)), np.int32)
 
     def classify(self, texts) -> tuple[list[str], np.ndarray]:
         """(languages, scores) of an Arrow array or list of texts."""
-        split = words_of(texts)
-        if not len(split) or not self.langs:
-            return [UNKNOWN] * len(split), np.zeros(len(split))
-        offsets, words = split.offsets.to_numpy(), split.flatten()
-        offsets = offsets - offsets[0]
-        at = pc.index_in(words, value_set=self.known)
-        unit = pc.fill_null(at, -1).to_numpy()
-        if at.null_count:
-            new, first = words.filter(pc.is_null(at)).dictionary_encode(), len(self.known)
-            fresh = new.dictionary.to_pylist()
-            unit = unit.copy()
-            unit[unit < 0] = first + new.indices.to_numpy()
-            self.known = pa.concat_arrays([self.known, new.dictionary])
-            self.met = np.concatenate([self.met, np.zeros(len(fresh), np.int64)])
-            self.sizes = np.concatenate([self.sizes, [len(w) + 1 for w in fresh]])
-            self.counts = np.concatenate([self.counts, np.stack([t.phrases(fresh) for t in self.tables], axis=1)])
-        self.met += np.bincount(unit, minlength=len(self.met))
-        total = np.add.reduceat(self.counts[unit], offsets[:-1], axis=0, dtype=np.int64)
-        size = np.add.reduceat(self.sizes[unit], offsets[:-1])
-        if len(self.met) > WORDS_KEPT:
-            kept = np.sort(np.argsort(-self.met, kind="stable")[: WORDS_KEPT // 2])
-            self.known, self.met, self.sizes, self.counts = self.known.take(pa.array(kept)), self.met[kept] // 2, self.sizes[kept], self.counts[kept]
-        costs = total * self.bits / size[:, None]
+        plain = normalised(texts).to_pylist()
+        if not plain or not self.langs:
+            return [UNKNOWN] * len(plain), np.zeros(len(plain))
+        size = np.array([len(t) for t in plain])
+        costs = np.stack([t.phrases(plain) for t in self.tables], axis=1) * self.bits / np.maximum(size, 1)[:, None]
         order = np.argsort(costs, axis=1, kind="stable")
         rows = np.arange(len(costs))
+        none = size == 0
         best = costs[rows, order[:, 0]]
-        score = 1 - best / costs[rows, order[:, 1]] if len(self.langs) > 1 else np.ones(len(costs))
-        none = size <= 1
+        score = 1 - best / np.where(none, 1.0, costs[rows, order[:, 1]]) if len(self.langs) > 1 else np.ones(len(costs))
         return [UNKNOWN if x else self.langs[i] for i, x in zip(order[:, 0], none)], np.where(none, 0.0, score)
 
 
@@ -252,8 +264,10 @@ def identify(docs: DataFrame, samples: list[tuple[str, str]] | None = None) -> D
 
 def accepted(docs: DataFrame, languages: tuple[str, ...] | None = None, certain: float = 0.0) -> DataFrame:
     """Documents in one of ``languages`` (None: in any learned one), columns kept. Documents without letters (``und``) go, and those
-    whose score is below ``certain``. A null ``lang`` is filled with the language found."""
+    whose score is below ``certain``. A null ``lang`` is filled with the language found. Without training rows all documents stay as they are."""
     samples = train(docs, learnable())
+    if not samples:  # nothing is known of any language, so nothing can be rejected
+        return docs
     text, lang = docs.columns.index("text"), docs.columns.index("lang")
 
     def run(batches):

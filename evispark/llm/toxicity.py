@@ -10,7 +10,7 @@ are the weights; all of them are taken, and how many there can be is bounded by
 teaches the lexicon and the other half the curve.
 
 Defined cases: null or empty text scores like a text without hits; null labels and ids aren't learned from; a document labelled
-more than once counts by its largest label; repeated rows each give a row; without training rows the fixed list and a fixed
+more than once counts by its largest label, and of an id with several texts the one with the smallest hash is learned from, once; repeated rows each give a row; without training rows the fixed list and a fixed
 curve hold; an empty table gives an empty table; extra columns are ignored.
 """
 
@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -86,8 +88,11 @@ class Lexicon:
                 covered.append((start, end))
             else:
                 hits.append((start, weight))
+        covered.sort()
+        begins, reach = [a for a, _ in covered], list(accumulate((b for _, b in covered), max))
         for start, weight in hits:
-            if not any(a <= start <= b for a, b in covered):
+            before = bisect_right(begins, start)  # exceptions that begin no later; one of them covers the hit if any reaches so far
+            if not before or reach[before - 1] < start:
                 best[start] = max(weight, best.get(start, 0.0))  # a word counts once, by its heaviest entry
         total = sum(best.values())
         return math.log1p(total), math.log1p(1000.0 * total / len(t))
@@ -97,9 +102,11 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """h, text, toxic of a bounded sample of the rows to learn from."""
     y = labels.select(F.col("doc_id").alias("id"), "toxic").where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     y = y.where(F.pmod(doc_crc(F.col("id")), F.lit(5)) != 0).withColumn("h", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)))
-    n = y.count()
-    y = y.where(F.col("h") < int((1 << 30) * min(1.0, sample / max(n, 1))))
-    return docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("id")).select("h", "text", F.col("toxic").cast("int").alias("toxic"))
+    y = y.orderBy("h", "id").limit(sample)
+    # one text for each id, whichever repeats: the one with the smallest hash
+    known = docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("id"))
+    one = known.groupBy("id", "h", F.col("toxic").cast("int").alias("toxic")).agg(F.min(F.struct(F.xxhash64("text").alias("th"), "text")).alias("t"))
+    return one.select("h", "t.text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, support: int = SUPPORT, odds: float = ODDS) -> tuple[dict[str, float], tuple[float, float, float]]:

@@ -340,42 +340,44 @@ def test_language_id(docs, odd):
     assert kept.columns == odd.columns and kept.where("doc_id IN (1, 2, 3)").count() == 0 and kept.where("doc_id = 4").count() == 2
 
 
-def test_tables_parse_as_automata_do():
+@pytest.mark.parametrize("stretch", [1, 3, 16, 256])
+def test_tables_parse_as_automata_do(monkeypatch, stretch):
+    """Whole texts, phrases across words, whatever the stretches that are parsed side by side."""
+    monkeypatch.setattr(language_id, "STRETCH", stretch)
     rng = random.Random(3)
     text = " " + "".join(rng.choice("abcdé ") for _ in range(2000))
     start = language_id.automaton(text)
     table = language_id.Table(start)
-    words = ["".join(rng.choice("abcdéxz日") for _ in range(rng.randrange(0, 30))) for _ in range(500)] + ["ab" * 400, "x" * 300]
-    want = [language_id.phrases(start, " " + w) for w in words]
-    assert table.phrases(words).tolist() == want
+    texts = ["".join(rng.choice("abcdéxz日 ") for _ in range(rng.randrange(0, 60))) for _ in range(300)] + ["ab" * 400, "x" * 300, text, text[7:] + text, ""]
+    texts += ["".join(rng.choice("abcdé ") for _ in range(3000)) for _ in range(3)]
+    want = [language_id.phrases(start, t) if t else 0 for t in texts]
+    assert table.phrases(texts).tolist() == want
+    assert table.phrases([text]).tolist() == [1] and table.phrases([""]).tolist() == [0] and table.phrases([]).tolist() == []
     table.next, table.start = None, start
-    assert table.phrases(words).tolist() == want
+    assert table.phrases(texts[:-3]).tolist()[:300] == want[:300]
 
 
 def brute_language(text, samples):
-    """Longest matches found by looking for substrings."""
+    """Longest matches of the whole text found by looking for substrings."""
     import regex
 
-    words = regex.findall(r"\p{L}+", (text or "").lower())
-    if not words or not samples:
+    t = " ".join(regex.findall(r"\p{L}+", (text or "").lower()))
+    if not t or not samples:
         return "und", 0.0
     costs = []
     for lang, known in samples:
-        n = 0
-        for w in words:
-            w, i = " " + w, 0
-            while i < len(w):
-                k = 1
-                while i + k < len(w) and w[i : i + k + 1] in known:
-                    k += 1
-                n, i = n + 1, i + k
-        costs.append((n * math.log2(len(known) + 1) / (sum(map(len, words)) + len(words)), lang))
+        n = i = 0
+        while i < len(t):
+            k = 1
+            while i + k < len(t) and t[i : i + k + 1] in known:
+                k += 1
+            n, i = n + 1, i + k
+        costs.append((n * math.log2(len(known) + 1) / len(t), lang))
     costs.sort()
     return costs[0][1], 1 - costs[0][0] / costs[1][0] if len(costs) > 1 else 1.0
 
 
-def test_language_id_against_brute_force(spark, docs, odd, monkeypatch):
-    monkeypatch.setattr(language_id, "WORDS_KEPT", 500)
+def test_language_id_against_brute_force(spark, docs, odd):
     more = frame(spark, [(100 + i, t, "en", "a") for i, t in enumerate(["\u00b2 \u00bd \u2462 12 _", "a\u00b2b", "\u216f", "Stra\u00dfe", "x" * 5000, "the and of " * 5000])])
     for df in (docs, odd, more):
         samples = language_id.train(docs, language_id.learnable())
@@ -402,9 +404,26 @@ def test_accepted_fills_null_languages(spark, docs):
     assert 0 < len(only) < len(kept)
 
 
+def test_without_labels_documents_stay(spark, odd):
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.accepted(bare).count() == len(ODD)
+
+
 # --- nearest neighbours ---
 
 
+def test_rows_that_share_an_id_all_take_part(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (50, [1.0, 0.0]), (50, [0.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.search(df, F.col("vec_id") % 50 == 0, books=2).collect())
+    want = Counter()
+    for i, (q, x) in enumerate(rows):
+        if q % 50 == 0:
+            near = sorted((-round(float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y)), 9), v) for j, (v, y) in enumerate(rows) if j != i)
+            want.update((q, k + 1, v, -c + 0.0) for k, (c, v) in enumerate(near[:5]))
+    assert got == want
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     m = rng.standard_normal((900, 16)).astype(np.float32)
@@ -925,3 +944,38 @@ def test_toxicity(spark, odd):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in got)
     assert toxicity.toxicity(odd, y.limit(0)).count() == len(ODD)
     assert toxicity.toxicity(odd.limit(0), y).count() == 0
+
+
+def test_toxicity_learns_from_an_id_once(spark):
+    """An id that repeats with other texts is learned from once, so the sample bounds the rows."""
+    rows = [(7, f"text number {i}", "en", "a") for i in range(3000)] + [(i, "plain words", "en", "a") for i in range(100, 400)]
+    y = spark.createDataFrame([(7, 1)] + [(i, i % 2) for i in range(100, 400)], "doc_id long, toxic int")
+    learned = toxicity._labelled(frame(spark, rows), y, 50).collect()
+    assert 0 < len(learned) <= 50
+    whole = toxicity._labelled(frame(spark, rows), y, 10**6)
+    assert whole.count() == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in [7, *range(100, 400)])
+    assert whole.where("text like 'text number%'").count() == 1
+
+
+def test_many_exceptions_in_one_text():
+    import time
+
+    lex = toxicity.Lexicon({"idiot": 4.0, "clown": 2.0})
+    began = time.time()
+    a = lex.measure("clown fish idiot " * 100_000)
+    assert time.time() - began < 20 and a[0] == pytest.approx(math.log1p(4.0 * 100_000))
+    assert lex.measure("clown fish " * 1000)[0] == 0.0
+
+
+def test_long_conversations_take_linear_time(spark):
+    """One conversation of 100,000 turns, its own snapshots, and a conversation of null ids; spread over parts, hashed by sums."""
+    n = 100_000
+    long = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.concat(F.lit("t"), F.col("id") % 97).alias("text"))
+    snaps = [long.where(F.col("turn") < k).withColumn("conv_id", F.lit(k).cast("long")) for k in (10, 5000, n - 1)]
+    other = long.where("turn < 20000").withColumn("conv_id", F.lit(None).cast("long")).withColumn("role", F.when(F.col("turn") == 19999, "bot").otherwise(F.col("role")))
+    df = long.unionByName(snaps[0]).unionByName(snaps[1]).unionByName(snaps[2]).unionByName(other).unionByName(long.withColumn("conv_id", F.lit(2).cast("long")))
+    got = {r["conv_id"]: (r["n_turns"], r["n_copies"], len(r["chat"])) for r in chat_format.chat_format(df).collect()}
+    line = lambda role, t: len(f"<|{role}|>\n{t}\n<|end|>\n")
+    assert got == {1: (n, 2, sum(line("user", f"t{i % 97}") for i in range(n))), None: (20000, 1, sum(line("user", f"t{i % 97}") for i in range(20000)) - 1)}
+    _, hashes = chat_format.snapshots(df)
+    assert hashes.count() == df.count()
