@@ -13,7 +13,7 @@ def language(spark, docs, sf_dir):
     """Language ID: documents without letters (``und``) go; a null ``lang`` is filled with the language found.
 
     Null and empty texts have no letters and go; very long ones are read whole; ties go to the smaller language; repeated rows
-    are judged alike; without labelled rows no language is known and every document goes; an empty table gives an empty table;
+    are judged alike; without labelled rows no language is known and every document stays; an empty table gives an empty table;
     other columns are kept whatever their names.
     """
     lean(spark)
