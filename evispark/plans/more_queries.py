@@ -31,11 +31,13 @@ def j1(spark, d):
 
 
 def j2(spark, d):
-    r = frame(spark, d, "runs").select("id", (F.col("conversation_id") % 100).alias("conv_id"), "status")
+    """Runs with their conversation and its collection, that of the source of the same number."""
+    r = frame(spark, d, "runs").select("id", F.col("conversation_id").alias("conv_id"), "status")
     m = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_messages"))
-    c = frame(spark, d, "sources").groupBy("collection_id").agg(F.count("*").alias("n_sources"))
-    j = r.join(m, "conv_id").withColumn("collection_id", F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string"))).join(c, "collection_id")
-    return j.select("id", "conv_id", "collection_id", "n_messages", "n_sources")
+    src = frame(spark, d, "sources")
+    c = src.groupBy("collection_id").agg(F.count("*").alias("n_sources"))
+    owner = src.select(F.col("id").alias("conv_id"), "collection_id")
+    return r.join(m, "conv_id").join(owner, "conv_id").join(c, "collection_id").select("id", "conv_id", "collection_id", "n_messages", "n_sources")
 
 
 def j5(spark, d):
@@ -172,7 +174,7 @@ def v14(spark, d):
 QUERIES = {
     "p10_status_coalesce": (p10, with_frames("runs", body="SELECT coalesce(answer_status, 'missing') AS status, count(*) AS n FROM runs GROUP BY 1")),
     "j1_spans_with_source": (j1, with_frames("sources", body="") + f", {SPANS} SELECT status, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM spans JOIN sources ON id = doc_id GROUP BY status"),
-    "j2_run_scope": (j2, with_frames("runs", "sources", body=", m AS (SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY 1), c AS (SELECT collection_id, count(*) AS n_sources FROM sources GROUP BY 1) SELECT r.id, m.conv_id, c.collection_id, n_messages, n_sources FROM runs r JOIN m ON m.conv_id = r.conversation_id % 100 JOIN c ON c.collection_id = 'src' || (m.conv_id % 20)")),
+    "j2_run_scope": (j2, with_frames("runs", "sources", body=", m AS (SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY 1), c AS (SELECT collection_id, count(*) AS n_sources FROM sources GROUP BY 1) SELECT r.id, m.conv_id, c.collection_id, n_messages, n_sources FROM runs r JOIN m ON m.conv_id = r.conversation_id JOIN sources s ON s.id = m.conv_id JOIN c ON c.collection_id = s.collection_id")),
     "j5_restrict": (j5, "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"),
     "j14_option_available": (j14, "SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN greatest(doc_id % 5, doc_id % 7) <= doc_id % 6 END AS ok FROM documents"),
     "j20_ref_key": (j20, "SELECT a.doc_id, a.page FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang END AS page FROM documents) a JOIN (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 AND doc_id % 2 = 0 THEN lang END AS page FROM documents) b ON a.doc_id = b.doc_id AND a.page IS NOT DISTINCT FROM b.page"),
