@@ -3,15 +3,17 @@
 1. Statistics: document frequencies of the benchmark's words over all documents.
 2. Factorisation: the benchmark's passages as TF-IDF rows, dealt into blocks of about ``ITEMS_IN_BLOCK`` by a hash, and a
    randomised SVD of each block as Spark jobs (a random start, power rounds G <- A'(A G) summed over partitions in fixed-point
-   numbers, so that every run sums alike, a small QR after each, and the eigenvectors of what is left). Three quarters as many latent directions are kept as there are
-   passages, ``RANK`` at most.
+   numbers, so that every run sums alike, a small QR after each, and the eigenvectors of what is left). As many latent directions are
+   kept as there are passages, ``RANK`` at most: passages are nearly independent, so fewer would lose more of them than step 3 can spare.
 3. Retrieval: every document is read in windows of its own of a power of two of words, for each item one of at least twice its
    length, each half over the next, so that a passage as long as the item lies whole in a window. A window is folded in
-   (projected) and its latent cosine with each item taken; all at the cosine threshold are candidates. So that the lost
-   directions cost no paraphrase, others are, too, where the words shared weigh enough: words that make up the LCS share of
-   an item weigh so much at least (the item's lightest words that suffice), and a pair below that cannot pass the checks in
-   the window. Windows are skipped before that where even their words that items call for weigh too little (items of like
-   needs are looked at together). Term counts are taken as 0 or 1; a word outside the benchmark has the weight of a word never
+   (projected) and its latent cosine with each item taken; all at the cosine threshold are candidates. So are all whose product
+   with the item may be what the LCS share needs: words that make up that share of an item weigh so much at least (the item's
+   lightest words that suffice). The product isn't taken word by word: it is the latent product plus that of the two parts
+   that the kept directions lose, which is at most the product of their lengths. So the directions decide what is checked (the
+   better they fit the items, the less is lost and the fewer windows can reach an item's need), and no pair that passes in a
+   window is skipped whatever they are. Windows are skipped before that where even their words that items call for weigh too
+   little (items of like needs are looked at together). Term counts are taken as 0 or 1; a word outside the benchmark has the weight of a word never
    seen, which counts in cosines.
 4. Checks on all candidates: longest common subsequence of the item and the text around the window (share of the item's words)
    and of the item's answer, its last third. Paraphrases pass; chance overlaps do not.
@@ -20,7 +22,7 @@ The corpus never goes to the driver. Of the benchmark a pass of ``BLOCKS_IN_PASS
 of text, unless one item is longer); a larger benchmark takes more passes, one after another, each written to the shared folder.
 
 Words are runs of ASCII letters and digits (lower-cased) or non-ASCII characters. Defined cases: null or empty texts have no
-passages; benchmark rows with null or no words match nothing; null ids are carried along; repeated rows each give their rows;
+passages; benchmark rows with null text or fewer than ``LEAST_WORDS`` words match nothing (they would stand in clean texts, too); null ids are carried along; repeated rows each give their rows;
 empty tables give an empty table; extra columns are ignored.
 """
 
@@ -41,7 +43,9 @@ from .common import filter_rows, pieces, saved
 COSINE, LCS, ANSWER = 0.45, 0.6, 0.5
 #: Weights are log((documents + SMOOTH) / (1 + frequency)), CAP at most: a passage that many documents share keeps its place beside rare words.
 SMOOTH, CAP = 1000, 6.0
-RANK, ITEMS_IN_BLOCK, BYTES_IN_BLOCK, BLOCKS_IN_PASS, POWER = 192, 256, 1 << 20, 8, 2
+#: Items of fewer words aren't searched for.
+LEAST_WORDS = 5
+RANK, ITEMS_IN_BLOCK, BYTES_IN_BLOCK, BLOCKS_IN_PASS, POWER = 320, 256, 1 << 20, 8, 2
 WORDS_AT_ONCE, LEVELS = 1 << 15, 1
 #: The share of an item's places whose rarest words tell which windows are looked at; any share above 1 - LCS skips without loss.
 RARE = 0.7
@@ -101,8 +105,9 @@ def latent_directions(passages: DataFrame, idf: dict[bytes, float], rank: int, p
             total = np.zeros_like(g)
             for b in batches:
                 for t in b.column(0):
-                    at = np.unique([where[w] for w in words_of(t.as_py())])
-                    if len(at):
+                    ws = words_of(t.as_py())
+                    if len(ws) >= LEAST_WORDS:
+                        at = np.unique([where[w] for w in ws])
                         x = weight[at]
                         x = x / np.linalg.norm(x)
                         total[at] += np.outer(x, x @ g[at])
@@ -138,7 +143,7 @@ def _passes(benchmark: DataFrame) -> list[DataFrame]:
 def _model(docs: DataFrame, part: DataFrame, rank: int | None = None) -> dict | None:
     """One pass: the items, their words' weights, and the latent models of its blocks."""
     rows = [(r["block"], r["item_id"], words_of(r["text"])) for r in part.collect()]
-    rows = sorted((r for r in rows if r[2]), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
+    rows = sorted((r for r in rows if len(r[2]) >= LEAST_WORDS), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2]))
     if not rows:
         return None
     n, df = document_frequencies(docs, sorted({w for *_, ws in rows for w in ws}))
@@ -147,7 +152,7 @@ def _model(docs: DataFrame, part: DataFrame, rank: int | None = None) -> dict |
     for number in sorted({r[0] for r in rows}):
         own = [k for k, r in enumerate(rows) if r[0] == number]
         mine = {w: weights[w] for k in own for w in rows[k][2]}
-        words, v = latent_directions(part.where(F.col("block") == number), mine, rank or min(RANK, max(1, 3 * len(own) // 4)))
+        words, v = latent_directions(part.where(F.col("block") == number), mine, rank or min(RANK, len(own)))
         latent.append((np.array(own), words, *fitted([rows[k][2] for k in own], words, mine, v)))
     return {"items": [(i, ws) for _, i, ws in rows], "weights": weights, "latent": latent, "other": idf(b"")}
 
@@ -210,19 +215,21 @@ class Matcher:
             self.groups.append((width, rare_floor[members].min(), called, []))
         self.ever = np.logical_or.reduce([g[2] for g in self.groups])
         self.masks = [(masks([self.number[w] for w in ws]), masks([self.number[w] for w in ws[-max(1, -(-len(ws) // 3)) :]])) for _, ws in self.items]
+        self.checked = 0  # candidates that went to the checks
         for own, words, v, coordinates in model["latent"]:
+            inside = np.zeros((self.other + 1, 1), np.float32)  # squares of the words that the directions know
+            inside[[self.number[w] for w in words], 0] = self.square[[self.number[w] for w in words]]
+            lost = np.sqrt(np.maximum(0.0, 1.0 - (coordinates.astype(np.float64) ** 2).sum(axis=1)))  # what the directions lose of an item of length 1
+            length = np.array([math.sqrt(self.square[list(self.masks[k][0])].sum()) for k in own])
             table = np.zeros((self.other + 1, v.shape[1]), np.float32)
             table[[self.number[w] for w in words]] = v * np.array([model["weights"][w] for w in words], np.float32)[:, None]
-            # folding in and the products with items are both linear: for the items of a group one table does both
+            table = np.hstack([table, inside])
             at = {k: j for j, k in enumerate(own)}
             for group, (width, lv) in zip(self.groups, sorted(set(zip(self.width.tolist(), level.tolist())))):
                 mine = np.array([k for k in own if self.width[k] == width and level[k] == lv], int)
                 if len(mine):
-                    exact = np.zeros((self.other + 1, len(mine)), np.float32)
-                    for j, k in enumerate(mine):
-                        words_of_item = list(self.masks[k][0])
-                        exact[words_of_item, j] = self.square[words_of_item]
-                    group[3].append((mine, np.hstack([table @ coordinates[[at[k] for k in mine]].T, exact])))
+                    some = [at[k] for k in mine]
+                    group[3].append((mine, table, coordinates[some], lost[some], length[some]))
 
     def find(self, texts: list[str | None]) -> list[list[tuple]]:
         """For each text its (item_id, cosine, lcs, answer), best for each item."""
@@ -265,13 +272,17 @@ class Matcher:
         counts = fresh.sum(axis=1)
         flat, first = rows[fresh], np.cumsum(counts) - counts
         norm = np.sqrt(np.add.reduceat(self.square[flat], first) + spare)
-        for own, table in latent:
-            product = np.add.reduceat(table[flat], first, axis=0)
-            cos, exact = product[:, : len(own)] / norm[:, None], product[:, len(own) :]
-            for i, j in zip(*np.nonzero((cos >= self.limits[0]) | (exact >= self.floor[own] * (1 - 1e-4)))):
+        for own, table, coordinates, lost, length in latent:
+            folded = np.add.reduceat(table[flat], first, axis=0)
+            z, known = folded[:, :-1], folded[:, -1]  # latent coordinates, and the square of the length of what the directions know
+            product = z @ coordinates.T
+            cos = product / norm[:, None]
+            bound = (product + np.sqrt(np.maximum(0.0, known - (z * z).sum(axis=1)))[:, None] * lost) * length
+            for i, j in zip(*np.nonzero((cos >= self.limits[0]) | (bound >= self.floor[own] * (1 - 1e-3)))):
                 self._check(ids, starts, int(doc[i]), int(begins[i]), int(ends[i]), int(own[j]), float(cos[i, j]), found)
 
     def _check(self, ids, starts, d, begin, end, k, cos, found):
+        self.checked += 1
         (item, tail), m = self.masks[k], len(self.items[k][1])
         words = ids[max(begin - m, starts[d]) : min(end + m, starts[d + 1])].tolist()
         share = lcs(item, m, words, math.ceil(self.limits[1] * m - 1e-9)) / m

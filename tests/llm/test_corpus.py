@@ -595,6 +595,27 @@ def test_no_pair_that_passes_in_a_window_is_skipped():
                     assert i in got
 
 
+def test_the_svd_decides_what_is_checked(spark, docs):
+    """With random directions in place of the SVD's the finds are the same (nothing may be lost), but far more windows reach an item's need."""
+    bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    model = decontam._model(docs, bench.withColumn("block", F.lit(0)).select("item_id", "text", "block"))
+    texts = [r["text"] for r in docs.collect()]
+    svd = decontam.Matcher(model, 0.45, 0.6, 0.5)
+    own, words, v, _ = model["latent"][0]
+    drawn = np.linalg.qr(np.random.default_rng(1).standard_normal(v.shape))[0]
+    random_ = decontam.Matcher(model | {"latent": [(own, words, *decontam.fitted([ws for _, ws in model["items"]], words, {w: model["weights"][w] for w in words}, drawn))]}, 0.45, 0.6, 0.5)
+    pairs = lambda m: [{h[0] for h in hits} for hits in m.find(texts)]
+    assert pairs(svd) == pairs(random_) and any(pairs(svd))
+    assert svd.checked < random_.checked / 20
+
+
+def test_very_short_items_match_nothing(spark, docs):
+    bench = spark.createDataFrame([(1, "the"), (2, "of the and a"), (3, None), (4, "..."), (5, "five words that stand together")], "item_id long, text string")
+    df = frame(spark, [(1, "the and of the a", "en", "a"), (2, "here are five words that stand together at last", "en", "a")])
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(df, bench).collect()} == {(2, 5)}
+    assert decontam.decontaminated(df, bench).count() == 1
+
+
 def test_latent_directions_are_those_of_the_svd(spark):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     items = [decontam.words_of(r["text"]) for r in bench.collect()]
