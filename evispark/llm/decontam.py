@@ -275,11 +275,15 @@ class Matcher:
         for own, table, coordinates, lost, length in latent:
             folded = np.add.reduceat(table[flat], first, axis=0)
             z, known = folded[:, :-1], folded[:, -1]  # latent coordinates, and the square of the length of what the directions know
+            rest = np.sqrt(np.maximum(0.0, known - (z * z).sum(axis=1)))
             product = z @ coordinates.T
-            cos = product / norm[:, None]
-            bound = (product + np.sqrt(np.maximum(0.0, known - (z * z).sum(axis=1)))[:, None] * lost) * length
-            for i, j in zip(*np.nonzero((cos >= self.limits[0]) | (bound >= self.floor[own] * (1 - 1e-3)))):
-                self._check(ids, starts, int(doc[i]), int(begins[i]), int(ends[i]), int(own[j]), float(cos[i, j]), found)
+            bound = (product + rest[:, None] * lost) * length
+            i, j = np.nonzero((product >= (self.limits[0] - 1e-3) * norm[:, None]) | (bound >= self.floor[own] * (1 - 2e-3)))
+            # a matrix product may round by its shape: what it lets through is decided pair by pair, so that every partitioning decides alike
+            exact = (z[i].astype(np.float64) * coordinates[j]).sum(axis=1)
+            cos, bound = exact / norm[i], (exact + rest[i] * lost[j]) * length[j]
+            for at in np.nonzero((cos >= self.limits[0]) | (bound >= self.floor[own[j]] * (1 - 1e-3)))[0]:
+                self._check(ids, starts, int(doc[i[at]]), int(begins[i[at]]), int(ends[i[at]]), int(own[j[at]]), float(cos[at]), found)
 
     def _check(self, ids, starts, d, begin, end, k, cos, found):
         self.checked += 1
