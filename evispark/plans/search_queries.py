@@ -49,6 +49,13 @@ def h6_cover(spark, d):
     return S.relevance(q, made(spark, d, q)[1])
 
 
+def h1_dense(spark, d):
+    """The dense lane: the 100 nearest vectors of each query within its collection (label), exact."""
+    v = table(spark, d, "embeddings").select(F.col("label").alias("collection"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
+    q = v.where("chunk_id % 20 = 0").select("collection", F.col("chunk_id").alias("query_id"), F.col("v").alias("qv"))
+    return R.dense_lane(q, v, 100).select("query_id", "chunk_id", "rank")
+
+
 def identified(spark, d):
     """Questions of documents' identifiers: each document's text, its first word or its last."""
     t = tokens(F.col("text"))
@@ -127,6 +134,7 @@ a AS (SELECT *, row_number() OVER (PARTITION BY query_id, term_no ORDER BY inlan
 SELECT query_id, chunk_id, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY p, term_no, chunk_id) AS place FROM b WHERE f = 1) WHERE place <= 20"""
 
 QUERIES = {
+    "h1_dense_lane": (h1_dense, "SELECT query_id, chunk_id, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) DESC, v.vec_id) AS rank FROM embeddings q JOIN embeddings v ON q.label = v.label WHERE q.vec_id % 20 = 0) WHERE rank <= 100"),
     "h2_bm25_english": (h2_english, f"{HEAD}, {bm25_sql('bm25', '(SELECT item_id AS query_id, text FROM benchmark)')} SELECT query_id, chunk_id, score, rank FROM bm25"),
     "h4_literal_ranked": (h4_ranked, RANKED),
     "h5_quoted_phrases": (h5_quoted, f"{HEAD}, {QUESTION}, {PHRASE_SQL} SELECT query_id, chunk_id, rank AS place FROM phrase"),

@@ -5,11 +5,11 @@ import os
 import duckdb
 import pytest
 
-from evispark.plans import evidence_queries, more_queries, run_queries, search_queries, stream_queries, timer_queries, version_queries, window_queries
+from evispark.plans import evidence_queries, more_queries, paging_queries, run_queries, search_queries, stream_queries, timer_queries, version_queries, window_queries
 from evispark.plans.frames import TABLES
 
 DATA = "/root/testdata/sf0.001"
-QUERIES = {k: q for m in (evidence_queries, run_queries, more_queries, search_queries, stream_queries, timer_queries, version_queries, window_queries) for k, q in m.QUERIES.items()}
+QUERIES = {k: q for m in (evidence_queries, run_queries, more_queries, paging_queries, search_queries, stream_queries, timer_queries, version_queries, window_queries) for k, q in m.QUERIES.items()}
 
 
 def norm(v):
