@@ -88,7 +88,10 @@ QUERIES = {
     "r3_first_write_wins": (r3, "SELECT DISTINCT user_id, event_type FROM events"),
     "r3_request_conflicts": (r3_conflicts, """SELECT user_id, event_type, event_id, CASE WHEN row_number() OVER w = 1 THEN 'created' WHEN props IS NOT DISTINCT FROM first_value(props) OVER w THEN 'repeated' ELSE 'conflict' END AS outcome
 FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)"""),
-    "r4_pair_stream": (r4, None),
+    "r4_pair_stream": (r4, """WITH l AS (SELECT event_id // 20 AS run_id, event_id // 2 AS op, event_id, event_id % 2 = 0 AS starts FROM events WHERE event_id % 19 <> 3),
+x AS (SELECT *, lag(starts) OVER w AS p, lag(op) OVER w AS o FROM l WINDOW w AS (PARTITION BY run_id ORDER BY event_id)),
+b AS (SELECT *, bool_or(CASE WHEN starts THEN coalesce(p, false) ELSE NOT coalesce(p AND o = op, false) END) OVER (PARTITION BY run_id ORDER BY event_id) AS poisoned FROM x)
+SELECT run_id, op, CASE WHEN poisoned THEN 'poisoned' ELSE 'completed' END AS outcome FROM b WHERE poisoned OR NOT starts"""),
     "r4_operation_inventory": (r4_inventory, """WITH l AS (SELECT event_id // 20 AS run_id, event_id // 2 AS op, event_id, event_id % 2 = 0 AS starts, event_type = 'error' AS fails FROM events WHERE event_id % 19 <> 3),
 x AS (SELECT *, lag(starts) OVER w AS p, lag(op) OVER w AS o FROM l WINDOW w AS (PARTITION BY run_id ORDER BY event_id)),
 b AS (SELECT *, bool_or(CASE WHEN starts THEN coalesce(p, false) ELSE NOT coalesce(p AND o = op, false) END) OVER (PARTITION BY run_id ORDER BY event_id) AS poisoned FROM x)
