@@ -28,15 +28,16 @@ from .common import saved
 HALF = 15
 
 
-def snapshots(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(turns, hashes): each turn with its part and place in the layout; conv_id, k (a turn's number, from 1), n (turns of the
-    conversation), p1, p2 (the hash up to it)."""
+def snapshots(messages: DataFrame) -> DataFrame:
+    """A row for each turn: conv_id, k (its number, from 1), n (turns of the conversation), p1, p2 (the hash up to it). Texts are
+    shuffled once, to be laid out; from then on a turn is the digest of its content."""
     part = lambda c: F.coalesce(F.concat(F.lit("v"), F.sha2(c, 256)), F.lit("n"))
     order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
-    m = messages.select("conv_id", "turn", "role", "text", F.concat(part("role"), part("text")).alias("key"))
+    m = messages.select("conv_id", "turn", "role", "text", F.unhex(F.sha2(F.concat(part("role"), part("text")), 256)).alias("key"))
     spread = max(messages.sparkSession.sparkContext.defaultParallelism, int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     laid = m.repartitionByRange(spread, F.col("conv_id").asc_nulls_first(), *order).withColumn("part", F.spark_partition_id())
-    laid = saved(laid.withColumn("place", F.row_number().over(W.partitionBy("part", "conv_id").orderBy(*order))), "turns")
+    laid = laid.withColumn("place", F.row_number().over(W.partitionBy("part", "conv_id").orderBy(*order)))
+    laid = saved(laid.select("conv_id", "part", "place", "key"), "turns")
 
     def before(df, columns):
         """Sums of the parts before, a row a part of a conversation."""
@@ -50,7 +51,7 @@ def snapshots(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     numbered = offset(laid, before(laid.withColumn("one", F.lit(1).cast("long")), ["one"]))
     numbered = numbered.withColumn("k", F.col("place") + F.col("one_before")).withColumn("n", F.col("one_all")).drop("one_before", "one_all")
-    digest = F.sha2(F.concat_ws("|", F.col("k").cast("string"), "key"), 256)
+    digest = F.sha2(F.concat(F.encode(F.col("k").cast("string"), "utf-8"), F.lit(b"|"), F.col("key")), 256)
     number = lambda at: F.conv(F.substring(digest, at, HALF), 16, 10).cast("decimal(38,0)")
     hashed = numbered.withColumn("h1", number(1)).withColumn("h2", number(1 + HALF))
     hashed = saved(hashed.select("conv_id", "part", "k", "n", "h1", "h2"), "hashes")
@@ -58,26 +59,25 @@ def snapshots(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     local = hashed.select("conv_id", "part", "k", "n", *[F.sum(h).over(upto).alias(h) for h in ("h1", "h2")])
     rolled = offset(local, before(hashed, ["h1", "h2"]))
     total = lambda h: (F.col(h) + F.col(f"{h}_before")).cast("decimal(38,0)")
-    return laid, rolled.select("conv_id", "k", "n", total("h1").alias("p1"), total("h2").alias("p2"))
+    return rolled.select("conv_id", "k", "n", total("h1").alias("p1"), total("h2").alias("p2"))
 
 
-def collapse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(turns, maximal conversations): conv_id (smallest of equal ones), n_turns, n_copies (equal conversations, itself included)."""
-    turns, hashes = snapshots(messages)
-    hashes = saved(hashes, "prefixes")
+def collapse(messages: DataFrame) -> DataFrame:
+    """Maximal conversations: conv_id (smallest of equal ones), n_turns, n_copies (equal conversations, itself included)."""
+    hashes = saved(snapshots(messages), "prefixes")
     # the smallest id of each group of equal conversations; null counts as the largest
     firsts = hashes.where("k = n").groupBy("k", "p1", "p2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     inner = hashes.where("k < n").select("k", "p1", "p2")
-    return turns, firsts.join(inner, ["k", "p1", "p2"], "left_anti").select("conv_id", F.col("k").alias("n_turns"), "n_copies")
+    return firsts.join(inner, ["k", "p1", "p2"], "left_anti").select("conv_id", F.col("k").alias("n_turns"), "n_copies")
 
 
 def chat_format(messages: DataFrame) -> DataFrame:
     """conv_id, n_turns, n_copies, chat: maximal conversations, each turn rendered as ``<|role|>`` line, text line, end mark."""
-    turns, kept = collapse(messages)
-    kept = kept.select(F.col("conv_id").alias("keep"), "n_turns", "n_copies")
-    line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("unknown")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n<|end|>\n"))
-    lines = turns.join(kept, F.col("conv_id").eqNullSafe(F.col("keep"))).groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list(F.struct("part", "place", line.alias("line")))).alias("lines"))
-    return lines.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_copies", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("chat"))
+    kept = collapse(messages).select(F.col("conv_id").alias("keep"), "n_turns", "n_copies")
+    line = lambda t: F.concat(F.lit("<|"), F.coalesce(t["role"], F.lit("unknown")), F.lit("|>\n"), F.coalesce(t["text"], F.lit("")), F.lit("\n<|end|>\n"))
+    turns = messages.select("conv_id", F.struct("turn", "role", "text").alias("t")).join(kept, F.col("conv_id").eqNullSafe(F.col("keep")))
+    whole = turns.groupBy("conv_id", "n_turns", "n_copies").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    return whole.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), "n_copies", F.array_join(F.transform("turns", line), "").alias("chat"))
 
 
 ORACLE = """
