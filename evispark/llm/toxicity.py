@@ -104,7 +104,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     y = y.where(F.pmod(doc_crc(F.col("id")), F.lit(5)) != 0).withColumn("h", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)))
     y = y.orderBy("h", "id").limit(sample)
     # one text for each id, whichever repeats: the one with the smallest hash
-    known = docs.select("doc_id", "text").join(y, F.col("doc_id") == F.col("id"))
+    known = docs.select("doc_id", "text").join(F.broadcast(y), F.col("doc_id") == F.col("id"))  # ``sample`` rows at most
     one = known.groupBy("id", "h", F.col("toxic").cast("int").alias("toxic")).agg(F.min(F.struct(F.xxhash64("text").alias("th"), "text")).alias("t"))
     return one.select("h", "t.text", "toxic")
 
