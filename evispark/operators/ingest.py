@@ -68,25 +68,51 @@ def regions(spans: DataFrame) -> DataFrame:
     return spans.withColumn("changed", changed).withColumn("region", F.sum("changed").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("changed")
 
 
-def pack_blocks(spans: DataFrame, limit: int, by_section: bool) -> DataFrame:
-    """doc_id, region, block, first_line, last_line, n_spans, n_bytes: greedy blocks within each region; a span costs its bytes + 1."""
+def pack_blocks(spans: DataFrame, limit: int, by_section: bool, texts: bool = False) -> DataFrame:
+    """doc_id, region, block, first_line, last_line, n_spans, n_bytes: greedy blocks within each region; a span costs its bytes + 1.
+    ``texts`` adds text, a block's lines.
+
+    A document's lines lie in one partition in order; a task goes over them once and holds the open block alone, so neither many
+    small documents nor one of many lines cost more than their lines.
+    """
     r = regions(spans) if by_section else spans.withColumn("region", F.lit(1))
-    rows = r.select("doc_id", F.col("region").cast("long").alias("region"), F.col("line_no").cast("long").alias("line_no"), F.octet_length("text").cast("long").alias("n"))
-
-    def fold(p):
-        import pandas as pd
-
-        p, out = p.sort_values("line_no"), []
-        size = 0
-        for line, n in zip(p.line_no, p.n):
-            if not out or size + n + 1 > limit:
-                out.append([p.doc_id.iloc[0], p.region.iloc[0], len(out) + 1, line, line, 0, 0])
-                size = 0
-            size += n + 1
-            out[-1][4], out[-1][5], out[-1][6] = line, out[-1][5] + 1, size
-        return pd.DataFrame(out, columns=["doc_id", "region", "block", "first_line", "last_line", "n_spans", "n_bytes"])
-
-    return rows.groupBy("doc_id", "region").applyInPandas(fold, "doc_id long, region long, block long, first_line long, last_line long, n_spans long, n_bytes long")
+    rows = r.select("doc_id", F.col("region").cast("long").alias("region"), F.col("line_no").cast("long").alias("line_no"), F.octet_length("text").cast("long").alias("n"), *(["text"] if texts else []))
+    schema = "doc_id long, region long, block long, first_line long, last_line long, n_spans long, n_bytes long" + (", text string" if texts else "")
+
+    def fold(batches):
+        import pyarrow as pa
+
+        types = [pa.int64()] * 7 + [pa.string()] * texts
+        names = [c.split()[0] for c in schema.split(", ")]
+        done, held, key, block, first, last, size = [], [], None, 0, 0, 0, 0
+        count = 0
+
+        def close():
+            if count:
+                done.append((*key, block, first, last, count, size, "\n".join(held))[: len(names)])
+
+        def flushed():
+            out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names=names)
+            done.clear()
+            return out
+
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            for i, (doc, region, line, n) in enumerate(zip(*columns[:4])):
+                if (doc, region) != key or size + n + 1 > limit:
+                    close()
+                    block = block + 1 if (doc, region) == key else 1
+                    key, first, count, size, held = (doc, region), line, 0, 0, []
+                last, count, size = line, count + 1, size + n + 1
+                if texts:
+                    held.append(columns[4][i])
+            if done:
+                yield flushed()
+        close()
+        if done:
+            yield flushed()
+
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "region", "line_no").mapInArrow(fold, schema)
 
 
 def token_windows(blocks: DataFrame, keys: list[str], width: int = WIDTH, overlap: int = OVERLAP) -> DataFrame:

@@ -312,12 +312,9 @@ def c3_headed(spark, d):
 
 
 def c4_chunks(spark, d):
-    both = I.pack_blocks(spans(spark, d), I.FIXED_BYTES, False).withColumn("variant", F.lit("fixed")).unionByName(I.pack_blocks(spans(spark, d), I.STRUCTURAL_BYTES, True).withColumn("variant", F.lit("structural")))
-    s = spans(spark, d).select("doc_id", "line_no", "text")
-    j = both.join(s, "doc_id").where(F.col("line_no").between(F.col("first_line"), F.col("last_line")))
-    keys = ["doc_id", "variant", "region", "block"]
-    blocks = j.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
-    return I.token_windows(blocks, keys).groupBy("variant").agg(F.count("*").alias("n_windows"), F.sum("n_tokens").alias("n_tokens"))
+    s, keys = spans(spark, d), ["doc_id", "variant", "region", "block"]
+    both = I.pack_blocks(s, I.FIXED_BYTES, False, texts=True).withColumn("variant", F.lit("fixed")).unionByName(I.pack_blocks(s, I.STRUCTURAL_BYTES, True, texts=True).withColumn("variant", F.lit("structural")))
+    return I.token_windows(both, keys).groupBy("variant").agg(F.count("*").alias("n_windows"), F.sum("n_tokens").alias("n_tokens"))
 
 
 def c5(spark, d):
