@@ -13,18 +13,22 @@ from .frames import table, with_frames
 from .run_queries import runs
 from .stream_queries import drain, log
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+PROVIDER, PARTITIONS = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
 
 
 @contextmanager
-def rocksdb(spark):
-    """State with timers and lists needs the RocksDB store; the session's own choice is put back."""
-    before = spark.conf.get(PROVIDER)
+def rocksdb(spark, partitions=None):
+    """State with timers and lists needs the RocksDB store; ``partitions``: of the state, where keys are few. The session's own choices
+    are put back."""
+    before = {c: spark.conf.get(c) for c in (PROVIDER, PARTITIONS)}
     spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    if partitions:
+        spark.conf.set(PARTITIONS, str(partitions))
     try:
         yield
     finally:
-        spark.conf.set(PROVIDER, before)
+        for c, value in before.items():
+            spark.conf.set(c, value)
 
 
 def r5_stream(spark, d):
@@ -38,13 +42,33 @@ def r5_stream(spark, d):
     return last.groupBy("run_id").agg(F.max_by(F.struct("state", "ignored"), "batch").alias("s")).select("run_id", "s.state", "s.ignored")
 
 
-def r6_stream(spark, d):
-    """Events as lease events: seven items, a new attempt every 70 events; clicks claim, purchases are results, others renew."""
-    s = X.tail(spark, f"{d}/events.parquet*", table(spark, d, "events").schema, per_trigger=1000)
+def slices(spark, events, out, rows):
+    """Folders of the events in order of time, of about ``rows`` events each; events of one time stay together."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    n = -(-events.count() // rows)
+    cuts = events.agg(F.percentile_approx(at, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else []
+    cuts = sorted(set(cuts))
+    number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= at)) if cuts else F.lit(0)
+    events.withColumn("slice", number).repartition(max(n, 1) * 4, "slice", F.col("event_id") % 4).write.partitionBy("slice").parquet(out)
+    return [f"{out}/slice={i}" for i in range(len(cuts) + 1)] if n else []
+
+
+def r6_stream(spark, d, rows=1_000_000):
+    """Events as lease events: seven items, a new attempt every 70 events; clicks claim, purchases are results, others renew.
+
+    The table may lie in any order, and what comes more than ten minutes late is lost to a stream: events are dealt into slices by
+    time, each is added to the log when the stream has drained the ones before it, and the stream goes on from its checkpoint.
+    """
+    f = shared_folder(spark)
+    events = table(spark, d, "events")
+    s = X.tail(spark, f"{f}/log*", events.schema, per_trigger=1000)
     kind = F.when(F.col("event_type") == "click", "claim").when(F.col("event_type") == "purchase", "result").otherwise("renew")
     x = s.select((F.col("event_id") % 7).alias("item"), F.floor(F.col("event_id") / 70).alias("attempt"), "event_id", kind.alias("kind"), F.col("ts").alias("at"), (F.col("ts") + F.expr("INTERVAL 15 MINUTES")).alias("lease_until"))
-    with rocksdb(spark):
-        return drain(spark, T.lease_outcomes(x)).select("item", "attempt", "event_id", "outcome")
+    with rocksdb(spark, 8):
+        for part in slices(spark, events, f"{f}/slices", rows) or [None]:
+            (spark.read.schema(events.schema).parquet(part) if part else events).coalesce(8).write.mode("append").parquet(f"{f}/log")
+            found = X.drained(T.lease_outcomes(x), "append", f"{f}/checkpoint", f"{f}/out")
+        return found.select("item", "attempt", "event_id", "outcome")
 
 
 R6_SQL = """WITH RECURSIVE e AS (SELECT event_id % 7 AS item, event_id // 70 AS attempt, event_id, CASE WHEN event_type = 'click' THEN 'claim' WHEN event_type = 'purchase' THEN 'result' ELSE 'renew' END AS kind,

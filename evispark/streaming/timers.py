@@ -35,21 +35,21 @@ class Leases(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         attempt, until, newest = self.state.get() if self.state.exists() else (None, None, -1)
         out = []
-        for p in rows:
-            p = p.sort_values(["at", "event_id"])
-            for at, event_id, kind, n, lease in zip(p["at"], p["event_id"], p["kind"], p["attempt"], p["lease_until"]):
-                if attempt is not None and until <= at.value // 1_000_000:
-                    out.append((key[0], attempt, None, "stale", pd.Timestamp(until, unit="ms")))
-                    attempt = None
-                if kind == "claim" and n > newest:
-                    attempt, newest, until = int(n), int(n), lease.value // 1_000_000
-                elif kind == "renew" and n == attempt:
-                    until = lease.value // 1_000_000
-                elif kind == "result" and n == attempt:
-                    attempt = None
-                    out.append((key[0], int(n), int(event_id), "done", at))
-                else:
-                    out.append((key[0], int(n), int(event_id), "superseded", at))
+        # an item's rows come in several frames, in any order; what a batch holds of it is bounded by the batch
+        p = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        for at, event_id, kind, n, lease in zip(p["at"], p["event_id"], p["kind"], p["attempt"], p["lease_until"]):
+            if attempt is not None and until <= at.value // 1_000_000:
+                out.append((key[0], attempt, None, "stale", pd.Timestamp(until, unit="ms")))
+                attempt = None
+            if kind == "claim" and n > newest:
+                attempt, newest, until = int(n), int(n), lease.value // 1_000_000
+            elif kind == "renew" and n == attempt:
+                until = lease.value // 1_000_000
+            elif kind == "result" and n == attempt:
+                attempt = None
+                out.append((key[0], int(n), int(event_id), "done", at))
+            else:
+                out.append((key[0], int(n), int(event_id), "superseded", at))
         self.state.update((attempt, until if attempt is not None else None, newest))
         self._until(until if attempt is not None else None)
         yield self._frame(out)
