@@ -74,10 +74,9 @@ def s9(spark, d):
 def s3(spark, d):
     """Originals written one file a document, then scanned as bytes."""
     f = shared(spark)
-    docs = table(spark, d, "documents")
-    docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), "text").write.partitionBy("name").text(f"{f}/files")
-    x = S.scan_originals(spark, f"{f}/files")
-    return x.where("reason IS NULL").agg(F.count("*").alias("n"), F.sum("size").alias("n_bytes"))
+    folders = S.write_originals(table(spark, d, "documents"), f"{f}/files")
+    accepted = lambda x: x.where("reason IS NULL").agg(F.count("*").alias("n"), F.sum("size").alias("n_bytes"))
+    return S.scan_folders(spark, folders, f"{f}/scanned", accepted).agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"))
 
 
 from .evidence_queries import SPANS  # noqa: E402

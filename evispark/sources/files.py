@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from ..functions.text import valid_name
 #: Suffixes and the bytes that files of a type begin with.
 MEDIA = (("pdf", "application/pdf", "25504446"), ("txt", "text/plain", ""))
 MAX_BYTES = 64 << 20
+#: Files in a folder of originals; what opening a file counts as when files are dealt to tasks.
+PER_FOLDER, OPEN_COST = 20_000, "spark.sql.files.openCostInBytes"
 
 MANIFEST = "schema_version int, corpus_id string, document_count int, documents array<struct<doc_id string, family_id string, path string, sha256 string, language string, document_class string>>, _corrupt string"
 QUESTIONS = "case_id string, family_id string, anchor_doc_id string, scope struct<patient string, doc_ids array<string>>, turns array<struct<role string, text string>>, question_class string, _corrupt string"
@@ -45,6 +48,35 @@ def scan_originals(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -
     return x.select("path", "size", "sha256", "media_type", "text", reason.alias("reason"))
 
 
+@contextmanager
+def cheap_opens(spark: SparkSession):
+    """Small files go into tasks by the thousand, not by the 4 MB that opening one counts as by default."""
+    before = spark.conf.get(OPEN_COST)
+    spark.conf.set(OPEN_COST, str(64 << 10))
+    try:
+        yield
+    finally:
+        spark.conf.set(OPEN_COST, before)
+
+
+def write_originals(docs: DataFrame, out: str, per_folder: int = PER_FOLDER) -> list[str]:
+    """One text file a row, dealt over folders of about ``per_folder`` files, whose paths are returned."""
+    n = docs.count()
+    folders = max(1, -(-n // per_folder))
+    x = docs.select("text").repartition(max(1, min(n, 16 * folders))).select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(folders)).alias("folder"), "text")
+    # tasks move their own files to their places: the driver would go through all of them one by one
+    x.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("folder").text(out)
+    return [f"{out}/folder={i}" for i in range(folders)] if folders > 1 else [out]
+
+
+def scan_folders(spark: SparkSession, folders: list[str], out: str, of) -> DataFrame:
+    """What ``of`` makes of the scan of each folder, in one table in ``out``: the driver lists the files of one folder at a time."""
+    with cheap_opens(spark):
+        for folder in folders:
+            of(scan_originals(spark, folder)).write.mode("append").parquet(out)
+    return spark.read.parquet(out)
+
+
 def read_release(spark: SparkSession, folder: str, extraction_map: str | None = None) -> dict[str, DataFrame]:
     """Release files with fixed schemas; broken records go to the ``_corrupt`` column, nothing is inferred.
 

@@ -1,10 +1,15 @@
 """Forms that keep their cost in proportion to the rows: plans without a call for each group, bounded state, whole results."""
 
+import os
 import random
 
+import duckdb
+from pyspark.sql import functions as F
 
 from evispark.operators import ingest as I
 from evispark.plans import evidence_queries as Q
+from evispark.plans import run_queries, timer_queries
+from evispark.sources import files as S
 
 DATA = "/root/testdata/sf0.001"
 
@@ -42,3 +47,41 @@ def test_publication_and_variants_pack_without_a_call_for_each_region_or_a_join_
     assert "FlatMapGroupsInPandas" not in plan(Q.c8(spark, DATA))
     variants = plan(Q.c4_chunks(spark, DATA))
     assert "FlatMapGroupsInPandas" not in variants and "Join" not in variants
+
+
+def test_originals_are_files_in_folders_whose_count_grows_with_them(spark, tmp_path):
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(50)], "doc_id long, text string")
+    folders = S.write_originals(docs, f"file://{tmp_path}/files", per_folder=20)
+    assert len(folders) == 3
+    got = S.scan_folders(spark, folders, f"file://{tmp_path}/scanned", lambda x: x.where("reason IS NULL").select("text", "size")).collect()
+    assert sorted(r["text"] for r in got) == sorted(f"text {i}\n" for i in range(50))
+    assert max(sum(f.endswith(".txt") for _, _, fs in os.walk(p[7:]) for f in fs) for p in folders) < 50
+
+
+def test_coverage_is_unknown_where_no_claim_is_listed(spark, tmp_path):
+    rows = [(1, 0, "a" * 19), (1, 1, "a" * 38), (2, 0, "a"), (3, 0, "a"), (3, 1, "a" * 19), (4, 0, "a" * 19), (4, 0, "a" * 19)]
+    t = spark.createDataFrame([(*r[:2], "user", r[2]) for r in rows], "conv_id long, turn long, role string, text string")
+    t.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    want = duckdb.connect()
+    want.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = sorted(map(tuple, run_queries.j19(spark, str(tmp_path)).select("case_id", "covered").collect()))
+    assert got == sorted(want.execute(run_queries.QUERIES["j19_judge_coverage"][1]).fetchall())
+    assert got[0] == (1, None) and got[3] == (4, False)
+
+
+def test_leases_take_a_table_in_any_order(spark, tmp_path):
+    e = spark.read.parquet(f"{DATA}/events.parquet").where("event_id < 400")
+    copies = e.join(spark.range(3).toDF("k")).withColumn("event_id", F.col("event_id") + 1000 * F.col("k")).drop("k")
+    copies.orderBy(F.md5(F.col("event_id").cast("string"))).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        got = timer_queries.r6_stream(spark, str(tmp_path), rows=500)
+        names = ["item", "attempt", "event_id", "outcome"]
+        got = sorted((tuple(r[c] for c in names) for r in got.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    rows = con.execute(timer_queries.R6_SQL).fetchall()
+    assert got == sorted(rows, key=repr) and len(got) > 500
