@@ -55,8 +55,8 @@ def asked(spark, d):
 
 
 def bm25(spark, d):
-    q, c = asked(spark, d), chunks(spark, d)
-    return R.bm25_lane(q, R.postings(c, R.query_terms(q).select("term").distinct()), lens=R.chunk_lengths(c))
+    q, c = asked(spark, d), written(chunks(spark, d))
+    return R.bm25_lane(q, written(R.postings(c, R.query_terms(q).select("term").distinct())), lens=written(R.chunk_lengths(c)))
 
 
 def s1(spark, d):
@@ -173,11 +173,11 @@ def h6(spark, d):
 def lanes(spark, d):
     """(chunks, lane rows): dense, BM25, literal and phrase lanes of all benchmark queries over all chunks, each made once."""
     q, c = asked(spark, d), written(chunks(spark, d))
-    some = R.postings(c, R.query_terms(q).select("term").distinct())
+    some, lens = written(R.postings(c, R.query_terms(q).select("term").distinct())), written(R.chunk_lengths(c))
     vectors = R.embed(c, "text").select(F.lit("all").alias("collection"), "chunk_id", "v")
     dense = R.dense_lane(R.embed(q, "text", role="query").select(F.lit("all").alias("collection"), "query_id", F.col("v").alias("qv")), vectors)
     literal = R.interleave_sources(R.literal_hits(q, c)).withColumn("rank", F.col("place"))
-    each = [("dense", dense), ("bm25", R.bm25_lane(q, some, lens=R.chunk_lengths(c))), ("literal", literal), ("phrase", R.phrase_lane(phrases(spark, d), some))]
+    each = [("dense", dense), ("bm25", R.bm25_lane(q, some, lens=lens)), ("literal", literal), ("phrase", R.phrase_lane(phrases(spark, d), some))]
     rows = [x.select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.lit(name).alias("branch")) for name, x in each]
     return c, written(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]))
 

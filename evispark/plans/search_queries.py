@@ -35,13 +35,13 @@ def made(spark, d, q):
 def h2_english(spark, d):
     q = asked(spark, d)
     c, posted = made(spark, d, q)
-    return S.bm25_lane(q, posted, S.chunk_lengths(c)).select("query_id", "chunk_id", "score", "rank")
+    return S.bm25_lane(q, posted, written(S.chunk_lengths(c))).select("query_id", "chunk_id", "score", "rank")
 
 
 def h5_quoted(spark, d):
     q = questions(spark, d)
     c, posted = made(spark, d, q)
-    return S.phrase_lane(q, posted, S.chunk_lengths(c)).select("query_id", "chunk_id", "place")
+    return S.phrase_lane(q, posted, written(S.chunk_lengths(c))).select("query_id", "chunk_id", "place")
 
 
 def h6_cover(spark, d):

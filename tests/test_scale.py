@@ -7,6 +7,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from evispark.operators import ingest as I
+from evispark.operators import retrieval as R
 from evispark.plans import evidence_queries as Q
 from evispark.plans import run_queries, timer_queries
 from evispark.sources import files as S
@@ -85,3 +86,19 @@ def test_leases_take_a_table_in_any_order(spark, tmp_path):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     rows = con.execute(timer_queries.R6_SQL).fetchall()
     assert got == sorted(rows, key=repr) and len(got) > 500
+
+
+def test_dense_lane_in_passes_keeps_ties_and_sends_few_rows(spark):
+    draw = random.Random(2)
+    vectors = [[round(draw.random(), 1), round(draw.random(), 1)] for _ in range(400)] + [[1.0, 0.0]] * 300
+    v = spark.createDataFrame([(i % 2, i, x) for i, x in enumerate(vectors)], "collection int, chunk_id long, v array<double>").repartition(3)
+    q = v.where("chunk_id % 20 = 0").select("collection", F.col("chunk_id").alias("query_id"), F.col("v").alias("qv"))
+    score = lambda a, b: round(a[0] * b[0] + a[1] * b[1], 6)
+    want = []
+    for n in range(0, 700, 20):
+        best = sorted((i for i in range(n % 2, 700, 2)), key=lambda i: (-score(vectors[n], vectors[i]), i))[:7]
+        want += [(n, i, r + 1) for r, i in enumerate(best)]
+    for at_once in (8192, 10):
+        got = R.dense_lane(q, v, 7, at_once=at_once)
+        assert sorted(map(tuple, got.select("query_id", "chunk_id", "rank").collect())) == sorted(want)
+    assert R._nearest(q, v.coalesce(1), 7).count() < 35 * 3 * 14
