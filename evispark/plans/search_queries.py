@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import english
-from ..functions.text import tokens
+from ..functions.text import identifiers, longest, tokens
 from ..operators import retrieval as R
 from ..operators import search as X
 from ..operators import textsearch as S
@@ -57,16 +57,18 @@ def h1_dense(spark, d):
 
 
 def identified(spark, d):
-    """Questions of documents' identifiers: each document's text, its first word or its last."""
+    """(documents' identifiers, questions of them): each document's identifiers, its first word or its last. Texts are searched once."""
     t = tokens(F.col("text"))
-    return docs(spark, d).select(F.col("doc_id").alias("query_id"), F.concat(F.array_join(R.query_identifiers(F.col("text")), " or "), F.lit(" or "), F.get(t, F.lit(0)), F.lit(" or "), F.get(t, F.size(t) - 1)).alias("text"))
+    ids = written(docs(spark, d).select("doc_id", "source", identifiers(F.col("text")).alias("ids"), F.get(t, F.lit(0)).alias("a"), F.get(t, F.size(t) - 1).alias("z")))
+    text = F.concat(F.array_join(longest(F.col("ids")), " or "), F.lit(" or "), F.col("a"), F.lit(" or "), F.col("z"))
+    return ids, ids.where("size(ids) > 0").select(F.col("doc_id").alias("query_id"), text.alias("text"))
 
 
 def h4_ranked(spark, d):
-    q = identified(spark, d)
-    q = written(q.where(F.size(R.query_identifiers(F.col("text"))) > 0))
+    ids, q = identified(spark, d)
     c = docs(spark, d).select(F.col("source").alias("collection"), F.col("doc_id").alias("chunk_id"), "source", "text")
-    return S.literal_lane(q, c, S.postings(c, S.query_terms(q))).select("query_id", "chunk_id", "place")
+    held = ids.select(F.col("doc_id").alias("chunk_id"), "source", F.explode("ids").alias("identifier"))
+    return S.literal_lane(q, c, held=held).select("query_id", "chunk_id", "place")
 
 
 def h8_english(spark, d):
