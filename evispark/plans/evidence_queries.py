@@ -55,8 +55,13 @@ def asked(spark, d):
 
 
 def bm25(spark, d):
-    q, c = asked(spark, d), written(chunks(spark, d))
-    return R.bm25_lane(q, written(R.postings(c, R.query_terms(q).select("term").distinct())), lens=written(R.chunk_lengths(c)))
+    q = asked(spark, d)
+    return R.bm25_bags(R.query_terms(q), bagged(q, chunks(spark, d)))
+
+
+def bagged(q, c, dims=0):
+    """The words of queries ``q`` in chunks ``c``, made once."""
+    return written(R.bags(c, R.asked_words(R.query_terms(q)), dims=dims))
 
 
 def s1(spark, d):
@@ -162,22 +167,22 @@ def phrases(spark, d):
 
 
 def h5(spark, d):
-    q = R.query_terms(asked(spark, d)).select("term").distinct()
-    return R.phrase_lane(phrases(spark, d), R.postings(chunks(spark, d), q)).select("query_id", "chunk_id", "hits", "rank")
+    return R.phrase_bags(phrases(spark, d), R.bags(chunks(spark, d), R.asked_words(R.query_terms(asked(spark, d))))).select("query_id", "chunk_id", "hits", "rank")
 
 
 def h6(spark, d):
-    return R.proximity_rank(asked(spark, d), R.postings(chunks(spark, d)))
+    q = asked(spark, d)
+    return R.proximity_bags(q, R.bags(chunks(spark, d), R.asked_words(R.query_terms(q))))
 
 
 def lanes(spark, d):
     """(chunks, lane rows): dense, BM25, literal and phrase lanes of all benchmark queries over all chunks, each made once."""
     q, c = asked(spark, d), written(chunks(spark, d))
-    some, lens = written(R.postings(c, R.query_terms(q).select("term").distinct())), written(R.chunk_lengths(c))
-    vectors = R.embed(c, "text").select(F.lit("all").alias("collection"), "chunk_id", "v")
+    some = bagged(q, c, 64)
+    vectors = some.select(F.lit("all").alias("collection"), "chunk_id", "v")
     dense = R.dense_lane(R.embed(q, "text", role="query").select(F.lit("all").alias("collection"), "query_id", F.col("v").alias("qv")), vectors)
     literal = R.interleave_sources(R.literal_hits(q, c)).withColumn("rank", F.col("place"))
-    each = [("dense", dense), ("bm25", R.bm25_lane(q, some, lens=lens)), ("literal", literal), ("phrase", R.phrase_lane(phrases(spark, d), some))]
+    each = [("dense", dense), ("bm25", R.bm25_bags(R.query_terms(q), some)), ("literal", literal), ("phrase", R.phrase_bags(phrases(spark, d), some))]
     rows = [x.select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.lit(name).alias("branch")) for name, x in each]
     return c, written(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]))
 

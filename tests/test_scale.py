@@ -111,3 +111,34 @@ def test_lsh_lane_joins_no_pairs_and_finds_the_nearest(spark):
     exact = R.dense_lane(v.where("chunk_id % 20 = 0").select("collection", F.col("chunk_id").alias("query_id"), F.col("v").alias("qv")), v, 10)
     pairs = lambda df: {tuple(r) for r in df.select("query_id", "chunk_id").collect()}
     assert len(pairs(got) & pairs(exact)) >= 0.9 * len(pairs(exact))
+
+
+def test_lanes_over_bags_equal_lanes_over_postings(spark, monkeypatch):
+    draw = random.Random(6)
+    words = "alpha beta the gamma delta of epsilon zeta 7 ÉTÉ".split()
+    rows = [(f"c{i % 3}", i, " ".join(draw.choices(words, k=draw.randint(0, 40)))) for i in range(300)] + [("c0", 301, None), (None, 302, "alpha beta")]
+    c = spark.createDataFrame(rows + [("c2", 4, "alpha alpha beta zeta")], "collection string, chunk_id long, text string").repartition(5)  # chunk 4 stands in two collections
+    q = spark.createDataFrame([(i, " ".join(draw.choices(words, k=draw.randint(1, 5)))) for i in range(30)] + [(30, "the of"), (31, "")], "query_id long, text string")
+    terms, old = R.query_terms(q), R.postings(c)
+    b = R.bags(c, R.asked_words(terms))
+    rows_of = lambda df: sorted(map(tuple, df.collect()))
+    names = ["query_id", "chunk_id", "score", "rank"]
+    want = rows_of(R.bm25_lane(q, old, 20).select(*names))
+    assert rows_of(R.bm25_bags(terms, b, 20).select(*names)) == want and len(want) > 400
+    p = q.select("query_id", F.lit(0).alias("phrase_no"), F.col("text").alias("phrase"))
+    once, alone = b.where("chunk_id <> 4"), old.where("chunk_id <> 4")
+    names4 = ["query_id", "chunk_id", "hits", "rank"]
+    assert rows_of(R.phrase_bags(p, once).select(*names4)) == rows_of(R.phrase_lane(p, alone).select(*names4))
+    assert rows_of(R.proximity_bags(q, once)) == rows_of(R.proximity_rank(q, alone))
+    monkeypatch.setattr(R, "TERMS_TO_BROADCAST", 3)
+    assert rows_of(R.bm25_bags(terms, b, 20).select(*names)) == want
+
+
+def test_lanes_shuffle_no_postings(spark):
+    """Chunks are scored where their words are counted: of the postings no row goes through a shuffle but sums and each task's best."""
+    c = spark.createDataFrame([("a", i, f"alpha beta {i}") for i in range(50)], "collection string, chunk_id long, text string")
+    q = spark.createDataFrame([(1, "alpha 7"), (2, "beta")], "query_id long, text string")
+    b = R.bags(c, R.asked_words(R.query_terms(q)))
+    assert "Exchange" not in plan(b) and "Exchange" not in plan(R.proximity_bags(q, b))
+    lane = plan(R.bm25_bags(R.query_terms(q), b, 5))
+    assert lane.count("Exchange hashpartitioning") == 1 and "HashAggregate" not in lane
