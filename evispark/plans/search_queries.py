@@ -26,27 +26,24 @@ QUESTION = f"questions AS (SELECT item_id AS query_id, '\"' || array_to_string(l
 _STOP = "(" + ", ".join(f"'{w}'" for w in english.STOP) + ")"
 
 
-def made(spark, d, q):
-    """(chunks, postings of the stems of queries ``q``)."""
-    c = written(chunks(spark, d))
-    return c, written(S.postings(c, S.query_terms(q)))
+def bagged(spark, d, q):
+    """Bags of the stems of queries ``q``."""
+    return written(S.bags(written(chunks(spark, d)), S.query_terms(q)))
 
 
 def h2_english(spark, d):
     q = asked(spark, d)
-    c, posted = made(spark, d, q)
-    return S.bm25_lane(q, posted, written(S.chunk_lengths(c))).select("query_id", "chunk_id", "score", "rank")
+    return R.bm25_bags(S.query_terms(q), bagged(spark, d, q)).select("query_id", "chunk_id", "score", "rank")
 
 
 def h5_quoted(spark, d):
     q = questions(spark, d)
-    c, posted = made(spark, d, q)
-    return S.phrase_lane(q, posted, written(S.chunk_lengths(c))).select("query_id", "chunk_id", "place")
+    return S.phrase_lane(q, None, None, bagged=bagged(spark, d, q)).select("query_id", "chunk_id", "place")
 
 
 def h6_cover(spark, d):
     q = questions(spark, d)
-    return S.relevance(q, made(spark, d, q)[1])
+    return S.relevance_bags(S.parsed(q), bagged(spark, d, q))
 
 
 def h1_dense(spark, d):
@@ -74,9 +71,8 @@ def h4_ranked(spark, d):
 def h8_english(spark, d):
     """The hybrid pool of the questions' BM25 and phrase lanes on stems; phrase hits are protected."""
     q = questions(spark, d)
-    c, posted = made(spark, d, q)
-    lens = written(S.chunk_lengths(c))
-    each = [("bm25", S.bm25_lane(q, posted, lens)), ("phrase", S.phrase_lane(q, posted, lens).withColumn("rank", F.col("place")))]
+    some = bagged(spark, d, q)
+    each = [("bm25", R.bm25_bags(S.query_terms(q), some)), ("phrase", S.phrase_lane(q, None, None, bagged=some).withColumn("rank", F.col("place")))]
     rows = [x.select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.lit(name).alias("branch")) for name, x in each]
     return X.search("V1", written(rows[0].unionByName(rows[1]))).select("query_id", "chunk_id", "score", "branches", "place")
 
