@@ -19,6 +19,8 @@ from .ingest import LEAST_BODY, OVERLAP, WIDTH
 
 MAX_SPANS, MAX_BYTES = 64, 16_384
 TOO_LONG = "chunk_prefix_too_long"
+#: Characters of windows that a task holds before it passes them on.
+AT_ONCE = 4_000_000
 
 
 def bounds(counts: list[int], sizes: list[int], width: int, overlap: int, spans_left: int, bytes_left: int, known: list[bool] | None = None):
@@ -68,17 +70,26 @@ def mapped_windows(lines: DataFrame, keys: list[str], width: int = WIDTH, overla
         toks = [t for x in body for t in x["toks"]]
         spent = sum(sizes[s] for s in head_spans)
         found = bounds([len(x["toks"]) for x in body], [x["n_bytes"] for x in body], room, overlap, max_spans - len(head_spans), max_bytes - spent, [x["span_id"] in head_spans for x in body])
-        return [(i, a, z - a, " ".join(head_tokens + toks[a:z]), list(dict.fromkeys([*head_spans, *(x["span_id"] for x in body[f : t + 1])])), None) for i, (a, z, f, t) in enumerate(found)]
+        return ((i, a, z - a, " ".join(head_tokens + toks[a:z]), list(dict.fromkeys([*head_spans, *(x["span_id"] for x in body[f : t + 1])])), None) for i, (a, z, f, t) in enumerate(found))
 
     def run(batches):
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(made)
+        shown = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
         for b in batches:
-            out = [tuple(row[k] for k in keys) + w for row in b.to_pylist() for w in one(row["lines"])]
+            out, held = [], 0
+            for i in range(b.num_rows):  # one block at a time as Python objects, however many lie in a batch
+                [row] = b.slice(i, 1).to_pylist()
+                for w in one(row["lines"]):
+                    out.append(tuple(row[k] for k in keys) + w)
+                    held += len(w[3] or "")
+                    if held > AT_ONCE:
+                        yield shown(out)
+                        out, held = [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+                yield shown(out)
 
     made = lines.sparkSession.createDataFrame([], schema).schema
     return blocks.mapInArrow(run, schema)

@@ -73,3 +73,29 @@ def test_windows_without_limits_equal_plain_ones(spark):
     M.register_windows(spark)
     got = spark.sql("SELECT d.doc_id, w.* FROM {d} d, LATERAL token_windows(d.text, 10, 2) w", d=docs)
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_a_batch_of_blocks_is_never_python_objects_at_once(spark, monkeypatch):
+    import pyarrow as pa
+
+    lines = spark.createDataFrame([(d, i, f"{i}", "one two three " * 40) for d in range(3) for i in range(20)], "doc_id long, line_no long, span_id string, text string")
+    held = {}
+
+    def kept(self, run, schema):
+        held.update(run=run, blocks=self.toArrow().combine_chunks().to_batches()[0])
+        return self
+
+    monkeypatch.setattr(type(lines), "mapInArrow", kept)
+    M.mapped_windows(lines, ["doc_id"])
+
+    class Batch:
+        num_rows = held["blocks"].num_rows
+
+        def slice(self, start, n):
+            assert n == 1
+            return held["blocks"].slice(start, n)
+
+    monkeypatch.setattr(M, "AT_ONCE", 5_000)
+    out = list(held["run"]([Batch()]))
+    assert len(out) > 3 and max(b.num_rows for b in out) < 5  # windows are passed on as they come
+    assert pa.Table.from_batches(out).group_by("doc_id").aggregate([("win", "count")]).column(1).to_pylist() == [7, 7, 7]
