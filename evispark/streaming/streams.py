@@ -32,25 +32,29 @@ def first_write_wins(stream: DataFrame, key: list[str], at: str, late: str = "1
     return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(key)
 
 
-def request_outcomes(stream: DataFrame, key: list[str], content: list[str], seq: str = "event_id") -> DataFrame:
+def request_outcomes(stream: DataFrame, key: list[str], content: list[str], seq: str = "event_id", parts: int = 1_024) -> DataFrame:
     """key, seq, outcome: ``created`` for the first request of a key, ``repeated`` for one of the same content, else ``conflict``.
 
-    State is the first request's digest of each key. Requests of one batch count in the order of ``seq``.
+    State is the first request's digest of each key. Requests of one batch count in the order of ``seq``. Keys are dealt over ``parts``
+    groups, each of which takes its keys' requests at once: a batch calls Python so often at most, however many keys it has.
     """
-    x = stream.select(*key, seq, digest(*[F.col(c) for c in content]).alias("content"))
+    name = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})
+    x = stream.select(*key, seq, name.alias("request"), digest(*[F.col(c) for c in content]).alias("content"))
+    x = x.withColumn("part", F.pmod(F.xxhash64("request"), F.lit(parts)))
     shown = [*key, seq]
 
     def step(_, frames, state):
-        rows = pd.concat(list(frames)).sort_values(seq)
-        first = state.get[0] if state.exists else rows.content.iloc[0]
-        outcome = np.where(rows.content == first, "repeated", "conflict").astype(object)
-        if not state.exists:
-            outcome[0] = "created"
-        state.update((first,))
-        yield rows[shown].assign(outcome=outcome)
+        rows = pd.concat(list(frames)).sort_values(seq, kind="stable")
+        first = dict(zip(*state.get)) if state.exists else {}
+        created = (~rows.request.duplicated() & ~rows.request.isin(first.keys())).to_numpy()
+        first.update(zip(rows.request[created], rows.content[created]))
+        if created.any():
+            state.update((list(first), list(first.values())))
+        outcome = np.where(rows.content == rows.request.map(first), "repeated", "conflict")
+        yield rows[shown].assign(outcome=np.where(created, "created", outcome))
 
     fields = ", ".join(f"`{c}` {x.schema[c].dataType.simpleString()}" for c in shown)
-    return x.groupBy(*key).applyInPandasWithState(step, f"{fields}, outcome string", "content string", "append", GroupStateTimeout.NoTimeout)
+    return x.groupBy("part").applyInPandasWithState(step, f"{fields}, outcome string", "requests array<string>, contents array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
 def ingest(stream: DataFrame, out: str, checkpoint: str, build) -> None:

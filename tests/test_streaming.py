@@ -98,3 +98,19 @@ def test_reports(spark, tmp_path):
     S.write_report(cells, str(tmp_path))
     assert [r["variant"] for r in spark.read.option("header", True).csv(f"{tmp_path}/csv").collect()] == ["V0", "V3"]
     assert spark.read.json(f"{tmp_path}/json").count() == 2
+
+
+def test_requests_of_many_keys_go_round_in_groups(spark, tmp_path):
+    """Groups of keys give what single keys give, over batches, for null keys and for keys that look alike once joined."""
+    keys = [(None, "x"), ("", "x"), ("a|b", "c"), ("a", "b|c"), ("~", "x"), *((f"k{i}", "x") for i in range(200))]
+    rows = [(n, *keys[n % len(keys)], None if n % 7 == 0 else f"body {n % 3 % 2}") for n in range(1_000)]
+    fields = "event_id long, k string, l string, body string"
+    for i in range(2):
+        spark.createDataFrame(rows[500 * i : 500 * i + 500][::-1], fields).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    s = X.tail(spark, f"{tmp_path}/in/*", spark.createDataFrame([], fields).schema)
+    got = {r["event_id"]: r["outcome"] for r in X.drained(X.request_outcomes(s, ["k", "l"], ["body"], parts=4), "append", f"{tmp_path}/c", f"{tmp_path}/o").collect()}
+    first, want = {}, {}
+    for n, k, l, body in rows:
+        want[n] = "created" if (k, l) not in first else "repeated" if first[k, l] == body else "conflict"
+        first.setdefault((k, l), body)
+    assert got == want
