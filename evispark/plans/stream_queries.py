@@ -72,11 +72,12 @@ def s9(spark, d):
 
 
 def s3(spark, d):
-    """Originals written one file a document, then scanned as bytes."""
-    f = shared(spark)
-    folders = S.write_originals(table(spark, d, "documents"), f"{f}/files")
+    """Originals written one file a document, then scanned as bytes; a document without a text counts, but has no original."""
+    f, docs = shared(spark), table(spark, d, "documents")
+    folders = S.write_originals(docs, f"{f}/files")
+    without = docs.where("text IS NULL").agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("n_bytes"))
     accepted = lambda x: x.where("reason IS NULL").agg(F.count("*").alias("n"), F.sum("size").alias("n_bytes"))
-    return S.scan_folders(spark, folders, f"{f}/scanned", accepted).agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"))
+    return S.scan_folders(spark, folders, f"{f}/scanned", accepted).unionByName(without).agg(F.sum("n").alias("n"), F.sum("n_bytes").alias("n_bytes"))
 
 
 from .evidence_queries import SPANS  # noqa: E402

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 from contextlib import contextmanager
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ def scan_originals(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -
     (Spark's binary source leaves out files of no bytes itself).
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.regexp_extract("path", "([^/]*)$", 1)
+    name = F.substring_index("path", "/", -1)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     declared = F.coalesce(*[F.when(suffix == s, F.lit(m)) for s, m, _ in MEDIA])
     magic = F.lit(False)
@@ -38,14 +41,15 @@ def scan_originals(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -
         magic = magic | ((suffix == s) & F.hex(F.substring("content", 1, max(1, len(begin) // 2))).startswith(begin))
     plain = suffix == "txt"
     x = f.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), declared.alias("media_type"), magic.alias("magic"), plain.alias("plain"), name.alias("name"), F.col("content"))
-    text = F.when(F.col("plain") & F.is_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.col("content").cast("string"), "^\\x{FEFF}", ""))
-    x = x.withColumn("text", text)
+    read = F.col("content").cast("string")
+    valid = F.is_valid_utf8(read)
+    text = F.when(F.col("plain") & valid, F.regexp_replace(read, "^\\x{FEFF}", ""))
     reason = (
         F.when(~valid_name(F.col("name")), "bad_name").when(F.col("size") == 0, "empty").when(F.col("size") > max_bytes, "too_large")
-        .when(F.col("media_type").isNull() | ~F.col("magic"), "type_mismatch").when(F.col("plain") & F.col("text").isNull(), "not_utf8")
-        .when(F.contains(F.col("text"), F.lit("\x00")), "nul_byte")
+        .when(F.col("media_type").isNull() | ~F.col("magic"), "type_mismatch").when(F.col("plain") & ~valid, "not_utf8")
+        .when(F.col("plain") & F.contains(read, F.lit("\x00")), "nul_byte")
     )
-    return x.select("path", "size", "sha256", "media_type", "text", reason.alias("reason"))
+    return x.select("path", "size", "sha256", "media_type", text.alias("text"), reason.alias("reason"))
 
 
 @contextmanager
@@ -59,14 +63,44 @@ def cheap_opens(spark: SparkSession):
         spark.conf.set(OPEN_COST, before)
 
 
+def on_disk(spark: SparkSession, path: str) -> str | None:
+    """The local path of a folder in the local file system (a disk that all nodes share), None in any other store."""
+    if "://" not in path and not path.startswith("file:"):
+        path = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS").rstrip("/") + path
+    found = re.fullmatch(r"file:(?://(?:localhost)?)?(/.*)", path)
+    return found and found[1]
+
+
+def put_files(root: str, rows) -> None:
+    """A task's originals as files below ``root``, each under its own name at once: a task that runs again writes the same ones."""
+    for r in rows:
+        path = f"{root}/folder={r['folder']}/part-{r['id']}.txt"
+        with open(f"{os.path.dirname(path)}/.{r['id']}-{uuid.uuid4().hex}", "wb") as f:
+            f.write(r["content"] + b"\n")
+        os.replace(f.name, path)
+
+
 def write_originals(docs: DataFrame, out: str, per_folder: int = PER_FOLDER) -> list[str]:
-    """One text file a row, dealt over folders of about ``per_folder`` files, whose paths are returned."""
+    """One text file for each row with a text, dealt over folders of about ``per_folder`` files, whose paths are returned.
+
+    Hadoop's local file system runs ``chmod`` for each file and again for its checksum, which takes ten times as long as writing
+    it, so tasks write to a disk themselves.
+    """
+    docs = docs.where("text IS NOT NULL")
     n = docs.count()
     folders = max(1, -(-n // per_folder))
-    x = docs.select("text").repartition(max(1, min(n, 16 * folders))).select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(folders)).alias("folder"), "text")
+    names = [f"{out}/folder={i}" for i in range(folders)]
+    dealt = lambda x: x.select("text", F.monotonically_increasing_id().alias("id")).withColumn("folder", F.pmod(F.xxhash64("id"), F.lit(folders)))
+    root = on_disk(docs.sparkSession, out)
+    if root:
+        for i in range(folders):
+            os.makedirs(f"{root}/folder={i}")
+        dealt(docs).select("folder", "id", F.col("text").cast("binary").alias("content")).foreachPartition(partial(put_files, root))
+        return names
     # tasks move their own files to their places: the driver would go through all of them one by one
+    x = dealt(docs.repartition(max(1, min(n, 16 * folders)))).drop("id")
     x.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("folder").text(out)
-    return [f"{out}/folder={i}" for i in range(folders)] if folders > 1 else [out]
+    return names if folders > 1 else [out]
 
 
 def scan_folders(spark: SparkSession, folders: list[str], out: str, of) -> DataFrame:

@@ -4,12 +4,13 @@ import os
 import random
 
 import duckdb
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from evispark.operators import ingest as I
 from evispark.operators import retrieval as R
 from evispark.plans import evidence_queries as Q
-from evispark.plans import run_queries, timer_queries
+from evispark.plans import run_queries, stream_queries, timer_queries
 from evispark.sources import files as S
 
 DATA = "/root/testdata/sf0.001"
@@ -59,6 +60,39 @@ def test_originals_are_files_in_folders_whose_count_grows_with_them(spark, tmp_p
     assert max(sum(f.endswith(".txt") for _, _, fs in os.walk(p[7:]) for f in fs) for p in folders) < 50
 
 
+def test_originals_on_a_disk_are_written_by_tasks_and_are_files_only(spark, tmp_path):
+    """Hadoop's local file system makes a checksum file beside each original and runs chmod for both."""
+    docs = spark.createDataFrame([(i, f"text {i}\r\né") for i in range(50)], "doc_id long, text string")
+    folders = S.write_originals(docs, f"file://{tmp_path}/files", per_folder=20)
+    found = [os.path.join(top, f) for p in folders for top, _, fs in os.walk(p[7:]) for f in fs]
+    assert len(found) == 50 and all(f.endswith(".txt") for f in found)
+    assert sorted(open(f, "rb").read() for f in found) == sorted(f"text {i}\r\né\n".encode() for i in range(50))
+    S.put_files(f"{tmp_path}/files", [Row(folder=0, id=7, content=b"old"), Row(folder=0, id=7, content=b"a task that runs again")])
+    assert open(f"{tmp_path}/files/folder=0/part-7.txt", "rb").read() == b"a task that runs again\n"
+    assert not [f for f in os.listdir(f"{tmp_path}/files/folder=0") if f.startswith(".")]
+
+
+def test_originals_in_another_store_are_written_by_spark(spark, tmp_path, monkeypatch):
+    assert [S.on_disk(spark, p) for p in ("file:///a/b", "file:/a/b", "/a/b", "hdfs://n:8020/a", "s3a://b/a", "viewfs://store/a")] == ["/a/b"] * 3 + [None] * 3
+    monkeypatch.setattr(S, "on_disk", lambda spark, path: None)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], "doc_id long, text string")
+    for per, n in ((20, 3), (100, 1)):
+        folders = S.write_originals(docs, f"file://{tmp_path}/files{n}", per_folder=per)
+        assert len(folders) == n
+        got = S.scan_folders(spark, folders, f"file://{tmp_path}/scanned{n}", lambda x: x.where("reason IS NULL").select("text")).collect()
+        assert sorted(r["text"] for r in got) == sorted(f"text {i}\n" for i in range(50))
+
+
+def test_scan_of_originals_equals_its_sql_on_odd_tables(spark, tmp_path):
+    odd = [(1, "a\nb"), (1, "a\nb"), (2, ""), (3, None), (None, None), (4, "\ufeffé\r\n"), (5, "𝄞" * 40_000)]
+    for i, rows in enumerate((odd, [], [(1, None)])):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{i}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{i}/documents.parquet/*.parquet'")
+        f, sql = stream_queries.QUERIES["s3_scan_originals"]
+        assert list(map(tuple, f(spark, f"{tmp_path}/{i}").collect())) == con.execute(sql).fetchall()
+
+
 def test_coverage_is_unknown_where_no_claim_is_listed(spark, tmp_path):
     rows = [(1, 0, "a" * 19), (1, 1, "a" * 38), (2, 0, "a"), (3, 0, "a"), (3, 1, "a" * 19), (4, 0, "a" * 19), (4, 0, "a" * 19)]
     t = spark.createDataFrame([(*r[:2], "user", r[2]) for r in rows], "conv_id long, turn long, role string, text string")
